@@ -1,0 +1 @@
+"""Empty on purpose: retrieval evaluation is batch work and has no stream operator."""
