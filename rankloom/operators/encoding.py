@@ -105,7 +105,8 @@ def hashed_vectors(
         .groupBy(key)
         .agg(F.collect_list("bucket").alias("buckets"), F.collect_list("value").alias("values"))
     )
-    complete = owners.select(key).join(entries, key, "left")
+    # The entries of all owners are large, though an estimate may call them small.
+    complete = owners.select(key).join(entries.hint("merge"), key, "left")
     schema: StructType = vectors_schema(key, owners.schema[key].dataType)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

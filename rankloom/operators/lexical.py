@@ -7,16 +7,16 @@ formed where the document lies, and only k rows per query and partition are exch
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from rankloom.config import Bm25Config
 from rankloom.functions.guards import positive_k
 from rankloom.functions.scores import inverse_document_frequency, saturation
 from rankloom.functions.text import words
-from rankloom.operators.joins import broadcast_within, heavy_keys, salted_join
+from rankloom.operators.joins import heavy_keys, salted_join
 from rankloom.operators.ranking import top_k
 
 
@@ -35,13 +35,13 @@ class TextIndex:
 
 
 def field_words(corpus: DataFrame, fields: Sequence[str] = ("title", "text")) -> DataFrame:
-    """One row per document and field: its words in order and their number ``dl``."""
-    parts = F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("content")) for name in fields])
-    return (
-        corpus.select("doc_id", F.inline(parts))
-        .select("doc_id", "field", words(F.col("content")).alias("words"))
-        .withColumn("dl", F.size("words"))
-    )
+    """One row per document and field: its words in order and their number ``dl``.
+
+    The words are formed inside the generator, so that a filter on them cannot be pushed below it
+    and run the pattern over the text a second time.
+    """
+    parts = F.array(*[F.struct(F.lit(name).alias("field"), words(F.col(name)).alias("words")) for name in fields])
+    return corpus.select("doc_id", F.inline(parts)).withColumn("dl", F.size("words"))
 
 
 def tokenize(corpus: DataFrame, fields: Sequence[str] = ("title", "text")) -> DataFrame:
@@ -87,13 +87,18 @@ def term_idf(term_stats: DataFrame, field_stats: DataFrame) -> DataFrame:
 
 def index_corpus(corpus: DataFrame, fields: Sequence[str] = ("title", "text"), partitions: int | None = None) -> TextIndex:
     """Plan an index. Documents are placed by ``doc_id`` first, so postings need no second shuffle."""
-    placed = corpus.select("doc_id", *fields)
-    placed = placed.repartition(partitions, "doc_id") if partitions else placed.repartition("doc_id")
+    texts = corpus.select("doc_id", *fields)
+    placed = texts.repartition(partitions, "doc_id") if partitions else texts.repartition("doc_id")
     postings = term_frequency(placed, fields)
-    doc_len = doc_lengths(placed, fields)
+    doc_len = doc_lengths(texts, fields)
     return TextIndex(postings, doc_len, field_statistics(doc_len), term_statistics(postings))
 
 
+def indexed_lengths(postings: DataFrame) -> DataFrame:
+    """Field lengths as the postings carry them. No shuffle where postings lie by document."""
+    return postings.select("doc_id", "field", "dl").distinct()
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """Terms of each query with their multiplicity: a repeated word counts each time."""
     return (
@@ -106,31 +111,26 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def score(index: TextIndex, queries: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
     """Score every (query, document) pair that shares a term: the best field counts, not the sum."""
     terms = query_terms(queries)
-    boosts = F.create_map(*[F.lit(part) for pair in config.boosts for part in pair])
-    fields = F.broadcast(index.field_stats.where(F.col("field").isin(*config.fields)))
-
-    small_terms = broadcast_within(terms, config.broadcast_bytes, "term")
-    wanted = terms.select("term").distinct()
-    idf = term_idf(
-        index.term_stats.join(F.broadcast(wanted) if small_terms is not None else wanted, "term", "left_semi"),
-        fields,
-    )
-    postings = index.postings.join(fields, "field").select(
-        "doc_id",
-        "field",
-        "term",
-        saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), config.k1, config.b).alias("saturated"),
+    # One row per field, so these numbers go into the plan as literals.
+    stats = {row.field: row for row in index.field_stats.where(F.col("field").isin(*config.fields)).collect()}
+    n_docs = _by_field({name: int(row.n_docs) for name, row in stats.items()})
+    avgdl = _by_field({name: float(row.avgdl) for name, row in stats.items()})
+    boost = _by_field({name: float(value) for name, value in config.boosts})
+
+    wanted = F.col("field").isin(*config.fields)
+    saturated = saturation(F.col("tf"), F.col("dl"), avgdl, config.k1, config.b)
+    postings = index.postings.where(wanted).select("doc_id", "field", "term", saturated.alias("saturated"))
+    idf = index.term_stats.where(wanted).select(
+        "field", "term", (boost * inverse_document_frequency(n_docs, F.col("df"))).alias("idf")
     )
 
-    if small_terms is not None:
-        weighted = F.broadcast(_weights(idf.join(small_terms, "term"), boosts))
+    if _query_bytes(queries) <= config.broadcast_bytes:
+        weighted = F.broadcast(_weights(idf.join(F.broadcast(terms), "term")))
         matched = postings.join(weighted, ["field", "term"])
     else:
         # A common term is heavy on both sides: in the postings and in the query terms.
         term_counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        weighted = _weights(
-            salted_join(terms, idf, ["term"], heavy_keys(term_counts, ["term"], "n"), F.col("qid")), boosts
-        )
+        weighted = _weights(salted_join(terms, idf, ["term"], heavy_keys(term_counts, ["term"], "n"), F.col("qid")))
         heavy = heavy_keys(index.term_stats, ["field", "term"], "df")
         matched = salted_join(postings, weighted, ["field", "term"], heavy, F.col("doc_id"))
 
@@ -144,9 +144,23 @@ def score(index: TextIndex, queries: DataFrame, config: Bm25Config = Bm25Config(
     return sums.select("qid", "doc_id", best.alias("score"))
 
 
-def _weights(idf_by_query: DataFrame, boosts) -> DataFrame:
-    weight = boosts[F.col("field")] * F.col("qtf") * F.col("idf")
-    return idf_by_query.select("qid", "field", "term", weight.alias("weight"))
+def _by_field(values: Mapping[str, float]) -> Column:
+    """The number that belongs to the field of the row; null for a field no document has."""
+    chosen = F.lit(None).cast("double")
+    for name, value in values.items():
+        chosen = F.when(F.col("field") == name, F.lit(value)).otherwise(chosen)
+    return chosen
+
+
+def _query_bytes(queries: DataFrame) -> int:
+    """Upper bound for the size of the query terms, from one pass without a shuffle of terms."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    charge = F.octet_length(text) + F.size(words(text)) * F.lit(64)
+    return queries.agg(F.coalesce(F.sum(charge.cast("bigint")), F.lit(0))).first()[0]
+
+
+def _weights(idf_by_query: DataFrame) -> DataFrame:
+    return idf_by_query.select("qid", "field", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
 
 
 def bm25_top_k(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config = Bm25Config()) -> DataFrame:

@@ -17,6 +17,8 @@ from rankloom.operators.lexical import (
     TextIndex,
     field_statistics,
     index_corpus,
+    indexed_lengths,
+    term_frequency,
     term_statistics,
 )
 
@@ -56,8 +58,7 @@ def write_text_index(spark: SparkSession, corpus: DataFrame, path: str, buckets:
     """
     check_documents(corpus)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    planned = index_corpus(corpus, partitions=buckets)
-    return _write(spark, planned.postings, planned.doc_len, path, buckets)
+    return _write(spark, index_corpus(corpus, partitions=buckets).postings, path, buckets)
 
 
 def upsert_text_index(
@@ -70,27 +71,20 @@ def upsert_text_index(
     """
     check_documents(corpus)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    added = index_corpus(corpus, partitions=buckets)
-    incoming = corpus.select("doc_id")
-    postings = index.postings.join(incoming, "doc_id", "left_anti").unionByName(added.postings)
-    doc_len = index.doc_len.join(incoming, "doc_id", "left_anti").unionByName(added.doc_len)
-    return _write(
-        spark, postings.repartition(buckets, "doc_id"), doc_len.repartition(buckets, "doc_id"), path, buckets
-    )
+    added = term_frequency(corpus)
+    kept = index.postings.join(corpus.select("doc_id"), "doc_id", "left_anti")
+    return _write(spark, kept.unionByName(added).repartition(buckets, "doc_id"), path, buckets)
 
 
-def _write(spark: SparkSession, postings: DataFrame, doc_len: DataFrame, path: str, buckets: int) -> TextIndex:
-    """Both frames come placed by ``doc_id`` as the buckets are, so that every bucket is one file."""
-    for name, table in (("postings", postings), ("doc_len", doc_len)):
-        (
-            table.write.mode("overwrite")
-            .bucketBy(buckets, "doc_id")
-            .sortBy("doc_id")
-            .option("path", f"{path}/{name}")
-            .saveAsTable(_table_name(path, name))
-        )
-    placed = _table(spark, path, "postings")
-    term_statistics(placed).write.mode("overwrite").parquet(f"{path}/term_stats")
+def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -> TextIndex:
+    """``postings`` come placed by ``doc_id`` as the buckets are, so that every bucket is one file.
+
+    The text is analysed once, for the postings; all other tables are read off the written ones.
+    """
+    _write_bucketed(postings, path, "postings", buckets)
+    written = _table(spark, path, "postings")
+    _write_bucketed(indexed_lengths(written), path, "doc_len", buckets)
+    term_statistics(written).write.mode("overwrite").parquet(f"{path}/term_stats")
     lengths = _table(spark, path, "doc_len")
     field_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
     layout = spark.range(1).select(F.lit(buckets).alias("buckets"), *_key_sample(postings))
@@ -98,6 +92,16 @@ def _write(spark: SparkSession, postings: DataFrame, doc_len: DataFrame, path: s
     return load_text_index(spark, path)
 
 
+def _write_bucketed(table: DataFrame, path: str, name: str, buckets: int) -> None:
+    (
+        table.write.mode("overwrite")
+        .bucketBy(buckets, "doc_id")
+        .sortBy("doc_id")
+        .option("path", f"{path}/{name}")
+        .saveAsTable(_table_name(path, name))
+    )
+
+
 def _key_sample(postings: DataFrame) -> list:
     """A null column that records the type of the document ids."""
     return [F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id")]

@@ -1,0 +1,80 @@
+import pytest
+from pyspark.sql import functions as F
+
+from rankloom.config import EvalConfig
+from rankloom.operators.sampling import eligible_queries, sample_queries
+from rankloom.plans.evaluation import choose_methods, evaluate
+
+
+class Fixed:
+    def __init__(self, run):
+        self.run = run
+
+    def retrieve(self, queries, k):
+        return self.run.where(F.col("rank") <= k).join(queries.select("qid"), "qid", "left_semi")
+
+
+@pytest.fixture(scope="module")
+def queries(spark):
+    return spark.createDataFrame([(f"q{i}", f"text {i}") for i in range(30)], "qid string, text string")
+
+
+def qids(frame):
+    return sorted(r.qid for r in frame.collect())
+
+
+def test_eligible(queries, make_qrels):
+    qrels = make_qrels({"q1": ["a", "b"], "q7": ["c"], "other": ["d"]})
+    assert qids(eligible_queries(queries, qrels)) == ["q1", "q7"]
+
+
+@pytest.mark.parametrize("limit", [0, -1, 30, 99])
+def test_sample_of_all(queries, limit):
+    assert qids(sample_queries(queries, limit, 42)) == qids(queries)
+
+
+def test_sample_is_stable(queries):
+    first = qids(sample_queries(queries.repartition(1), 10, 42))
+    assert len(set(first)) == 10
+    assert qids(sample_queries(queries.repartition(7), 10, 42)) == first
+    assert qids(sample_queries(queries, 10, 43)) != first
+
+
+def test_method_choice():
+    assert choose_methods("all") == ("bm25", "dense", "hybrid")
+    assert choose_methods("dense") == ("dense",)
+    with pytest.raises(ValueError, match="unknown method"):
+        choose_methods("none")
+
+
+@pytest.fixture(scope="module")
+def sides(make_run):
+    return {
+        "bm25": Fixed(make_run({"q1": ["a", "x"], "q2": ["y"]})),
+        "dense": Fixed(make_run({"q1": ["x", "a"], "q2": ["b"]})),
+    }
+
+
+def test_all_methods(queries, make_qrels, sides):
+    qrels = make_qrels({"q1": ["a"], "q2": ["b"], "q3": ["c"]})
+    result = evaluate(sides, queries, qrels, config=EvalConfig(limit_queries=0))
+    got = {r.method: r for r in result.table.collect()}
+    assert list(got) == ["bm25", "dense", "hybrid"]
+    # q3 is evaluated, finds nothing and counts as 0.
+    assert got["bm25"]["recall@10"] == pytest.approx(1 / 3)
+    assert got["dense"]["recall@10"] == pytest.approx(2 / 3)
+    assert got["dense"]["mrr@10"] == pytest.approx((0.5 + 1.0) / 3)
+    assert got["hybrid"]["recall@10"] == pytest.approx(2 / 3)
+    assert all(r.avg_latency_ms > 0 for r in got.values())
+    assert qids(result.queries) == ["q1", "q2", "q3"]
+
+
+def test_one_method(queries, make_qrels, sides):
+    result = evaluate({"bm25": sides["bm25"]}, queries, make_qrels({"q1": ["a"]}), method="bm25")
+    (row,) = result.table.collect()
+    assert row.method == "bm25" and row["mrr@1"] == 1.0
+
+
+def test_depth_must_reach_the_largest_cutoff(queries, make_qrels, sides):
+    with pytest.raises(ValueError, match="depth must be >= 10"):
+        evaluate(sides, queries, make_qrels({"q1": ["a"]}), depth=5)

@@ -1,0 +1,54 @@
+import pytest
+
+from rankloom.operators import report
+
+COLUMNS = "method string, `recall@10` double, `precision@10` double, `mrr@1` double, `mrr@10` double, avg_latency_ms double"
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    return spark.createDataFrame(
+        [
+            ("hybrid", 0.8, 0.9, 0.7, 0.6, 10.0),
+            ("dense", 0.8, 0.1, 0.7, 0.6, 10.0),
+            ("bm25", 0.8, 0.1, 0.6, 0.5, 12.0),
+        ],
+        COLUMNS,
+    )
+
+
+def test_summary_leaves_out_precision(table):
+    assert report.summary_columns(table).columns == ["method", "recall@10", "mrr@1", "mrr@10", "avg_latency_ms"]
+
+
+def test_best_method_and_ties(table):
+    best = {r.metric: r.method for r in report.best_method(table).collect()}
+    assert best == {"recall@10": "bm25", "mrr@1": "dense", "mrr@10": "dense"}
+
+
+def test_wins_include_zero(table):
+    wins = {r.method: r.wins for r in report.method_wins(table).collect()}
+    assert wins == {"bm25": 1, "dense": 2, "hybrid": 0}
+
+
+def test_wins_of_two_methods(table):
+    wins = {r.method: r.wins for r in report.method_wins(table).where("method in ('bm25', 'dense')").collect()}
+    assert wins == {"bm25": 1, "dense": 2}
+
+
+def test_fastest_and_tie(table):
+    assert report.fastest_method(table).first().method == "dense"
+    assert report.fastest_method(table.limit(0)).count() == 0
+
+
+def test_chart(table):
+    got = {(r.panel, r.method): r.value for r in report.chart_table(table).collect()}
+    assert len(got) == 6
+    assert got["recall@10", "bm25"] == 0.8 and got["avg_latency_ms", "hybrid"] == 10.0
+
+
+def test_method_table_is_sorted_and_complete(spark, table):
+    metrics = table.drop("avg_latency_ms").selectExpr("*", "0 as position")
+    latency = spark.createDataFrame([("dense", 3.0)], "method string, avg_latency_ms double")
+    rows = report.method_table(metrics, latency).collect()
+    assert [(r.method, r.avg_latency_ms) for r in rows] == [("bm25", 0.0), ("dense", 3.0), ("hybrid", 0.0)]
