@@ -125,15 +125,24 @@ def _scan(best: _Best, ids: pa.Array, matrix: np.ndarray, query_matrix: np.ndarr
 
 def inner_product_scores(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig = DenseConfig()) -> DataFrame:
     """At most k rows per query and block of vectors; the overall k best are among them."""
-    count, dim = queries.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
-    if count * (dim or 0) * 8 <= config.broadcast_bytes:
-        return _broadcast_scan(queries, vectors, k)
-    return _grid_scan(queries, vectors, k, count, dim, config)
+    table = _fetch_within(queries.select("qid", "embedding"), vectors, config.broadcast_bytes)
+    if table is not None:
+        return _broadcast_scan(queries, vectors, k, table)
+    return _grid_scan(queries, vectors, k, config)
 
 
-def _broadcast_scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """The query matrix, measured small, goes to every executor; vectors are not moved at all."""
-    table = queries.select("qid", "embedding").toArrow().combine_chunks()
+def _fetch_within(queries: DataFrame, vectors: DataFrame, limit: int) -> pa.Table | None:
+    """The query vectors if their matrix stays within ``limit`` bytes. Never fetches more than
+    one row beyond that, so the driver is safe from a larger set."""
+    one = vectors.select(F.size("embedding").alias("dim")).first()
+    row_bytes = 8 * max(1, one.dim or 1) if one else 8
+    most = limit // row_bytes
+    table = queries.limit(most + 1).toArrow()
+    return table if table.num_rows <= most else None
+
+
+def _broadcast_scan(queries: DataFrame, vectors: DataFrame, k: int, table: pa.Table) -> DataFrame:
+    """The query matrix, known small, goes to every executor; vectors are not moved at all."""
     schema = run_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType)
     query_ids = table["qid"].combine_chunks()
     shared = queries.sparkSession.sparkContext.broadcast((query_ids, _matrix(table["embedding"])))
@@ -150,12 +159,13 @@ def _broadcast_scan(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame
     return vectors.select("doc_id", "embedding").mapInArrow(scan, schema)
 
 
-def _grid_scan(queries: DataFrame, vectors: DataFrame, k: int, n_queries: int, dim: int, config: DenseConfig) -> DataFrame:
+def _grid_scan(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig) -> DataFrame:
     """Query sets of any size: both sides are cut into cells by hash and every pair of cells is
     multiplied in a task of its own. Cell sizes are fixed by the counts, whatever the keys."""
     n_vectors = vectors.count()
+    n_queries, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
     query_rows = max(1, min(config.cell_rows, config.broadcast_bytes // max(1, 8 * dim)))
-    query_cells = -(-n_queries // query_rows)
+    query_cells = max(1, -(-n_queries // query_rows))
     vector_cells = max(1, -(-n_vectors // config.cell_rows))
     schema = run_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType)
 

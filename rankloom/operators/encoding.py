@@ -13,7 +13,7 @@ from rankloom.config import DenseConfig
 from rankloom.functions.scores import inverse_document_frequency
 from rankloom.functions.text import compose, term_bucket
 from rankloom.operators.joins import broadcast_within, heavy_keys, salted_join
-from rankloom.operators.lexical import TextIndex, query_terms
+from rankloom.operators.lexical import TextIndex, query_bytes, query_terms
 from rankloom.schemas import vectors_schema
 
 BatchEncoder = Callable[[Sequence[str]], np.ndarray]
@@ -83,17 +83,20 @@ def hashed_vectors(
     config: DenseConfig = DenseConfig(),
     key: str = "doc_id",
     frequency: str = "tf",
+    small_frequencies: bool = False,
 ) -> DataFrame:
     """Feature-hashed vectors: every term adds ``(1 + ln tf) * idf`` to one of ``dim`` places.
 
-    ``frequencies(key, term, tf)`` is joined with the vocabulary table ``idf(term, df, idf)``: by
-    broadcast if that table is measured small, else by a shuffle with the common terms salted.
-    ``owners(key)`` without a known term get a zero vector.
+    ``frequencies(key, term, tf)`` is joined with the vocabulary table ``idf(term, df, idf)``. If
+    the caller has measured the frequencies as small they are broadcast to the vocabulary; else
+    the vocabulary is broadcast if it measures small; else both are shuffled, with the common
+    terms salted. ``owners(key)`` without a known term get a zero vector.
     """
     dim, normalize = config.dim, config.normalize
     placed = idf.select("term", "df", "idf", term_bucket(F.col("term"), dim).alias("bucket"))
-    small = broadcast_within(placed, config.broadcast_bytes, "term")
-    if small is not None:
+    if small_frequencies:
+        joined = placed.join(F.broadcast(frequencies), "term")
+    elif (small := broadcast_within(placed, config.broadcast_bytes, "term")) is not None:
         joined = frequencies.join(small, "term")
     else:
         joined = salted_join(frequencies, placed, ["term"], heavy_keys(placed, ["term"], "df"), F.col(key))
@@ -133,4 +136,5 @@ def hash_documents(index: TextIndex, corpus: DataFrame, config: DenseConfig = De
 
 def hash_queries(index: TextIndex, queries: DataFrame, config: DenseConfig = DenseConfig(), idf: DataFrame | None = None) -> DataFrame:
     """Query vectors in the same space: term weights come from the corpus."""
-    return hashed_vectors(query_terms(queries), idf or content_idf(index), queries, config, "qid", "qtf")
+    small = query_bytes(queries) <= config.broadcast_bytes
+    return hashed_vectors(query_terms(queries), idf or content_idf(index), queries, config, "qid", "qtf", small)

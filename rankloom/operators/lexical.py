@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from rankloom.config import Bm25Config
 from rankloom.functions.guards import positive_k
@@ -33,6 +34,11 @@ class TextIndex:
     field_stats: DataFrame
     term_stats: DataFrame
 
+    @cached_property
+    def fields(self) -> dict[str, Row]:
+        """Statistics by field, read once: one row per field."""
+        return {row.field: row for row in self.field_stats.collect()}
+
 
 def field_words(corpus: DataFrame, fields: Sequence[str] = ("title", "text")) -> DataFrame:
     """One row per document and field: its words in order and their number ``dl``.
@@ -111,32 +117,25 @@ def query_terms(queries: DataFrame) -> DataFrame:
 def score(index: TextIndex, queries: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
     """Score every (query, document) pair that shares a term: the best field counts, not the sum."""
     terms = query_terms(queries)
-    # One row per field, so these numbers go into the plan as literals.
-    stats = {row.field: row for row in index.field_stats.where(F.col("field").isin(*config.fields)).collect()}
-    n_docs = _by_field({name: int(row.n_docs) for name, row in stats.items()})
-    avgdl = _by_field({name: float(row.avgdl) for name, row in stats.items()})
-    boost = _by_field({name: float(value) for name, value in config.boosts})
-
-    wanted = F.col("field").isin(*config.fields)
-    saturated = saturation(F.col("tf"), F.col("dl"), avgdl, config.k1, config.b)
-    postings = index.postings.where(wanted).select("doc_id", "field", "term", saturated.alias("saturated"))
-    idf = index.term_stats.where(wanted).select(
-        "field", "term", (boost * inverse_document_frequency(n_docs, F.col("df"))).alias("idf")
-    )
+    idf = _boosted_idf(index, config)
+    # No filter by field: only the wanted fields have weights to be joined with.
+    postings = index.postings.select("doc_id", "field", "term", "tf", "dl")
 
-    if _query_bytes(queries) <= config.broadcast_bytes:
+    if query_bytes(queries) <= config.broadcast_bytes:
         weighted = F.broadcast(_weights(idf.join(F.broadcast(terms), "term")))
         matched = postings.join(weighted, ["field", "term"])
     else:
         # A common term is heavy on both sides: in the postings and in the query terms.
         term_counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        weighted = _weights(salted_join(terms, idf, ["term"], heavy_keys(term_counts, ["term"], "n"), F.col("qid")))
+        heavy = heavy_keys(term_counts, ["term"], "n")
+        weighted = _weights(salted_join(terms, idf, ["term"], heavy, F.col("qid")))
         heavy = heavy_keys(index.term_stats, ["field", "term"], "df")
         matched = salted_join(postings, weighted, ["field", "term"], heavy, F.col("doc_id"))
 
+    part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), config.k1, config.b)
     by_field = [
-        F.sum(F.when(F.col("field") == name, F.col("weight") * F.col("saturated"))).alias(f"__{name}")
-        for name in config.fields
+        F.sum(F.when(F.col("place") == place, part)).alias(f"__{name}")
+        for place, name in enumerate(config.fields)
     ]
     sums = matched.groupBy("doc_id", "qid").agg(*by_field)
     columns = [F.col(f"__{name}") for name in config.fields]
@@ -144,15 +143,37 @@ def score(index: TextIndex, queries: DataFrame, config: Bm25Config = Bm25Config(
     return sums.select("qid", "doc_id", best.alias("score"))
 
 
-def _by_field(values: Mapping[str, float]) -> Column:
-    """The number that belongs to the field of the row; null for a field no document has."""
-    chosen = F.lit(None).cast("double")
+def _boosted_idf(index: TextIndex, config: Bm25Config) -> DataFrame:
+    """What a query word is worth per field and term, with all that scoring needs to know of the
+    field: its place in the settings and its mean length.
+
+    These are one number per field, so they go into the plan as literals. They are attached here,
+    on the small side, since text compared once per posting match is what scoring would spend
+    most of its time on.
+    """
+    boosts, stats = dict(config.boosts), index.fields
+    known = {name: place for place, name in enumerate(config.fields) if name in stats}
+
+    n_docs = _chosen({name: int(stats[name].n_docs) for name in known})
+    idf = inverse_document_frequency(n_docs, F.col("df"))
+    return index.term_stats.where(F.col("field").isin(*known)).select(
+        "field",
+        "term",
+        _chosen(known).cast("int").alias("place"),
+        _chosen({name: float(stats[name].avgdl) for name in known}).alias("avgdl"),
+        (_chosen({name: float(boosts[name]) for name in known}) * idf).alias("idf"),
+    )
+
+
+def _chosen(values: Mapping[str, int | float]) -> Column:
+    """The number that belongs to the field of the row."""
+    column = F.lit(None).cast("double")
     for name, value in values.items():
-        chosen = F.when(F.col("field") == name, F.lit(value)).otherwise(chosen)
-    return chosen
+        column = F.when(F.col("field") == name, F.lit(value)).otherwise(column)
+    return column
 
 
-def _query_bytes(queries: DataFrame) -> int:
+def query_bytes(queries: DataFrame) -> int:
     """Upper bound for the size of the query terms, from one pass without a shuffle of terms."""
     text = F.coalesce(F.col("text"), F.lit(""))
     charge = F.octet_length(text) + F.size(words(text)) * F.lit(64)
@@ -160,7 +181,8 @@ def _query_bytes(queries: DataFrame) -> int:
 
 
 def _weights(idf_by_query: DataFrame) -> DataFrame:
-    return idf_by_query.select("qid", "field", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+    weight = F.col("qtf") * F.col("idf")
+    return idf_by_query.select("qid", "field", "term", "place", "avgdl", weight.alias("weight"))
 
 
 def bm25_top_k(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config = Bm25Config()) -> DataFrame:
