@@ -35,18 +35,17 @@ def main() -> None:
 
     corpus, queries = testbed.corpus(spark, folder), testbed.queries(spark, folder)
     index = testbed.text_index(spark, folder)
-    idf = testbed.idf(spark, folder)
     vectors = testbed.document_vectors(spark, folder)
     sides = testbed.runs(spark, folder)
     qrels = testbed.qrels(spark, folder)
 
     def dense_search():
-        asked = encoding.hash_queries(index, queries, testbed.DENSE, idf)
+        asked = encoding.hash_queries(index, queries, testbed.DENSE)
         return dense.dense_top_k(asked, vectors, K, testbed.DENSE)
 
     def hybrid_search():
         depth = 2 * K
-        asked = encoding.hash_queries(index, queries, testbed.DENSE, idf)
+        asked = encoding.hash_queries(index, queries, testbed.DENSE)
         both = {
             "bm25": lexical.bm25_top_k(index, queries, depth),
             "dense": dense.dense_top_k(asked, vectors, depth, testbed.DENSE),
@@ -62,7 +61,7 @@ def main() -> None:
     jobs = {
         "build_text_index": lambda: indexes.write_text_index(spark, corpus, scratch_path(spark, "bench-index")),
         "build_vectors": lambda: indexes.write_vectors(
-            encoding.hash_documents(index, corpus, testbed.DENSE, idf), scratch_path(spark, "bench-vectors")
+            encoding.hash_documents(index, corpus, testbed.DENSE), scratch_path(spark, "bench-vectors")
         ),
         "bm25_topk": lambda: run(lexical.bm25_top_k(index, queries, K)),
         "dense_text_topk": lambda: run(dense_search()),

@@ -13,7 +13,7 @@ from rankloom.config import DenseConfig
 from rankloom.functions.scores import inverse_document_frequency
 from rankloom.functions.text import compose, term_bucket
 from rankloom.operators.joins import broadcast_within, heavy_keys, salted_join
-from rankloom.operators.lexical import TextIndex, query_bytes, query_terms
+from rankloom.operators.lexical import TextIndex, content_frequency, query_bytes, query_terms
 from rankloom.schemas import vectors_schema
 
 BatchEncoder = Callable[[Sequence[str]], np.ndarray]
@@ -60,20 +60,10 @@ def encode(texts: DataFrame, encoder: BatchEncoder, config: DenseConfig = DenseC
     return texts.select(key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
-def content_frequency(index: TextIndex) -> DataFrame:
-    """Term frequency over all fields of a document. Stays within the placement by document."""
-    return index.postings.groupBy("doc_id", "term").agg(F.sum("tf").cast("int").alias("tf"))
-
-
 def content_idf(index: TextIndex) -> DataFrame:
     """``(term, df, idf)`` over whole documents."""
-    n_docs = index.doc_len.agg(F.count_distinct("doc_id")).scalar()
-    return (
-        content_frequency(index)
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("df"))
-        .select("term", "df", inverse_document_frequency(n_docs, F.col("df")).alias("idf"))
-    )
+    idf = inverse_document_frequency(F.lit(index.n_docs), F.col("df"))
+    return index.content_stats.select("term", "df", idf.alias("idf"))
 
 
 def hashed_vectors(
@@ -129,12 +119,12 @@ def hashed_vectors(
     return complete.select(key, "buckets", "values").mapInArrow(scatter, schema)
 
 
-def hash_documents(index: TextIndex, corpus: DataFrame, config: DenseConfig = DenseConfig(), idf: DataFrame | None = None) -> DataFrame:
+def hash_documents(index: TextIndex, corpus: DataFrame, config: DenseConfig = DenseConfig()) -> DataFrame:
     """Vectors of all documents, from the postings of the text index."""
-    return hashed_vectors(content_frequency(index), idf or content_idf(index), corpus, config)
+    return hashed_vectors(content_frequency(index.postings), content_idf(index), corpus, config)
 
 
-def hash_queries(index: TextIndex, queries: DataFrame, config: DenseConfig = DenseConfig(), idf: DataFrame | None = None) -> DataFrame:
+def hash_queries(index: TextIndex, queries: DataFrame, config: DenseConfig = DenseConfig()) -> DataFrame:
     """Query vectors in the same space: term weights come from the corpus."""
     small = query_bytes(queries) <= config.broadcast_bytes
-    return hashed_vectors(query_terms(queries), idf or content_idf(index), queries, config, "qid", "qtf", small)
+    return hashed_vectors(query_terms(queries), content_idf(index), queries, config, "qid", "qtf", small)

@@ -26,13 +26,20 @@ class TextIndex:
     """Tables of a lexical index.
 
     ``postings(doc_id, field, term, tf, dl)``, ``doc_len(doc_id, field, dl)``,
-    ``field_stats(field, n_docs, avgdl)``, ``term_stats(field, term, df)``.
+    ``field_stats(field, n_docs, avgdl)``, ``term_stats(field, term, df)`` and, over all fields of
+    a document together, ``content_stats(term, df)``.
     """
 
     postings: DataFrame
     doc_len: DataFrame
     field_stats: DataFrame
     term_stats: DataFrame
+    content_stats: DataFrame
+
+    @cached_property
+    def n_docs(self) -> int:
+        """Documents with at least one word, counted once."""
+        return self.doc_len.agg(F.count_distinct("doc_id")).first()[0]
 
     @cached_property
     def fields(self) -> dict[str, Row]:
@@ -84,6 +91,16 @@ def term_statistics(postings: DataFrame) -> DataFrame:
     return postings.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
+def content_frequency(postings: DataFrame) -> DataFrame:
+    """Term frequency over all fields of a document. No shuffle where postings lie by document."""
+    return postings.groupBy("doc_id", "term").agg(F.sum("tf").cast("int").alias("tf"))
+
+
+def content_statistics(postings: DataFrame) -> DataFrame:
+    """Document frequency per term, in whichever field it stands."""
+    return content_frequency(postings).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
 def term_idf(term_stats: DataFrame, field_stats: DataFrame) -> DataFrame:
     """``field_stats`` has one row per field, so it is small by construction."""
     return term_stats.join(F.broadcast(field_stats.select("field", "n_docs")), "field").select(
@@ -97,7 +114,9 @@ def index_corpus(corpus: DataFrame, fields: Sequence[str] = ("title", "text"), p
     placed = texts.repartition(partitions, "doc_id") if partitions else texts.repartition("doc_id")
     postings = term_frequency(placed, fields)
     doc_len = doc_lengths(texts, fields)
-    return TextIndex(postings, doc_len, field_statistics(doc_len), term_statistics(postings))
+    return TextIndex(
+        postings, doc_len, field_statistics(doc_len), term_statistics(postings), content_statistics(postings)
+    )
 
 
 def indexed_lengths(postings: DataFrame) -> DataFrame:

@@ -128,7 +128,7 @@ query_terms AS (
         """
 content AS (SELECT doc_id, term, CAST(sum(tf) AS INTEGER) AS tf FROM postings GROUP BY ALL),
 content_idf AS (
-  SELECT term, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
+  SELECT term, df, ln(1 + (n - df + 0.5) / (df + 0.5)) AS idf
   FROM (SELECT term, count(*) AS df, (SELECT count(DISTINCT doc_id) FROM doc_len) AS n FROM content GROUP BY term))""",
     ),
     "doc_vectors": (("content_idf",), _vectors("doc_vectors", "doc_id", "content", "tf", "corpus")),
@@ -301,6 +301,7 @@ SQL: dict[str, str] = {
     "doc_lengths": _with(("postings",), "SELECT doc_id, field, dl FROM doc_len"),
     "field_stats": _with(("idf",), f"SELECT field, n_docs, round(avgdl, {DIGITS}) AS avgdl FROM field_stats"),
     "term_idf": _with(("idf",), f"SELECT field, term, df, round(idf, {DIGITS}) AS idf FROM idf"),
+    "content_idf": _with(("content_idf",), f"SELECT term, df, round(idf, {DIGITS}) AS idf FROM content_idf"),
     "query_terms": _with(("query_terms",), "SELECT qid, term, qtf FROM query_terms"),
     "bm25_single_field": _with(
         ("idf", "query_terms"), f"SELECT {_RANKED} FROM run", _bm25("run", {"text": 1.0}, K)

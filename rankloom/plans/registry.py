@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.config import Bm25Config, EvalConfig, HybridConfig
 from rankloom.functions.text import compose
-from rankloom.operators import fusion, lexical, metrics, report, sampling
+from rankloom.operators import encoding, fusion, lexical, metrics, report, sampling
 from rankloom.operators.dense import cosine_top_k, dense_top_k, dimensions, normalized
-from rankloom.operators.encoding import content_idf, hash_documents
+from rankloom.operators.encoding import hash_documents
 from rankloom.plans import testbed
 from rankloom.plans.evaluation import evaluate
 from rankloom.session import scratch_path
@@ -136,6 +136,10 @@ def term_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(lexical.term_idf(index.term_stats, index.field_stats), "idf")
 
 
+def content_idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(encoding.content_idf(lexical.index_corpus(testbed.corpus(spark, sf_dir))), "idf")
+
+
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.query_terms(testbed.queries(spark, sf_dir))
 
@@ -181,7 +185,7 @@ def _positions(vectors: DataFrame, key: str) -> DataFrame:
 def hash_embed_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     corpus = testbed.corpus(spark, sf_dir)
     index = testbed.text_index(spark, sf_dir)
-    vectors = hash_documents(index, corpus, testbed.DENSE, content_idf(index))
+    vectors = hash_documents(index, corpus, testbed.DENSE)
     return _positions(vectors, "doc_id").where(F.col("value") != 0)
 
 
@@ -351,6 +355,7 @@ QUERIES: dict[str, Query] = {
     "doc_lengths": doc_lengths,
     "field_stats": field_stats,
     "term_idf": term_idf,
+    "content_idf": content_idf,
     "query_terms": query_terms,
     "bm25_single_field": bm25_single_field,
     "bm25_multi_field": bm25_multi_field,

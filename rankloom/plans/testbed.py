@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.config import DenseConfig
 from rankloom.functions.text import words
 from rankloom.operators.dense import dense_top_k
-from rankloom.operators.encoding import content_idf, hash_documents, hash_queries
+from rankloom.operators.encoding import hash_documents, hash_queries
 from rankloom.operators.joins import broadcast_within, heavy_keys, salted_join
 from rankloom.operators.lexical import TextIndex, bm25_top_k
 from rankloom.operators.retrievers import Bm25Retriever, DenseRetriever
@@ -117,24 +117,18 @@ def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
     )
 
 
-def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _once(
-        spark, sf_dir, "idf", lambda: materialise(content_idf(text_index(spark, sf_dir)), "content-idf")
-    )
-
-
 def document_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     def build() -> DataFrame:
         path = scratch_path(spark, "vectors")
         index = text_index(spark, sf_dir)
-        write_vectors(hash_documents(index, corpus(spark, sf_dir), DENSE, idf(spark, sf_dir)), path)
+        write_vectors(hash_documents(index, corpus(spark, sf_dir), DENSE), path)
         return load_vectors(spark, path)
 
     return _once(spark, sf_dir, "vectors", build)
 
 
 def encode_queries(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
-    return hash_queries(text_index(spark, sf_dir), rows, DENSE, idf(spark, sf_dir))
+    return hash_queries(text_index(spark, sf_dir), rows, DENSE)
 
 
 def retrievers(spark: SparkSession, sf_dir: str) -> dict[str, Any]:

@@ -1,6 +1,6 @@
 """Written indexes.
 
-The text index is four Parquet tables below one path. Postings and document lengths are bucketed
+The text index is a set of Parquet tables below one path. Postings and document lengths are bucketed
 by ``doc_id``, so a search reads them already placed by document. Bucketing is known through the
 session catalog; :func:`load_text_index` declares the tables again in a new session.
 """
@@ -15,6 +15,7 @@ from pyspark.sql.types import ArrayType, FloatType
 
 from rankloom.operators.lexical import (
     TextIndex,
+    content_statistics,
     field_statistics,
     index_corpus,
     indexed_lengths,
@@ -23,7 +24,7 @@ from rankloom.operators.lexical import (
 )
 
 _BUCKETED = ("postings", "doc_len")
-_PLAIN = ("field_stats", "term_stats")
+_PLAIN = ("field_stats", "term_stats", "content_stats")
 
 
 class IndexNotFound(FileNotFoundError):
@@ -85,6 +86,7 @@ def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) ->
     written = _table(spark, path, "postings")
     _write_bucketed(indexed_lengths(written), path, "doc_len", buckets)
     term_statistics(written).write.mode("overwrite").parquet(f"{path}/term_stats")
+    content_statistics(written).write.mode("overwrite").parquet(f"{path}/content_stats")
     lengths = _table(spark, path, "doc_len")
     field_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
     layout = spark.range(1).select(F.lit(buckets).alias("buckets"), *_key_sample(postings))

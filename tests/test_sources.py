@@ -65,7 +65,7 @@ CORPUS = "doc_id string, title string, text string"
 def rows(index):
     return {
         name: sorted(map(str, getattr(index, name).collect()))
-        for name in ("postings", "doc_len", "field_stats", "term_stats")
+        for name in ("postings", "doc_len", "field_stats", "term_stats", "content_stats")
     }
 
 
