@@ -27,7 +27,7 @@ def per_query(
     ks: Sequence[int] = (1, 3, 5, 10),
     by: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per (``by``, query) of the run: for every k the hits, ranked places, first hit and DCG.
+    """Hits, places, first hit and DCG per (``by``, query, k), for the cut-offs with any place.
 
     The join is on query and document, and everything else is a sum or a minimum that is formed
     before the shuffle, so a query with very many judgments or places is not gathered anywhere.
@@ -37,16 +37,18 @@ def per_query(
     judged = places.join(
         qrels.select("qid", "doc_id").withColumn("hit", F.lit(True)), ["qid", "doc_id"], "left"
     )
-    hit = F.col("hit").isNotNull()
-    sums = []
-    for k in cutoffs:
-        within = F.col("rank") <= k
-        sums += [
-            F.count(F.when(hit & within, 1)).alias(f"hits@{k}"),
-            F.count(F.when(within, 1)).alias(f"places@{k}"),
-            F.coalesce(F.sum(F.when(hit & within, discount(F.col("rank")))), F.lit(0.0)).alias(f"dcg@{k}"),
-        ]
-    return judged.groupBy(*by, "qid").agg(F.min(F.when(hit, F.col("rank"))).alias("first_hit"), *sums)
+    reached = F.filter(F.lit(list(cutoffs)), lambda k: k >= F.col("rank"))
+    hit_rank = F.when(F.col("hit"), F.col("rank"))
+    return (
+        judged.withColumn("k", F.explode(reached))
+        .groupBy(*by, "qid", "k")
+        .agg(
+            F.count(hit_rank).alias("hits"),
+            F.count(F.lit(1)).alias("places"),
+            F.min(hit_rank).alias("first_hit"),
+            F.sum(discount(hit_rank)).alias("gain"),
+        )
+    )
 
 
 def query_metrics(
@@ -56,39 +58,31 @@ def query_metrics(
     ks: Sequence[int] = (1, 3, 5, 10),
     methods: Sequence[str] | None = None,
 ) -> DataFrame:
-    """All metrics of every evaluated query that is judged, wide: ``recall@1, precision@1, ...``.
+    """All metrics of every evaluated query that is judged, one row per query and cut-off.
 
-    With ``methods`` the run carries a ``method`` column and there is one row per method and query.
+    With ``methods`` the run carries a ``method`` column and every method has its own rows.
     """
     cutoffs = positive_ks(ks)
     by = ["method"] if methods is not None else []
     frame = evaluated.select("qid").distinct().join(relevant_counts(qrels), "qid")
     if methods is not None:
-        frame = frame.withColumn("method", F.explode(F.array(*[F.lit(name) for name in methods])))
-    joined = frame.join(per_query(run, qrels, cutoffs, by), [*by, "qid"], "left")
-    return joined.select(*by, "qid", "n_rel", *_metric_columns(cutoffs))
-
-
-def _metric_columns(cutoffs: Sequence[int]) -> list:
-    columns = []
-    for k in cutoffs:
-        hits = F.coalesce(F.col(f"`hits@{k}`"), F.lit(0))
-        places = F.coalesce(F.col(f"`places@{k}`"), F.lit(0))
-        dcg = F.coalesce(F.col(f"`dcg@{k}`"), F.lit(0.0))
-        ideal = ideal_dcg(F.col("n_rel"), k)
-        columns += [
-            F.when(F.col("n_rel") > 0, hits / F.col("n_rel")).otherwise(0.0).alias(f"recall@{k}"),
-            F.when(places > 0, hits / places).otherwise(0.0).alias(f"precision@{k}"),
-            F.when(F.col("first_hit") <= k, F.lit(1.0) / F.col("first_hit")).otherwise(0.0).alias(f"mrr@{k}"),
-            F.when(F.col("n_rel") > 0, dcg / ideal).otherwise(0.0).alias(f"ndcg@{k}"),
-            dcg.alias(f"dcg@{k}"),
-            ideal.alias(f"idcg@{k}"),
-        ]
-    return columns
-
-
-def metric_names(ks: Sequence[int]) -> list[str]:
-    return [f"{metric}@{k}" for k in ks for metric in METRICS]
+        frame = frame.withColumn("method", F.explode(F.lit(list(methods))))
+    frame = frame.withColumn("k", F.explode(F.lit(list(cutoffs))))
+    joined = frame.join(per_query(run, qrels, cutoffs, by), [*by, "qid", "k"], "left")
+    dcg = F.coalesce("gain", F.lit(0.0))
+    ideal = ideal_dcg(F.col("n_rel"), F.col("k"))
+    return joined.select(
+        *by,
+        "qid",
+        "k",
+        "n_rel",
+        F.coalesce(F.col("hits") / F.col("n_rel"), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.col("hits") / F.col("places"), F.lit(0.0)).alias("precision"),
+        F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0)).alias("mrr"),
+        (dcg / ideal).alias("ndcg"),
+        dcg.alias("dcg"),
+        ideal.alias("idcg"),
+    )
 
 
 def mean_metrics(
@@ -98,9 +92,9 @@ def mean_metrics(
     ks: Sequence[int] = (1, 3, 5, 10),
     methods: Sequence[str] = ("run",),
 ) -> DataFrame:
-    """Mean over the evaluated and judged queries, one wide row per method.
+    """Mean over the evaluated and judged queries: ``(method, metric, k, value)``.
 
-    Every method has a row and every metric a value: both are 0 where nothing overlaps. A run
+    Every method and cut-off asked for has all its rows; they are 0 where nothing overlaps. A run
     without a ``method`` column belongs to the only method named.
     """
     cutoffs = positive_ks(ks)
@@ -108,35 +102,34 @@ def mean_metrics(
         if len(methods) != 1:
             raise ValueError("a run without a method column can be measured for one method only")
         run = run.withColumn("method", F.lit(methods[0]))
-    names = metric_names(cutoffs)
     means = (
         query_metrics(evaluated, run, qrels, cutoffs, methods)
-        .groupBy("method")
-        .agg(*[F.avg(F.col(f"`{name}`")).alias(name) for name in names])
+        .groupBy("method", "k")
+        .agg(*[F.avg(name).alias(name) for name in METRICS])
     )
-    order = F.array(*[F.lit(name) for name in methods])
-    # One row per method: a frame of the methods asked for, never larger than that list.
-    asked = evaluated.sparkSession.range(1).select(F.posexplode(order).alias("position", "method"))
-    return asked.join(means, "method", "left").select(
-        "method", "position", *[F.coalesce(F.col(f"`{name}`"), F.lit(0.0)).alias(name) for name in names]
+    # One row per method and cut-off asked for, never larger than those two lists.
+    asked = (
+        evaluated.sparkSession.range(1)
+        .select(F.explode(F.lit(list(methods))).alias("method"))
+        .withColumn("k", F.explode(F.lit(list(cutoffs))))
+    )
+    values = F.array(
+        *[F.struct(F.lit(name).alias("metric"), F.coalesce(name, F.lit(0.0)).alias("value")) for name in METRICS]
+    )
+    return (
+        asked.join(means, ["method", "k"], "left")
+        .select("method", "k", F.inline(values))
+        .select("method", "metric", "k", "value")
     )
 
 
-def to_long(wide: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """``(method, metric, k, value)``, one row per metric and cut-off."""
-    entries = F.array(
-        *[
-            F.struct(F.lit(metric).alias("metric"), F.lit(k).alias("k"), F.col(f"`{metric}@{k}`").alias("value"))
-            for k in ks
-            for metric in METRICS
-        ]
-    )
-    return wide.select("method", F.inline(entries))
+def metric_names(ks: Sequence[int]) -> list[str]:
+    return [f"{metric}@{k}" for k in ks for metric in METRICS]
 
 
 def to_wide(long: DataFrame, ks: Sequence[int]) -> DataFrame:
-    """One row per method with columns named ``metric@k``; the inverse of :func:`to_long`."""
-    named = long.withColumn("name", F.concat_ws("@", "metric", F.col("k").cast("string")))
+    """One row per method with columns named ``metric@k``."""
+    named = long.withColumn("name", F.concat_ws("@", "metric", "k"))
     return named.groupBy("method").pivot("name", metric_names(ks)).agg(F.first("value"))
 
 
@@ -145,7 +138,7 @@ def average_latency_ms(timings: DataFrame, methods: Sequence[str] | None = None)
     means = timings.groupBy("method").agg((F.avg("seconds") * 1000.0).alias("avg_latency_ms"))
     if methods is None:
         return means
-    asked = timings.sparkSession.range(1).select(F.explode(F.array(*[F.lit(m) for m in methods])).alias("method"))
+    asked = timings.sparkSession.range(1).select(F.explode(F.lit(list(methods))).alias("method"))
     return asked.join(means, "method", "left").select(
         "method", F.coalesce("avg_latency_ms", F.lit(0.0)).alias("avg_latency_ms")
     )

@@ -18,10 +18,9 @@ def method_position(method: str = "method"):
 
 
 def method_table(metrics: DataFrame, latency: DataFrame) -> DataFrame:
-    """Metrics and latency, one row per method, sorted by method."""
+    """Wide metrics with the latency, one row per method, sorted by method."""
     return (
-        metrics.drop("position")
-        .join(latency.select("method", LATENCY), "method", "left")
+        metrics.join(latency.select("method", LATENCY), "method", "left")
         .withColumn(LATENCY, F.coalesce(LATENCY, F.lit(0.0)))
         .orderBy("method")
     )

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from rankloom.config import EvalConfig, HybridConfig
 from rankloom.functions.guards import deep_enough
 from rankloom.operators.fusion import rrf_top_k
-from rankloom.operators.metrics import mean_metrics
+from rankloom.operators.metrics import mean_metrics, to_wide
 from rankloom.operators.ranking import cut
 from rankloom.operators.report import method_table
 from rankloom.operators.retrievers import Retriever
@@ -23,16 +23,17 @@ ALL_METHODS = ("bm25", "dense", "hybrid")
 
 @dataclass(frozen=True)
 class Evaluation:
-    """Evaluated queries, the runs by method, their mean metrics and batch timings."""
+    """Evaluated queries, the runs by method, their mean metrics in long form, batch timings."""
 
     queries: DataFrame
     run: DataFrame
     metrics: DataFrame
     latency: DataFrame
+    ks: tuple[int, ...]
 
     @property
     def table(self) -> DataFrame:
-        return method_table(self.metrics, self.latency)
+        return method_table(to_wide(self.metrics, self.ks), self.latency)
 
 
 def choose_methods(method: str) -> tuple[str, ...]:
@@ -111,4 +112,4 @@ def evaluate(
     latency = spark.createDataFrame(
         [(name, seconds[name] * 1000.0 / count) for name in methods], "method string, avg_latency_ms double"
     )
-    return Evaluation(selected, run, mean_metrics(selected, run, qrels, config.ks, methods), latency)
+    return Evaluation(selected, run, mean_metrics(selected, run, qrels, config.ks, methods), latency, config.ks)

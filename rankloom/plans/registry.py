@@ -252,22 +252,16 @@ def _bm25_by_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _by_query(metric: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        wide = _bm25_by_query(spark, sf_dir)
-        entries = F.array(
-            *[F.struct(F.lit(k).alias("k"), F.round(f"`{metric}@{k}`", DIGITS).alias("value")) for k in KS]
-        )
-        return wide.select("qid", F.inline(entries))
+        return _bm25_by_query(spark, sf_dir).select("qid", "k", F.round(metric, DIGITS).alias("value"))
 
     return query
 
 
 def eval_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How good BM25 is on the judged passages: mean metrics in long form."""
-    run = lexical.bm25_top_k(testbed.text_index(spark, sf_dir), eligible_queries(spark, sf_dir), K)
-    means = metrics.mean_metrics(
-        eligible_queries(spark, sf_dir), run, testbed.qrels(spark, sf_dir), KS, ("bm25",)
-    )
-    return _rounded(metrics.to_long(means, KS), "value")
+    asked = eligible_queries(spark, sf_dir)
+    run = lexical.bm25_top_k(testbed.text_index(spark, sf_dir), asked, K)
+    return _rounded(metrics.mean_metrics(asked, run, testbed.qrels(spark, sf_dir), KS, ("bm25",)), "value")
 
 
 def _evaluation(spark: SparkSession, sf_dir: str):
@@ -285,12 +279,11 @@ def _evaluation(spark: SparkSession, sf_dir: str):
 
 
 def eval_all_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(metrics.to_long(_evaluation(spark, sf_dir).metrics, KS), "value")
+    return _rounded(_evaluation(spark, sf_dir).metrics, "value")
 
 
 def metrics_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = metrics.to_wide(metrics.to_long(_evaluation(spark, sf_dir).metrics, KS), KS)
-    return _rounded(wide, *metrics.metric_names(KS))
+    return _rounded(metrics.to_wide(_evaluation(spark, sf_dir).metrics, KS), *metrics.metric_names(KS))
 
 
 def avg_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -303,7 +296,7 @@ def avg_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measured metrics with the latency of the timing log, which is the same in every run."""
     latency = metrics.average_latency_ms(testbed.timings(spark, sf_dir))
-    table = report.method_table(_evaluation(spark, sf_dir).metrics, latency)
+    table = report.method_table(metrics.to_wide(_evaluation(spark, sf_dir).metrics, KS), latency)
     return _rounded(table, *metrics.metric_names(KS), report.LATENCY)
 
 

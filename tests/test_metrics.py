@@ -7,7 +7,6 @@ from rankloom.operators.metrics import (
     average_latency_ms,
     mean_metrics,
     query_metrics,
-    to_long,
     to_wide,
 )
 
@@ -15,8 +14,16 @@ from rankloom.operators.metrics import (
 def measure(spark, make_run, make_qrels, relevant, ranked, ks):
     """Metrics of one query; an unjudged query gets no row from the operator."""
     evaluated = spark.createDataFrame([("q",)], "qid string")
-    rows = query_metrics(evaluated, make_run({"q": ranked}), make_qrels({"q": relevant}), ks).collect()
-    return rows[0].asDict() if rows else None
+    return flat(query_metrics(evaluated, make_run({"q": ranked}), make_qrels({"q": relevant}), ks)).get("q")
+
+
+def flat(frame):
+    """``{qid: {"metric@k": value}}``"""
+    out = {}
+    for row in frame.collect():
+        values = {name: row[name] for name in ("recall", "precision", "mrr", "ndcg", "dcg", "idcg")}
+        out.setdefault(row.qid, {}).update({f"{name}@{row.k}": value for name, value in values.items()})
+    return out
 
 
 CASES = [
@@ -60,7 +67,7 @@ def means(spark, make_run, make_qrels, sets, lists, ks, evaluated=None):
     frame = mean_metrics(
         spark.createDataFrame(qids, "qid string"), make_run(lists), make_qrels(sets), ks, ("m",)
     )
-    (row,) = frame.collect()
+    (row,) = to_wide(frame, ks).collect()
     return row.asDict()
 
 
@@ -111,7 +118,8 @@ def test_many_methods_at_once(spark, make_run, make_qrels):
     b = make_run({"q1": ["d2", "d1"]}).withColumn("method", F.lit("b"))
     evaluated = spark.createDataFrame([("q1",)], "qid string")
     got = mean_metrics(evaluated, a.unionByName(b), make_qrels({"q1": ["d1"]}), (1, 3), ("a", "b", "c"))
-    by_method = {row.method: row.asDict() for row in got.collect()}
+    assert got.count() == 3 * 2 * 4
+    by_method = {row.method: row.asDict() for row in to_wide(got, (1, 3)).collect()}
     assert by_method["a"]["mrr@3"] == 1.0
     assert by_method["b"]["mrr@3"] == 0.5
     assert by_method["c"]["mrr@3"] == 0.0
@@ -123,20 +131,12 @@ def test_one_heavy_query_does_not_change_the_sums(spark, make_run, make_qrels):
     qrels = make_qrels({"hot": docs, **{f"q{i}": [f"d{i}"] for i in range(100)}}).repartition(13)
     run = make_run({"hot": docs[:50], **{f"q{i}": ["x", f"d{i}"] for i in range(100)}}).repartition(7)
     evaluated = run.select("qid").distinct()
-    got = {r.qid: r for r in query_metrics(evaluated, run, qrels, (1, 10)).collect()}
+    got = flat(query_metrics(evaluated, run, qrels, (1, 10)))
     assert got["hot"]["recall@10"] == pytest.approx(10 / 600)
     assert got["hot"]["ndcg@10"] == pytest.approx(1.0)
     assert all(got[f"q{i}"]["mrr@10"] == 0.5 for i in range(100))
 
 
-def test_long_and_wide_are_inverse(spark, make_run, make_qrels):
-    evaluated = spark.createDataFrame([("q1",)], "qid string")
-    wide = mean_metrics(evaluated, make_run({"q1": ["d2", "d1"]}), make_qrels({"q1": ["d1"]}), (1, 3), ("m",))
-    back = to_wide(to_long(wide, (1, 3)), (1, 3)).first().asDict()
-    expected = wide.drop("position").first().asDict()
-    assert back == expected
-
-
 def test_average_latency(spark):
     timings = spark.createDataFrame(
         [("bm25", "q1", 0.010), ("bm25", "q2", 0.020)], "method string, qid string, seconds double"

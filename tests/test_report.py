@@ -48,7 +48,7 @@ def test_chart(table):
 
 
 def test_method_table_is_sorted_and_complete(spark, table):
-    metrics = table.drop("avg_latency_ms").selectExpr("*", "0 as position")
+    metrics = table.drop("avg_latency_ms")
     latency = spark.createDataFrame([("dense", 3.0)], "method string, avg_latency_ms double")
     rows = report.method_table(metrics, latency).collect()
     assert [(r.method, r.avg_latency_ms) for r in rows] == [("bm25", 0.0), ("dense", 3.0), ("hybrid", 0.0)]
