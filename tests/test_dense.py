@@ -53,6 +53,17 @@ def test_a_third_of_the_vectors_equal(spark, config):
     assert places(run) == sorted(brute_force(queries, vectors, 12))
 
 
+def test_vectors_are_not_moved(spark, tmp_path):
+    """The scan comes before the only shuffle, which carries k rows per query and partition."""
+    path = str(tmp_path / "vectors")
+    frame(spark, "doc_id", np.eye(8)).repartition(4).write.parquet(path)
+    run = dense_top_k(frame(spark, "qid", np.eye(8)[:2]), spark.read.parquet(path), 3)
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(run._jdf.queryExecution(), "simple")
+    assert plan.count("Exchange") == 1
+    assert plan.index("Exchange") < plan.index("MapInArrow")
+    assert "Partial" in plan[plan.index("Exchange") : plan.index("MapInArrow")]
+
+
 def test_text_ids_sort_as_text(spark):
     ids = [f"d{i}" for i in range(20)]
     vectors = frame(spark, "doc_id", np.ones((20, 4)), ids, "string")
