@@ -4,14 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rankloom.llm import decontaminate, license_scan, mixing, sharding, url_filter
+from rankloom.llm import decontaminate, language_id, license_scan, mixing, quality, sharding, tokens, url_filter
 from rankloom.llm.common import table
-from rankloom.session import scratch_path
+from rankloom.session import materialise, scratch_path
 
 SHARDS = 40
 
+
+def tokenizer_path(name: str) -> str:
+    """Where the tokenizer files of the installed package lie, on the driver as on every executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 RULES = (
     url_filter.Rule("allow", "com", "/"),
     url_filter.Rule("block", "example.com", "/en/"),
@@ -30,12 +38,37 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    counted = tokens.count_tokens(docs, tokenizer_path("byte_bpe_50k.json"), limit=512)
+    return counted.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     dealt = sharding.shard(docs, SHARDS, scratch_path(spark, "shard-map"))
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
 
 
+def fold(folds: int) -> Column:
+    """Fold of a document by the check sum of its id as text; a null id is in fold 0."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.where(fold(5) != 0))
+    scored = quality.score(docs.select("doc_id", "text"), model, threshold=0.3)
+    return scored.select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    learned = materialise(language_id.learn(docs.where(fold(3) != 1)), "language-prototypes")
+    predicted = language_id.predict(docs.select("doc_id", "text"), learned)
+    return predicted.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The urls of the test tables that lie on listed sites."""
     labels = F.split(url_filter.host_of(F.col("url")), r"\.")
@@ -60,7 +93,10 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
+    "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
+    "op5_quality": op5_quality,
+    "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
