@@ -6,7 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from rankloom.llm import decontaminate, language_id, license_scan, mixing, quality, sharding, tokens, url_filter
+from rankloom.llm import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    ngram_join,
+    quality,
+    sharding,
+    tokens,
+    url_filter,
+)
 from rankloom.llm.common import table
 from rankloom.session import materialise, scratch_path
 
@@ -50,6 +61,10 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "virtual_slot")
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.link(table(spark, sf_dir, "embeddings"))
+
+
 def fold(folds: int) -> Column:
     """Fold of a document by the check sum of its id as text; a null id is in fold 0."""
     return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
@@ -91,15 +106,22 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = ngram_join.join(table(spark, sf_dir, "documents"))
+    return joined.select("doc_id", "class_id", "n_links", "component_id", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
     "op3_sharding": op3_sharding,
+    "op4_embedding_dedup": op4_embedding_dedup,
     "op5_quality": op5_quality,
     "op6_language_id": op6_language_id,
     "op7_url_filter": op7_url_filter,
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
+    "op10_ngram_join": op10_ngram_join,
 }
 
 
