@@ -13,6 +13,7 @@ from rankloom.llm import (
     license_scan,
     mixing,
     ngram_join,
+    oracle,
     quality,
     sharding,
     tokens,
@@ -127,4 +128,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that SQL can express."""
-    return {}
+    return dict(oracle.SQL)
