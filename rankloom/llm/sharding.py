@@ -52,7 +52,7 @@ def slot_sizes(rows: DataFrame) -> DataFrame:
 
 
 def assign_slots(
-    sizes: DataFrame, shards: int, slots: int = SLOTS, previous: DataFrame | None = None, slack: float = 0.01
+    sizes: DataFrame, shards: int, slots: int = SLOTS, previous: DataFrame | None = None, slack: float = 0.0
 ) -> DataFrame:
     """A map (slot, shard) for all slots: the next version after ``previous``, or a first one.
 
