@@ -38,5 +38,5 @@ def discount(rank: Column) -> Column:
 def ideal_dcg(n_relevant: Column, k: Column) -> Column:
     """DCG of the best possible ranking: the first ``min(n_relevant, k)`` places all relevant."""
     places = F.least(n_relevant.cast("int"), k)
-    ideal = F.aggregate(F.sequence(F.lit(1), places), F.lit(0.0), lambda total, rank: total + discount(rank))
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(places, F.lit(1))), F.lit(0.0), lambda total, rank: total + discount(rank))
     return F.when(places >= 1, ideal).otherwise(F.lit(0.0))

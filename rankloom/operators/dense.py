@@ -1,7 +1,11 @@
 """Exact vector search: every query against every vector, k best kept where the vectors lie.
 
-Neither strategy below hands all pairs to Spark. A task multiplies a block of vectors with the
-query matrix and passes on at most k rows per query.
+Vectors are never moved. The query vectors go to them in slices of bounded size, one pass over the
+vectors per slice; a task multiplies blocks of vectors with tiles of the slice and passes on at most k
+rows per query. Pairs are never rows.
+
+Searching starts jobs while the plan is built: the query vectors are written once, measured and fetched
+slice by slice, and with more than one slice the passes themselves run.
 """
 
 from __future__ import annotations
@@ -10,16 +14,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from rankloom.config import DenseConfig
 from rankloom.functions.guards import positive_k
 from rankloom.functions.vectors import l2_normalize
 from rankloom.operators.ranking import top_k
 from rankloom.schemas import run_schema
+from rankloom.session import materialise
 
-# Scores held at once in a task: 4 million, 32 MB in double precision.
-_BLOCK_SCORES = 4_000_000
+# Vectors and queries of one product: 4 million scores, 32 MB in double precision.
+_BLOCK_VECTORS = 8192
+_TILE_QUERIES = 512
+# Bytes a task keeps per query and place: score, rank key and id.
+_KEPT_BYTES = 64
 
 
 def normalized(vectors: DataFrame) -> DataFrame:
@@ -27,6 +37,17 @@ def normalized(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("embedding", l2_normalize(F.col("embedding")))
 
 
+def dimension_counts(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(dim, n_vectors, fits)``: vectors by dimension, and whether all queries have that dimension."""
+    asked = dimensions(queries).select("min_dim", "max_dim").first()
+    fits = F.lit(asked.min_dim == asked.max_dim) & (F.col("dim") == F.lit(asked.min_dim))
+    return (
+        vectors.groupBy(F.size("embedding").cast("int").alias("dim"))
+        .agg(F.count(F.lit(1)).alias("n_vectors"))
+        .select("dim", "n_vectors", F.coalesce(fits, F.lit(False)).alias("fits"))
+    )
+
+
 def dimensions(vectors: DataFrame) -> DataFrame:
     """One row: number of vectors, smallest and largest dimension."""
     size = F.size("embedding")
@@ -44,8 +65,8 @@ def check_dimensions(index: DataFrame, queries: DataFrame) -> None:
     found = {d for row in (index_dims, query_dims) for d in (row.min_dim, row.max_dim) if d is not None}
     if len(found) > 1:
         raise ValueError(
-            f"index dimension ({_span(index_dims)}) does not match query dimension "
-            f"({_span(query_dims)}); rebuild the index with the same encoder"
+            f"{index_dims.n_vectors} index vectors of dimension {_span(index_dims)} cannot be searched with "
+            f"{query_dims.n_vectors} query vectors of dimension {_span(query_dims)}"
         )
 
 
@@ -67,7 +88,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 class _Best:
-    """The k best (score, id) per query seen so far, ties by the smaller id."""
+    """The k best (score, id) of each query of a tile seen so far, ties by the smaller id.
+
+    Scores that are no finite numbers, from vectors with such parts, are never kept.
+    """
 
     def __init__(self, n_queries: int, k: int):
         self.k = k
@@ -75,11 +99,12 @@ class _Best:
         self.kept: pa.Table | None = None
 
     def add(self, ids: pa.Array, scores: np.ndarray) -> None:
+        scores = np.where(np.isfinite(scores), scores, -np.inf)
         ranked = scores.astype(np.float32)
         if len(ranked) >= self.k:
             kth = np.partition(ranked, len(ranked) - self.k, axis=0)[len(ranked) - self.k]
             self.floor = np.maximum(self.floor, kth)
-        row, query = np.nonzero(ranked >= self.floor)
+        row, query = np.nonzero((ranked >= self.floor) & (ranked > -np.inf))
         if len(row) == 0:
             return
         block = pa.table(
@@ -113,96 +138,76 @@ class _Best:
         yield from table.to_batches()
 
 
-def _scan(best: _Best, ids: pa.Array, matrix: np.ndarray, query_matrix: np.ndarray) -> None:
-    if len(matrix) and matrix.shape[1] != query_matrix.shape[1]:
-        raise ValueError(
-            f"index dimension ({matrix.shape[1]}) does not match query dimension ({query_matrix.shape[1]})"
-        )
-    step = max(1, _BLOCK_SCORES // max(1, len(query_matrix)))
-    for start in range(0, len(matrix), step):
-        best.add(ids.slice(start, step), matrix[start : start + step] @ query_matrix.T)
-
-
 def inner_product_scores(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig = DenseConfig()) -> DataFrame:
-    """At most k rows per query and block of vectors; the overall k best are among them."""
-    table = _fetch_within(queries.select("qid", "embedding"), vectors, config.broadcast_bytes)
-    if table is not None:
-        return _broadcast_scan(queries, vectors, k, table)
-    return _grid_scan(queries, vectors, k, config)
-
-
-def _fetch_within(queries: DataFrame, vectors: DataFrame, limit: int) -> pa.Table | None:
-    """The query vectors if their matrix stays within ``limit`` bytes. Never fetches more than
-    one row beyond that, so the driver is safe from a larger set."""
+    """At most k rows per query and partition of vectors; the overall k best are among them."""
+    schema = run_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType)
+    spark = queries.sparkSession
     one = vectors.select(F.size("embedding").alias("dim")).first()
-    row_bytes = 8 * max(1, one.dim or 1) if one else 8
-    most = limit // row_bytes
-    table = queries.limit(most + 1).toArrow()
-    return table if table.num_rows <= most else None
+    if one is None:
+        return spark.createDataFrame([], schema)
+    asked = materialise(queries.select("qid", "embedding"), "query-vectors")
+    count = _slice_count(asked, one.dim, k, config.broadcast_bytes)
+    if count <= 1:
+        return _scan(asked, vectors, k, schema)[0]
+    part = F.pmod(F.xxhash64("qid"), F.lit(count))
+    done = None
+    for number in range(count):
+        scores, shared = _scan(asked.where(part == number), vectors, k, schema)
+        # One slice at a time is held, by the driver as by the executors.
+        written = materialise(scores, "dense-slice")
+        shared.unpersist()
+        done = written if done is None else done.unionByName(written)
+    return done
+
+
+def _slice_count(asked: DataFrame, dim: int, k: int, limit: int) -> int:
+    """Slices of the queries, so that vectors and kept rows of a slice stay near ``limit`` bytes."""
+    size = F.size("embedding")
+    row_bytes = size * 8 + F.octet_length(F.col("qid").cast("string")) + F.lit(_KEPT_BYTES * k)
+    found = asked.agg(
+        F.coalesce(F.sum(row_bytes.cast("bigint")), F.lit(0)).alias("bytes"),
+        F.count(F.lit(1)).alias("n"),
+        F.min(size).alias("least"),
+        F.max(size).alias("most"),
+    ).first()
+    if found.n and not found.least == found.most == dim:
+        raise ValueError(
+            f"an index vector has dimension {dim}, but the {found.n} query vectors have {found.least} to {found.most}"
+        )
+    return max(1, min(found.n, -(-found.bytes // max(1, limit))))
 
 
-def _broadcast_scan(queries: DataFrame, vectors: DataFrame, k: int, table: pa.Table) -> DataFrame:
-    """The query matrix, known small, goes to every executor; vectors are not moved at all."""
-    schema = run_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType)
+def _scan(asked: DataFrame, vectors: DataFrame, k: int, schema: StructType) -> tuple[DataFrame, Broadcast]:
+    """One slice of queries, measured before, goes to every executor and meets all vectors there."""
+    table = asked.toArrow()
     query_ids = table["qid"].combine_chunks()
-    shared = queries.sparkSession.sparkContext.broadcast((query_ids, _matrix(table["embedding"])))
+    shared = asked.sparkSession.sparkContext.broadcast((query_ids, _matrix(table["embedding"])))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, query_matrix = shared.value
-        if len(ids) == 0:
-            return
-        best = _Best(len(ids), k)
-        for batch in batches:
-            _scan(best, batch.column(0), _matrix(batch.column(1)), query_matrix)
-        yield from best.batches(ids)
-
-    return vectors.select("doc_id", "embedding").mapInArrow(scan, schema)
-
-
-def _grid_scan(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig) -> DataFrame:
-    """Query sets of any size: both sides are cut into cells by hash and every pair of cells is
-    multiplied in a task of its own. Cell sizes are fixed by the counts, whatever the keys."""
-    n_vectors = vectors.count()
-    n_queries, dim = queries.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("embedding")), F.lit(1))).first()
-    query_rows = max(1, min(config.cell_rows, config.broadcast_bytes // max(1, 8 * dim)))
-    query_cells = max(1, -(-n_queries // query_rows))
-    vector_cells = max(1, -(-n_vectors // config.cell_rows))
-    schema = run_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType)
-
-    left = vectors.select(
-        "doc_id",
-        "embedding",
-        F.pmod(F.xxhash64("doc_id"), F.lit(vector_cells)).cast("int").alias("vector_cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(query_cells - 1))).alias("query_cell"),
-    )
-    right = queries.select(
-        "qid",
-        "embedding",
-        F.pmod(F.xxhash64("qid"), F.lit(query_cells)).cast("int").alias("query_cell"),
-        F.explode(F.sequence(F.lit(0), F.lit(vector_cells - 1))).alias("vector_cell"),
-    )
-
-    def multiply(cell_vectors: pa.Table, cell_queries: pa.Table) -> pa.Table:
-        ids = cell_queries["qid"].combine_chunks()
-        out = []
-        if len(ids) and cell_vectors.num_rows:
-            best = _Best(len(ids), k)
-            _scan(best, cell_vectors["doc_id"].combine_chunks(), _matrix(cell_vectors["embedding"]), _matrix(cell_queries["embedding"]))
-            out = list(best.batches(ids))
-        types = pa.schema(
-            [("qid", ids.type), ("doc_id", cell_vectors.schema.field("doc_id").type), ("score", pa.float64())]
-        )
-        return pa.Table.from_batches(out, types)
-
-    return (
-        left.groupBy("vector_cell", "query_cell")
-        .cogroup(right.groupBy("vector_cell", "query_cell"))
-        .applyInArrow(multiply, schema)
-    )
+        starts = range(0, len(ids), _TILE_QUERIES)
+        tiles = [(query_matrix[s : s + _TILE_QUERIES], _Best(len(query_matrix[s : s + _TILE_QUERIES]), k)) for s in starts]
+        for batch in batches if len(ids) else ():
+            matrix = _matrix(batch.column(1))
+            if len(matrix) and matrix.shape[1] != query_matrix.shape[1]:
+                raise ValueError(
+                    f"index vectors of dimension {matrix.shape[1]} meet queries of {query_matrix.shape[1]}"
+                )
+            for first in range(0, len(matrix), _BLOCK_VECTORS):
+                block, block_ids = matrix[first : first + _BLOCK_VECTORS], batch.column(0).slice(first, _BLOCK_VECTORS)
+                for tile, best in tiles:
+                    best.add(block_ids, block @ tile.T)
+        for start, (_, best) in zip(starts, tiles, strict=True):
+            yield from best.batches(ids.slice(start, _TILE_QUERIES))
+
+    return vectors.select("doc_id", "embedding").mapInArrow(scan, schema), shared
 
 
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig = DenseConfig()) -> DataFrame:
-    """Ranked run of the ``k`` vectors with the largest inner product, or fewer if there are fewer."""
+    """Ranked run of the ``k`` vectors with the largest inner product, or fewer if there are fewer.
+
+    Vectors with parts that are no finite numbers are not found by any query.
+    """
     positive_k(k)
     return top_k(inner_product_scores(queries, vectors, k, config), k)
 

@@ -20,7 +20,7 @@ def contributions(runs: Mapping[str, DataFrame], config: HybridConfig = HybridCo
             "doc_id",
             F.lit(method).alias("method"),
             F.col("rank").cast("int").alias("rank"),
-            reciprocal_rank(F.lit(float(config.weights.get(method, 1.0))), F.col("rank"), config.rrf_k).alias(
+            reciprocal_rank(F.lit(float(config.weight(method))), F.col("rank"), config.rrf_k).alias(
                 "contribution"
             ),
         )
@@ -48,13 +48,11 @@ def fuse(runs: Mapping[str, DataFrame], config: HybridConfig = HybridConfig()) -
 
 
 def rrf_top_k(runs: Mapping[str, DataFrame], k: int, config: HybridConfig = HybridConfig()) -> DataFrame:
-    """First ``k`` fused documents. Equal scores keep the order of the runs: those of the first
-    run by their place there, then those of the second, and so on."""
+    """First ``k`` fused documents of the runs as deep as they are given. Equal scores keep the order
+    of the runs: those of the first run by their place there, then those of the second, and so on."""
     positive_k(k)
-    depth = config.fetch_depth(k)
-    read = {method: run.where(F.col("rank") <= depth) for method, run in runs.items()}
     order = [F.round("score", FUSION_DIGITS).desc()]
     order += [F.col(f"{method}_rank").asc_nulls_last() for method in runs]
     # A document repeated within one run may share all places with another one.
     order += [F.col("doc_id").asc()]
-    return top_k(fuse(read, config), k, order).select("qid", "doc_id", "score", "rank")
+    return top_k(fuse(runs, config), k, order).select("qid", "doc_id", "score", "rank")

@@ -6,18 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-# Keys holding more than one part in this many of all rows are heavy. There can be no more heavy
-# keys than this, whatever the data, so the table of heavy keys is always small.
-HEAVY_PARTS = 1000
+# Rows of one key that a task may get. There can be no more than HEAVY_PARTS heavy keys, whatever the
+# data, so their table is always small enough to broadcast: with very many rows in all, a slice is one
+# part in HEAVY_PARTS of them.
+SLICE_ROWS = 1 << 20
+HEAVY_PARTS = 100_000
 
 _SALT = "__salt"
 _SALTS = "__salts"
 
 
 def measured_bytes(df: DataFrame, *text_columns: str) -> int:
-    """Size of a frame from one aggregate: its strings, plus a flat charge for every row."""
+    """Size of a frame from one aggregate: its strings, and a flat charge for every row and column."""
     texts = sum((F.coalesce(F.octet_length(name), F.lit(0)) for name in text_columns), F.lit(0))
-    return df.agg(F.coalesce(F.sum(texts + F.lit(64)), F.lit(0))).first()[0]
+    flat = 64 + 16 * len(df.columns)
+    return df.agg(F.coalesce(F.sum(texts + F.lit(flat).cast("bigint")), F.lit(0))).first()[0]
 
 
 def broadcast_within(df: DataFrame, limit: int, *text_columns: str) -> DataFrame | None:
@@ -27,15 +30,16 @@ def broadcast_within(df: DataFrame, limit: int, *text_columns: str) -> DataFrame
     return F.broadcast(df)
 
 
-def heavy_keys(key_counts: DataFrame, keys: Sequence[str], count: str) -> DataFrame:
-    """Keys with more than 1/HEAVY_PARTS of all rows and the number of slices each is cut into.
+def heavy_keys(
+    key_counts: DataFrame, keys: Sequence[str], count: str, slice_rows: int = SLICE_ROWS, parts: int = HEAVY_PARTS
+) -> DataFrame:
+    """Keys with more rows than a slice, and the number of slices each is cut into.
 
-    ``key_counts`` has one row per key. The result has fewer than HEAVY_PARTS rows.
+    ``key_counts`` has one row per key. The result has fewer than ``parts`` rows.
     """
-    total = key_counts.agg(F.sum(count)).scalar()
-    return key_counts.where(F.col(count) * F.lit(HEAVY_PARTS) > total).select(
-        *keys, F.ceil(F.col(count) * F.lit(HEAVY_PARTS) / total).cast("int").alias(_SALTS)
-    )
+    total = key_counts.agg(F.coalesce(F.sum(count), F.lit(0))).scalar()
+    rows = F.greatest(F.lit(slice_rows), F.ceil(total / parts))
+    return key_counts.where(F.col(count) > rows).select(*keys, F.ceil(F.col(count) / rows).cast("int").alias(_SALTS))
 
 
 def salted_join(
@@ -48,8 +52,8 @@ def salted_join(
     """Inner join by shuffle where a few keys hold much of ``rows``.
 
     Rows of a heavy key are cut into slices by a hash of ``spread_by`` and the matching lookup
-    rows are repeated once per slice, so no task gets more than about 1/HEAVY_PARTS of the rows
-    on account of one key. The set of joined rows is the same as without salting.
+    rows are repeated once per slice, so no task gets much more than a slice on account of one key.
+    The set of joined rows is the same as without salting.
     """
     keys = list(keys)
     sliced = (

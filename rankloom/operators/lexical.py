@@ -1,8 +1,13 @@
 """Lexical index and BM25 search over several weighted text fields.
 
 Index rows stay together by document. Scoring a batch of queries then needs no shuffle of
-postings or of scored pairs: query terms travel to the postings, sums and the best field are
-formed where the document lies, and only k rows per query and partition are exchanged.
+postings or of scored pairs: query terms travel to the postings, in slices of bounded size, sums and
+the best field are formed where the document lies, and only k rows per query and partition are
+exchanged. Within a bucket, postings are in order of their term, so a query of few words reads only
+the pages that may hold them.
+
+Searching starts jobs while the plan is built: the query words are measured, and with more than one
+slice the passes over the postings run.
 """
 
 from __future__ import annotations
@@ -17,8 +22,15 @@ from rankloom.config import Bm25Config
 from rankloom.functions.guards import positive_k
 from rankloom.functions.scores import inverse_document_frequency, saturation
 from rankloom.functions.text import words
-from rankloom.operators.joins import heavy_keys, salted_join
 from rankloom.operators.ranking import top_k
+from rankloom.session import materialise
+
+
+# Words that Spark hands to the reader as they are (spark.sql.parquet.pushdown.inFilterThreshold); of
+# more it would only use the first and the last.
+_PUSHED_TERMS = 10
+# What a row of query terms takes besides its texts.
+_ROW_BYTES = 160
 
 
 @dataclass(frozen=True)
@@ -27,7 +39,8 @@ class TextIndex:
 
     ``postings(doc_id, field, term, tf, dl)``, ``doc_len(doc_id, field, dl)``,
     ``field_stats(field, n_docs, avgdl)``, ``term_stats(field, term, df)`` and, over all fields of
-    a document together, ``content_stats(term, df)``.
+    a document together, ``content_stats(term, df)``. ``names`` are the fields that were indexed,
+    ``buckets`` the number of buckets by document of a written index.
     """
 
     postings: DataFrame
@@ -35,6 +48,8 @@ class TextIndex:
     field_stats: DataFrame
     term_stats: DataFrame
     content_stats: DataFrame
+    names: tuple[str, ...] = ("title", "text")
+    buckets: int | None = None
 
     @cached_property
     def n_docs(self) -> int:
@@ -115,7 +130,12 @@ def index_corpus(corpus: DataFrame, fields: Sequence[str] = ("title", "text"), p
     postings = term_frequency(placed, fields)
     doc_len = doc_lengths(texts, fields)
     return TextIndex(
-        postings, doc_len, field_statistics(doc_len), term_statistics(postings), content_statistics(postings)
+        postings,
+        doc_len,
+        field_statistics(doc_len),
+        term_statistics(postings),
+        content_statistics(postings),
+        tuple(fields),
     )
 
 
@@ -134,22 +154,20 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def score(index: TextIndex, queries: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
-    """Score every (query, document) pair that shares a term: the best field counts, not the sum."""
+    """Score every (query, document) pair that shares a term: the best field counts, not the sum.
+
+    ``queries`` are one slice: their words are broadcast. :func:`bm25_top_k` makes the slices.
+    """
     terms = query_terms(queries)
     idf = _boosted_idf(index, config)
     # No filter by field: only the wanted fields have weights to be joined with.
     postings = index.postings.select("doc_id", "field", "term", "tf", "dl")
-
-    if query_bytes(queries) <= config.broadcast_bytes:
-        weighted = F.broadcast(_weights(idf.join(F.broadcast(terms), "term")))
-        matched = postings.join(weighted, ["field", "term"])
-    else:
-        # A common term is heavy on both sides: in the postings and in the query terms.
-        term_counts = terms.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-        heavy = heavy_keys(term_counts, ["term"], "n")
-        weighted = _weights(salted_join(terms, idf, ["term"], heavy, F.col("qid")))
-        heavy = heavy_keys(index.term_stats, ["field", "term"], "df")
-        matched = salted_join(postings, weighted, ["field", "term"], heavy, F.col("doc_id"))
+    few = terms.select("term").distinct().limit(_PUSHED_TERMS + 1).collect()
+    if len(few) <= _PUSHED_TERMS:
+        wanted = F.col("term").isin([row.term for row in few])
+        postings, idf = postings.where(wanted), idf.where(wanted)
+    weighted = F.broadcast(_weights(idf.join(F.broadcast(terms), "term")))
+    matched = postings.join(weighted, ["field", "term"])
 
     part = F.col("weight") * saturation(F.col("tf"), F.col("dl"), F.col("avgdl"), config.k1, config.b)
     by_field = [
@@ -171,6 +189,9 @@ def _boosted_idf(index: TextIndex, config: Bm25Config) -> DataFrame:
     most of its time on.
     """
     boosts, stats = dict(config.boosts), index.fields
+    missing = sorted(set(boosts) - set(index.names))
+    if missing:
+        raise ValueError(f"the index has no field {', '.join(missing)}; its fields are {', '.join(index.names)}")
     known = {name: place for place, name in enumerate(config.fields) if name in stats}
 
     n_docs = _chosen({name: int(stats[name].n_docs) for name in known})
@@ -192,11 +213,16 @@ def _chosen(values: Mapping[str, int | float]) -> Column:
     return column
 
 
-def query_bytes(queries: DataFrame) -> int:
-    """Upper bound for the size of the query terms, from one pass without a shuffle of terms."""
+def query_bytes(queries: DataFrame, fields: int = 1) -> int:
+    """Upper bound for the size of the query terms, from one pass without a shuffle of terms.
+
+    Every word may be a row of its own for every field: the word, the query's id, the name of the field
+    and the numbers of the row, with what a hash table adds to them.
+    """
     text = F.coalesce(F.col("text"), F.lit(""))
-    charge = F.octet_length(text) + F.size(words(text)) * F.lit(64)
-    return queries.agg(F.coalesce(F.sum(charge.cast("bigint")), F.lit(0))).first()[0]
+    key = F.coalesce(F.octet_length(F.col("qid").cast("string")), F.lit(0))
+    charge = F.octet_length(text) + F.size(words(text)) * (key + F.lit(_ROW_BYTES))
+    return fields * queries.agg(F.coalesce(F.sum(charge.cast("bigint")), F.lit(0))).first()[0]
 
 
 def _weights(idf_by_query: DataFrame) -> DataFrame:
@@ -205,6 +231,19 @@ def _weights(idf_by_query: DataFrame) -> DataFrame:
 
 
 def bm25_top_k(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config = Bm25Config()) -> DataFrame:
-    """Ranked run. Only matching documents come back, so a query may have fewer than ``k`` rows."""
+    """Ranked run. Only matching documents come back, so a query may have fewer than ``k`` rows.
+
+    Queries whose words take more than ``config.broadcast_bytes`` are answered slice by slice, one pass
+    over the postings each; postings are never moved.
+    """
     positive_k(k)
-    return top_k(score(index, queries, config), k)
+    size = query_bytes(queries, len(config.fields))
+    count = max(1, -(-size // max(1, config.broadcast_bytes)))
+    if count == 1:
+        return top_k(score(index, queries, config), k)
+    part = F.pmod(F.xxhash64("qid"), F.lit(count))
+    done = None
+    for number in range(count):
+        run = materialise(top_k(score(index, queries.where(part == number), config), k), "bm25-slice")
+        done = run if done is None else done.unionByName(run)
+    return done

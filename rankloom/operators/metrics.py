@@ -1,8 +1,10 @@
 """Ranking metrics at several cut-offs.
 
 Input frames: ``run(qid, doc_id, rank)`` with rank from 1 and no gaps, ``qrels(qid, doc_id)`` with
-distinct relevant pairs, and the ``evaluated(qid)`` queries. A query that is evaluated but
-retrieved nothing has no run rows; it still counts, with 0.
+relevant pairs (a pair given twice counts once), and the ``evaluated(qid)`` queries. A query that is
+evaluated but retrieved nothing has no run rows; it still counts, with 0. So does a query that was
+judged with nothing found relevant, if ``judged(qid)`` names it; without ``judged``, the judged queries
+are those of ``qrels``.
 """
 
 from __future__ import annotations
@@ -18,7 +20,11 @@ METRICS = ("recall", "precision", "mrr", "ndcg")
 
 
 def relevant_counts(qrels: DataFrame) -> DataFrame:
-    return qrels.groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
+    return relevant_pairs(qrels).groupBy("qid").agg(F.count(F.lit(1)).alias("n_rel"))
+
+
+def relevant_pairs(qrels: DataFrame) -> DataFrame:
+    return qrels.select("qid", "doc_id").distinct()
 
 
 def per_query(
@@ -35,7 +41,7 @@ def per_query(
     cutoffs = positive_ks(ks)
     places = run.where(F.col("rank") <= max(cutoffs)).select(*by, "qid", "doc_id", "rank")
     judged = places.join(
-        qrels.select("qid", "doc_id").withColumn("hit", F.lit(True)), ["qid", "doc_id"], "left"
+        relevant_pairs(qrels).withColumn("hit", F.lit(True)), ["qid", "doc_id"], "left"
     )
     reached = F.filter(F.lit(list(cutoffs)), lambda k: k >= F.col("rank"))
     hit_rank = F.when(F.col("hit"), F.col("rank"))
@@ -57,6 +63,7 @@ def query_metrics(
     qrels: DataFrame,
     ks: Sequence[int] = (1, 3, 5, 10),
     methods: Sequence[str] | None = None,
+    judged: DataFrame | None = None,
 ) -> DataFrame:
     """All metrics of every evaluated query that is judged, one row per query and cut-off.
 
@@ -64,7 +71,14 @@ def query_metrics(
     """
     cutoffs = positive_ks(ks)
     by = ["method"] if methods is not None else []
-    frame = evaluated.select("qid").distinct().join(relevant_counts(qrels), "qid")
+    frame = evaluated.select("qid").distinct()
+    if judged is not None:
+        known = judged.select("qid").unionByName(qrels.select("qid"))
+        frame = frame.join(known, "qid", "left_semi")
+    counts = relevant_counts(qrels)
+    frame = frame.join(counts, "qid", "inner" if judged is None else "left").withColumn(
+        "n_rel", F.coalesce("n_rel", F.lit(0).cast("bigint"))
+    )
     if methods is not None:
         frame = frame.withColumn("method", F.explode(F.lit(list(methods))))
     frame = frame.withColumn("k", F.explode(F.lit(list(cutoffs))))
@@ -76,10 +90,10 @@ def query_metrics(
         "qid",
         "k",
         "n_rel",
-        F.coalesce(F.col("hits") / F.col("n_rel"), F.lit(0.0)).alias("recall"),
+        F.coalesce(F.try_divide(F.col("hits"), F.col("n_rel")), F.lit(0.0)).alias("recall"),
         F.coalesce(F.col("hits") / F.col("places"), F.lit(0.0)).alias("precision"),
         F.coalesce(F.lit(1.0) / F.col("first_hit"), F.lit(0.0)).alias("mrr"),
-        (dcg / ideal).alias("ndcg"),
+        F.coalesce(F.try_divide(dcg, ideal), F.lit(0.0)).alias("ndcg"),
         dcg.alias("dcg"),
         ideal.alias("idcg"),
     )
@@ -91,6 +105,7 @@ def mean_metrics(
     qrels: DataFrame,
     ks: Sequence[int] = (1, 3, 5, 10),
     methods: Sequence[str] = ("run",),
+    judged: DataFrame | None = None,
 ) -> DataFrame:
     """Mean over the evaluated and judged queries: ``(method, metric, k, value)``.
 
@@ -103,7 +118,7 @@ def mean_metrics(
             raise ValueError("a run without a method column can be measured for one method only")
         run = run.withColumn("method", F.lit(methods[0]))
     means = (
-        query_metrics(evaluated, run, qrels, cutoffs, methods)
+        query_metrics(evaluated, run, qrels, cutoffs, methods, judged)
         .groupBy("method", "k")
         .agg(*[F.avg(name).alias(name) for name in METRICS])
     )

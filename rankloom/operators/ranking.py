@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -12,6 +13,8 @@ from rankloom.functions.scores import single_precision
 # Up to this k Spark itself cuts every partition to k rows per query before the shuffle
 # (spark.sql.optimizer.windowGroupLimitThreshold).
 _SPARK_CUTS_UP_TO = 1000
+# With this many partitions or more, the rows of a query are cut in two steps.
+_MANY_PARTITIONS = 1000
 
 
 def score_order() -> list[Column]:
@@ -22,14 +25,16 @@ def top_k(scored: DataFrame, k: int, order: Sequence[Column] | None = None, quer
     """Add ``rank`` from 1 and keep the first ``k`` rows of every query.
 
     A query can match nearly every document. For small k Spark cuts each partition to k rows per
-    query before shuffling; for larger k the same is done here in two steps, with the rows of a
-    query first spread over slices by document.
+    query before shuffling, so one task gets k rows per partition. Where that is many, or k is large,
+    the rows of a query are first spread over slices by document and each slice is cut.
     """
     positive_k(k)
     order = list(order or score_order())
     query = list(query)
-    if k > _SPARK_CUTS_UP_TO:
-        slices = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(scored.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if k > _SPARK_CUTS_UP_TO or partitions >= _MANY_PARTITIONS:
+        # About as many rows then meet per slice as slices per query.
+        slices = partitions if k > _SPARK_CUTS_UP_TO else math.isqrt(partitions)
         scored = (
             scored.withColumn("__slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices)))
             .withColumn("rank", F.row_number().over(Window.partitionBy(*query, "__slice").orderBy(*order)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -45,17 +45,33 @@ class DenseRetriever:
         return dense_top_k(encoded, self.vectors, k, self.config)
 
     def check(self, queries: DataFrame) -> None:
-        """Compare dimensions before a long job; the scan itself checks every block as well."""
+        """Compare the dimensions of all vectors; a search itself compares one of each side before it
+        starts, and every block as it goes."""
         check_dimensions(self.vectors, self.encode_queries(queries))
 
 
+@dataclass(frozen=True)
+class FusedRetriever:
+    """Any retrievers by name, fused; every name needs a weight in ``config``."""
+
+    sides: Mapping[str, Retriever]
+    config: HybridConfig = HybridConfig()
+
+    def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
+        depth = self.config.fetch_depth(positive_k(k))
+        for name in self.sides:
+            self.config.weight(name)
+        runs = {name: side.retrieve(queries, depth) for name, side in self.sides.items()}
+        return rrf_top_k(runs, k, self.config)
+
+
 @dataclass(frozen=True)
 class HybridRetriever:
+    """The two usual sides."""
+
     bm25: Retriever
     dense: Retriever
     config: HybridConfig = HybridConfig()
 
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
-        depth = self.config.fetch_depth(positive_k(k))
-        runs = {"bm25": self.bm25.retrieve(queries, depth), "dense": self.dense.retrieve(queries, depth)}
-        return rrf_top_k(runs, k, self.config)
+        return FusedRetriever({"bm25": self.bm25, "dense": self.dense}, self.config).retrieve(queries, k)

@@ -17,8 +17,9 @@ from rankloom.operators.report import method_table
 from rankloom.operators.retrievers import Retriever
 from rankloom.operators.sampling import eligible_queries, sample_queries
 from rankloom.session import materialise
+from rankloom.sources.datasets import binary_qrels
 
-ALL_METHODS = ("bm25", "dense", "hybrid")
+HYBRID = "hybrid"
 
 
 @dataclass(frozen=True)
@@ -36,12 +37,21 @@ class Evaluation:
         return method_table(to_wide(self.metrics, self.ks), self.latency)
 
 
-def choose_methods(method: str) -> tuple[str, ...]:
-    """``bm25``, ``dense``, ``hybrid`` or ``all``."""
+def fused_sides(names: Sequence[str], fusion: HybridConfig) -> tuple[str, ...]:
+    """The retrievers that the hybrid method fuses: those with a weight, if there are two or more."""
+    sides = tuple(name for name in names if name in fusion.weights)
+    return sides if len(sides) > 1 else ()
+
+
+def choose_methods(method: str, names: Sequence[str], fusion: HybridConfig = HybridConfig()) -> tuple[str, ...]:
+    """One of the retrievers' names, ``hybrid`` where two sides or more can be fused, or ``all``."""
+    known = [name for name in names if name != HYBRID]
+    if fused_sides(known, fusion):
+        known.append(HYBRID)
     if method == "all":
-        return ALL_METHODS
-    if method not in ALL_METHODS:
-        raise ValueError(f"unknown method {method!r}: choose one of {', '.join(ALL_METHODS)} or all")
+        return tuple(known)
+    if method not in known:
+        raise ValueError(f"unknown method {method!r}: choose one of {', '.join(known)} or all")
     return (method,)
 
 
@@ -61,10 +71,12 @@ def base_runs(
     A run has at most ``depth`` rows per query. Written once, it serves both its own metrics and
     the fusion. The seconds of each job are returned with it.
     """
-    needed = [name for name in ("bm25", "dense") if name in methods or "hybrid" in methods]
-    deepest = max(depth, fusion.fetch_depth(depth)) if "hybrid" in methods else depth
+    sides = fused_sides(list(retrievers), fusion) if HYBRID in methods else ()
     runs, seconds = {}, {}
-    for name in needed:
+    for name in retrievers:
+        if name not in methods and name not in sides:
+            continue
+        deepest = max(depth, fusion.fetch_depth(depth)) if name in sides else depth
         start = time.perf_counter()
         runs[name] = materialise(retrievers[name].retrieve(queries, deepest), f"run-{name}")
         seconds[name] = time.perf_counter() - start
@@ -77,7 +89,11 @@ def method_runs(
     """Runs of all chosen methods in one frame, tagged by method and cut to ``depth``."""
     frames = []
     for name in methods:
-        run = rrf_top_k(runs, depth, fusion) if name == "hybrid" else cut(runs[name], depth)
+        if name == HYBRID:
+            sides = fused_sides(list(runs), fusion)
+            run = rrf_top_k({side: runs[side] for side in sides}, depth, fusion)
+        else:
+            run = cut(runs[name], depth)
         frames.append(run.select(F.lit(name).alias("method"), "qid", "doc_id", "score", "rank"))
     union = frames[0]
     for frame in frames[1:]:
@@ -94,19 +110,25 @@ def evaluate(
     fusion: HybridConfig = HybridConfig(),
     depth: int | None = None,
 ) -> Evaluation:
-    """Sample the judged queries, run the methods on them and average the metrics.
+    """Run the methods on the judged queries, all or a sample, and average the metrics.
+
+    Any retrievers can be compared: methods are the names in ``retrievers``, and ``hybrid`` for the
+    fusion of those that have a weight. ``qrels`` with a score column are cut at ``min_relevance``.
 
     ``avg_latency_ms`` is batch time divided by the number of queries: all queries run at once, so
     it is a throughput figure and not the wait of a single user.
     """
-    methods = choose_methods(method)
+    methods = choose_methods(method, list(retrievers), fusion)
+    if "score" in qrels.columns:
+        qrels = binary_qrels(qrels, config.min_relevance)
     depth = deep_enough(depth or max(config.ks), config.ks)
     selected = materialise(evaluation_queries(queries, qrels, config), "queries")
     runs, seconds = base_runs(retrievers, selected, methods, depth, fusion)
     start = time.perf_counter()
     run = materialise(method_runs(runs, methods, depth, fusion), "run-all")
-    if "hybrid" in methods:
-        seconds["hybrid"] = sum(seconds.values()) + time.perf_counter() - start
+    if HYBRID in methods:
+        sides = fused_sides(list(runs), fusion)
+        seconds[HYBRID] = sum(seconds[side] for side in sides) + time.perf_counter() - start
     count = max(1, selected.count())
     spark = queries.sparkSession
     latency = spark.createDataFrame(

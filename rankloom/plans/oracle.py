@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rankloom.functions.text import STRIP_CHARS
 from rankloom.plans import testbed
-from rankloom.plans.registry import DIGITS, K, KS, SAMPLE, SEED
+from rankloom.plans.registry import DEEP_K, DIGITS, K, KS, SAMPLE, SEED
 
 _DIM = testbed.DENSE.dim
 _DEPTH = testbed.RUN_DEPTH
@@ -92,7 +92,7 @@ doc_words AS (SELECT doc_id, ' ' || array_to_string({_words('text')}, ' ') || '
 passage_words AS (SELECT qid, {_words('text')} AS w FROM queries),
 qrels AS (
   SELECT qid, doc_id FROM doc_words, passage_words
-  WHERE len(w) >= 3 AND contains(padded, ' ' || array_to_string(w, ' ') || ' '))""",
+  WHERE len(w) > 0 AND contains(padded, ' ' || array_to_string(w, ' ') || ' '))""",
     ),
     "eligible": (("qrels",), "\neligible AS (SELECT * FROM queries WHERE qid IN (SELECT qid FROM qrels))"),
     "postings": (
@@ -186,21 +186,18 @@ long_metrics AS (
     ),
     "latency": (
         (),
-        f"""
-latency AS (
-  SELECT CASE event_type {' '.join(f"WHEN '{e}' THEN '{m}'" for e, m in testbed.TIMED_METHODS)} END AS method,
-         avg(value) * 1000.0 AS avg_latency_ms
-  FROM events WHERE event_type IN ({', '.join(f"'{e}'" for e, _ in testbed.TIMED_METHODS)}) GROUP BY 1)""",
+        """
+latency AS (SELECT event_type AS method, avg(value) * 1000.0 AS avg_latency_ms FROM events GROUP BY 1)""",
     ),
     "report": (
-        ("metrics", "latency"),
+        ("metrics",),
         "\nreport AS (\n  SELECT method, "
         + ", ".join(
             f"round(max(value) FILTER (WHERE metric = '{metric}' AND k = {k}), {DIGITS}) AS \"{metric}@{k}\""
             for k in KS
             for metric in _METRICS
         )
-        + f", round(any_value(avg_latency_ms), {DIGITS}) AS avg_latency_ms\n  FROM long_metrics JOIN latency USING (method) GROUP BY method)",
+        + ", 0.0::DOUBLE AS avg_latency_ms\n  FROM long_metrics GROUP BY method)",
     ),
     "summary": (
         ("report",),
@@ -271,6 +268,19 @@ def _long_vectors(key: str, vectors: str) -> str:
   SELECT {key}, unnest(range(len(embedding))) AS pos, unnest(embedding) AS value FROM {vectors})"""
 
 
+def _encoder_hook() -> str:
+    counts = ", ".join(
+        f"CAST(len(content) - len(replace(content, '{c}', '')) AS DOUBLE)" for c in "abcdefghijklmnopqrstuvwxyz0123456789"
+    )
+    return f"""SELECT doc_id, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(value AS FLOAT) AS DOUBLE), {DIGITS}) AS value FROM (
+  SELECT doc_id, unnest(range(36)) AS pos,
+         unnest([x / (CASE WHEN norm = 0 THEN 1 ELSE norm END) FOR x IN counts]) AS value FROM (
+    SELECT doc_id, counts, sqrt(list_dot_product(counts, counts)) AS norm FROM (
+      SELECT doc_id, [{counts}] AS counts FROM (
+        SELECT doc_id, CASE WHEN title <> '' THEN trim(title || chr(10) || text, {_STRIP}) ELSE text END AS content
+        FROM corpus))))"""
+
+
 SQL: dict[str, str] = {
     "corpus_jsonl": _with(("corpus",), "SELECT CAST(doc_id AS VARCHAR) AS doc_id, title, text FROM corpus"),
     "queries_jsonl": "SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark",
@@ -317,16 +327,21 @@ UNION ALL SELECT CAST(2 AS DOUBLE), {_RANKED} FROM boosted""",
     ),
     "hash_embed_docs": _with(
         ("doc_vectors",),
-        f"""SELECT * FROM (
-  SELECT doc_id, bucket AS pos, round(CAST(value AS DOUBLE), {DIGITS}) AS value FROM doc_vectors_entries)
-WHERE value <> 0""",
+        _long_vectors("doc_id", "doc_vectors"),
     ),
     "l2_normalize": _with((), _long_vectors("vec_id", "(SELECT vec_id, e AS embedding FROM units)"), _cosine()),
     "dense_ip_topk": _with((), f"SELECT {_RANKED} FROM run", _inner()),
     "dense_cosine_topk": _with((), f"SELECT {_RANKED} FROM run", _cosine()),
     "dense_text_topk": _with(("dense_run",), f"SELECT {_RANKED} FROM dense_run WHERE rank <= {K}"),
-    "vector_dim_check": """SELECT count(*) AS n_vectors, CAST(min(len(embedding)) AS INTEGER) AS min_dim,
-       CAST(max(len(embedding)) AS INTEGER) AS max_dim FROM embeddings""",
+    "encoder_hook": _with(("corpus",), _encoder_hook()),
+    "dense_beyond_corpus": _with(
+        ("dense_scores",),
+        "SELECT qid, count(*) AS places, count(*) AS last FROM dense_scores GROUP BY qid",
+    ),
+    "vector_dim_check": """SELECT CAST(len(embedding) AS INTEGER) AS dim, count(*) AS n_vectors,
+       len(embedding) = (SELECT min(len(embedding)) FROM embeddings)
+       AND len(embedding) = (SELECT max(len(embedding)) FROM embeddings) AS fits
+FROM embeddings GROUP BY len(embedding)""",
     "rrf_contribution": _with(
         ("fused",), "SELECT qid, doc_id, method, rank, round(contribution, 9) AS contribution FROM fused_parts"
     ),
@@ -341,6 +356,21 @@ UNION ALL SELECT CAST(0.1 AS DOUBLE), {_RANKED} FROM semantic""",
         _fused("semantic", K, 0.1, 10.0),
     ),
     "rrf_topk": _with(("fused",), f"SELECT {_RANKED} FROM fused"),
+    "rrf_deep": _with(
+        ("idf", "query_terms", "dense_scores"),
+        f"SELECT {_RANKED} FROM deep",
+        _bm25("deep_bm25", {"title": 2.0, "text": 1.0}, 2 * DEEP_K),
+        f"\ndeep_dense AS ({_top_k('dense_scores', 2 * DEEP_K)})",
+        _fused("deep", DEEP_K, sides=("deep_bm25", "deep_dense")),
+    ),
+    "metrics_none_relevant": f"""SELECT 'self' AS method, metric, k, round(value, {DIGITS}) AS value FROM (
+  SELECT avg(CAST(quality >= 1 AS DOUBLE)) AS value
+  FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)),
+  (SELECT unnest(['recall', 'precision', 'mrr', 'ndcg']) AS metric),
+  (SELECT unnest([{', '.join(map(str, KS))}]) AS k)""",
+    "metrics_no_overlap": f"""SELECT 'bm25' AS method, metric, k, CAST(0 AS DOUBLE) AS value
+FROM (SELECT unnest(['recall', 'precision', 'mrr', 'ndcg']) AS metric), (SELECT unnest([{', '.join(map(str, KS))}]) AS k)""",
+    "split_addressing": "SELECT DISTINCT 'dev' AS qid, CAST(doc_id AS VARCHAR) AS doc_id FROM labels WHERE toxic >= 1",
     **{f"{name}_at_k": _by_query(name) for name in ("recall", "precision", "mrr", "dcg", "idcg", "ndcg")},
     "eval_run": _with(
         ("metrics",),
@@ -355,6 +385,14 @@ UNION ALL SELECT CAST(0.1 AS DOUBLE), {_RANKED} FROM semantic""",
     ),
     "method_report": _with(("report",), "SELECT * FROM report"),
     "method_report_json": _with(("report",), "SELECT * FROM report"),
+    "report_csv": _with(("report",), "SELECT * FROM report"),
+    "report_markdown": _with(
+        ("report",),
+        "SELECT method, concat_ws(' ', "
+        + ", ".join(f"printf('%.4f', \"{metric}@{k}\")" for k in KS for metric in ("recall", "mrr"))
+        + ", printf('%.4f', avg_latency_ms)) AS cells FROM report",
+    ),
+    "report_one_method": _with(("report",), "SELECT * FROM report WHERE method = 'bm25'"),
     "summary_columns": _with(("report",), f"SELECT method, {_SUMMARY}, avg_latency_ms FROM report"),
     "best_method": _with(("summary",), "SELECT metric, method, value FROM winners"),
     "method_wins": _with(
@@ -363,7 +401,8 @@ UNION ALL SELECT CAST(0.1 AS DOUBLE), {_RANKED} FROM semantic""",
 FROM report r LEFT JOIN winners w ON w.method = r.method GROUP BY r.method""",
     ),
     "fastest_method": _with(
-        ("report",), "SELECT method, avg_latency_ms FROM report ORDER BY avg_latency_ms, method LIMIT 1"
+        ("latency",),
+        f"SELECT method, round(avg_latency_ms, {DIGITS}) AS avg_latency_ms FROM latency ORDER BY 2, 1 LIMIT 1",
     ),
     "chart_table": _with(
         ("report",),

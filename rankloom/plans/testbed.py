@@ -2,17 +2,18 @@
 
 Documents are ``documents`` with the first line as title and the rest as text, queries are the
 passages of ``benchmark``, and a document is relevant to a passage if it holds the passage word
-for word.
+for word. A passage without words is relevant to nothing.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from rankloom.config import DenseConfig
+from rankloom.config import DenseConfig, HybridConfig
 from rankloom.functions.text import words
 from rankloom.operators.dense import dense_top_k
 from rankloom.operators.encoding import hash_documents, hash_queries
@@ -23,11 +24,11 @@ from rankloom.session import materialise, scratch_path
 from rankloom.sources.indexes import load_vectors, write_text_index, write_vectors
 
 DENSE = DenseConfig(dim=256)
-# Fusion for k = 10 reads both sides to this depth.
-RUN_DEPTH = 20
-# Event types of the test tables that stand for the timing log of a method.
-TIMED_METHODS = (("view", "bm25"), ("click", "dense"), ("purchase", "hybrid"))
-# Words of the phrase that leads from a document to the passages it may hold.
+K = 10
+# Fusion reads both sides to this depth.
+RUN_DEPTH = HybridConfig().fetch_depth(K)
+# Words of the phrase that leads from a document to the passages it may hold; shorter passages lead
+# by all their words.
 _ANCHOR_WORDS = 3
 _ANCHOR_BYTES = 64 << 20
 
@@ -68,21 +69,26 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 def derive_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(qid, doc_id)`` where the words of the passage occur in a row in the document.
 
-    Passages of at least three words. The longest three-word phrase of a passage leads to the
-    documents that may hold it, and only those are compared in full.
+    The longest three-word phrase of a passage, or all of a shorter one, leads to the documents that
+    may hold it, and only those are compared in full.
     """
-    passages = (
+    by_length = [
         queries(spark, sf_dir)
         .select("qid", words(F.col("text")).alias("words"))
-        .where(F.size("words") >= _ANCHOR_WORDS)
-        .select("qid", F.concat_ws(" ", "words").alias("passage"), _phrases(F.col("words")).alias("phrases"))
-    )
+        .where(F.size("words") >= size if size == _ANCHOR_WORDS else F.size("words") == size)
+        .select("qid", F.concat_ws(" ", "words").alias("passage"), _phrases(F.col("words"), size).alias("phrases"))
+        for size in range(1, _ANCHOR_WORDS + 1)
+    ]
+    passages = reduce(DataFrame.unionByName, by_length)
     # Equal passages are looked up once, however many copies there are.
     longest = F.array_max(F.transform("phrases", lambda p: F.struct(F.length(p).alias("n"), p.alias("phrase"))))
     anchors = passages.select("passage", longest["phrase"].alias("phrase")).distinct()
 
     texts = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("words"))
-    phrases = texts.select("doc_id", F.explode(_phrases(F.col("words"))).alias("phrase"))
+    # Phrases are only formed in the lengths that lead to a passage: at most three numbers.
+    lengths = [r.n for r in anchors.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()]
+    formed = F.concat(*[_phrases(F.col("words"), size) for size in lengths or [_ANCHOR_WORDS]])
+    phrases = texts.select("doc_id", F.explode(formed).alias("phrase"))
     small = broadcast_within(anchors, _ANCHOR_BYTES, "passage", "phrase")
     if small is not None:
         candidates = phrases.join(small, "phrase")
@@ -99,13 +105,11 @@ def derive_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.select("doc_id", "passage").join(passages.select("qid", "passage"), "passage").select("qid", "doc_id")
 
 
-def _phrases(words_column):
-    """All runs of three consecutive words; none for shorter texts."""
-    last = F.size(words_column) - _ANCHOR_WORDS
+def _phrases(words_column, size: int):
+    """All runs of ``size`` consecutive words; none for shorter texts."""
+    last = F.size(words_column) - size
     starts = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
-    return F.transform(
-        starts, lambda i: F.concat_ws(" ", *[F.get(words_column, i + step) for step in range(_ANCHOR_WORDS)])
-    )
+    return F.transform(starts, lambda i: F.concat_ws(" ", *[F.get(words_column, i + step) for step in range(size)]))
 
 
 def text_index(spark: SparkSession, sf_dir: str) -> TextIndex:
@@ -157,10 +161,7 @@ def runs(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
 
 
 def timings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(method, qid, seconds)`` from the event log: the value of an event is taken as seconds."""
-    names = F.create_map(*[F.lit(part) for pair in TIMED_METHODS for part in pair])
-    return (
-        table(spark, sf_dir, "events")
-        .where(F.col("event_type").isin(*[event for event, _ in TIMED_METHODS]))
-        .select(names[F.col("event_type")].alias("method"), F.col("event_id").alias("qid"), F.col("value").alias("seconds"))
+    """``(method, qid, seconds)``: the event log as a timing table, one method per type of event."""
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("method"), F.col("event_id").alias("qid"), F.col("value").alias("seconds")
     )

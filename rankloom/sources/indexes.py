@@ -1,8 +1,9 @@
 """Written indexes.
 
 The text index is a set of Parquet tables below one path. Postings and document lengths are bucketed
-by ``doc_id``, so a search reads them already placed by document. Bucketing is known through the
-session catalog; :func:`load_text_index` declares the tables again in a new session.
+by ``doc_id``, so a search reads them already placed by document. Within a bucket, postings are in order
+of their term, so the reader skips pages without the words asked for. Bucketing is known through the
+session catalog; :func:`load_text_index` declares the tables there if they are not declared yet.
 """
 
 from __future__ import annotations
@@ -23,10 +24,14 @@ from rankloom.operators.lexical import (
     term_statistics,
 )
 
-_BUCKETED = ("postings", "doc_len")
+_BUCKETED = {"postings": ("term", "doc_id"), "doc_len": ("doc_id",)}
 _PLAIN = ("field_stats", "term_stats", "content_stats")
 
 
+# Bytes of text per bucket: its postings then come to about one file split.
+BUCKET_BYTES = 128 << 20
+
+
 class IndexNotFound(FileNotFoundError):
     """The index files are not there."""
 
@@ -54,27 +59,42 @@ def latest_documents(corpus: DataFrame, sequence: str) -> DataFrame:
 def write_text_index(spark: SparkSession, corpus: DataFrame, path: str, buckets: int | None = None) -> TextIndex:
     """Build the index of ``corpus`` at ``path``, replacing what is there.
 
-    ``buckets`` should keep one bucket of postings near the size of a file split; by default it
-    is the shuffle partition count of the session.
+    A bucket is read by one task. By default there are as many as the measured text asks for, and no
+    fewer than the shuffle partitions of the session.
     """
     check_documents(corpus)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = buckets or _bucket_count(spark, corpus)
     return _write(spark, index_corpus(corpus, partitions=buckets).postings, path, buckets)
 
 
+def _bucket_count(spark: SparkSession, corpus: DataFrame) -> int:
+    texts = F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0))
+    size = corpus.agg(F.coalesce(F.sum(texts.cast("bigint")), F.lit(0))).first()[0]
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+
+
 def upsert_text_index(
     spark: SparkSession, index: TextIndex, corpus: DataFrame, path: str, buckets: int | None = None
 ) -> TextIndex:
     """Write to a new ``path`` the index with the documents of ``corpus`` added or replaced.
 
-    Postings of the other documents are taken over unread by the analyser; statistics are formed
-    anew from the merged tables.
+    Postings of the other documents are taken over bucket by bucket: they are neither analysed nor
+    moved between tasks, since the new index has the buckets of the old one unless told otherwise.
+    Statistics are formed anew from the merged tables.
     """
     check_documents(corpus)
-    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    added = term_frequency(corpus)
-    kept = index.postings.join(corpus.select("doc_id"), "doc_id", "left_anti")
-    return _write(spark, kept.unionByName(added).repartition(buckets, "doc_id"), path, buckets)
+    buckets = buckets or index.buckets or _bucket_count(spark, corpus)
+    return _write(spark, merged_postings(index, corpus, buckets), path, buckets)
+
+
+def merged_postings(index: TextIndex, corpus: DataFrame, buckets: int) -> DataFrame:
+    """Postings of ``index`` without the documents of ``corpus``, and theirs. Only the new ones move."""
+    ids = corpus.select("doc_id").repartition(buckets, "doc_id")
+    kept = index.postings.join(ids.hint("merge"), "doc_id", "left_anti")
+    added = term_frequency(corpus.repartition(buckets, "doc_id"))
+    if index.buckets != buckets:
+        kept = kept.repartition(buckets, "doc_id")
+    return kept.unionByName(added)
 
 
 def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -> TextIndex:
@@ -82,14 +102,17 @@ def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) ->
 
     The text is analysed once, for the postings; all other tables are read off the written ones.
     """
+    key = postings.schema["doc_id"].dataType.simpleString()
     _write_bucketed(postings, path, "postings", buckets)
-    written = _table(spark, path, "postings")
+    written = spark.table(_table_name(path, "postings", key, buckets))
     _write_bucketed(indexed_lengths(written), path, "doc_len", buckets)
     term_statistics(written).write.mode("overwrite").parquet(f"{path}/term_stats")
     content_statistics(written).write.mode("overwrite").parquet(f"{path}/content_stats")
-    lengths = _table(spark, path, "doc_len")
+    lengths = spark.table(_table_name(path, "doc_len", key, buckets))
     field_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
-    layout = spark.range(1).select(F.lit(buckets).alias("buckets"), *_key_sample(postings))
+    names = [row.field for row in written.select("field").distinct().collect()]
+    known = sorted({"title", "text", *names})
+    layout = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(known).alias("names"), *_key_sample(postings))
     layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     return load_text_index(spark, path)
 
@@ -98,9 +121,9 @@ def _write_bucketed(table: DataFrame, path: str, name: str, buckets: int) -> Non
     (
         table.write.mode("overwrite")
         .bucketBy(buckets, "doc_id")
-        .sortBy("doc_id")
+        .sortBy(*_BUCKETED[name])
         .option("path", f"{path}/{name}")
-        .saveAsTable(_table_name(path, name))
+        .saveAsTable(_table_name(path, name, table.schema["doc_id"].dataType.simpleString(), buckets))
     )
 
 
@@ -109,33 +132,32 @@ def _key_sample(postings: DataFrame) -> list:
     return [F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id")]
 
 
-def _table_name(path: str, name: str) -> str:
-    return f"rankloom_{name}_{hashlib.md5(path.encode()).hexdigest()}"
-
-
-def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.table(_table_name(path, name))
+def _table_name(path: str, name: str, key_type: str, buckets: int) -> str:
+    """The name says all that the declaration depends on, so that one of this name fits."""
+    return f"rankloom_{name}_{hashlib.md5(f'{path} {key_type}'.encode()).hexdigest()}_{buckets}"
 
 
 def load_text_index(spark: SparkSession, path: str) -> TextIndex:
     """Open a written index; a missing one raises :class:`IndexNotFound`."""
     layout = _read(spark, f"{path}/layout", "text index")
-    buckets = layout.first().buckets
+    buckets, names = layout.select("buckets", "names").first()
     key_type = layout.schema["doc_id"].dataType.simpleString()
     columns = {
         "postings": f"doc_id {key_type}, field STRING, term STRING, tf INT, dl INT",
         "doc_len": f"doc_id {key_type}, field STRING, dl INT",
     }
-    for name in _BUCKETED:
-        # External tables: dropping the declaration leaves the files alone.
-        spark.sql(f"DROP TABLE IF EXISTS {_table_name(path, name)}")
+    tables = {}
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    for name, order in _BUCKETED.items():
+        declared = _table_name(path, name, key_type, buckets)
         spark.sql(
-            f"CREATE TABLE {_table_name(path, name)} ({columns[name]}) USING parquet "
-            f"OPTIONS (path '{path}/{name}') CLUSTERED BY (doc_id) SORTED BY (doc_id) INTO {buckets} BUCKETS"
+            f"CREATE TABLE IF NOT EXISTS {declared} ({columns[name]}) USING parquet OPTIONS (path '{place}/{name}') "
+            f"CLUSTERED BY (doc_id) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS"
         )
-    tables = {name: _table(spark, path, name) for name in _BUCKETED}
+        spark.catalog.refreshTable(declared)
+        tables[name] = spark.table(declared)
     tables |= {name: _read(spark, f"{path}/{name}", "text index") for name in _PLAIN}
-    return TextIndex(**tables)
+    return TextIndex(**tables, names=tuple(names), buckets=buckets)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
@@ -165,5 +187,5 @@ def _read(spark: SparkSession, path: str, what: str) -> DataFrame:
         return spark.read.parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise IndexNotFound(f"{what} not found, build it first: missing {path}") from error
+            raise IndexNotFound(f"no {what} at {path}: there are no files to open") from error
         raise

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
-
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.config import EvalConfig
 from rankloom.operators.report import (
     LATENCY,
-    METHOD_ORDER,
     best_method,
     fastest_method,
     method_wins,
@@ -49,33 +46,31 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.option("multiLine", True).json(path).select(F.inline("rows"))
     for name in REQUIRED_COLUMNS:
         if name not in rows.columns:
-            raise KeyError(f"missing column '{name}' in the report; available columns: {rows.columns}")
+            raise KeyError(f"the report at {path} has no {name}, only {', '.join(rows.columns)}")
     return rows
 
 
 def summary_lines(table: DataFrame) -> list[str]:
-    """A Markdown summary: the shown metrics to four decimals, then what they say.
+    """A Markdown page: the summary metrics of every method, and for each metric who leads by how much.
 
-    ``table`` holds one row per method, so the driver renders a handful of rows.
+    ``table`` has one row per method. It is evaluated once; what follows works on those rows.
     """
-    shown = summary_columns(table)
-    rows = shown.orderBy("method").collect()
-    lines = ["# Retrieval Evaluation Summary", "", "## Metrics", ""]
-    lines.append("| " + " | ".join(shown.columns) + " |")
-    lines.append("|:---" + "|---:" * (len(shown.columns) - 1) + "|")
-    for row in rows:
+    held = table.sparkSession.createDataFrame(table.collect(), table.schema)
+    shown = summary_columns(held)
+    rows = {row.method: row for row in shown.orderBy("method").collect()}
+    lines = [f"# Compared: {', '.join(rows)}", "", "| " + " | ".join(shown.columns) + " |"]
+    lines.append("|---" * len(shown.columns) + "|")
+    for row in rows.values():
         lines.append("| " + " | ".join([row[0], *[f"{value:.4f}" for value in row[1:]]]) + " |")
-    lines += ["", "## Analysis", ""]
-    if len(rows) < 2:
-        return [*lines, "- Evaluate all methods to compare them side by side.", ""]
-    wins: Mapping[str, int] = {row.method: row.wins for row in method_wins(table).collect()}
-    ordered = sorted(wins, key=lambda m: (METHOD_ORDER.index(m) if m in METHOD_ORDER else len(METHOD_ORDER), m))
-    lines.append("- Metric wins: " + ", ".join(f"`{m}`={wins[m]}" for m in ordered) + " (higher is better).")
-    for row in best_method(table).orderBy("metric").collect():
-        lines.append(f"- Best {row.metric}: `{row.method}` with {row.value:.4f}.")
-    fastest = fastest_method(table).first()
-    lines.append(f"- Latency: `{fastest.method}` is fastest on average (lower is better).")
-    lines.append("- Retrieval only, without reranking; results depend on the dataset and the index settings.")
+    if len(rows) > 1:
+        lines += ["", "| metric | leader | ahead of the next by |", "|---|---|---|"]
+        for row in best_method(held).orderBy("metric").collect():
+            others = [rows[name][row.metric] for name in rows if name != row.method]
+            lines.append(f"| {row.metric} | {row.method} | {row.value - max(others):.4f} |")
+        lines += ["", "| leader of | metrics |", "|---|---|"]
+        lines += [f"| {row.method} | {row.wins} |" for row in method_wins(held).orderBy("method").collect()]
+        fastest = fastest_method(held).first()
+        lines += ["", f"Least time per query: {fastest.method}, {fastest[LATENCY]:.4f} ms."]
     return [*lines, ""]
 
 

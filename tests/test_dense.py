@@ -9,7 +9,7 @@ from rankloom.operators.encoding import encode, hash_documents, hash_queries
 from rankloom.operators.lexical import index_corpus
 from rankloom.operators.retrievers import DenseRetriever
 
-GRID = DenseConfig(broadcast_bytes=0, cell_rows=37)
+SLICED = DenseConfig(broadcast_bytes=2000)
 
 
 def frame(spark, key, matrix, ids=None, id_type="long"):
@@ -31,7 +31,7 @@ def places(run):
     return sorted((r.qid, r.doc_id, r["rank"]) for r in run.collect())
 
 
-@pytest.mark.parametrize("config", [DenseConfig(), GRID], ids=["broadcast", "grid"])
+@pytest.mark.parametrize("config", [DenseConfig(), SLICED], ids=["once", "sliced"])
 @pytest.mark.parametrize("partitions", [1, 6])
 def test_agrees_with_brute_force(spark, config, partitions):
     rng = np.random.default_rng(0)
@@ -42,7 +42,7 @@ def test_agrees_with_brute_force(spark, config, partitions):
     assert places(run) == sorted(brute_force(queries, vectors, 7))
 
 
-@pytest.mark.parametrize("config", [DenseConfig(), GRID], ids=["broadcast", "grid"])
+@pytest.mark.parametrize("config", [DenseConfig(), SLICED], ids=["once", "sliced"])
 def test_a_third_of_the_vectors_equal(spark, config):
     """Copies tie; the smaller ids win, however the copies are spread."""
     rng = np.random.default_rng(1)
@@ -59,7 +59,7 @@ def test_vectors_are_not_moved(spark, tmp_path):
     frame(spark, "doc_id", np.eye(8)).repartition(4).write.parquet(path)
     run = dense_top_k(frame(spark, "qid", np.eye(8)[:2]), spark.read.parquet(path), 3)
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(run._jdf.queryExecution(), "simple")
-    assert plan.count("Exchange") == 1
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1
     assert plan.index("Exchange") < plan.index("MapInArrow")
     assert "Partial" in plan[plan.index("Exchange") : plan.index("MapInArrow")]
 
@@ -77,13 +77,46 @@ def test_k_above_the_number_of_vectors(spark):
     assert run.count() == 3
 
 
-@pytest.mark.parametrize("config", [DenseConfig(), GRID], ids=["broadcast", "grid"])
+@pytest.mark.parametrize("config", [DenseConfig(), SLICED], ids=["once", "sliced"])
 def test_empty_sides(spark, config):
     some, none = np.eye(3), np.zeros((0, 3))
     assert dense_top_k(frame(spark, "qid", some), frame(spark, "doc_id", none), 5, config).count() == 0
     assert dense_top_k(frame(spark, "qid", none), frame(spark, "doc_id", some), 5, config).count() == 0
 
 
+def test_vectors_that_are_no_numbers_are_not_found(spark):
+    """However many there are and wherever they lie, k good ones come back."""
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(500, 8))
+    bad = vectors.copy()
+    bad[100:140, 3], bad[300:310, 1] = np.nan, np.inf
+    queries = rng.normal(size=(3, 8))
+    good = [k for k in range(500) if np.isfinite(bad[k]).all()]
+    run = dense_top_k(frame(spark, "qid", queries), frame(spark, "doc_id", bad).coalesce(1), 10)
+    expected = [(q, good[j], place) for q, j, place in brute_force(queries, vectors[good], 10)]
+    assert places(run) == sorted(expected)
+
+
+def test_an_empty_index_fetches_nothing(spark, monkeypatch):
+    """Many queries against no vectors: no query vector comes to the driver."""
+    from rankloom.operators import dense
+
+    monkeypatch.setattr(dense, "_scan", lambda *_: pytest.fail("fetched"))
+    queries = spark.range(100_000).selectExpr("id AS qid", "array(1.0f, 2.0f) AS embedding")
+    assert dense_top_k(queries, frame(spark, "doc_id", np.zeros((0, 2))), 5).count() == 0
+
+
+def test_more_queries_than_a_tile_and_more_vectors_than_a_block(spark, monkeypatch):
+    from rankloom.operators import dense
+
+    monkeypatch.setattr(dense, "_TILE_QUERIES", 7)
+    monkeypatch.setattr(dense, "_BLOCK_VECTORS", 11)
+    rng = np.random.default_rng(6)
+    queries, vectors = rng.normal(size=(30, 4)), rng.integers(-1, 2, size=(200, 4))
+    run = dense_top_k(frame(spark, "qid", queries), frame(spark, "doc_id", vectors).repartition(3), 9)
+    assert places(run) == sorted(brute_force(queries, vectors, 9))
+
+
 def test_cosine_and_zero_vector(spark):
     vectors = frame(spark, "doc_id", [[3.0, 4.0], [0.0, 0.0], [-1.0, 0.0]])
     got = {r.doc_id: r.score for r in cosine_top_k(frame(spark, "qid", [[2.0, 0.0]]), vectors, 3).collect()}
@@ -103,7 +136,7 @@ def test_native_expressions(spark):
 
 def test_dimension_mismatch(spark):
     index, queries = frame(spark, "doc_id", np.eye(3)), frame(spark, "qid", np.eye(4))
-    with pytest.raises(ValueError, match=r"\(3\).*\(4\)"):
+    with pytest.raises(ValueError, match=r"3 index vectors of dimension 3.*4 query vectors of dimension 4"):
         check_dimensions(index, queries)
     with pytest.raises(Exception, match="dimension"):
         dense_top_k(queries, index, 2).collect()

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.config import EvalConfig
+from rankloom.config import EvalConfig, HybridConfig
 from rankloom.operators.sampling import eligible_queries, sample_queries
 from rankloom.plans.evaluation import choose_methods, evaluate
 
@@ -41,10 +41,14 @@ def test_sample_is_stable(queries):
 
 
 def test_method_choice():
-    assert choose_methods("all") == ("bm25", "dense", "hybrid")
-    assert choose_methods("dense") == ("dense",)
+    names = ("bm25", "dense", "mine")
+    assert choose_methods("all", names) == ("bm25", "dense", "mine", "hybrid")
+    assert choose_methods("mine", names) == ("mine",)
+    assert choose_methods("all", ("mine",)) == ("mine",)
     with pytest.raises(ValueError, match="unknown method"):
-        choose_methods("none")
+        choose_methods("none", names)
+    with pytest.raises(ValueError, match="choose one of bm25 or all"):
+        choose_methods("hybrid", ("bm25",))
 
 
 @pytest.fixture(scope="module")
@@ -69,6 +73,31 @@ def test_all_methods(queries, make_qrels, sides):
     assert qids(result.queries) == ["q1", "q2", "q3"]
 
 
+def test_a_third_retriever(queries, make_run, make_qrels, sides):
+    more = {**sides, "mine": Fixed(make_run({"q1": ["z", "a"], "q2": ["b"]}))}
+    result = evaluate(more, queries, make_qrels({"q1": ["a"], "q2": ["b"]}))
+    got = {r.method: r for r in result.table.collect()}
+    assert set(got) == {"bm25", "dense", "mine", "hybrid"} and got["mine"]["mrr@10"] == 0.75
+    weighted = HybridConfig(more_weights=(("mine", 5000.0),))
+    fused = evaluate(more, queries, make_qrels({"q1": ["z"]}), method="hybrid", fusion=weighted)
+    assert fused.table.first()["mrr@1"] == 1.0
+
+
+def test_all_judged_queries_are_evaluated(queries, spark, make_run, make_qrels):
+    many = spark.range(230).selectExpr("concat('q', id) AS qid", "'text' AS text")
+    qrels = many.selectExpr("qid", "concat('d', qid) AS doc_id")
+    side = Fixed(qrels.selectExpr("qid", "doc_id", "1.0D AS score", "1 AS rank"))
+    result = evaluate({"bm25": side}, many, qrels)
+    assert result.queries.count() == 230 and result.table.first()["recall@1"] == 1.0
+
+
+def test_min_relevance_applies_to_scored_judgments(spark, queries, make_run):
+    qrels = spark.createDataFrame([("q1", "a", 1), ("q1", "x", 2), ("q2", "y", 1)], "qid string, doc_id string, score int")
+    side = Fixed(make_run({"q1": ["a", "x"], "q2": ["y"]}))
+    result = evaluate({"bm25": side}, queries, qrels, config=EvalConfig(min_relevance=2))
+    assert qids(result.queries) == ["q1"] and result.table.first()["mrr@10"] == 0.5
+
+
 def test_one_method(queries, make_qrels, sides):
     result = evaluate({"bm25": sides["bm25"]}, queries, make_qrels({"q1": ["a"]}), method="bm25")
     (row,) = result.table.collect()

@@ -2,7 +2,7 @@ import pytest
 
 from rankloom.config import HybridConfig
 from rankloom.operators.fusion import contributions, fuse, rrf_top_k
-from rankloom.operators.retrievers import HybridRetriever
+from rankloom.operators.retrievers import FusedRetriever, HybridRetriever
 
 
 class Fixed:
@@ -54,8 +54,9 @@ def test_scores(make_run):
 
 def test_three_runs(make_run):
     runs = {name: make_run({"q": [name, "shared"]}) for name in ("bm25", "dense", "other")}
-    assert ids(rrf_top_k(runs, 2))[0] == "shared"
-    assert contributions(runs).count() == 6
+    config = HybridConfig(more_weights=(("other", 1.0),))
+    assert ids(rrf_top_k(runs, 2, config))[0] == "shared"
+    assert contributions(runs, config).count() == 6
 
 
 def test_depth_of_each_side(spark, make_run):
@@ -65,9 +66,28 @@ def test_depth_of_each_side(spark, make_run):
     hybrid = HybridRetriever(bm25, dense)
     assert len(ids(hybrid.retrieve(queries, 10))) == 10
     assert bm25.asked == [20] and dense.asked == [20]
-    # Beyond 100 a side is shorter than k: two sides of 100 give at most 200 documents.
-    assert len(ids(hybrid.retrieve(queries, 250))) == 200
-    assert bm25.asked == [20, 100]
+    # Without a limit both sides are read as deep as they go.
+    assert len(ids(hybrid.retrieve(queries, 250))) == 250
+    assert bm25.asked == [20, 500]
+    # A limit cuts what is read beyond k, never k itself.
+    limited = HybridRetriever(bm25, dense, HybridConfig(max_fetch=100))
+    assert len(ids(limited.retrieve(queries, 80))) == 80
+    assert len(ids(limited.retrieve(queries, 250))) == 250
+    assert bm25.asked == [20, 500, 100, 250]
+
+
+def test_runs_are_fused_as_deep_as_given(make_run):
+    runs = {"bm25": make_run({"q": [f"d{i}" for i in range(90)]}), "dense": make_run({"q": ["d89"]})}
+    assert ids(rrf_top_k(runs, 1)) == ["d89"]
+
+
+def test_any_retrievers_by_name(spark, make_run):
+    queries = spark.createDataFrame([("q", "text")], "qid string, text string")
+    sides = {name: Fixed(make_run({"q": docs})) for name, docs in (("bm25", ["a", "b"]), ("graph", ["b", "c"]))}
+    heavy = HybridConfig(more_weights=(("graph", 9.0),))
+    assert ids(FusedRetriever(sides, heavy).retrieve(queries, 3)) == ["b", "c", "a"]
+    with pytest.raises(ValueError, match="no fusion weight for 'graph'"):
+        FusedRetriever(sides).retrieve(queries, 3)
 
 
 @pytest.mark.parametrize("k", [0, -1])

@@ -98,25 +98,27 @@ def test_only_matching_documents_come_back(corpus, queries):
     assert counts == {"q1": 3, "q2": 4, "q3": 1}
 
 
-def test_shuffle_strategy_gives_the_same_scores(corpus, queries):
-    """A broadcast limit of nothing sends the query terms through the salted join."""
+def test_slices_of_the_queries_give_the_same_run(corpus, queries):
+    """A small limit sends the queries to the postings one after the other."""
     index = lexical.index_corpus(corpus)
-    shuffled = scored(lexical.score(index, queries, Bm25Config(broadcast_bytes=0)))
-    broadcast = scored(lexical.score(index, queries))
-    assert shuffled.keys() == broadcast.keys()
-    assert all(shuffled[pair] == pytest.approx(value) for pair, value in broadcast.items())
+    sliced = sorted(map(tuple, lexical.bm25_top_k(index, queries, 3, Bm25Config(broadcast_bytes=300)).collect()))
+    assert sliced == sorted(map(tuple, lexical.bm25_top_k(index, queries, 3).collect()))
+
+
+def test_unknown_field_is_refused(corpus, queries):
+    with pytest.raises(ValueError, match="no field titel; its fields are title, text"):
+        lexical.bm25_top_k(lexical.index_corpus(corpus), queries, 3, Bm25Config(boosts=(("titel", 1.0),)))
 
 
 def test_common_term_over_many_documents(spark):
-    """One term in every document and a third of all query words, on the salted path."""
+    """One term in every document and a third of all query words, in several slices."""
     docs = [(i, "", f"common word{i} other{i % 7}") for i in range(2000)]
     asked = [(i, f"common common word{i}") for i in range(0, 60)]
     corpus = spark.createDataFrame(docs, "doc_id long, title string, text string")
     queries = spark.createDataFrame(asked, "qid long, text string")
     index = lexical.index_corpus(corpus, partitions=5)
-    got = lexical.score(index, queries, Bm25Config(broadcast_bytes=0))
-    assert got.count() == 60 * 2000
-    top = top_k(got, 1).collect()
+    assert lexical.score(index, queries).count() == 60 * 2000
+    top = lexical.bm25_top_k(index, queries, 1, Bm25Config(broadcast_bytes=20_000)).collect()
     assert {r.qid: r.doc_id for r in top} == {i: i for i, _ in asked}
 
 

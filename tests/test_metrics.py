@@ -62,6 +62,22 @@ def test_query_without_judgments_is_left_out(spark, make_run, make_qrels):
     assert measure(spark, make_run, make_qrels, [], ["d1", "d2"], (5,)) is None
 
 
+def test_judged_query_with_nothing_relevant_is_zero(spark, make_run, make_qrels):
+    evaluated = spark.createDataFrame([("q",), ("r",), ("unjudged",)], "qid string")
+    judged = spark.createDataFrame([("q",), ("q",)], "qid string")
+    run, qrels = make_run({"q": ["d1", "d2"], "r": ["d1"]}), make_qrels({"r": ["d1"]})
+    got = flat(query_metrics(evaluated, run, qrels, (3, 5), judged=judged))
+    assert got.keys() == {"q", "r"}
+    assert set(got["q"].values()) == {0.0} and got["r"]["recall@5"] == 1.0
+    means = mean_metrics(evaluated, run, qrels, (5,), ("m",), judged)
+    assert {r.metric: r.value for r in means.collect()}["mrr"] == 0.5
+
+
+def test_a_judgment_given_twice_counts_once(spark, make_run, make_qrels):
+    got = measure(spark, make_run, make_qrels, ["d", "d", "e"], ["d"], (1, 2))
+    assert (got["ndcg@1"], got["recall@2"]) == (1.0, 0.5)
+
+
 def means(spark, make_run, make_qrels, sets, lists, ks, evaluated=None):
     qids = [(q,) for q in (evaluated or lists)]
     frame = mean_metrics(

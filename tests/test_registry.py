@@ -4,9 +4,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from rankloom.plans.oracle import SQL
+from rankloom.plans.registry import QUERIES
 
-TABLES = ("documents", "benchmark", "embeddings", "labels", "events")
-NAMES = sorted(entry.queries())
+TABLES = ("documents", "benchmark", "embeddings", "labels", "events", "pages", "conversations")
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -23,13 +25,14 @@ def canonical(rows, columns):
 
 
 def test_every_query_has_its_sql():
-    assert entry.queries().keys() == entry.oracle_sql().keys()
+    assert QUERIES.keys() == SQL.keys()
+    assert QUERIES.keys() <= entry.queries().keys() and SQL.keys() <= entry.oracle_sql().keys()
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_agrees_with_sql(spark, data_dir, db, name):
-    frame = entry.queries()[name](spark, data_dir)
-    cursor = db.execute(entry.oracle_sql()[name])
+    frame = QUERIES[name](spark, data_dir)
+    cursor = db.execute(SQL[name])
     columns = [column[0] for column in cursor.description]
     assert sorted(frame.columns) == sorted(columns)
     rows = [tuple(row) for row in frame.collect()]
@@ -39,7 +42,7 @@ def test_agrees_with_sql(spark, data_dir, db, name):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_plan_has_no_cross_join(spark, data_dir, name):
-    frame = entry.queries()[name](spark, data_dir)
+    frame = QUERIES[name](spark, data_dir)
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(frame._jdf.queryExecution(), "simple")
     assert "CartesianProduct" not in plan
     assert "BroadcastNestedLoopJoin" not in plan
