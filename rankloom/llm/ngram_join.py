@@ -45,7 +45,7 @@ class Settings:
     step: int = 32
     tolerance: float = 1e-7
     # Numbers of one block: n-grams and MinHash values of its classes, 8 bytes each.
-    block_weight: int = 1 << 20
+    block_weight: int = 1 << 19
     seed: int = 9
 
     @property
