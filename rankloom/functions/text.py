@@ -4,8 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# Fixed value: a word is a run of Unicode letters and digits.
-WORD_PATTERN = r"[\p{L}\p{N}]+"
+# Fixed values, from the Unicode rules for word boundaries: marks that hold two letters together, and
+# two digits. "don't", "e.g", "3.14" and "a_b" are one word each.
+BETWEEN_LETTERS = "'\u2019.:\u00b7\u2027"
+BETWEEN_DIGITS = "'\u2019.,;"
+
+# A word has letters, digits, combining marks and underscores, and at least one letter or digit.
+WORD_PATTERN = (
+    r"_*[\p{L}\p{N}][\p{L}\p{M}\p{N}_]*"
+    rf"(?:(?:(?<=[\p{{L}}\p{{M}}])[{BETWEEN_LETTERS}](?=\p{{L}})|(?<=\p{{N}})[{BETWEEN_DIGITS}](?=\p{{N}}))"
+    r"[\p{L}\p{M}\p{N}_]+)*"
+)
 
 # Whitespace as Python's str.strip sees it; Spark's own trim removes spaces only.
 STRIP_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankloom.functions.text import STRIP_CHARS
+from rankloom.functions.text import BETWEEN_DIGITS, BETWEEN_LETTERS, STRIP_CHARS
 from rankloom.plans import testbed
 from rankloom.plans.registry import DEEP_K, DIGITS, K, KS, SAMPLE, SEED
 
@@ -12,8 +12,14 @@ _METRICS = ("recall", "precision", "mrr", "ndcg")
 _STRIP = " || ".join(f"chr({ord(char)})" for char in STRIP_CHARS)
 
 
+# Words by consuming the letters around a mark, as DuckDB's patterns cannot look around.
+_LETTERS = rf"(?:[{BETWEEN_LETTERS}]\p{{L}}\p{{M}}*)*".replace("'", "''")
+_DIGITS = rf"(?:[{BETWEEN_DIGITS}]\p{{N}})*".replace("'", "''")
+_WORD = rf"_*(?:\p{{L}}\p{{M}}*{_LETTERS}|\p{{N}}{_DIGITS})(?:[\p{{L}}\p{{M}}]\p{{M}}*{_LETTERS}|\p{{N}}{_DIGITS}|_)*"
+
+
 def _words(text: str) -> str:
-    return rf"regexp_extract_all(lower({text}), '[\p{{L}}\p{{N}}]+')"
+    return f"regexp_extract_all(lower({text}), '{_WORD}')"
 
 
 def _bm25(name: str, boosts: dict[str, float], k: int, asked: str = "queries") -> str:

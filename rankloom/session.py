@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,6 +27,18 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8, memory:
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, for a cluster where it is not installed.
+
+    Functions that run in Python workers are looked up there by the name of their module.
+    """
+    package = Path(__file__).resolve().parent
+    # The driver serves this file for as long as the application runs.
+    folder = tempfile.mkdtemp(prefix="rankloom-package-")
+    archive = shutil.make_archive(f"{folder}/{package.name}", "zip", package.parent, package.name)
+    spark.sparkContext.addPyFile(archive)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by the cluster.
 
