@@ -38,7 +38,7 @@ from rankloom.session import materialise
 class Settings:
     threshold: float = 0.98
     # Rows a cell should have; a label gets as many cells as that needs, within the bound below.
-    cell_rows: int = 4096
+    cell_rows: int = 512
     # Centres of all labels together: bounds what is broadcast and kept by a worker.
     max_cells: int = 4096
     # Rows that k-means is fitted on, of all labels together.
