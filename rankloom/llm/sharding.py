@@ -82,23 +82,18 @@ def assign_slots(
         spark.range(shards)
         .select(F.col("id").cast("int").alias("shard"))
         .join(F.broadcast(kept), "shard", "left")
-        .agg(
-            F.sort_array(
-                F.collect_list(
-                    F.struct(
-                        F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"),
-                        F.coalesce("n", F.lit(0).cast("long")).alias("n"),
-                        "shard",
-                    )
-                )
-            ).alias("loads")
+        .select(
+            F.struct(
+                F.coalesce("bytes", F.lit(0).cast("long")).alias("bytes"),
+                F.coalesce("n", F.lit(0).cast("long")).alias("n"),
+                "shard",
+            ).alias("load")
         )
-        .withColumn("one", F.lit(1))
     )
-    free = (
-        rows.where("shard IS NULL")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("bytes")).alias("less"), "slot"))).alias("free"))
-        .withColumn("one", F.lit(1))
+    free = rows.where("shard IS NULL").select(F.struct((-F.col("bytes")).alias("less"), "slot").alias("free"))
+    # One row that holds both lists; collecting leaves out the nulls of the other side.
+    both = free.unionByName(loads, allowMissingColumns=True).agg(
+        F.sort_array(F.collect_list("free")).alias("free"), F.sort_array(F.collect_list("load")).alias("loads")
     )
 
     def give(state: Column, slot: Column) -> Column:
@@ -114,8 +109,7 @@ def assign_slots(
 
     start = F.struct("loads", F.array().cast("array<int>").alias("given"))
     given = (
-        free.join(F.broadcast(loads), "one")
-        .select("free", F.aggregate("free", start, give)["given"].alias("given"))
+        both.select("free", F.aggregate("free", start, give)["given"].alias("given"))
         .select(F.explode(F.arrays_zip("free", "given")).alias("x"))
         .select(F.col("x.free.slot").alias("slot"), F.col("x.given").alias("shard"))
     )
