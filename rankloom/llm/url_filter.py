@@ -1,11 +1,9 @@
 """Filtering pages by url: rules on host and path, then a list of canonical urls.
 
-The listed urls fill a blocked Bloom filter: one hash picks a block of 256 bits, others set eight bits
-in it. The filter is a table of blocks, built by one aggregation with a bitwise or. A page whose bits
-are not all set cannot be listed and passes at once; the possible hits go on to an exact join with the
-list, which removes the false positives. The number of blocks follows the list up to ``max_blocks``, so
-the broadcast filter has a fixed bound; beyond it more pages go through the exact join, with the same
-result. A url that very many pages share is a skewed key on the page side of that join only, which
+The listed urls fill a blocked Bloom filter, a table of blocks of bits. A page whose bits are not all set
+cannot be listed and passes at once; the possible hits go on to an exact join with the list, which
+removes the false positives. The number of blocks follows the list up to ``max_blocks``, so the broadcast
+filter has a fixed bound; beyond it more pages go through the exact join, with the same result. A url that very many pages share is a skewed key on the page side of that join only, which
 Spark splits at run time.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no canonical form, fits
@@ -20,18 +18,12 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankloom.llm import bloom
 from rankloom.session import materialise
 
-BLOCK_WORDS = 4
-BITS_PER_URL = 16
-# 131,072 blocks of 256 bits: two million urls at 16 bits each, a table of 5 MB.
-MAX_BLOCKS = 1 << 17
-
 # Query parameters that only follow the visitor; names of this form are dropped.
 TRACKING = r"^(utm_[^=]*|ref|gclid|fbclid)(=|$)"
 
-_BLOCK_SEED, _BIT_SEED = 11, 23
-
 
 class Rule(NamedTuple):
     """``host`` and all its subdomains, for paths that start with ``path``."""
@@ -81,39 +73,13 @@ def rule_for(rules: Sequence[Rule], host: Column, path: Column) -> tuple[Column,
     return names, actions
 
 
-def _block(url: Column, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(F.lit(_BLOCK_SEED), url), F.lit(blocks)).cast("int")
-
-
-def _masks(url: Column) -> list[Column]:
-    """Two bits in each word of the block, from one hash of 48 bits."""
-    hashed = F.xxhash64(F.lit(_BIT_SEED), url)
-    one = F.lit(1).cast("long")
-
-    def bit(k: int) -> Column:
-        place = F.shiftrightunsigned(hashed, 6 * k).bitwiseAND(F.lit(63)).cast("int")
-        return F.call_function("shiftleft", one, place)
-
-    return [bit(2 * k).bitwiseOR(bit(2 * k + 1)) for k in range(BLOCK_WORDS)]
-
-
-def bloom_blocks(listed: DataFrame, blocks: int) -> DataFrame:
-    """The filter: one row per block in use, with its words. ``listed`` has a column canonical."""
-    masks = _masks(F.col("canonical"))
-    return (
-        listed.select(_block(F.col("canonical"), blocks).alias("block"), *[m.alias(f"m{k}") for k, m in enumerate(masks)])
-        .groupBy("block")
-        .agg(*[F.bit_or(f"m{k}").alias(f"w{k}") for k in range(BLOCK_WORDS)])
-    )
-
-
 def judge(
     pages: DataFrame,
     listed: DataFrame,
     rules: Sequence[Rule] = (),
     page_id: str = "page_id",
     url: str = "url",
-    max_blocks: int = MAX_BLOCKS,
+    max_blocks: int = bloom.MAX_BLOCKS,
 ) -> DataFrame:
     """page_id, url, host, path, rule, listed (boolean) and verdict, one row per page.
 
@@ -122,8 +88,7 @@ def judge(
     entries = materialise(
         listed.select(canonical(F.col("url")).alias("canonical")).where("canonical IS NOT NULL").distinct(), "listed-urls"
     )
-    blocks = max(1, min(max_blocks, -(-entries.count() * BITS_PER_URL // (64 * BLOCK_WORDS))))
-    bloom = bloom_blocks(entries, blocks)
+    blocks = bloom.block_count(entries.count(), max_blocks)
 
     address = F.col("url")
     rule, action = rule_for(rules, F.col("host"), F.col("path"))
@@ -131,14 +96,8 @@ def judge(
         pages.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").alias("url"))
         .withColumns({"host": host_of(address), "path": path_of(address), "canonical": canonical(address)})
         .withColumns({"rule": rule, "action": action})
-        .withColumn("block", _block(F.col("canonical"), blocks))
-        .join(F.broadcast(bloom), "block", "left")
     )
-    all_set = F.lit(True)
-    for k, mask in enumerate(_masks(F.col("canonical"))):
-        all_set = all_set & (F.col(f"w{k}").bitwiseAND(mask) == mask)
-    possible = F.coalesce(all_set & F.col("canonical").isNotNull(), F.lit(False))
-    rows = rows.withColumn("possible", possible).drop("block", *[f"w{k}" for k in range(BLOCK_WORDS)])
+    rows = bloom.mark(rows, "canonical", bloom.build(entries, "canonical", blocks), blocks)
 
     passed = rows.where(~F.col("possible")).withColumn("listed", F.lit(False))
     checked = (

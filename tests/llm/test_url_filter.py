@@ -1,6 +1,6 @@
 import pytest
 
-from rankloom.llm import queries, url_filter
+from rankloom.llm import bloom, queries, url_filter
 from rankloom.llm.url_filter import Rule
 
 PAGES = "page_id long, url string"
@@ -63,16 +63,9 @@ def test_no_listed_url_is_lost_and_no_other_is_caught(judge, max_blocks):
 
 def test_the_filter_passes_few_others(spark):
     listed = spark.range(2000).selectExpr("concat('l', id) AS canonical")
-    blocks = 2000 * url_filter.BITS_PER_URL // 256
-    bloom = url_filter.bloom_blocks(listed, blocks)
+    blocks = bloom.block_count(2000)
     probes = spark.range(20000).selectExpr("concat('p', id) AS canonical").unionByName(listed)
-    tests = " AND ".join(f"(w{k} & m{k}) = m{k}" for k in range(url_filter.BLOCK_WORDS))
-    column = probes.canonical
-    hits = (
-        probes.select(url_filter._block(column, blocks).alias("block"), "canonical", *[m.alias(f"m{k}") for k, m in enumerate(url_filter._masks(column))])
-        .join(bloom, "block")
-        .where(tests)
-    )
+    hits = bloom.mark(probes, "canonical", bloom.build(listed, "canonical", blocks), blocks).where("possible")
     assert hits.where("canonical LIKE 'l%'").count() == 2000
     assert hits.where("canonical LIKE 'p%'").count() < 0.02 * 20000
 
