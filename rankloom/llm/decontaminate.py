@@ -30,8 +30,8 @@ from rankloom.session import materialise
 
 WINDOW = 10
 BLOCK = 2
-# Bytes of item text per slice: some ten thousand ordinary items.
-SLICE_BYTES = 4 << 20
+# Bytes of item text per slice: some five thousand ordinary items, about 100 MB of tables in a worker.
+SLICE_BYTES = 1 << 20
 
 RESULTS = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hits", "items")
 
