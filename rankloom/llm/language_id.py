@@ -20,6 +20,7 @@ table gives an empty table. Input columns named like a result column are replace
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -43,7 +44,9 @@ MAX_LETTERS = 20_000
 
 _SCALE = 1e9
 _CODE_BITS = 21
-_BETWEEN = re.compile(r"[\W\d_]+")
+# Numbers that are word characters but no decimal digits, such as fractions.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
+_BETWEEN = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
 
 RESULTS = ("lang_pred", "score")
 

@@ -86,7 +86,8 @@ def mix(
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (words, repeats counted).
 
-    ``weights`` has columns source and weight, one row per source, as its author wrote it.
+    ``weights`` has columns source and weight, one row per source, as its author wrote it; of a source
+    named twice the larger weight holds.
     """
     keep = [c for c in docs.columns if c.lower() not in RESULTS]
     order = F.xxhash64(F.lit(seed), *[F.col(f"`{c}`") for c in keep if _hashable(docs, c)])
@@ -106,7 +107,7 @@ def mix(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__src"),
         F.col("source").isNull().alias("__none"),
         "weight",
-    )
+    ).groupBy("__src", "__none").agg(F.max("weight").alias("weight"))
     sizes = cells.groupBy("__src", "__none").agg(F.sum("words").alias("source_size"))
     classes = cells.groupBy("__src", "__none", "__class").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("__src", "__none").orderBy(F.desc("__class")).rowsBetween(Window.unboundedPreceding, -1)

@@ -92,7 +92,7 @@ def test_odd_rows(spark):
 
 def test_sources_without_weight_give_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c", "x"), (2, "a b", "y"), (3, "a", "z")], SCHEMA)
-    weights = spark.createDataFrame([("x", 1.0), ("y", None), ("z", -1.0)], "source string, weight double")
+    weights = spark.createDataFrame([("x", 1.0), ("x", 0.5), ("y", None), ("z", -1.0)], "source string, weight double")
     found = {r.source: (r.target, r.taken) for r in mixing.mix(docs, weights).collect()}
     assert found == {"x": (6.0, 6), "y": (0.0, 0), "z": (0.0, 0)}
 
