@@ -2,12 +2,13 @@
 
 Every text becomes the set of its runs of five words. Texts with equal sets are one class, and only
 classes are compared. MinHash values of a class fill bands; classes that agree in a band belong to one
-group, a superset of all links: at similarity 0.8 a pair misses all 40 bands of 4 with probability 7e-10.
+group, a superset of all links: at similarity 0.8 a pair misses all 32 bands of 4 with probability 5e-8.
 Within a group, pairs are compared by their MinHash values a few at a time. After each step the posterior
 probability that the similarity reaches the threshold, given the agreements so far and a flat prior,
 decides: below ``tolerance`` the pair is dropped. The pairs left are verified on their whole sets.
 
-Groups of any size are dealt into blocks, and tasks compare pairs of blocks with arrays; what leaves a
+Only the texts of classes in groups are read again: a Bloom filter of bounded size keeps most others
+from being moved, and an exact join removes what it lets pass. Groups of any size are dealt into blocks, and tasks compare pairs of blocks with arrays; what leaves a
 task is one row per class with its number of linked documents and the smallest class it hangs together
 with. Neither pairs nor groups are ever gathered, and no partner is left out.
 
@@ -29,6 +30,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from rankloom.llm import bloom
 from rankloom.llm.blocks import Forest, plan_groups, to_units
 from rankloom.llm.common import slices, words_of
 from rankloom.llm.components import components
@@ -39,7 +41,7 @@ from rankloom.session import materialise
 class Settings:
     n: int = 5
     threshold: float = 0.8
-    bands: int = 40
+    bands: int = 32
     rows: int = 4
     # MinHash values compared between two looks at the posterior, and where it drops a pair.
     step: int = 32
@@ -86,6 +88,13 @@ def min_hashes(grams: np.ndarray, factors: np.ndarray, terms: np.ndarray) -> np.
     return least
 
 
+def band_hashes(values: np.ndarray, settings: Settings) -> np.ndarray:
+    total = _mixed(np.arange(1, settings.bands + 1, dtype=np.uint64) * _STEP)
+    for column in values.reshape(settings.bands, settings.rows).T:
+        total = _mixed(total * _STEP + column.astype(np.uint64))
+    return total.view(np.int64)
+
+
 def _hash_family(settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     random = np.random.Generator(np.random.PCG64(settings.seed))
     factors = random.integers(0, 2**63, settings.hashes, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -113,42 +122,41 @@ def _text_key(text: str = "text") -> Column:
 
 
 def signatures(rows: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, key (of the text), print (of the set), size and sig; print is null without words."""
+    """doc_id, key (of the text), print (of the set), size and bands; print is null without words.
+
+    ``bands`` has one hash per band, made of the band's number and its MinHash values.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, terms = _hash_family(settings)
         for batch in slices(batches, 256):
-            prints, sizes, sigs = [], [], []
+            prints, sizes, bands = [], [], []
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
                 grams = shingles(raw, settings.n)
                 sizes.append(len(grams))
                 if len(grams):
                     prints.append(int(_mixed(np.cumsum(_mixed(grams + _STEP))[-1:])[0].astype(np.int64)))
-                    sigs.append(min_hashes(grams, factors, terms).view(np.int32))
+                    bands.append(band_hashes(min_hashes(grams, factors, terms), settings))
                 else:
                     prints.append(None)
-                    sigs.append(None)
+                    bands.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("key"),
                     pa.array(prints, pa.int64()),
                     pa.array(sizes, pa.int32()),
-                    pa.array(sigs, pa.list_(pa.int32())),
+                    pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "print", "size", "sig"],
+                names=["doc_id", "key", "print", "size", "bands"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, key long, print long, size int, sig array<int>")
+    return rows.mapInArrow(run, "doc_id long, key long, print long, size int, bands array<long>")
 
 
-def candidate_groups(classes: DataFrame, settings: Settings) -> DataFrame:
+def candidate_groups(classes: DataFrame) -> DataFrame:
     """node and component: classes that agree in a band, directly or through others."""
-    width = settings.rows
-    bands = F.transform(
-        F.sequence(F.lit(0), F.lit(settings.bands - 1)), lambda b: F.xxhash64(b, F.slice("sig", b * width + 1, width))
-    )
-    filled = classes.select(F.col("print").alias("node"), F.explode(bands).alias("band"))
+    filled = classes.select(F.col("print").alias("node"), F.explode("bands").alias("band"))
     shared = filled.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
     edges = filled.join(shared, "band").select(F.col("node").alias("u"), "v")
     return components(edges, "ngram-groups")
@@ -156,15 +164,18 @@ def candidate_groups(classes: DataFrame, settings: Settings) -> DataFrame:
 
 def _with_shingles(rows: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factors, terms = _hash_family(settings)
         for batch in slices(batches, 256):
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            grams = [shingles(raw, settings.n).view(np.int64) for raw in texts]
+            grams = [shingles(raw, settings.n) for raw in batch.column("text").cast(pa.binary()).to_pylist()]
+            sigs = [min_hashes(g, factors, terms).view(np.int32) for g in grams]
             others = [name for name in batch.schema.names if name != "text"]
-            columns = [batch.column(name) for name in others] + [pa.array(grams, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "grams"])
+            columns = [batch.column(name) for name in others]
+            columns.append(pa.array(sigs, pa.list_(pa.int32())))
+            columns.append(pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays(columns, names=[*others, "sig", "grams"])
 
-    schema = "node long, component long, copies long, sig array<int>, blocks int, grams array<long>"
-    return rows.select("node", "component", "copies", "sig", "blocks", "text").mapInArrow(run, schema)
+    schema = "node long, component long, copies long, blocks int, sig array<int>, grams array<long>"
+    return rows.select("node", "component", "copies", "blocks", "text").mapInArrow(run, schema)
 
 
 class _Side:
@@ -235,7 +246,6 @@ def join(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
     whose similarity reaches the threshold, ``component_id`` the smallest id reachable by links, and
     ``kept`` marks one document of each component. ``key`` is a hash of the text.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text")).withColumn(
         "key", _text_key()
     )
@@ -245,24 +255,26 @@ def join(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
         .groupBy("print", "size")
         .agg(
             F.count("*").alias("copies"),
-            # Equal sets have equal signatures; the first row with the smallest id stands for the class.
+            # Equal sets have equal bands; the first row with the smallest id stands for the class.
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"),
-            F.first("sig").alias("sig"),
+            F.first("bands").alias("bands"),
         )
-        .select("print", "size", "copies", "first.doc_id", "first.key", "sig"),
+        .select("print", "size", "copies", "first.doc_id", "first.key", "bands"),
         "ngram-classes",
     )
-    groups = materialise(candidate_groups(classes, settings), "ngram-members")
+    groups = materialise(candidate_groups(classes), "ngram-members")
     members = classes.join(groups, classes["print"] == groups["node"]).select(
-        "node", "component", "copies", "sig", "size", F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")
+        "node", "component", "copies", "size", F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")
     )
     weights = members.groupBy("component").agg(F.sum(F.col("size") + settings.hashes).alias("weight"))
     planned = materialise(plan_groups(weights, settings.block_weight), "ngram-blocks")
     total = planned.where("blocks = 1").agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()["w"]
     bins = max(1, -(-total // settings.block_weight))
     members = members.join(planned.select("component", "blocks"), "component")
-    texts = rows.join(
-        members, (rows["key"] == members["first_key"]) & rows["doc_id"].eqNullSafe(members["first_id"])
+    blocks = bloom.block_count(groups.count())
+    asked = bloom.mark(rows, "key", bloom.build(members, "first_key", blocks), blocks).where("possible")
+    texts = asked.join(
+        members, (asked["key"] == members["first_key"]) & asked["doc_id"].eqNullSafe(members["first_id"])
     ).dropDuplicates(["node"])
     units = to_units(_with_shingles(texts, settings), "node", F.col("component"), F.col("blocks"), bins)
     compared = materialise(compare(units, settings), "ngram-links")
@@ -299,13 +311,21 @@ def join(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
 
 
 def keep_one(docs: DataFrame, joined: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents that ``join`` keeps, one row of those equal in id and text."""
+    """The documents that ``join`` keeps, one row of those equal in id and text.
+
+    ``joined`` has been written before. Most documents are kept and occur once; a Bloom filter of the
+    others lets them pass without being moved. The rest meet the decisions in an exact join.
+    """
     names = docs.columns
-    chosen = joined.where("kept").select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.lit(True).alias("__kept"))
+    decided = joined.groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.bool_or("kept").alias("kept"))
+    special = materialise(decided.where("n > 1 OR NOT kept"), "ngram-dropped")
     rows = docs.withColumn("__text", F.xxhash64(F.col(f"`{text}`")))
+    blocks = bloom.block_count(special.count())
+    rows = bloom.mark(rows, "__text", bloom.build(special, "key", blocks), blocks, "__possible")
+    decisions = special.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("kept").alias("__kept"))
     same = (F.col("__text") == F.col("__key")) & F.col(f"`{key}`").cast("long").eqNullSafe(F.col("__id"))
-    return (
-        rows.join(chosen.distinct(), same)
-        .dropDuplicates([key, "__text"])
-        .select(*[F.col(f"`{c}`") for c in names])
-    )
+    met = rows.where("__possible").join(decisions, same, "left")
+    repeated = met.where("__kept").dropDuplicates([key, "__text"])
+    plain = rows.where("NOT __possible").unionByName(met.where("__kept IS NULL").select(*rows.columns))
+    columns = [F.col(f"`{c}`") for c in names]
+    return plain.select(*columns).unionByName(repeated.select(*columns))

@@ -7,6 +7,7 @@ import pytest
 
 from rankloom.llm import ngram_join
 from rankloom.llm.ngram_join import Settings
+from rankloom.session import materialise
 
 SCHEMA = "doc_id long, text string"
 
@@ -73,7 +74,7 @@ def test_posterior_keeps_pairs_at_the_threshold():
     settings = Settings()
     source = np.random.default_rng(1)
     looks = ngram_join.least_agreements(settings)
-    assert [n for n, _ in looks] == [32, 64, 96, 128, 160]
+    assert [n for n, _ in looks] == [32, 64, 96, 128]
     agree = source.random((200_000, settings.hashes)) < settings.threshold
     kept = np.ones(len(agree), bool)
     for n, need in looks:
@@ -109,7 +110,7 @@ def test_odd_rows_and_keeping_one(spark, prose):
     assert sorted(found[None], key=str) == sorted([(3, None, 3, False), (0, None, None, True)], key=str)
     assert all(found[k] == [(0, k, k, True)] for k in (7, 8, 9, 10, 13))
     assert found[11] == [(1, 11, 11, True)] and found[12] == [(1, 11, 11, False)]
-    kept = ngram_join.keep_one(docs, joined)
+    kept = ngram_join.keep_one(docs, materialise(joined, "joined"))
     assert kept.columns == docs.columns
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 3, 7, 8, 9, 10, 11, 13]
     assert ngram_join.join(docs.limit(0)).collect() == []
