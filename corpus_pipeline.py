@@ -25,7 +25,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word n-grams, similarity 0.8 or more."""
-    return ngram_join.keep_one(docs, ngram_join.join(docs))
+    return ngram_join.keep_one(docs, materialise(ngram_join.join(docs), "ngram-decisions"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
