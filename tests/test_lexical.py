@@ -61,7 +61,14 @@ def scored(frame):
 
 def test_words(spark):
     row = spark.range(1).select(words(F.lit("Don't stop_it: Größe-42, 3.14 déjà")).alias("w")).first()
-    assert row.w == ["don", "t", "stop", "it", "größe", "42", "3", "14", "déjà"]
+    assert row.w == ["don't", "stop_it", "größe", "42", "3.14", "déjà"]
+    cases = {
+        "e.g. 'a' __ _a_": ["e.g", "a", "_a_"],
+        "a.1 1.a a..b 1,000.5": ["a", "1", "1", "a", "a", "b", "1,000.5"],
+        "e\u0301t x\u2019y \u0301": ["e\u0301t", "x\u2019y"],
+    }
+    for text, expected in cases.items():
+        assert spark.range(1).select(words(F.lit(text)).alias("w")).first().w == expected
     assert spark.range(1).select(words(F.lit(None).cast("string")).alias("w")).first().w == []
 
 
