@@ -153,17 +153,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     )
 
 
-def score(index: TextIndex, queries: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
+def score(index: TextIndex, queries: DataFrame, config: Bm25Config = Bm25Config(), push: bool = True) -> DataFrame:
     """Score every (query, document) pair that shares a term: the best field counts, not the sum.
 
-    ``queries`` are one slice: their words are broadcast. :func:`bm25_top_k` makes the slices.
+    ``queries`` are one slice: their words are broadcast. :func:`bm25_top_k` makes the slices. With
+    ``push``, their words are counted first, and a few are handed to the reader of the postings.
     """
     terms = query_terms(queries)
     idf = _boosted_idf(index, config)
     # No filter by field: only the wanted fields have weights to be joined with.
     postings = index.postings.select("doc_id", "field", "term", "tf", "dl")
-    few = terms.select("term").distinct().limit(_PUSHED_TERMS + 1).collect()
-    if len(few) <= _PUSHED_TERMS:
+    few = terms.select("term").distinct().limit(_PUSHED_TERMS + 1).collect() if push else []
+    if push and len(few) <= _PUSHED_TERMS:
         wanted = F.col("term").isin([row.term for row in few])
         postings, idf = postings.where(wanted), idf.where(wanted)
     weighted = F.broadcast(_weights(idf.join(F.broadcast(terms), "term")))
@@ -240,10 +241,12 @@ def bm25_top_k(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config
     size = query_bytes(queries, len(config.fields))
     count = max(1, -(-size // max(1, config.broadcast_bytes)))
     if count == 1:
-        return top_k(score(index, queries, config), k)
+        # No need to count the words of queries that are clearly more than the reader takes.
+        push = size <= 8 * _PUSHED_TERMS * _ROW_BYTES * len(config.fields)
+        return top_k(score(index, queries, config, push), k)
     part = F.pmod(F.xxhash64("qid"), F.lit(count))
     done = None
     for number in range(count):
-        run = materialise(top_k(score(index, queries.where(part == number), config), k), "bm25-slice")
+        run = materialise(top_k(score(index, queries.where(part == number), config, False), k), "bm25-slice")
         done = run if done is None else done.unionByName(run)
     return done
