@@ -8,6 +8,8 @@ learned together from the labels of documents alone, by Adam on the log loss.
 
 Learning takes a bounded sample of labelled documents: ``Settings.sample`` rows by hash, an equal share of
 either label where there are enough, and of each at most ``Settings.passages`` passages, spread evenly.
+The log loss of a sampled row is weighted by how many labelled rows of its label it stands for, so the
+scores are those of the labels' true shares, however large the table is.
 Scoring reads every passage of every document, a block of passages at a time, and keeps running sums of
 the attention, so a text of any length needs the memory of one block beside its words.
 
@@ -147,9 +149,12 @@ def _pool(a: np.ndarray, h: np.ndarray, bag: np.ndarray, bags: int) -> tuple[np.
     return np.add.reduceat(alpha[:, None] * h, starts), alpha
 
 
-def fit(bags: Sequence[np.ndarray], labels: np.ndarray, settings: Settings = Settings()) -> Model:
-    """Learn from bags of passage features and their labels (0 or 1, both present)."""
+def fit(
+    bags: Sequence[np.ndarray], labels: np.ndarray, settings: Settings = Settings(), weights: np.ndarray | None = None
+) -> Model:
+    """Learn from bags of passage features, their labels (0 or 1, both present) and weights (all 1 if None)."""
     random = np.random.default_rng(settings.seed)
+    weights = np.ones(len(bags)) if weights is None else weights / weights.mean()
     stacked = np.concatenate(bags)
     mean, spread = stacked.mean(axis=0), stacked.std(axis=0) + 1e-3
     wide, deep = settings.hidden, settings.attention
@@ -173,23 +178,25 @@ def fit(bags: Sequence[np.ndarray], labels: np.ndarray, settings: Settings = Set
             x = np.concatenate([bags[k] for k in chosen])
             bag = np.repeat(np.arange(len(chosen)), [len(bags[k]) for k in chosen])
             step += 1
-            for n, g in _gradients(model, x, bag, labels[chosen]).items():
-                weights = getattr(model, n)
-                g = g + settings.decay * weights
+            for n, g in _gradients(model, x, bag, labels[chosen], weights[chosen]).items():
+                values = getattr(model, n)
+                g = g + settings.decay * values
                 first[n] = 0.9 * first[n] + 0.1 * g
                 second[n] = 0.999 * second[n] + 0.001 * g * g
-                weights -= rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
+                values -= rate * (first[n] / (1 - 0.9**step)) / (np.sqrt(second[n] / (1 - 0.999**step)) + 1e-8)
     return model
 
 
-def _gradients(model: Model, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-    """Gradients of the mean log loss over the bags."""
+def _gradients(
+    model: Model, x: np.ndarray, bag: np.ndarray, y: np.ndarray, weights: np.ndarray | float = 1.0
+) -> dict[str, np.ndarray]:
+    """Gradients of the mean over the bags of their weighted log loss."""
     n = len(y)
     inputs = _biased(np.clip((x - model.mean) / model.spread, -8, 8))
     h = np.tanh(inputs @ model.E)
     t, g = np.tanh(h @ model.V), _sigmoid(h @ model.U)
     z, alpha = _pool((t * g) @ model.w, h, bag, n)
-    error = (_sigmoid(z @ model.s[:-1] + model.s[-1]) - y) / n
+    error = (_sigmoid(z @ model.s[:-1] + model.s[-1]) - y) * weights / n
     dz = error[:, None] * model.s[:-1]
     # Softmax: each weight's change acts against the bag's mean.
     da = alpha * (((h - z[bag]) * dz[bag]).sum(axis=1))
@@ -205,7 +212,10 @@ def _gradients(model: Model, x: np.ndarray, bag: np.ndarray, y: np.ndarray) -> d
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text: str, key: str, label: str) -> DataFrame:
-    """raw and label of at most ``settings.sample`` labelled documents, chosen by hash of their id."""
+    """raw and label of at most ``settings.sample`` labelled documents, chosen by hash of their id.
+
+    weight is one over the share of the label's rows that was chosen.
+    """
     marks = labels.where(F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("key")).agg(
         F.min(F.col(f"`{label}`").cast("int")).alias("label")
     )
@@ -215,12 +225,16 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text
     # A few more by hash than wanted, then the limit; the rest of the labels is never joined.
     steps = 1 << 20
     near = F.pmod(F.xxhash64("key", F.lit(settings.seed)), F.lit(steps))
-    quota = {v: int(steps * min(1.0, 1.1 * wanted[v] / max(1, counts.get(v, 0)))) for v in (0, 1)}
-    some = marks.where(near < F.when(F.col("label") == 1, quota[1]).otherwise(quota[0]))
+    quota = {v: max(1, int(steps * min(1.0, 1.1 * wanted[v] / max(1, counts.get(v, 0))))) for v in (0, 1)}
+    own = F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])
+    some = marks.where(near < own).withColumn("weight", F.lit(float(steps)) / own)
     bodies = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
     joined = bodies.join(F.broadcast(some), "key")  # at most 1.1 times the sample
     return joined.select(
-        F.coalesce("text", F.lit("")).cast("binary").alias("raw"), "label", F.xxhash64("key", F.lit(settings.seed)).alias("order")
+        F.coalesce("text", F.lit("")).cast("binary").alias("raw"),
+        "label",
+        "weight",
+        F.xxhash64("key", F.lit(settings.seed)).alias("order"),
     )
 
 
@@ -234,7 +248,7 @@ def train(
 ) -> Model | float:
     """A model, or the share of label 1 where the labels are not of both kinds (1 without labels)."""
     sampled = sample_labelled(docs, labels, settings, text, key, label)
-    schema = "label int, ordering long, n int, values array<double>"
+    schema = "label int, weight double, ordering long, n int, values array<double>"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -242,11 +256,12 @@ def train(
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("label").cast(pa.int32()),
+                    batch.column("weight"),
                     batch.column("order"),
                     pa.array([len(r) for r in rows], pa.int32()),
                     pa.array([r.ravel() for r in rows], pa.list_(pa.float64())),
                 ],
-                names=["label", "ordering", "n", "values"],
+                names=["label", "weight", "ordering", "n", "values"],
             )
 
     found = sampled.mapInArrow(encode, schema).limit(2 * settings.sample).collect()
@@ -255,7 +270,7 @@ def train(
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 1.0
     bags = [np.array(r["values"]).reshape(r["n"], N_FEATURES) for r in found]
-    return fit(bags, y, settings)
+    return fit(bags, y, settings, np.array([r["weight"] for r in found]))
 
 
 def score(

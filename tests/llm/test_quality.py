@@ -100,3 +100,35 @@ def test_the_sample_is_bounded(spark):
     sampled = quality.sample_labelled(docs, labels, settings, "text", "doc_id", "quality")
     counts = {r["label"]: r["count"] for r in sampled.groupBy("label").count().collect()}
     assert 150 < counts[0] < 260 and 150 < counts[1] < 260
+
+
+def test_a_balanced_sample_scores_like_all_labels(spark):
+    """Labels nine to one that the texts tell only in part: the share of label 1 must come through."""
+    random = np.random.default_rng(4)
+    rows = []
+    for k in range(6000):
+        good = int(k % 10 > 0)
+        marked = random.random() < (0.4 if good else 0.7)
+        rows.append((k, " ".join(["***" if marked else "word"] * int(random.integers(8, 30))), good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(4)
+    labels = docs.select("doc_id", "quality")
+    every = quality.train(docs, labels, Settings(sample=20_000, epochs=15))
+    some = quality.train(docs, labels, Settings(sample=1000, epochs=60))
+    for word, share in (("word", 0.9 * 0.6 / (0.9 * 0.6 + 0.1 * 0.3)), ("***", 0.9 * 0.4 / (0.9 * 0.4 + 0.1 * 0.7))):
+        part = [[word.encode()] * 20]
+        assert every.score(part, 8) == pytest.approx(share, abs=0.06)
+        assert some.score(part, 8) == pytest.approx(every.score(part, 8), abs=0.08)
+
+
+def test_weighted_gradients_are_those_of_repeated_bags():
+    found, labels = bags(6)
+    model = quality.fit(found, labels, Settings(epochs=1, hidden=4, attention=3))
+    counts = np.array([1, 2, 3, 1, 2, 3])
+    twice = [k for k in range(6) for _ in range(counts[k])]
+
+    def gradients(chosen, *weights):
+        bag = np.repeat(np.arange(len(chosen)), [len(found[k]) for k in chosen])
+        return quality._gradients(model, np.concatenate([found[k] for k in chosen]), bag, labels[chosen], *weights)
+
+    weighted, repeated = gradients(list(range(6)), counts / counts.mean()), gradients(twice)
+    assert all(np.allclose(weighted[n], repeated[n]) for n in weighted)
