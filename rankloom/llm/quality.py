@@ -7,8 +7,9 @@ weighted sum of their representations is scored by a logistic unit. Encoder, att
 learned together from the labels of documents alone, by Adam on the log loss.
 
 Learning takes a bounded sample of labelled documents: ``Settings.sample`` rows by hash, an equal share of
-either label where there are enough, and of each at most ``Settings.passages`` passages, spread evenly.
-The log loss of a sampled row is weighted by how many labelled rows of its label it stands for, so the
+either label where there are enough, each with all of its passages, so bags in learning and in scoring are
+the same. Should the passages of the sample exceed ``Settings.budget`` bytes, fewer rows are taken, by hash
+and whatever their length. The log loss of a sampled row is weighted by how many labelled rows of its label it stands for, so the
 scores are those of the labels' true shares, however large the table is.
 Scoring reads every passage of every document, a block of passages at a time, and keeps running sums of
 the attention, so a text of any length needs the memory of one block beside its words.
@@ -26,9 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from rankloom.llm.common import free_name, slices, without
+from rankloom.session import materialise
 
 RESULTS = ("score", "predicted")
 
@@ -38,7 +40,8 @@ class Settings:
     """Bounds of the sample and size of the model."""
 
     sample: int = 6000
-    passages: int = 24
+    # Bytes of encoded passages that are learned from; the row that passes it is the last one.
+    budget: int = 64 << 20
     words: int = 64
     hidden: int = 24
     attention: int = 12
@@ -67,13 +70,16 @@ N_KINDS = len(_KINDS) + 1
 N_FEATURES = N_KINDS + 5
 
 
-def passages(raw: bytes, words: int, most: int | None = None) -> list[list[bytes]]:
-    """Word lists of the passages; of more than ``most`` an evenly spread choice. One empty if blank."""
+def passages(raw: bytes, words: int) -> list[list[bytes]]:
+    """Word lists of the passages. One empty if blank."""
     every = raw.split()
-    starts = list(range(0, len(every), words)) or [0]
-    if most and len(starts) > most:
-        starts = [starts[k * len(starts) // most] for k in range(most)]
-    return [every[start : start + words] for start in starts]
+    return [every[start : start + words] for start in range(0, len(every), words)] or [[]]
+
+
+def _encoded(raw: bytes, settings: Settings) -> np.ndarray:
+    """Features of all passages of a text, a block at a time."""
+    parts = passages(raw, settings.words)
+    return np.concatenate([features(parts[k : k + settings.block]) for k in range(0, len(parts), settings.block)])
 
 
 def features(parts: Sequence[list[bytes]]) -> np.ndarray:
@@ -238,6 +244,29 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text
     )
 
 
+def _within(encoded: DataFrame, settings: Settings) -> Column:
+    """Which rows of the encoded sample to learn from: all, or as many of either label as the budget holds.
+
+    Rows are taken by their hash, in the share of their label that has been gone through, so the weights of
+    the labels to each other hold for what is taken as well.
+    """
+    sizes = encoded.select("label", "ordering", "n").collect()
+    if sum(r["n"] for r in sizes) * N_FEATURES * 8 <= settings.budget:
+        return F.lit(True)
+    ranked = []
+    for value in (0, 1):
+        own = sorted((r["ordering"], r["n"]) for r in sizes if r["label"] == value)
+        ranked += [((k + 1) / len(own), value, order, n) for k, (order, n) in enumerate(own)]
+    last: dict[int, int] = {}
+    used = 0
+    for _, value, order, n in sorted(ranked):
+        # The first row of either label in any case.
+        if value not in last or used < settings.budget:
+            last[value] = order
+            used += n * N_FEATURES * 8
+    return F.lit(False) if not last else F.col("ordering") <= F.when(F.col("label") == 1, last.get(1)).otherwise(last.get(0))
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -248,28 +277,29 @@ def train(
 ) -> Model | float:
     """A model, or the share of label 1 where the labels are not of both kinds (1 without labels)."""
     sampled = sample_labelled(docs, labels, settings, text, key, label)
-    schema = "label int, weight double, ordering long, n int, values array<double>"
+    schema = "label int, weight double, ordering long, n int, values binary"
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            rows = [features(passages(raw, settings.words, settings.passages)) for raw in batch.column("raw").to_pylist()]
+        for batch in slices(batches, 64):
+            rows = [_encoded(raw, settings) for raw in batch.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("label").cast(pa.int32()),
                     batch.column("weight"),
                     batch.column("order"),
                     pa.array([len(r) for r in rows], pa.int32()),
-                    pa.array([r.ravel() for r in rows], pa.list_(pa.float64())),
+                    pa.array([r.tobytes() for r in rows], pa.binary()),
                 ],
                 names=["label", "weight", "ordering", "n", "values"],
             )
 
-    found = sampled.mapInArrow(encode, schema).limit(2 * settings.sample).collect()
+    encoded = materialise(sampled.mapInArrow(encode, schema).limit(2 * settings.sample), "quality-sample")
+    found = encoded.where(_within(encoded, settings)).collect()
     found.sort(key=lambda r: (r["ordering"], r["n"], r["values"]))
     y = np.array([r["label"] for r in found], dtype=np.float64)
     if not len(y) or y.min() == y.max():
         return float(y[0]) if len(y) else 1.0
-    bags = [np.array(r["values"]).reshape(r["n"], N_FEATURES) for r in found]
+    bags = [np.frombuffer(r["values"]).reshape(r["n"], N_FEATURES) for r in found]
     return fit(bags, y, settings, np.array([r["weight"] for r in found]))
 
 

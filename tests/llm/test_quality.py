@@ -132,3 +132,28 @@ def test_weighted_gradients_are_those_of_repeated_bags():
 
     weighted, repeated = gradients(list(range(6)), counts / counts.mean()), gradients(twice)
     assert all(np.allclose(weighted[n], repeated[n]) for n in weighted)
+
+
+def test_learning_reads_every_passage(spark, prose, monkeypatch):
+    """Documents of 40 passages, bad for one of them, at any place."""
+    rows = []
+    for k in range(120):
+        words = prose(64 * 40, k).split()
+        if k % 2:
+            place = 64 * (k * 7 % 40)
+            words[place : place + 64] = ["***"] * 64
+        rows.append((k, " ".join(words), 1 - k % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    held = {}
+    monkeypatch.setattr(quality, "fit", lambda bags, labels, settings, weights: held.update(bags=bags, y=labels, w=weights) or 0.5)
+    quality.train(docs, docs.select("doc_id", "quality"))
+    assert len(held["bags"]) == 120 and {len(b) for b in held["bags"]} == {40}
+    assert all((bag[:, quality.N_KINDS + 1] < 0.1).sum() == 1 - y for bag, y in zip(held["bags"], held["y"], strict=True))
+
+    # Fewer rows, not fewer passages, where the budget is small.
+    row = 40 * quality.N_FEATURES * 8
+    quality.train(docs, docs.select("doc_id", "quality"), Settings(budget=20 * row))
+    assert {len(b) for b in held["bags"]} == {40} and 20 <= len(held["bags"]) <= 21
+    assert abs(held["y"].sum() - 10) <= 1
+    quality.train(docs, docs.select("doc_id", "quality"), Settings(budget=1))
+    assert sorted(held["y"]) == [0, 1]
