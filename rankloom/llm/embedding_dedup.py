@@ -3,15 +3,17 @@
 Vectors are only compared when their labels are equal. A label with many rows is cut into cells by
 spherical k-means, fitted on a bounded sample; every vector is assigned to its nearest centre. A vector
 is also a guest in other cells, where a linked vector may have its home: if x lives in cell c and y in
-cell d, the line from x to y crosses the plane between both centres, so y lies within |x - y| of that
-plane. Directions of small differences are spread over all dimensions, so the distance to one plane is
-far below |x - y|; ``margin`` standard deviations of it are allowed (``margin=None`` allows all of |x - y|
-and loses nothing, at the price of many guests). Recall against brute force is measured in the tests.
-
-Links are counted in the home cell of a vector, against all residents and guests of that cell, so each
-link is counted once at either end. Large cells are dealt into blocks and compared by pairs of blocks;
-a task multiplies matrices and gives one row per vector with its number of links and the smallest linked
-id it knows. Components of those edges give the groups; the smallest id of a group represents it.
+cell d, the line from x to y crosses the plane between both centres, so the distances of x and y to that
+plane add up to |x - y| at most, and one of them is no more than half of it. Vectors within half the
+largest |x - y| of a plane are guests beyond it, so at least one of both cells holds both vectors, and no
+link is lost, in whatever directions vectors differ. ``margin`` can narrow that to so many standard
+deviations of a difference spread over all dimensions, with fewer guests and without that guarantee.
+
+Two residents of a cell are compared there. A resident and a guest are counted, for both ends, in the
+smaller one of their home cells that holds both, so each link is counted once at either end. Large cells
+are dealt into blocks and compared by pairs of blocks; a task multiplies matrices and gives one row per
+vector with its number of links and the smallest linked id it knows. Components of those edges give the
+groups; the smallest id of a group represents it.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite parts, and those without
 label or id, link with nothing: no links, their own component, kept. Vectors of unequal length never
@@ -44,7 +46,8 @@ class Settings:
     # Rows that k-means is fitted on, of all labels together.
     sample: int = 20_000
     rounds: int = 8
-    margin: float | None = 4.0
+    # None loses nothing.
+    margin: float | None = None
     # Rows of a block: two blocks of 64 numbers each are 16 MB.
     block_rows: int = 16_384
     # Rows of one side of a product.
@@ -126,41 +129,51 @@ def memberships(vectors: np.ndarray, centres: np.ndarray, chord: float) -> tuple
 
 
 def assign(rows: DataFrame, centres: dict[str, np.ndarray], settings: Settings) -> DataFrame:
-    """id, cell, resident and vector: one row per vector and cell it belongs to."""
+    """id, cell, number, home, guest_in and vector: one row per vector and cell it belongs to.
+
+    ``number`` is that of the cell within its part; ``guest_in`` has the numbers of a resident's other cells.
+    """
     shared = rows.sparkSession.sparkContext.broadcast(centres)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
         for batch in slices(batches, 2048):
             parts = np.array(batch.column("part").to_pylist(), dtype=object)
-            pick, cells, resident = [], [], []
+            pick, cells, numbers, homes, guest_in = [], [], [], [], []
             for part in sorted(set(parts)):
                 at = np.flatnonzero(parts == part)
                 if part not in known:
                     pick.append(at)
                     cells += [f"{part} 0"] * len(at)
-                    resident.append(np.ones(len(at), bool))
+                    numbers.append(np.zeros(len(at), np.int32))
+                    homes.append(np.zeros(len(at), np.int32))
+                    guest_in += [None] * len(at)
                     continue
                 vectors = _matrix(batch.column("vector").take(pa.array(at)))
                 chord = np.sqrt(2 - 2 * settings.threshold)
-                if settings.margin is not None:
-                    chord *= min(1.0, settings.margin / np.sqrt(vectors.shape[1]))
+                chord *= 0.5 if settings.margin is None else min(0.5, settings.margin / np.sqrt(vectors.shape[1]))
                 row, cell, home = memberships(vectors, known[part], chord)
+                starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+                others = [c[~h] for c, h in zip(np.split(cell, starts[1:]), np.split(home, starts[1:]), strict=True)]
                 pick.append(at[row])
                 cells += [f"{part} {c}" for c in cell]
-                resident.append(home)
+                numbers.append(cell.astype(np.int32))
+                homes.append(cell[home][row].astype(np.int32))
+                guest_in += [others[k] if h and len(others[k]) else None for k, h in zip(row, home, strict=True)]
             index = pa.array(np.concatenate(pick))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("id").take(index),
                     pa.array(cells, pa.string()),
-                    pa.array(np.concatenate(resident)),
+                    pa.array(np.concatenate(numbers)),
+                    pa.array(np.concatenate(homes)),
+                    pa.array(guest_in, pa.list_(pa.int32())),
                     batch.column("vector").take(index),
                 ],
-                names=["id", "cell", "resident", "vector"],
+                names=["id", "cell", "number", "home", "guest_in", "vector"],
             )
 
-    return rows.mapInArrow(run, "id long, cell string, resident boolean, vector array<double>")
+    return rows.mapInArrow(run, "id long, cell string, number int, home int, guest_in array<int>, vector array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -169,8 +182,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def _linked(ids: np.ndarray, vectors: np.ndarray, side: np.ndarray, other: np.ndarray, settings: Settings):
-    """Per row of ``side``, the number of rows of ``other`` linked with it; and the forest of links."""
+def _linked(unit: Unit, side: np.ndarray, other: np.ndarray, settings: Settings):
+    """Per row, its links between ``side`` and ``other``, and the forest of links.
+
+    Residents in ``other`` ask for themselves; a guest there is told of its links with ``side`` here.
+    """
+    ids, vectors = unit.ids, unit.vectors
     counts = np.zeros(len(ids), np.int64)
     forest = Forest(ids)
     for a in range(0, len(side), settings.tile):
@@ -179,19 +196,43 @@ def _linked(ids: np.ndarray, vectors: np.ndarray, side: np.ndarray, other: np.nd
             right = other[b : b + settings.tile]
             close = vectors[left] @ vectors[right].T >= settings.threshold
             close &= ids[left][:, None] != ids[right][None, :]
-            counts[left] += close.sum(axis=1)
             for k in np.flatnonzero(close.any(axis=1)):
                 near = right[close[k]]
                 # One find for rows that hang together already.
                 forest.join(left[k], near[forest.parent[near] != forest.root(left[k])])
+            guest = unit.home[right] != unit.number
+            if guest.any():
+                close[:, guest] &= unit.counted_here(left, right[guest])
+                counts[right[guest]] += close[:, guest].sum(axis=0)
+            counts[left] += close.sum(axis=1)
     return counts, forest.names()
 
 
+@dataclass
+class Unit:
+    """Rows of a cell; ``number`` is the cell's, ``home`` and ``guest_in`` are as in ``assign``."""
+
+    number: int
+    ids: np.ndarray
+    vectors: np.ndarray
+    home: np.ndarray
+    guest_in: list
+
+    def counted_here(self, residents: np.ndarray, guests: np.ndarray) -> np.ndarray:
+        """Whether this is the cell that counts a resident and a guest: the smaller home that holds both."""
+        cells, column = np.unique(self.home[guests], return_inverse=True)
+        there = np.zeros((len(residents), len(cells)), bool)
+        for k, row in enumerate(residents):
+            if self.guest_in[row] is not None:
+                there[k] = np.isin(cells, self.guest_in[row])
+        return ((self.number < cells) | ~there)[:, column]
+
+
 def compare(members: DataFrame, settings: Settings) -> DataFrame:
     """id, links and least (the smallest id it hangs together with), for rows that have any.
 
-    A resident asks all rows of its cell, itself apart. Where the cell has one block, each row comes once
-    and residents ask all rows; else rows that ask and rows that are asked come apart, block by block.
+    A resident asks all rows of its cell, itself apart; its guests hear of what they have in common. Where
+    the cell has one block, each row comes once and residents ask all rows; else rows that ask and rows that are asked come apart, block by block.
     """
     sizes = members.groupBy("cell").agg(F.ceil(F.count("*") / settings.block_rows).cast("int").alias("blocks"))
     dealt = members.join(sizes, "cell").withColumn(
@@ -204,18 +245,34 @@ def compare(members: DataFrame, settings: Settings) -> DataFrame:
     turns = F.sequence(F.lit(0), F.col("blocks") - 1)
     asking = F.transform(turns, lambda k: turn(F.col("block"), k, F.lit(True)))
     asked = F.transform(turns, lambda k: turn(k, F.col("block"), F.lit(False)))
-    several = F.when(F.col("resident"), F.concat(asking, asked)).otherwise(asked)
-    once = F.array(turn(F.lit(0), F.lit(0), F.col("resident")))
+    resident = F.col("home") == F.col("number")
+    several = F.when(resident, F.concat(asking, asked)).otherwise(asked)
+    once = F.array(turn(F.lit(0), F.lit(0), resident))
     units = dealt.withColumn("turn", F.explode(F.when(F.col("blocks") == 1, once).otherwise(several))).select(
-        "cell", "turn.left", "turn.right", "turn.asks", (F.col("blocks") > 1).alias("apart"), "id", "vector"
+        "cell",
+        "turn.left",
+        "turn.right",
+        "turn.asks",
+        (F.col("blocks") > 1).alias("apart"),
+        "id",
+        "number",
+        "home",
+        "guest_in",
+        "vector",
     )
 
     def run(unit: pa.Table) -> pa.Table:
         ids = unit.column("id").to_numpy()
         asks = unit.column("asks").to_numpy()
-        vectors = _matrix(unit.column("vector").combine_chunks())
+        rows = Unit(
+            unit.column("number")[0].as_py(),
+            ids,
+            _matrix(unit.column("vector").combine_chunks()),
+            unit.column("home").to_numpy(),
+            unit.column("guest_in").to_pylist(),
+        )
         others = np.flatnonzero(~asks) if unit.column("apart")[0].as_py() else np.arange(len(ids))
-        counts, least = _linked(ids, vectors, np.flatnonzero(asks), others, settings)
+        counts, least = _linked(rows, np.flatnonzero(asks), others, settings)
         told = (counts > 0) | (least != ids)
         return pa.table({"id": ids[told], "links": counts[told], "least": least[told]})
 

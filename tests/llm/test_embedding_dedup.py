@@ -100,3 +100,19 @@ def test_odd_rows(spark):
         else:
             assert (links, component, kept) == (0, vec_id, True)
     assert dedup.link(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("settings", [Settings(cell_rows=20), Settings(cell_rows=20, block_rows=25, tile=16)])
+def test_nothing_is_lost_where_copies_differ_in_few_directions(spark, settings):
+    """Vectors of 768 numbers that lie in a few directions, in many cells."""
+    random = np.random.default_rng(6)
+    frame = np.linalg.qr(random.normal(size=(768, 6)))[0]
+    rows = []
+    for k in range(1500):
+        if k % 5 == 0:
+            base = random.normal(size=6)
+            base /= np.linalg.norm(base)
+        step = random.normal(size=6) * (1.0, 0.7, 0.5, 0.1, 0.1, 0.1)
+        rows.append((k * 7919 % 1500, ((base + step * 0.08) @ frame.T).astype(np.float32).tolist(), 1))
+    found = {r.vec_id: (r.n_links, r.component_id) for r in dedup.link(spark.createDataFrame(rows, SCHEMA), settings).collect()}
+    assert found == brute(rows)
