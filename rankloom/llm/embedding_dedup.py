@@ -17,8 +17,9 @@ groups; the smallest id of a group represents it.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite parts, and those without
 label or id, link with nothing: no links, their own component, kept. Vectors of unequal length never
-link. If an id is repeated, its first row in the order of label and vector stands for it and all its rows
-get that row's result. An empty table gives an empty table.
+link. If an id is repeated, each of its distinct pairs of label and vector that can link takes part, whatever
+its other rows hold; links with pairs of other ids are added up, and all rows of the id get that result. An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -56,16 +57,15 @@ class Settings:
 
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str, label: str) -> DataFrame:
-    """id, part (label and length) and vector, scaled to length one; only rows that can link."""
+    """id, part (label and length) and vector, scaled to length one; distinct rows that can link."""
     parts = F.transform(F.col(f"`{embedding}`"), lambda x: x.cast("double"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     rows = (
         vectors.where(F.col(f"`{vec_id}`").isNotNull())
-        .groupBy(F.col(f"`{vec_id}`").cast("long").alias("id"))
-        .agg(F.min(F.struct(F.col(f"`{label}`").alias("label"), parts.alias("vector"))).alias("first"))
-        .select("id", "first.label", "first.vector")
+        .select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{label}`").alias("label"), parts.alias("vector"))
         .where(F.col("label").isNotNull() & F.col("vector").isNotNull() & (F.size("vector") > 0))
         .where(~F.exists("vector", bad))
+        .distinct()
         # By the largest part first, so that squares neither overflow nor vanish.
         .withColumn("peak", F.array_max(F.transform("vector", F.abs)))
         .where("peak > 0")

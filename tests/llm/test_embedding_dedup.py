@@ -116,3 +116,10 @@ def test_nothing_is_lost_where_copies_differ_in_few_directions(spark, settings):
         rows.append((k * 7919 % 1500, ((base + step * 0.08) @ frame.T).astype(np.float32).tolist(), 1))
     found = {r.vec_id: (r.n_links, r.component_id) for r in dedup.link(spark.createDataFrame(rows, SCHEMA), settings).collect()}
     assert found == brute(rows)
+
+
+def test_repeated_ids_link_by_each_of_their_rows(spark):
+    a, b, c = [1.0, 2.0, 3.0], [3.0, -1.0, 1.0], [-2.0, 1.0, 4.0]
+    rows = [(1, a, 1), (5, a, None), (5, None, 1), (5, [0.0, 0.0, 0.0], 0), (5, a, 1), (5, a, 1), (5, b, 2), (3, b, 2), (8, c, 1)]
+    found = [(r.vec_id, r.n_links, r.component_id, r.kept) for r in dedup.link(spark.createDataFrame(rows, SCHEMA)).collect()]
+    assert sorted(found) == [(1, 1, 1, True), (3, 1, 1, False)] + [(5, 2, 1, False)] * 6 + [(8, 0, 8, True)]
