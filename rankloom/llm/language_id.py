@@ -12,8 +12,8 @@ not depend on the order of addition. Prototypes come to the driver in slices of
 languages and the documents are compared with one slice per pass, so many languages do no harm.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text when
-nothing was learned. The score is the cosine, with negative values as 0. Equal cosines go to the smaller
-language name. Rows without language are not learned from. Repeated rows each get their row; an empty
+nothing was learned. Cosines of either sign are compared; the score is the largest, or 0 if it is negative.
+Equal cosines go to the smaller language name. Rows without language are not learned from. Repeated rows each get their row; an empty
 table gives an empty table. Input columns named like a result column are replaced by it.
 """
 
@@ -43,6 +43,8 @@ BLOCK_GRAMS = 4096
 MAX_LETTERS = 20_000
 
 _SCALE = 1e9
+# Less than any cosine.
+_BELOW = -2.0
 _CODE_BITS = 21
 # Numbers that are word characters but no decimal digits, such as fractions.
 _NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
@@ -168,14 +170,14 @@ def predict(
         [*rows.schema.fields, T.StructField(name, T.StringType()), T.StructField(score, T.DoubleType())]
     )
     langs = [r["lang"] for r in learned.select("lang").distinct().orderBy("lang").toLocalIterator()]
-    rows = rows.withColumns({name: F.lit(UNKNOWN), score: F.lit(0.0)})
+    rows = rows.withColumns({name: F.lit(UNKNOWN), score: F.lit(_BELOW)})
     context = docs.sparkSession.sparkContext
     for start in range(0, len(langs), LANGS_PER_PASS):
         names, vectors = _prototypes(learned, langs[start : start + LANGS_PER_PASS])
         if names:
             rows = rows.mapInArrow(_comparer(context.broadcast((names, vectors)), text, name, score, dim, seed), schema)
     return rows.select(
-        *[F.col(f"`{c}`") for c in rows.columns[:-2]], F.col(name).alias("lang_pred"), F.col(score).alias("score")
+        *[F.col(f"`{c}`") for c in rows.columns[:-2]], F.col(name).alias("lang_pred"), F.greatest(F.col(score), F.lit(0.0)).alias("score")
     )
 
 
@@ -186,14 +188,14 @@ def _comparer(shared, text: str, name: str, score: str, dim: int, seed: int):
         for batch in slices(batches):
             bundles = bundle(batch.column(text).to_pylist(), letters)
             # Rounded, so that the same text has the same score in whatever batch it comes.
-            cosines = np.round(np.clip(bundles @ vectors.T, 0.0, 1.0), 6)
+            cosines = np.round(np.clip(bundles @ vectors.T, -1.0, 1.0), 6) + 0.0
             best = cosines.argmax(axis=1)
             top = cosines[np.arange(len(best)), best]
             lettered = bundles.any(axis=1)
             old_names, old_scores = batch.column(name).to_pylist(), batch.column(score).to_pylist()
             out_names, out_scores = [], []
             for k, row in enumerate(best):
-                better = lettered[k] and (old_names[k] == UNKNOWN or top[k] > old_scores[k])
+                better = lettered[k] and top[k] > old_scores[k]
                 out_names.append(names[row] if better else old_names[k])
                 out_scores.append(float(top[k]) if better else old_scores[k])
             columns = [batch.column(c) for c in batch.schema.names if c not in (name, score)]

@@ -72,3 +72,18 @@ def test_repeats_clashing_names_and_empty_tables(spark):
     nothing = materialise(language_id.learn(docs.limit(0)), "learned")
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), learned).collect() == []
+
+
+def test_the_largest_of_negative_cosines_wins(spark, monkeypatch):
+    texts = ["qxz", None]
+    unit = language_id.bundle(texts[:1], language_id.Letters())[0]
+    other = np.roll(unit, 1) - (np.roll(unit, 1) @ unit) * unit
+    vectors = {"a": -unit, "b": 3 * other - unit, "und": 2 * other - unit}
+    learned = spark.createDataFrame(
+        [(lang, k, int(1e9 * x)) for lang, v in vectors.items() for k, x in enumerate(v)], "lang string, place int, value long"
+    )
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    for per_pass in (256, 1):
+        monkeypatch.setattr(language_id, "LANGS_PER_PASS", per_pass)
+        found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, learned).collect()}
+        assert found == {0: ("b", 0.0), 1: ("und", 0.0)}
