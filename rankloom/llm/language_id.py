@@ -13,15 +13,16 @@ languages and the documents are compared with one slice per pass, so many langua
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0, and so is every text when
 nothing was learned. Cosines of either sign are compared; the score is the largest, or 0 if it is negative.
-Equal cosines go to the smaller language name. Rows without language are not learned from. Repeated rows each get their row; an empty
-table gives an empty table. Input columns named like a result column are replaced by it.
+Equal cosines go to the smaller language name. Rows without language are not learned from. A very long text
+is read whole, its n-grams counted a block of characters at a time. Repeated rows each get their row; an
+empty table gives an empty table. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,9 @@ _SCALE = 1e9
 # Less than any cosine.
 _BELOW = -2.0
 _CODE_BITS = 21
-# Numbers that are word characters but no decimal digits, such as fractions.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not (c.isalpha() or c.isdecimal()))
-_BETWEEN = re.compile(rf"[\W\d_{re.escape(_NUMBERS)}]+")
+_BLANK = ord(" ")
+# Characters whose n-grams are formed at a time.
+BLOCK_CHARS = 1 << 16
 
 RESULTS = ("lang_pred", "score")
 
@@ -79,16 +80,47 @@ class Letters:
         return bound.astype(np.float32)
 
 
+@cache
+def _is_letter() -> np.ndarray:
+    """For every code point, whether it is a letter: one byte each, made once per worker."""
+    return np.fromiter((chr(code).isalpha() for code in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
+
+
+def _letters_and_blanks(text: str) -> Iterator[np.ndarray]:
+    """The lower-cased letters of a text as code points, one blank for all that lies between two, and
+    one at either end; a block of the text at a time. Nothing if there is no letter."""
+    lowered, after_letter, begun = text.lower(), False, False
+    for start in range(0, len(lowered), BLOCK_CHARS):
+        raw = lowered[start : start + BLOCK_CHARS].encode("utf-32-le", "surrogatepass")
+        codes = np.frombuffer(raw, dtype=np.uint32)
+        letter = _is_letter()[codes]
+        # The first of the characters that follow a letter stands for the blank.
+        kept = letter | np.concatenate(([after_letter], letter[:-1]))
+        codes = np.where(letter, codes, _BLANK)[kept].astype(np.int64)
+        after_letter = bool(letter[-1])
+        if len(codes):
+            yield codes if begun else np.concatenate(([_BLANK], codes))
+            begun = True
+    if after_letter:
+        yield np.array([_BLANK], np.int64)
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Distinct n-gram codes of a text and how often each occurs; empty without a letter."""
-    letters = _BETWEEN.sub(" ", text.lower()).strip() if text else ""
-    if not letters:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    codes = np.frombuffer(f" {letters} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
-    joined = np.zeros(len(codes) - GRAM + 1, np.int64)
-    for place in range(GRAM):
-        joined = (joined << _CODE_BITS) | codes[place : len(joined) + place]
-    return np.unique(joined, return_counts=True)
+    found, carried = [], np.zeros(0, np.int64)
+    for codes in _letters_and_blanks(text or ""):
+        codes = np.concatenate((carried, codes))
+        joined = np.zeros(max(0, len(codes) - GRAM + 1), np.int64)
+        for place in range(GRAM):
+            joined = (joined << _CODE_BITS) | codes[place : len(joined) + place]
+        found.append(np.unique(joined, return_counts=True))
+        carried = codes[len(joined) :]
+    if len(found) < 2:
+        return found[0] if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    distinct, where = np.unique(np.concatenate([c for c, _ in found]), return_inverse=True)
+    counts = np.zeros(len(distinct), np.int64)
+    np.add.at(counts, where, np.concatenate([n for _, n in found]))
+    return distinct, counts
 
 
 def bundle(texts: Sequence[str | None], letters: Letters) -> np.ndarray:

@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 
 from rankloom.llm import language_id, queries
@@ -87,3 +89,49 @@ def test_the_largest_of_negative_cosines_wins(spark, monkeypatch):
         monkeypatch.setattr(language_id, "LANGS_PER_PASS", per_pass)
         found = {r.doc_id: (r.lang_pred, r.score) for r in language_id.predict(docs, learned).collect()}
         assert found == {0: ("b", 0.0), 1: ("und", 0.0)}
+
+
+def test_prototypes_and_predictions_by_brute_force(spark):
+    source = np.random.default_rng(3)
+    rows = []
+    for k, letters in enumerate(["abcdef", "defghi", "αβγab"]):
+        rows += [
+            (10 * k + n, " ".join("".join(source.choice(list(letters), 3)) for _ in range(5 + n)), f"l{k}")
+            for n in range(6)
+        ]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    learned = materialise(language_id.learn(docs, dim=128, seed=3), "learned")
+    sums = {}
+    for _, text, lang in rows:
+        sums[lang] = sums.get(lang, 0) + brute_bundle(text, 128, 3)
+    for lang, total in sums.items():
+        found = {r.place: r.value for r in learned.where(f"lang = '{lang}'").collect()}
+        assert np.allclose([found[k] / 1e9 for k in range(128)], total, atol=1e-5)
+    names = sorted(sums)
+    unit = np.array([sums[n] / np.linalg.norm(sums[n]) for n in names])
+    for r in language_id.predict(docs, learned, dim=128, seed=3).collect():
+        cosines = unit @ brute_bundle(r.text, 128, 3)
+        assert r.lang_pred == names[int(np.argmax(cosines))]
+        assert abs(r.score - max(0, cosines.max())) < 2e-5
+
+
+def test_equal_cosines_go_to_the_smaller_name(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "ab cd", "z"), (2, "ab cd", "b"), (3, "ab cd", "m")], SCHEMA)
+    learned = materialise(language_id.learn(docs), "learned")
+    for per_pass in (256, 1):
+        monkeypatch.setattr(language_id, "LANGS_PER_PASS", per_pass)
+        assert {r.lang_pred for r in language_id.predict(docs, learned).collect()} == {"b"}
+
+
+def test_a_very_long_text_in_blocks_and_in_time(monkeypatch):
+    text = "Ab, ½c dé\n" * 200_000
+    language_id.grams("warm")
+    start = time.process_time()
+    codes, counts = language_id.grams(text)
+    # Looking letters up takes a small part of a microsecond each; a list in a pattern took ten times that.
+    assert time.process_time() - start < 0.5e-6 * len(text)
+    short, few = language_id.grams("Ab, ½c dé\n" * 2)
+    assert set(codes) == set(short) and counts.sum() == len(" ab c dé") * 200_000 - 1
+    monkeypatch.setattr(language_id, "BLOCK_CHARS", 7)
+    again = language_id.grams("Ab, ½c dé\n" * 2)
+    assert (again[0] == short).all() and (again[1] == few).all()
