@@ -192,10 +192,31 @@ SELECT doc_id, least(doc_id, coalesce(twin, doc_id)) AS class_id, coalesce(n, 0)
 FROM doc LEFT JOIN counts ON counts.a = doc_id LEFT JOIN least ON least.node = doc_id
 """
 
+LINE_DEDUP = f"""
+WITH line AS (
+    SELECT doc_id, row, place, lines[place] AS line, {_LOWER.format("trim(lines[place], chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key
+    FROM (
+        SELECT doc_id, row, lines, unnest(range(1, len(lines) + 1)) AS place
+        FROM (SELECT doc_id, row_number() OVER () AS row, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents)
+    )
+),
+shared AS (
+    SELECT key, max(doc_id) AS last
+    FROM line WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+),
+marked AS (
+    SELECT line.*, shared.key IS NOT NULL AND doc_id <> last AS gone FROM line LEFT JOIN shared USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY row, doc_id
+"""
+
 SQL = {
     "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op7_url_filter": URL_FILTER,
     "op8_decontaminate": DECONTAMINATE,
     "op9_license_scan": _license_scan(),
     "op10_ngram_join": NGRAM_JOIN,
+    "op11_line_dedup": LINE_DEDUP,
 }

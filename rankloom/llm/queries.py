@@ -11,6 +11,7 @@ from rankloom.llm import (
     embedding_dedup,
     language_id,
     license_scan,
+    line_dedup,
     mixing,
     ngram_join,
     oracle,
@@ -112,6 +113,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.select("doc_id", "class_id", "n_links", "component_id", "kept")
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = line_dedup.drop_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -123,6 +129,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
+    "op11_line_dedup": op11_line_dedup,
 }
 
 
