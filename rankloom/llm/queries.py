@@ -17,6 +17,7 @@ from rankloom.llm import (
     oracle,
     quality,
     sharding,
+    token_alignment,
     tokens,
     url_filter,
 )
@@ -118,6 +119,16 @@ def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    # The ranks are the vocabulary of byte_bpe_50k.json; the tests hold both against each other.
+    files = token_alignment.Files(
+        tokenizer_path("byte_bpe_50k.tiktoken"), tokenizer_path("piece_bpe_32k.model"), public_tokenizers.PATTERN
+    )
+    return token_alignment.align(table(spark, sf_dir, "documents").select("doc_id", "text"), files)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_token_counts": op2_token_counts,
@@ -130,6 +141,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": op9_license_scan,
     "op10_ngram_join": op10_ngram_join,
     "op11_line_dedup": op11_line_dedup,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 
