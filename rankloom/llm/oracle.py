@@ -212,6 +212,47 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY row, doc_id
 """
 
+COLLOCATIONS = f"""
+WITH piece AS (
+    SELECT coalesce(lang, 'und') AS lang,
+           unnest(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+),
+run AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM piece),
+total AS (SELECT lang, sum(len(w)) AS n FROM run GROUP BY lang),
+place AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS s FROM run WHERE len(w) > 0),
+gram AS (
+    SELECT lang, w[s : s + size - 1] AS words
+    FROM place, (VALUES (1), (2), (3), (4)) AS sizes(size) WHERE s + size - 1 <= len(w)
+),
+counted AS (SELECT lang, words, count(*) AS n FROM gram GROUP BY ALL HAVING count(*) >= 30),
+candidate AS (SELECT lang, words, n AS a FROM counted WHERE len(words) > 1),
+cut AS (SELECT *, unnest(range(1, len(words))) AS k FROM candidate),
+weighed AS (
+    SELECT cut.*, x.n AS l, y.n AS r, 2000000::HUGEINT * a // (x.n + y.n) AS score
+    FROM cut JOIN counted x ON x.lang = cut.lang AND x.words = cut.words[1 : k]
+             JOIN counted y ON y.lang = cut.lang AND y.words = cut.words[k + 1 :]
+),
+weakest AS (
+    SELECT * FROM weighed QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, k) = 1
+),
+inside AS (
+    SELECT DISTINCT lang, words[s : s + size - 1] AS words, a AS around
+    FROM (SELECT lang, words, a, size, unnest(range(1, len(words) - size + 2)) AS s
+          FROM candidate, (VALUES (2), (3)) AS sizes(size) WHERE size < len(words))
+),
+cover AS (SELECT lang, words, max(around) AS around FROM inside GROUP BY ALL),
+kept AS (
+    SELECT weakest.*, array_to_string(words, ' ') AS phrase
+    FROM weakest LEFT JOIN cover USING (lang, words)
+    WHERE around IS NULL OR 100::HUGEINT * around < 80::HUGEINT * a
+)
+SELECT kept.lang, row_number() OVER (PARTITION BY kept.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a, l, r, total.n::BIGINT AS n, score::BIGINT AS score
+FROM kept JOIN total ON total.lang = kept.lang
+QUALIFY rank <= 2000
+"""
+
 SQL = {
     "op4_embedding_dedup": EMBEDDING_DEDUP,
     "op7_url_filter": URL_FILTER,
@@ -219,4 +260,5 @@ SQL = {
     "op9_license_scan": _license_scan(),
     "op10_ngram_join": NGRAM_JOIN,
     "op11_line_dedup": LINE_DEDUP,
+    "op12_collocations": COLLOCATIONS,
 }

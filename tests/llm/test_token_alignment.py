@@ -123,6 +123,22 @@ def test_whole_table(spark, data_dir, tools):
     assert rows_of(queries.op13_token_alignment(spark, data_dir)) == brute(tools, docs)
 
 
+def test_small_blocks_in_one_process(monkeypatch):
+    """Settings of a worker's module, which the session's workers would not see."""
+    tools, texts = token_alignment.aligner(FILES), [t for _, t in trap_docs(3, 40) if t]
+    parts = [(k, part) for k, text in enumerate(texts) for part in tools.parts(text, 10)]
+    found = []
+    for pairs, held, block in ((1 << 21, 1 << 20, len(parts)), (1, 1, 1), (5, 20, 7)):
+        monkeypatch.setattr(token_alignment, "BLOCK_PAIRS", pairs)
+        monkeypatch.setattr(token_alignment, "HELD_PAIRS", held)
+        docs = token_alignment.Documents(tools, len(texts))
+        for start in range(0, len(parts), block):
+            some = parts[start : start + block]
+            docs.add([k for k, _ in some], [part for _, part in some])
+        found.append([column.to_pylist() for column in docs.columns()])
+    assert found[0] == found[1] == found[2] and any(found[0][8])
+
+
 def test_ranks_and_json_are_one_vocabulary(prose):
     source = random.Random(5)
     ranks = token_alignment._rank_vocabulary(RANKS, public_tokenizers.PATTERN)
