@@ -6,9 +6,11 @@ bytes, word lengths, repeated words and the like go through a learned layer. Gat
 weighted sum of their representations is scored by a logistic unit. Encoder, attention and scorer are
 learned together from the labels of documents alone, by Adam on the log loss.
 
-Learning takes a bounded sample of labelled documents: ``Settings.sample`` rows by hash, an equal share of
+Learning takes a bounded sample of labelled documents: ``Settings.sample`` ids by hash, an equal share of
 either label where there are enough, each with all of its passages, so bags in learning and in scoring are
-the same. Should the passages of the sample exceed ``Settings.budget`` bytes, fewer rows are taken, by hash
+the same. Rows equal in id and text are learned from once; where ids repeat with different texts, there are
+at most twice as many texts as ids asked for, chosen by hash of both, so the model depends neither on the
+order of the rows nor on their partitions. Should the passages of the sample exceed ``Settings.budget`` bytes, fewer rows are taken, by hash
 and whatever their length. The log loss of a sampled row is weighted by how many labelled rows of its label it stands for, so the
 scores are those of the labels' true shares, however large the table is.
 Scoring reads every passage of every document, a block of passages at a time, and keeps running sums of
@@ -29,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from rankloom.llm.common import free_name, slices, without
+from rankloom.llm.common import free_name, slices, text_bytes, without
 from rankloom.session import materialise
 
 RESULTS = ("score", "predicted")
@@ -39,6 +41,7 @@ RESULTS = ("score", "predicted")
 class Settings:
     """Bounds of the sample and size of the model."""
 
+    # Labelled ids; with ids that repeat, at most twice as many different texts.
     sample: int = 6000
     # Bytes of encoded passages that are learned from; the row that passes it is the last one.
     budget: int = 64 << 20
@@ -218,9 +221,10 @@ def _gradients(
 
 
 def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text: str, key: str, label: str) -> DataFrame:
-    """raw and label of at most ``settings.sample`` labelled documents, chosen by hash of their id.
+    """raw, label, weight and order of the distinct rows of about ``settings.sample`` labelled ids at most,
+    chosen by hash of their id; of ids that repeat with other texts, twice as many rows at most.
 
-    weight is one over the share of the label's rows that was chosen.
+    weight is one over the share of the label's ids that was chosen.
     """
     marks = labels.where(F.col(f"`{label}`").isin(0, 1)).groupBy(F.col(f"`{key}`").alias("key")).agg(
         F.min(F.col(f"`{label}`").cast("int")).alias("label")
@@ -228,20 +232,22 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, settings: Settings, text
     counts = {r["label"]: r["n"] for r in marks.groupBy("label").agg(F.count("*").alias("n")).toLocalIterator()}
     half = settings.sample // 2
     wanted = {v: max(half, settings.sample - min(half, counts.get(1 - v, 0))) for v in (0, 1)}
-    # A few more by hash than wanted, then the limit; the rest of the labels is never joined.
+    # A few more by hash than wanted; the rest of the labels is never joined.
     steps = 1 << 20
     near = F.pmod(F.xxhash64("key", F.lit(settings.seed)), F.lit(steps))
     quota = {v: max(1, int(steps * min(1.0, 1.1 * wanted[v] / max(1, counts.get(v, 0))))) for v in (0, 1)}
     own = F.when(F.col("label") == 1, quota[1]).otherwise(quota[0])
     some = marks.where(near < own).withColumn("weight", F.lit(float(steps)) / own)
-    bodies = docs.select(F.col(f"`{key}`").alias("key"), F.col(f"`{text}`").alias("text"))
-    joined = bodies.join(F.broadcast(some), "key")  # at most 1.1 times the sample
-    return joined.select(
-        F.coalesce("text", F.lit("")).cast("binary").alias("raw"),
-        "label",
-        "weight",
-        F.xxhash64("key", F.lit(settings.seed)).alias("order"),
+    bodies = docs.select(F.col(f"`{key}`").alias("key"), text_bytes(F.col(f"`{text}`")).alias("raw"))
+    joined = bodies.join(F.broadcast(some), "key").withColumns(  # at most 1.1 times the sample
+        {"one": F.xxhash64(F.lit(1), "raw"), "two": F.xxhash64(F.lit(2), "raw")}
     )
+    # Narrow rows first: which of the different texts. The same for every order of the rows.
+    row = ["key", "one", "two"]
+    order = F.xxhash64(*row, F.lit(settings.seed)).alias("order")
+    chosen = joined.select(*row, order).distinct().orderBy("order", "one", "two").limit(2 * settings.sample)
+    chosen = materialise(chosen, "quality-chosen")
+    return joined.join(F.broadcast(chosen), row).dropDuplicates(row).select("raw", "label", "weight", "order")
 
 
 def _within(encoded: DataFrame, settings: Settings) -> Column:
@@ -293,7 +299,7 @@ def train(
                 names=["label", "weight", "ordering", "n", "values"],
             )
 
-    encoded = materialise(sampled.mapInArrow(encode, schema).limit(2 * settings.sample), "quality-sample")
+    encoded = materialise(sampled.mapInArrow(encode, schema), "quality-sample")
     found = encoded.where(_within(encoded, settings)).collect()
     found.sort(key=lambda r: (r["ordering"], r["n"], r["values"]))
     y = np.array([r["label"] for r in found], dtype=np.float64)

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 
@@ -157,3 +159,51 @@ def test_learning_reads_every_passage(spark, prose, monkeypatch):
     assert abs(held["y"].sum() - 10) <= 1
     quality.train(docs, docs.select("doc_id", "quality"), Settings(budget=1))
     assert sorted(held["y"]) == [0, 1]
+
+
+def test_repeated_ids_whatever_the_partitions(spark, prose):
+    """Three ids with thousands of texts each, and one row very many times."""
+    rows = [(k % 3, f"{'*** ' * (k % 3)}{prose(12, k)}") for k in range(3000)] + [(3, "the same row")] * 1500
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    settings = Settings(sample=400, epochs=2)
+    texts = [sorted((bytes(r.raw), r.label, r.weight, r.order) for r in quality.sample_labelled(
+        docs.repartition(n), labels, settings, "text", "doc_id", "quality").collect()) for n in (1, 5)]
+    assert texts[0] == texts[1] and len(texts[0]) == 800 and len({t[0] for t in texts[0]}) == 800
+    scores = [quality.score(docs.limit(50), quality.train(docs.repartition(n), labels, settings)).select("score").collect() for n in (2, 5, 7)]
+    assert scores[0] == scores[1] == scores[2]
+
+
+def plain_score(model, raw, settings):
+    """The score of a text, written out passage by passage."""
+    words = (raw or b"").split()
+    parts = [words[k : k + settings.words] for k in range(0, len(words), settings.words)] or [[]]
+    kinds = list(quality._KINDS)
+    hidden, strength = [], []
+    for part in parts:
+        joined = b"".join(part)
+        share = [sum(b in members for b in joined) for members in kinds]
+        share.append(len(joined) - sum(share))
+        x = [math.sqrt(c / max(1, len(joined))) for c in share] + [0.0] * 5
+        if part:
+            same = sum(a == b for a, b in zip(part, part[1:], strict=False))
+            x[-5:] = [1.0, len(set(part)) / len(part), same / len(part), min(len(joined) / len(part), 40) / 10, math.log(1 + len(part)) / 4]
+        scaled = [min(8.0, max(-8.0, (v - m) / d)) for v, m, d in zip(x, model.mean, model.spread, strict=True)] + [1.0]
+        h = [math.tanh(sum(v * w for v, w in zip(scaled, column, strict=True))) for column in model.E.T]
+        t = [math.tanh(sum(a * b for a, b in zip(h, column, strict=True))) for column in model.V.T]
+        g = [1 / (1 + math.exp(-sum(a * b for a, b in zip(h, column, strict=True)))) for column in model.U.T]
+        hidden.append(h)
+        strength.append(sum(a * b * c for a, b, c in zip(t, g, model.w, strict=True)))
+    total = sum(math.exp(a) for a in strength)
+    pooled = [sum(math.exp(a) * h[k] for a, h in zip(strength, hidden, strict=True)) / total for k in range(len(hidden[0]))]
+    return 1 / (1 + math.exp(-sum(p * s for p, s in zip(pooled, model.s, strict=False)) - model.s[-1]))
+
+
+def test_scores_as_written_out(spark, prose):
+    found, labels = bags(40)
+    model = quality.fit(found, labels, Settings(epochs=4))
+    texts = [None, "", "Ein Wort", "*** " * 200, prose(500, 1), prose(90, 2).upper() + " 12 |#é日本", "a a a b " * 70]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for r in quality.score(docs, model).collect():
+        expected = plain_score(model, r.text.encode() if r.text is not None else None, Settings())
+        assert r.score == pytest.approx(expected, abs=2e-6)
