@@ -81,3 +81,20 @@ def test_odd_rows(spark):
     assert {r.text_crc32 for r in rows if r.size == 16} == {0}
     check_places(rows)
     assert sharding.shard(docs.limit(0), 3, scratch_path(spark, "map")).collect() == []
+
+
+def test_a_row_repeated_very_often_is_spread(spark, prose):
+    """A third of all rows are equal, and more share id and text only."""
+    same = prose(60, 1)
+    rows = [(7, same, 0)] * 9000 + [(8, same, k) for k in range(3000)] + [(100 + k, prose(30 + k % 60, k), k) for k in range(2000)] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(6)
+    folder = scratch_path(spark, "map")
+    for version, shards in ((1, 20), (2, 21)):
+        dealt = sharding.shard(docs, shards, folder, version).collect()
+        assert sorted((r.doc_id, r.extra) for r in dealt) == sorted((k, x) for k, _, x in rows)
+        sums = loads(dealt)
+        mean = sum(sums.values()) / shards
+        assert len(sums) == shards and 0.95 * mean <= min(sums.values()) and max(sums.values()) <= 1.05 * mean
+        check_places(dealt)
+    stored = sharding.load_map(spark, folder, 1).collect()
+    assert len({(r.slot, r.part) for r in stored}) == len(stored) and max(r.part for r in stored) >= 50
