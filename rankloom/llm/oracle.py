@@ -45,12 +45,12 @@ FROM embeddings e LEFT JOIN counts ON counts.a = e.vec_id LEFT JOIN least ON lea
 
 URL_FILTER = """
 WITH split AS (
-    SELECT page_id,
+    SELECT page_id, len(regexp_extract_all(html, '%%%|\\*\\*\\*|###|\\$\\$\\$|&amp;&amp;&amp;')) >= 10 AS bad,
            CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) END AS rest
     FROM pages
 ),
 parts AS (
-    SELECT page_id, rest,
+    SELECT page_id, bad, rest,
            coalesce(translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
            coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path,
            regexp_extract(rest, '^[^?#]*\\?([^#]*)', 1) AS query
@@ -69,7 +69,7 @@ forms AS (
 ),
 listed AS (
     SELECT DISTINCT canonical FROM forms
-    WHERE rest IS NOT NULL AND list_has_any(string_split(host, '.'), ['adult-x', 'casino-win', 'free-bets', 'spam-farm'])
+    WHERE rest IS NOT NULL AND bad
 ),
 judged AS (
     SELECT page_id, host, path, canonical IS NOT NULL AND canonical IN (SELECT canonical FROM listed) AS found,

@@ -79,3 +79,21 @@ def test_ties_repeats_and_empty_tables(spark, judge):
     assert url_filter.judge(pages, pages.limit(0).select("url")).collect()[0].host == "a.org"
     hot = spark.range(3000).selectExpr("id AS page_id", "'http://a.org/q' AS url")
     assert url_filter.judge(hot, hot.limit(1).select("url")).where("verdict = 'block'").count() == 3000
+
+
+def test_the_list_comes_from_what_pages_hold(spark, tmp_path):
+    """A clean page with the url of a bad one is listed; another page of its host is not."""
+    junk, clean = "<p>" + "a*** b### " * 5, "<p>" + "word " * 50
+    rows = [
+        (1, "http://a.org/x?utm_source=1", junk),
+        (2, "https://www.a.org/x/", clean),
+        (3, "http://a.org/y", clean),
+        (4, "http://a.org/z", "a*** " * 9),
+        (5, "http://casino-win.org/", clean),
+        (6, "http://a.org/n", None),
+        (7, None, junk),
+    ]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    found = {r.page_id: (r.listed, r.verdict) for r in queries.op7_url_filter(spark, str(tmp_path)).collect()}
+    assert {k for k, r in found.items() if r == (True, "block")} == {1, 2}
+    assert {k for k, r in found.items() if r == (False, "allow")} == {3, 4, 5, 6, 7}
