@@ -6,11 +6,11 @@ counted, with the largest id among them. A key of at least ``min_chars`` code po
 ``min_docs`` documents loses all its lines except in the document with the largest id. What is left of a
 text is put together in the order of its lines.
 
-Only narrow rows are shuffled for counting: hash, id and place. Lines that may be dropped are found by a
-Bloom filter of the counted keys, of bounded size, and then exactly: the keys that hold most lines, at
-most ``HOT_KEYS`` whatever the data, are broadcast, the others meet their lines in a shuffle where no key
-is large. Texts move only where a second Bloom filter says that they may lose a line; rows that are equal
-in id and text many times over are salted there. All other texts are passed on where they lie.
+Only narrow rows are shuffled for counting: hash, id and place. The keys that hold most lines, fewer than
+``HOT_KEYS`` whatever the data, are sent to all tasks, which drop their lines where the texts lie. The lines of
+the other keys are found by a Bloom filter of bounded size and then exactly, in a shuffle where no key is
+large; only texts that may lose such a line are moved, by a second Bloom filter, and rows that are equal in id
+and text many times over are salted there.
 
 Defined results: a null or empty text is one empty line. Documents are told apart by their id: rows of the
 same id are one document, and so are all rows without an id, which counts as smaller than any other. A
@@ -37,7 +37,7 @@ from rankloom.session import materialise
 RESULTS = ("n_lines", "n_dropped", "kept")
 # White space that does not count at the ends of a line.
 BLANKS = b"\x20\x09\x0a\x0b\x0c\x0d"
-# Keys that may be broadcast: those with more than this part of all lines in question.
+# Keys that may be sent to all tasks: those with more than this part of all shared lines.
 HOT_KEYS = 1 << 16
 BLOCK_LINES = 1 << 16
 # Rows equal in id and text that one task may get in the last join.
@@ -114,23 +114,32 @@ def shared_keys(lines: DataFrame, min_docs: int) -> DataFrame:
     )
 
 
-def dropped_lines(lines: DataFrame, shared: DataFrame) -> DataFrame:
-    """row1, row2, copies (rows that are equal in id and text) and places (those of dropped lines).
+@dataclass(frozen=True)
+class Shared:
+    """Shared keys: ``hot`` ones with their largest id, by hash, and the table and number of the others."""
 
-    ``shared`` has been written before.
-    """
-    count, total = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("lines"), F.lit(0))).first()
-    blocks = bloom.block_count(count)
-    found = bloom.mark(lines, "key1", bloom.build(shared, "key1", blocks), blocks).where("possible").drop("possible")
-    found = materialise(found, "line-hits")
+    hot: dict[bytes, object]
+    cold: DataFrame
+    cold_count: int
+
+
+def split_keys(shared: DataFrame) -> Shared:
+    """``shared`` has been written before. Fewer than HOT_KEYS keys come to the driver."""
+    every, total = shared.agg(F.count(F.lit(1)), F.coalesce(F.sum("lines"), F.lit(0))).first()
     limit = total // HOT_KEYS
-    lasts = shared.select("key1", "key2", "last", "lines")
-    # Fewer than HOT_KEYS keys can each have more than this part of all lines.
-    hot = F.broadcast(lasts.where(F.col("lines") > limit).drop("lines"))
-    rest = lasts.where(F.col("lines") <= limit).drop("lines")
-    lost = found.join(hot, ["key1", "key2"]).unionByName(found.join(rest, ["key1", "key2"]))
+    found = shared.where(F.col("lines") > limit).select("key1", "key2", "last").toArrow()
+    halves = np.stack([found.column(c).to_numpy() for c in ("key1", "key2")], axis=1).astype(np.int64)
+    hot = {half.tobytes(): last for half, last in zip(halves, found.column("last").to_pylist(), strict=True)}
+    return Shared(hot, shared.where(F.col("lines") <= limit).select("key1", "key2", "last"), every - len(hot))
+
+
+def dropped_lines(lines: DataFrame, cold: DataFrame, count: int) -> DataFrame:
+    """row1, row2, copies (rows that are equal in id and text) and places (dropped lines of cold keys)."""
+    blocks = bloom.block_count(count)
+    found = bloom.mark(lines, "key1", bloom.build(cold, "key1", blocks), blocks).where("possible").drop("possible")
     return (
-        lost.where(~F.col("doc").eqNullSafe(F.col("last")))
+        found.join(cold, ["key1", "key2"])
+        .where(~F.col("doc").eqNullSafe(F.col("last")))
         .groupBy("row1", "row2")
         .agg(F.collect_set("place").alias("places"), F.count(F.lit(1)).alias("n"))
         .select("row1", "row2", (F.col("n") / F.size("places")).cast("long").alias("copies"), "places")
@@ -142,59 +151,70 @@ def drop_lines(
 ) -> DataFrame:
     """``docs`` with n_lines (before dropping), n_dropped and kept, the text that is left."""
     rows = without(docs, *RESULTS)
+    columns = [F.col(f"`{c}`") for c in rows.columns]
     lines = explode_keys(rows, settings, key, text)
-    shared = materialise(shared_keys(lines, settings.min_docs), "line-keys")
-    dropped = materialise(dropped_lines(lines, shared), "line-drops")
-
-    names = rows.columns
-    one, two, maybe, number = (free_name(rows, n) for n in ("row1", "row2", "possible", "number"))
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = rows.withColumns(
-        {one: _row_key(key, text, 1), two: _row_key(key, text, 2), number: F.monotonically_increasing_id()}
-    )
-    blocks = bloom.block_count(dropped.count())
-    rows = bloom.mark(rows, one, bloom.build(dropped, "row1", blocks), blocks, maybe)
-    columns = [F.col(f"`{c}`") for c in names]
-    n_lines = F.size(F.split(body, "\n", -1)).cast("long").alias("n_lines")
-
-    whole = rows.where(~F.col(maybe)).select(*columns, n_lines, F.lit(0).cast("long").alias("n_dropped"), body.alias("kept"))
-    cut = _without_places(_meet(rows.where(maybe), dropped, one, two, number), text)
-    return whole.unionByName(cut.select(*columns, n_lines, F.col("__n").alias("n_dropped"), F.col("__kept").alias("kept")))
-
-
-def _meet(rows: DataFrame, dropped: DataFrame, one: str, two: str, number: str) -> DataFrame:
-    """``rows`` with __places, null where no line is dropped. Rows equal in id and text are salted."""
+    shared = split_keys(materialise(shared_keys(lines, settings.min_docs), "line-keys"))
+    places = free_name(rows, "places")
+    here = rows
+    if shared.cold_count:
+        dropped = materialise(dropped_lines(lines, shared.cold, shared.cold_count), "line-drops")
+        one, two, maybe, number = (free_name(rows, n) for n in ("row1", "row2", "possible", "number"))
+        marked = rows.withColumns(
+            {one: _row_key(key, text, 1), two: _row_key(key, text, 2), number: F.monotonically_increasing_id()}
+        )
+        blocks = bloom.block_count(dropped.count())
+        marked = bloom.mark(marked, one, bloom.build(dropped, "row1", blocks), blocks, maybe)
+        here = marked.where(~F.col(maybe)).select(*columns)
+        moved = _meet(marked.where(maybe), dropped, one, two, number, places).select(*columns, places)
+        return _cut(here, settings, shared.hot, key, text).unionByName(_cut(moved, settings, shared.hot, key, text, places))
+    return _cut(here, settings, shared.hot, key, text)
+
+
+def _meet(rows: DataFrame, dropped: DataFrame, one: str, two: str, number: str, places: str) -> DataFrame:
+    """``rows`` with their places, null where no line is dropped. Rows equal in id and text are salted."""
     heavy = heavy_keys(dropped, ["row1", "row2"], "copies", SLICE_ROWS)
     heavy = F.broadcast(heavy.toDF("__r1", "__r2", "__salts"))  # at most as many as heavy_keys allows
     parts = F.coalesce(F.col("__salts"), F.lit(1))
     same = (F.col(one) == F.col("__r1")) & (F.col(two) == F.col("__r2"))
     salted = rows.join(heavy, same, "left").withColumn("__salt", F.pmod(F.xxhash64(number), parts)).drop("__r1", "__r2", "__salts")
-    drops = dropped.select(F.col("row1").alias("__d1"), F.col("row2").alias("__d2"), F.col("places").alias("__places"))
+    drops = dropped.select(F.col("row1").alias("__d1"), F.col("row2").alias("__d2"), F.col("places").alias(places))
     drops = (
         drops.join(heavy, (F.col("__d1") == F.col("__r1")) & (F.col("__d2") == F.col("__r2")), "left")
-        .select("__d1", "__d2", "__places", F.explode(F.sequence(F.lit(0), parts - 1)).alias("__s"))
+        .select("__d1", "__d2", places, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__s"))
     )
     met = (F.col(one) == F.col("__d1")) & (F.col(two) == F.col("__d2")) & (F.col("__salt") == F.col("__s"))
     return salted.join(drops, met, "left").drop("__salt", "__s", "__d1", "__d2")
 
 
-def _without_places(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` with __kept, the text without the lines at __places, and __n, the number of those."""
-    rest = [f for f in rows.schema.fields if f.name != "__places"]
-    schema = T.StructType([*rest, T.StructField("__kept", T.StringType()), T.StructField("__n", T.LongType())])
+def _cut(
+    rows: DataFrame, settings: Settings, hot: dict[bytes, object], key: str, text: str, places: str | None = None
+) -> DataFrame:
+    """``rows`` with n_lines, n_dropped and kept: without lines of hot keys, and without those at ``places``."""
+    names = [c for c in rows.columns if c != places]
+    added = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())]
+    schema = T.StructType([rows.schema[n] for n in names] + added)
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            kept, counts = [], []
+        lasts = shared.value
+        for batch in slices(batches, 128):
+            n_lines, n_dropped, kept = [], [], []
+            listed = batch.column(places) if places else pa.nulls(batch.num_rows)
             texts = batch.column(text).cast(pa.binary())
-            for raw, places in zip(texts, batch.column("__places"), strict=True):
-                gone = set(places.as_py() or ())
-                lines = (raw.as_py() or b"").split(b"\n")
-                kept.append(b"\n".join(line for place, line in enumerate(lines) if place not in gone))
-                counts.append(len(gone))
-            others = [n for n in batch.schema.names if n != "__places"]
-            columns = [batch.column(n) for n in others]
-            columns += [pa.array(kept, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=[*others, "__kept", "__n"])
+            for doc, raw, gone in zip(batch.column(key), texts, listed, strict=True):
+                body = raw.as_py() or b""
+                dropped = set(gone.as_py() or ())
+                for place, line in line_keys(body, settings.min_chars) if lasts else ():
+                    hashed = blake2b(line, digest_size=16).digest()
+                    if hashed in lasts and lasts[hashed] != doc.as_py():
+                        dropped.add(place)
+                n_lines.append(body.count(b"\n") + 1)
+                n_dropped.append(len(dropped))
+                if dropped:
+                    body = b"\n".join(line for place, line in enumerate(body.split(b"\n")) if place not in dropped)
+                kept.append(body)
+            columns = [batch.column(n) for n in names]
+            columns += [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return rows.mapInArrow(run, schema)
