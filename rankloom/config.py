@@ -25,6 +25,8 @@ class Bm25Config:
     boosts: tuple[tuple[str, float], ...] = (("title", 2.0), ("text", 1.0))
     # Query words go to the postings in slices of at most about this many bytes.
     broadcast_bytes: int = 64 << 20
+    # Leave out of a written index what upper bounds show to be below the first k. The run is the same.
+    prune: bool = True
 
     @property
     def fields(self) -> tuple[str, ...]:

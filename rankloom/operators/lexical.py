@@ -6,8 +6,11 @@ the best field are formed where the document lies, and only k rows per query and
 exchanged. Within a bucket, postings are in order of their term, so a query of few words reads only
 the pages that may hold them.
 
-Searching starts jobs while the plan is built: the query words are measured, and with more than one
-slice the passes over the postings run.
+A written index also holds its postings as blocks with upper bounds, and a search then leaves out what
+cannot be among the first k; see :mod:`rankloom.operators.postings_blocks`.
+
+Searching starts jobs while the plan is built: the query words are measured, with blocks the weights are
+fetched and the floors found, and with more than one slice the passes over the postings run.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from rankloom.config import Bm25Config
 from rankloom.functions.guards import positive_k
 from rankloom.functions.scores import inverse_document_frequency, saturation
 from rankloom.functions.text import words
+from rankloom.operators import postings_blocks
+from rankloom.operators.postings_blocks import BlockSet
 from rankloom.operators.ranking import top_k
 from rankloom.session import materialise
 
@@ -31,6 +36,8 @@ from rankloom.session import materialise
 _PUSHED_TERMS = 10
 # What a row of query terms takes besides its texts.
 _ROW_BYTES = 160
+# A query has words for at least so many rows of results.
+_ROWS_PER_WORDS = 64
 
 
 @dataclass(frozen=True)
@@ -40,7 +47,7 @@ class TextIndex:
     ``postings(doc_id, field, term, tf, dl)``, ``doc_len(doc_id, field, dl)``,
     ``field_stats(field, n_docs, avgdl)``, ``term_stats(field, term, df)`` and, over all fields of
     a document together, ``content_stats(term, df)``. ``names`` are the fields that were indexed,
-    ``buckets`` the number of buckets by document of a written index.
+    ``buckets`` the number of buckets by document of a written index, and ``blocks`` its postings in blocks.
     """
 
     postings: DataFrame
@@ -50,6 +57,7 @@ class TextIndex:
     content_stats: DataFrame
     names: tuple[str, ...] = ("title", "text")
     buckets: int | None = None
+    blocks: tuple[BlockSet, ...] = ()
 
     @cached_property
     def n_docs(self) -> int:
@@ -239,14 +247,52 @@ def bm25_top_k(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config
     """
     positive_k(k)
     size = query_bytes(queries, len(config.fields))
-    count = max(1, -(-size // max(1, config.broadcast_bytes)))
-    if count == 1:
-        # No need to count the words of queries that are clearly more than the reader takes.
-        push = size <= 8 * _PUSHED_TERMS * _ROW_BYTES * len(config.fields)
-        return top_k(score(index, queries, config, push), k)
-    part = F.pmod(F.xxhash64("qid"), F.lit(count))
+    # No need to count the words of queries that are clearly more than the reader takes.
+    push = size <= 8 * _PUSHED_TERMS * _ROW_BYTES * len(config.fields)
+
+    def answer(asked: DataFrame, few: bool) -> DataFrame:
+        if index.blocks:
+            return search_blocks(index, asked, k, config)[0]
+        return top_k(score(index, asked, config, few), k)
+
     done = None
-    for number in range(count):
-        run = materialise(top_k(score(index, queries.where(part == number), config, False), k), "bm25-slice")
+    slices = _slices(queries, size, k, config)
+    if len(slices) == 1:
+        return answer(queries, push)
+    for asked in slices:
+        run = materialise(answer(asked, False), "bm25-slice")
         done = run if done is None else done.unionByName(run)
     return done
+
+
+def _slices(queries: DataFrame, size: int, k: int, config: Bm25Config) -> list[DataFrame]:
+    """The queries in parts whose words take at most about ``config.broadcast_bytes``, all of them ``size``.
+
+    A query's words are at least as large as a row of the first pass, so ``k`` rows for each are counted on top.
+    """
+    count = max(1, -(-size * max(1, k // _ROWS_PER_WORDS) // max(1, config.broadcast_bytes)))
+    part = F.pmod(F.xxhash64("qid"), F.lit(count))
+    return [queries.where(part == number) for number in range(count)] if count > 1 else [queries]
+
+
+def search_blocks(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config = Bm25Config()) -> tuple[DataFrame, DataFrame]:
+    """The run of one slice of queries over the blocks of a written index, and what each query cost."""
+    weighted = _weights(_boosted_idf(index, config).join(F.broadcast(query_terms(queries)), "term"))
+    return postings_blocks.search(
+        list(index.blocks), weighted, k, config, queries.schema["qid"].dataType, index.postings.schema["doc_id"].dataType
+    )
+
+
+def query_cost(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config = Bm25Config()) -> DataFrame:
+    """``(qid, postings, documents)``: postings that a search meets for each query with a known word, and
+    documents that it scores in full.
+
+    These are counted in the scoring pass itself, over the blocks of a written index. With ``config.prune``
+    off these are all matches.
+    """
+    positive_k(k)
+    done = None
+    for asked in _slices(queries, query_bytes(queries, len(config.fields)), k, config):
+        cost = materialise(search_blocks(index, asked, k, config)[1], "query-cost")
+        done = cost if done is None else done.unionByName(cost)
+    return done.select("qid", F.col("met").alias("postings"), F.col("scored").alias("documents"))

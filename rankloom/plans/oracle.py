@@ -297,6 +297,11 @@ SQL: dict[str, str] = {
         ("postings",), "SELECT doc_id, field, term, tf, dl FROM postings JOIN doc_len USING (doc_id, field)"
     ),
     "text_index_upsert": _with(("idf",), "SELECT field, term, df FROM term_stats"),
+    "text_index_segments": _with(
+        ("idf",),
+        f"""SELECT doc_id, field, term, tf, dl, df, round(idf, {DIGITS}) AS idf
+FROM postings JOIN doc_len USING (doc_id, field) JOIN idf USING (field, term)""",
+    ),
     "vector_index_roundtrip": _long_vectors("doc_id", "(SELECT vec_id AS doc_id, embedding FROM embeddings)"),
     "doc_text_compose": _with(
         ("corpus",),
@@ -331,6 +336,12 @@ UNION ALL SELECT CAST(2 AS DOUBLE), {_RANKED} FROM boosted""",
         _bm25("plain", {"title": 1.0, "text": 1.0}, K),
         _bm25("boosted", {"title": 2.0, "text": 1.0}, K),
     ),
+    "bm25_segments": _with(("bm25_run",), f"SELECT {_RANKED} FROM bm25_run WHERE rank <= {K}"),
+    "query_cost": _with(
+        ("postings", "query_terms"),
+        """SELECT qid, count(*) AS postings, count(DISTINCT doc_id) AS documents
+FROM query_terms JOIN postings USING (term) GROUP BY qid""",
+    ),
     "hash_embed_docs": _with(
         ("doc_vectors",),
         _long_vectors("doc_id", "doc_vectors"),

@@ -16,7 +16,7 @@ from rankloom.operators.retrievers import HybridRetriever
 from rankloom.plans import testbed
 from rankloom.plans.evaluation import evaluate
 from rankloom.session import scratch_path
-from rankloom.sources import datasets, indexes, reports
+from rankloom.sources import datasets, indexes, reports, segments
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,6 +25,8 @@ KS = (1, 3, 5, 10)
 DEEP_K = 150
 DIGITS = 6
 SAMPLE = 25
+# Characters of a text that goes into the index first.
+SHORT = 1000
 SEED = 42
 
 
@@ -92,6 +94,19 @@ def text_index_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return after.term_stats
 
 
+def text_index_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents by title only, then those with a text put in their place, the short ones first: three
+    segments and two deletion sets. Postings with what the statistics say of their terms."""
+    corpus = testbed.corpus(spark, sf_dir)
+    path = scratch_path(spark, "index-segments")
+    segments.create(spark, corpus.withColumn("text", F.lit("")), path)
+    short = F.length("text") < SHORT
+    segments.upsert(spark, corpus.where((F.col("text") != "") & short), path)
+    index = segments.upsert(spark, corpus.where(~short), path)
+    idf = lexical.term_idf(index.term_stats, index.field_stats)
+    return _rounded(index.postings.join(idf, ["field", "term"]), "idf")
+
+
 def vector_index_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "vectors-roundtrip")
     indexes.write_vectors(_embeddings(spark, sf_dir, "doc_id"), path)
@@ -172,6 +187,23 @@ def bm25_field_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def bm25_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The run over an index that came about in several steps and was merged."""
+    corpus = testbed.corpus(spark, sf_dir)
+    path = scratch_path(spark, "index-merged")
+    segments.create(spark, corpus.withColumn("text", F.lit("")), path)
+    segments.upsert(spark, corpus.where(F.length("text") >= SHORT), path)
+    segments.upsert(spark, corpus.where(F.length("text") < SHORT), path)
+    index = segments.merge(spark, path, tier=2)
+    return _ranked(lexical.bm25_top_k(index, testbed.queries(spark, sf_dir), K))
+
+
+def query_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Postings and documents that a search without pruning meets for every query."""
+    index, asked = testbed.text_index(spark, sf_dir), testbed.queries(spark, sf_dir)
+    return lexical.query_cost(index, asked, K, Bm25Config(prune=False))
+
+
 # Dense retrieval
 
 
@@ -425,6 +457,7 @@ QUERIES: dict[str, Query] = {
     "qrels_from_passages": qrels_from_passages,
     "text_index_roundtrip": text_index_roundtrip,
     "text_index_upsert": text_index_upsert,
+    "text_index_segments": text_index_segments,
     "vector_index_roundtrip": vector_index_roundtrip,
     "doc_text_compose": doc_text_compose,
     "eligible_queries": eligible_queries,
@@ -440,6 +473,8 @@ QUERIES: dict[str, Query] = {
     "bm25_multi_field": bm25_multi_field,
     "bm25_topk": bm25_topk,
     "bm25_field_boost": bm25_field_boost,
+    "bm25_segments": bm25_segments,
+    "query_cost": query_cost,
     "hash_embed_docs": hash_embed_docs,
     "encoder_hook": encoder_hook,
     "l2_normalize": l2_normalize,

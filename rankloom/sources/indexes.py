@@ -3,17 +3,21 @@
 The text index is a set of Parquet tables below one path. Postings and document lengths are bucketed
 by ``doc_id``, so a search reads them already placed by document. Within a bucket, postings are in order
 of their term, so the reader skips pages without the words asked for. Bucketing is known through the
-session catalog; :func:`load_text_index` declares the tables there if they are not declared yet.
+session catalog; :func:`load_text_index` declares the tables there if they are not declared yet. The same
+postings lie in blocks with upper bounds, bucketed by the shards of :mod:`rankloom.operators.postings_blocks`.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
+from rankloom.operators import postings_blocks
 from rankloom.operators.lexical import (
     TextIndex,
     content_statistics,
@@ -105,6 +109,7 @@ def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) ->
     key = postings.schema["doc_id"].dataType.simpleString()
     _write_bucketed(postings, path, "postings", buckets)
     written = spark.table(_table_name(path, "postings", key, buckets))
+    shards = write_blocks(spark, written, path, buckets)
     _write_bucketed(indexed_lengths(written), path, "doc_len", buckets)
     term_statistics(written).write.mode("overwrite").parquet(f"{path}/term_stats")
     content_statistics(written).write.mode("overwrite").parquet(f"{path}/content_stats")
@@ -112,7 +117,9 @@ def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) ->
     field_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
     names = [row.field for row in written.select("field").distinct().collect()]
     known = sorted({"title", "text", *names})
-    layout = spark.range(1).select(F.lit(buckets).alias("buckets"), F.lit(known).alias("names"), *_key_sample(postings))
+    layout = spark.range(1).select(
+        F.lit(buckets).alias("buckets"), F.lit(known).alias("names"), F.lit(shards).alias("shards"), *_key_sample(postings)
+    )
     layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     return load_text_index(spark, path)
 
@@ -127,6 +134,34 @@ def _write_bucketed(table: DataFrame, path: str, name: str, buckets: int) -> Non
     )
 
 
+@contextmanager
+def _whole_buckets(spark: SparkSession) -> Iterator[None]:
+    """Bucketed tables are read one bucket per task, also where the plan does not ask for it."""
+    name = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def write_blocks(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -> list[int]:
+    """The written postings again as blocks, bucket by bucket without moving them; their shards."""
+    shards = postings_blocks.shard_numbers(spark, buckets)
+    table = postings_blocks.pack(postings_blocks.with_shard(postings, shards))
+    key = postings.schema["doc_id"].dataType.simpleString()
+    with _whole_buckets(spark):
+        (
+            table.write.mode("overwrite")
+            .bucketBy(buckets, "shard")
+            .sortBy("term", "field")
+            .option("path", f"{path}/postings_blocks")
+            .saveAsTable(_table_name(path, "postings_blocks", key, buckets))
+        )
+    return shards
+
+
 def _key_sample(postings: DataFrame) -> list:
     """A null column that records the type of the document ids."""
     return [F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id")]
@@ -141,23 +176,36 @@ def load_text_index(spark: SparkSession, path: str) -> TextIndex:
     """Open a written index; a missing one raises :class:`IndexNotFound`."""
     layout = _read(spark, f"{path}/layout", "text index")
     buckets, names = layout.select("buckets", "names").first()
+    shards = layout.select("shards").first()[0] if "shards" in layout.columns else None
     key_type = layout.schema["doc_id"].dataType.simpleString()
     columns = {
         "postings": f"doc_id {key_type}, field STRING, term STRING, tf INT, dl INT",
         "doc_len": f"doc_id {key_type}, field STRING, dl INT",
     }
-    tables = {}
-    place = path.replace("\\", "\\\\").replace("'", "\\'")
-    for name, order in _BUCKETED.items():
-        declared = _table_name(path, name, key_type, buckets)
-        spark.sql(
-            f"CREATE TABLE IF NOT EXISTS {declared} ({columns[name]}) USING parquet OPTIONS (path '{place}/{name}') "
-            f"CLUSTERED BY (doc_id) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS"
-        )
-        spark.catalog.refreshTable(declared)
-        tables[name] = spark.table(declared)
+    tables = {
+        name: _declared(spark, path, name, key_type, buckets, columns[name], "doc_id", order) for name, order in _BUCKETED.items()
+    }
     tables |= {name: _read(spark, f"{path}/{name}", "text index") for name in _PLAIN}
-    return TextIndex(**tables, names=tuple(names), buckets=buckets)
+    blocks = ()
+    if shards:
+        kinds = f"shard INT, field STRING, term STRING, docs ARRAY<{key_type}>, tfs ARRAY<INT>, dls ARRAY<INT>, max_tf INT, min_dl INT"
+        table = _declared(spark, path, "postings_blocks", key_type, buckets, kinds, "shard", ("term", "field"))
+        blocks = (postings_blocks.BlockSet(table, tuple(shards)),)
+    return TextIndex(**tables, names=tuple(names), buckets=buckets, blocks=blocks)
+
+
+def _declared(
+    spark: SparkSession, path: str, name: str, key_type: str, buckets: int, columns: str, by: str, order: tuple[str, ...]
+) -> DataFrame:
+    """A bucketed table below ``path``, made known to the session's catalog."""
+    declared = _table_name(path, name, key_type, buckets)
+    place = path.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {declared} ({columns}) USING parquet OPTIONS (path '{place}/{name}') "
+        f"CLUSTERED BY ({by}) SORTED BY ({', '.join(order)}) INTO {buckets} BUCKETS"
+    )
+    spark.catalog.refreshTable(declared)
+    return spark.table(declared)
 
 
 def write_vectors(vectors: DataFrame, path: str) -> None:
