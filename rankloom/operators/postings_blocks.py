@@ -80,9 +80,10 @@ def with_shard(rows: DataFrame, numbers: list[int]) -> DataFrame:
 
 
 def pack(postings: DataFrame) -> DataFrame:
-    """Blocks of ``postings(shard, doc_id, field, term, tf, dl)``, made where the rows lie."""
+    """Blocks of ``postings(shard, doc_id, field, term, tf, dl)``, made where the rows lie and in their order:
+    those of a term and field fill blocks as long as they come one after the other, fields aside."""
     key = postings.schema["doc_id"].dataType
-    ordered = postings.select("shard", "field", "term", "doc_id", "tf", "dl").sortWithinPartitions("shard", "field", "term", "doc_id")
+    ordered = postings.select("shard", "field", "term", "doc_id", "tf", "dl")
     schema = T.StructType(
         [
             T.StructField("shard", T.IntegerType()),
@@ -105,6 +106,8 @@ def pack(postings: DataFrame) -> DataFrame:
 
 
 def _packed(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+    # Fields are set apart; within each, rows keep their order.
+    batch = batch.take(pa.array(np.argsort(batch.column("field").dictionary_encode().indices.to_numpy(), kind="stable")))
     fresh = np.zeros(batch.num_rows, bool)
     fresh[0] = True
     for name in ("shard", "field", "term"):
