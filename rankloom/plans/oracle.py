@@ -348,6 +348,7 @@ FROM query_terms JOIN postings USING (term) GROUP BY qid""",
     ),
     "l2_normalize": _with((), _long_vectors("vec_id", "(SELECT vec_id, e AS embedding FROM units)"), _cosine()),
     "dense_ip_topk": _with((), f"SELECT {_RANKED} FROM run", _inner()),
+    "dense_cells_topk": _with((), f"SELECT {_RANKED} FROM run", _inner()),
     "dense_cosine_topk": _with((), f"SELECT {_RANKED} FROM run", _cosine()),
     "dense_text_topk": _with(("dense_run",), f"SELECT {_RANKED} FROM dense_run WHERE rank <= {K}"),
     "encoder_hook": _with(("corpus",), _encoder_hook()),

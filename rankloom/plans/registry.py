@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.config import Bm25Config, DatasetConfig, EvalConfig, HybridConfig
 from rankloom.functions.text import compose
-from rankloom.operators import encoding, fusion, lexical, metrics, report, sampling
+from rankloom.operators import cells, encoding, fusion, lexical, metrics, report, sampling
 from rankloom.operators.dense import cosine_top_k, dense_top_k, dimension_counts, normalized
 from rankloom.operators.encoding import hash_documents
 from rankloom.operators.retrievers import HybridRetriever
@@ -27,6 +27,7 @@ DIGITS = 6
 SAMPLE = 25
 # Characters of a text that goes into the index first.
 SHORT = 1000
+CELLS = 32
 SEED = 42
 
 
@@ -243,6 +244,12 @@ def dense_ip_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(dense_top_k(_embeddings(spark, sf_dir, "qid"), _embeddings(spark, sf_dir, "doc_id"), K))
 
 
+def dense_cells_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every given vector against all of them, through cells."""
+    index = cells.write_cells(spark, _embeddings(spark, sf_dir, "doc_id"), scratch_path(spark, "cells"), CELLS)
+    return _ranked(cells.cell_top_k(_embeddings(spark, sf_dir, "qid"), index, K).run)
+
+
 def dense_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(cosine_top_k(_embeddings(spark, sf_dir, "qid"), _embeddings(spark, sf_dir, "doc_id"), K))
 
@@ -479,6 +486,7 @@ QUERIES: dict[str, Query] = {
     "encoder_hook": encoder_hook,
     "l2_normalize": l2_normalize,
     "dense_ip_topk": dense_ip_topk,
+    "dense_cells_topk": dense_cells_topk,
     "dense_cosine_topk": dense_cosine_topk,
     "dense_text_topk": dense_text_topk,
     "dense_beyond_corpus": dense_beyond_corpus,
