@@ -125,17 +125,31 @@ def write_cells(spark: SparkSession, vectors: DataFrame, path: str, cells: int =
     # By cell and hash, so that a cell with very many vectors is shared by tasks.
     placed = assign(vectors, centres).repartitionByRange(F.col("cell"), F.xxhash64("doc_id"))
     placed.write.mode("overwrite").partitionBy("cell").parquet(f"{path}/vectors")
-    schema = T.StructType([vectors.schema["doc_id"], vectors.schema["embedding"], T.StructField("distance", T.DoubleType()), T.StructField("cell", T.IntegerType())])
-    written = spark.read.schema(schema).parquet(f"{path}/vectors")
+    written = _vectors(spark, path, vectors.schema["doc_id"].dataType)
     found = written.groupBy("cell").agg(F.max("distance").alias("radius"), F.count(F.lit(1)).alias("n")).orderBy("cell")
     middle = spark.createDataFrame([(n, [float(x) for x in c]) for n, c in enumerate(centres)], "cell int, centre array<double>")
-    middle.join(F.broadcast(found), "cell").coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
+    # A null column keeps the type of the ids, also where there is no vector.
+    key = F.lit(None).cast(vectors.schema["doc_id"].dataType).alias("doc_id")
+    middle.join(F.broadcast(found), "cell").select("*", key).coalesce(1).write.mode("overwrite").parquet(f"{path}/cells")
     return load_cells(spark, path)
 
 
+def _vectors(spark: SparkSession, path: str, key: T.DataType) -> DataFrame:
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", key),
+            T.StructField("embedding", T.ArrayType(T.FloatType())),
+            T.StructField("distance", T.DoubleType()),
+            T.StructField("cell", T.IntegerType()),
+        ]
+    )
+    return spark.read.schema(schema).parquet(f"{path}/vectors")
+
+
 def load_cells(spark: SparkSession, path: str) -> CellIndex:
-    vectors = spark.read.parquet(f"{path}/vectors").select("cell", "doc_id", "embedding")
-    table = spark.read.parquet(f"{path}/cells").orderBy("cell").toArrow()
+    rows = spark.read.parquet(f"{path}/cells")
+    vectors = _vectors(spark, path, rows.schema["doc_id"].dataType).select("cell", "doc_id", "embedding")
+    table = rows.orderBy("cell").toArrow()
     centres = _matrix(table["centre"]) if table.num_rows else np.zeros((0, 0))
     return CellIndex(vectors, table["cell"].to_numpy(), centres, table["radius"].to_numpy(), table["n"].to_numpy())
 
