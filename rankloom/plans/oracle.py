@@ -8,6 +8,8 @@ from rankloom.plans.registry import DEEP_K, DIGITS, K, KS, SAMPLE, SEED
 
 _DIM = testbed.DENSE.dim
 _DEPTH = testbed.RUN_DEPTH
+# Deeper than any list.
+_WHOLE = 2_000_000_000
 _METRICS = ("recall", "precision", "mrr", "ndcg")
 _STRIP = " || ".join(f"chr({ord(char)})" for char in STRIP_CHARS)
 
@@ -381,6 +383,13 @@ UNION ALL SELECT CAST(0.1 AS DOUBLE), {_RANKED} FROM semantic""",
         f"\ndeep_dense AS ({_top_k('dense_scores', 2 * DEEP_K)})",
         _fused("deep", DEEP_K, sides=("deep_bm25", "deep_dense")),
     ),
+    "rrf_exact": _with(
+        ("idf", "query_terms", "dense_scores"),
+        f"SELECT {_RANKED} FROM whole",
+        _bm25("whole_bm25", {"title": 2.0, "text": 1.0}, _WHOLE),
+        f"\nwhole_dense AS ({_top_k('dense_scores', _WHOLE)})",
+        _fused("whole", K, sides=("whole_bm25", "whole_dense")),
+    ),
     "metrics_none_relevant": f"""SELECT 'self' AS method, metric, k, round(value, {DIGITS}) AS value FROM (
   SELECT avg(CAST(quality >= 1 AS DOUBLE)) AS value
   FROM (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY doc_id)),

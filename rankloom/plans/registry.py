@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.config import Bm25Config, DatasetConfig, EvalConfig, HybridConfig
 from rankloom.functions.text import compose
-from rankloom.operators import cells, encoding, fusion, lexical, metrics, report, sampling
+from rankloom.operators import cells, certified, encoding, fusion, lexical, metrics, report, sampling
 from rankloom.operators.dense import cosine_top_k, dense_top_k, dimension_counts, normalized
 from rankloom.operators.encoding import hash_documents
 from rankloom.operators.retrievers import HybridRetriever
@@ -308,6 +308,12 @@ def rrf_deep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranked(HybridRetriever(**testbed.retrievers(spark, sf_dir)).retrieve(asked, DEEP_K))
 
 
+def rrf_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first places of the fusion of whole lists, certain by bounds."""
+    asked = testbed.queries(spark, sf_dir)
+    return _ranked(certified.certified_top_k(testbed.retrievers(spark, sf_dir), asked, K).run)
+
+
 # Evaluation
 
 
@@ -496,6 +502,7 @@ QUERIES: dict[str, Query] = {
     "rrf_weighted": rrf_weighted,
     "rrf_topk": rrf_topk,
     "rrf_deep": rrf_deep,
+    "rrf_exact": rrf_exact,
     "recall_at_k": _by_query("recall"),
     "precision_at_k": _by_query("precision"),
     "mrr_at_k": _by_query("mrr"),
