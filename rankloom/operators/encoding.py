@@ -18,6 +18,10 @@ from rankloom.schemas import vectors_schema
 
 BatchEncoder = Callable[[Sequence[str]], np.ndarray]
 
+# Texts that wait for others of their length, and the characters of them that may wait.
+WAITING_TEXTS = 4096
+WAITING_CHARS = 1 << 24
+
 
 def document_text(corpus: DataFrame) -> DataFrame:
     """The text a document is encoded from: title and body in one string."""
@@ -60,6 +64,66 @@ def encode(texts: DataFrame, encoder: BatchEncoder, config: DenseConfig = DenseC
     return texts.select(key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
 
 
+def like_length_batches(lengths: Sequence[int], budget: int, most: int) -> list[list[int]]:
+    """Places in batches of at most ``most``, each padded to its longest within ``budget``, long ones first.
+
+    One that is longer than the budget is a batch of its own.
+    """
+    order = sorted(range(len(lengths)), key=lambda n: (-lengths[n], n))
+    batches: list[list[int]] = []
+    for place in order:
+        # The first of a batch is its longest.
+        if batches and len(batches[-1]) < most and max(1, lengths[batches[-1][0]]) * (len(batches[-1]) + 1) <= budget:
+            batches[-1].append(place)
+        else:
+            batches.append([place])
+    return batches
+
+
+def encode_by_length(
+    texts: DataFrame,
+    encoder: BatchEncoder,
+    budget: int,
+    config: DenseConfig = DenseConfig(),
+    key: str = "doc_id",
+    length: Callable[[str], int] = len,
+) -> DataFrame:
+    """As :func:`encode`, with batches of texts of like length, so that padding to the longest stays small.
+
+    Texts wait in a buffer of at most ``WAITING_TEXTS`` and about ``WAITING_CHARS``; a batch has at most
+    ``config.batch_size`` texts and, with each as long as its longest, at most ``budget`` units of ``length``.
+    Rows come out in the order in which they came in.
+    """
+    size, normalize = config.batch_size, config.normalize
+    schema = vectors_schema(key, texts.schema[key].dataType)
+
+    def encoded(keys: list[pa.Array], waiting: list[str]) -> pa.RecordBatch:
+        rows: list[np.ndarray] = [None] * len(waiting)
+        for batch in like_length_batches([length(text) for text in waiting], budget, size):
+            matrix = np.asarray(encoder([waiting[n] for n in batch]), dtype=np.float32)
+            if normalize:
+                matrix = normalize_rows(matrix)
+            for place, row in zip(batch, matrix, strict=True):
+                rows[place] = row
+        joined = pa.concat_arrays(keys)
+        return _vector_batch(key, joined, np.stack(rows), pa.schema([(key, joined.type)]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, waiting, held = [], [], 0
+        for batch in batches:
+            for place, text in enumerate(batch.column(1)):
+                keys.append(batch.column(0).slice(place, 1))
+                waiting.append(text.as_py())
+                held += len(waiting[-1])
+                if len(waiting) >= WAITING_TEXTS or held >= WAITING_CHARS:
+                    yield encoded(keys, waiting)
+                    keys, waiting, held = [], [], 0
+        if waiting:
+            yield encoded(keys, waiting)
+
+    return texts.select(key, F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, schema)
+
+
 def content_idf(index: TextIndex) -> DataFrame:
     """``(term, df, idf)`` over whole documents."""
     idf = inverse_document_frequency(F.lit(index.n_docs), F.col("df"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from rankloom.functions.text import BETWEEN_DIGITS, BETWEEN_LETTERS, STRIP_CHARS
 from rankloom.plans import testbed
-from rankloom.plans.registry import DEEP_K, DIGITS, K, KS, SAMPLE, SEED
+from rankloom.plans.registry import BROKEN_STEP, DEEP_K, DIGITS, K, KS, SAMPLE, SEED
 
 _DIM = testbed.DENSE.dim
 _DEPTH = testbed.RUN_DEPTH
@@ -289,8 +289,26 @@ def _encoder_hook() -> str:
         FROM corpus))))"""
 
 
+def _rerank() -> str:
+    pair = [f"list_distinct(regexp_extract_all(lower({text}), '[a-z0-9]+'))" for text in ("q.text", "d.content")]
+    return f"""SELECT {_RANKED} FROM (
+  SELECT qid, doc_id, score, CAST(row_number() OVER (PARTITION BY qid ORDER BY CAST(score AS FLOAT) DESC, before) AS INTEGER) AS rank
+  FROM (
+    SELECT r.qid, r.doc_id, r.rank AS before,
+           CASE WHEN len({pair[0]}) = 0 THEN 0.0 ELSE len(list_intersect({pair[0]}, {pair[1]})) / len({pair[0]}) END AS score
+    FROM bm25_run r JOIN queries q USING (qid) JOIN (
+      SELECT doc_id, CASE WHEN title <> '' THEN trim(title || chr(10) || text, {_STRIP}) ELSE text END AS content FROM corpus
+    ) d USING (doc_id)))
+WHERE rank <= {K}"""
+
+
 SQL: dict[str, str] = {
     "corpus_jsonl": _with(("corpus",), "SELECT CAST(doc_id AS VARCHAR) AS doc_id, title, text FROM corpus"),
+    "corpus_rejects": f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id,
+       CASE WHEN doc_id % {BROKEN_STEP} = 0 THEN 'malformed' ELSE 'read' END AS reason,
+       CAST(count(*) FILTER (doc_id % {BROKEN_STEP} <> 0) OVER () AS INTEGER) AS n_good,
+       CAST(count(*) FILTER (doc_id % {BROKEN_STEP} = 0) OVER () AS INTEGER) AS n_rejected
+FROM documents""",
     "queries_jsonl": "SELECT CAST(item_id AS VARCHAR) AS qid, text FROM benchmark",
     "qrels_tsv": "SELECT DISTINCT 'quality' AS qid, CAST(doc_id AS VARCHAR) AS doc_id FROM labels WHERE quality >= 1",
     "qrels_binary": "SELECT DISTINCT 'quality' AS qid, doc_id FROM labels WHERE quality >= 1",
@@ -354,6 +372,8 @@ FROM query_terms JOIN postings USING (term) GROUP BY qid""",
     "dense_cosine_topk": _with((), f"SELECT {_RANKED} FROM run", _cosine()),
     "dense_text_topk": _with(("dense_run",), f"SELECT {_RANKED} FROM dense_run WHERE rank <= {K}"),
     "encoder_hook": _with(("corpus",), _encoder_hook()),
+    "encoder_batches": _with(("corpus",), _encoder_hook()),
+    "rerank_topk": _with(("bm25_run",), _rerank()),
     "dense_beyond_corpus": _with(
         ("dense_scores",),
         "SELECT qid, count(*) AS places, count(*) AS last FROM dense_scores GROUP BY qid",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from rankloom.config import Bm25Config, DatasetConfig, EvalConfig, HybridConfig
 from rankloom.functions.text import compose
-from rankloom.operators import cells, certified, encoding, fusion, lexical, metrics, report, sampling
+from rankloom.operators import cells, certified, encoding, fusion, lexical, metrics, report, rerank, sampling
 from rankloom.operators.dense import cosine_top_k, dense_top_k, dimension_counts, normalized
 from rankloom.operators.encoding import hash_documents
 from rankloom.operators.retrievers import HybridRetriever
@@ -28,6 +29,9 @@ SAMPLE = 25
 # Characters of a text that goes into the index first.
 SHORT = 1000
 CELLS = 32
+BROKEN_STEP = 17
+# Characters of a padded batch of texts.
+BUDGET = 1 << 17
 SEED = 42
 
 
@@ -52,6 +56,21 @@ def corpus_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datasets.read_corpus(spark, path)
 
 
+def corpus_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file of all documents in which every 17th line lacks its end: which lines are read, which set aside."""
+    path = scratch_path(spark, "corpus-broken")
+    rows = testbed.corpus(spark, sf_dir)
+    line = F.to_json(F.struct(F.col("doc_id").cast("string").alias("_id"), "title", "text"))
+    whole = F.col("doc_id") % BROKEN_STEP != 0
+    cut = F.substr(line, F.lit(1), F.length(line) - 1)
+    rows.select(F.when(whole, line).otherwise(cut).alias("value")).write.text(path)
+    found = datasets.check_corpus(spark, path)
+    lost = found.rejected.select(F.regexp_extract("line", r'^\{"_id":"([^"]*)"', 1).alias("doc_id"), "reason")
+    return found.good.select("doc_id", F.lit("read").alias("reason")).unionByName(lost).select(
+        "doc_id", "reason", F.lit(found.n_good).alias("n_good"), F.lit(found.n_rejected).alias("n_rejected")
+    )
+
+
 def queries_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "queries-jsonl")
     testbed.queries(spark, sf_dir).select(F.col("qid").cast("string").alias("_id"), "text").write.json(path)
@@ -235,6 +254,26 @@ def encoder_hook(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _positions(encoding.encode(encoding.document_text(testbed.corpus(spark, sf_dir)), letter_shares), "doc_id")
 
 
+def encoder_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As ``encoder_hook``, in batches of like length."""
+    texts = encoding.document_text(testbed.corpus(spark, sf_dir))
+    return _positions(encoding.encode_by_length(texts, letter_shares, BUDGET), "doc_id")
+
+
+def word_overlap(asked: Sequence[str], texts: Sequence[str]) -> np.ndarray:
+    """A stand-in for a pair model: the part of a query's distinct words that the text has."""
+    words = [[set(re.findall("[a-z0-9]+", text.lower())) for text in side] for side in (asked, texts)]
+    return np.array([len(q & t) / len(q) if q else 0.0 for q, t in zip(*words, strict=True)])
+
+
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The BM25 run ranked anew by a scorer that reads the texts."""
+    path = scratch_path(spark, "texts")
+    texts = rerank.write_texts(spark, encoding.document_text(testbed.corpus(spark, sf_dir)), path)
+    run = testbed.runs(spark, sf_dir)["bm25"]
+    return _ranked(rerank.rerank_top_k(run, testbed.queries(spark, sf_dir), texts, word_overlap, K))
+
+
 def l2_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _positions(normalized(_embeddings(spark, sf_dir, "vec_id")), "vec_id")
 
@@ -464,6 +503,7 @@ def chart_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "corpus_jsonl": corpus_jsonl,
+    "corpus_rejects": corpus_rejects,
     "queries_jsonl": queries_jsonl,
     "qrels_tsv": qrels_tsv,
     "qrels_binary": qrels_binary,
@@ -490,6 +530,8 @@ QUERIES: dict[str, Query] = {
     "query_cost": query_cost,
     "hash_embed_docs": hash_embed_docs,
     "encoder_hook": encoder_hook,
+    "encoder_batches": encoder_batches,
+    "rerank_topk": rerank_topk,
     "l2_normalize": l2_normalize,
     "dense_ip_topk": dense_ip_topk,
     "dense_cells_topk": dense_cells_topk,

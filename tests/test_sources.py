@@ -59,6 +59,42 @@ def test_broken_line_raises(spark, tmp_path):
         datasets.read_corpus(spark, str(tmp_path / "corpus.jsonl")).collect()
 
 
+def test_broken_lines_are_set_aside(spark, tmp_path):
+    lines = [
+        '{"_id": "d1", "title": "T", "text": "ok"}',
+        '{"_id": "d2", "text": ',
+        "not json at all",
+        '{"title": "no id", "text": "x"}',
+        '{"_id": "d3"}',
+        '{"_id": "d4", "text": "fine", "more": 1}',
+    ]
+    path = str(tmp_path / "corpus.jsonl")
+    Path(path).write_text("\n".join(lines) + "\n", "utf-8")
+    found = datasets.check_corpus(spark, path)
+    assert {tuple(r) for r in found.good.collect()} == {("d1", "T", "ok"), ("d3", "", ""), ("d4", "", "fine")}
+    lost = {(r.reason, r.line) for r in found.rejected.collect()}
+    assert lost == {("malformed", lines[1]), ("malformed", lines[2]), ("no id", '{"title":"no id","text":"x"}')}
+    assert (found.n_good, found.n_rejected) == (3, 3)
+    with pytest.raises(datasets.TooManyRejected, match="3 of 6 lines of .*malformed: not json at all"):
+        datasets.check_corpus(spark, path, most=0.1)
+    assert datasets.check_corpus(spark, path, most=0.5).n_good == 3
+
+
+def test_broken_queries_and_judgments(spark, tmp_path):
+    (tmp_path / "queries.jsonl").write_text('{"_id": "q1", "text": "a"}\n{"_id": "q2"\n{"text": "b"}\n', "utf-8")
+    found = datasets.check_queries(spark, str(tmp_path / "queries.jsonl"))
+    assert [tuple(r) for r in found.good.collect()] == [("q1", "a")] and (found.n_good, found.n_rejected) == (1, 2)
+    (tmp_path / "test.tsv").write_text(
+        "query-id\tcorpus-id\tscore\nq1\td1\t1\nq1\td2\t0\nq1\td3\tmuch\nq2\t\t1\nq3\td3\t2\nq3\td3\t2\n", "utf-8"
+    )
+    judged = datasets.check_qrels(spark, str(tmp_path / "test.tsv"))
+    assert pairs(judged.good) == {("q1", "d1"), ("q3", "d3")} and (judged.n_good, judged.n_rejected) == (4, 2)
+    assert {r.reason for r in judged.rejected.collect()} == {"malformed", "no id"}
+    (tmp_path / "empty.jsonl").write_text("", "utf-8")
+    nothing = datasets.check_corpus(spark, str(tmp_path / "empty.jsonl"), most=0.0)
+    assert nothing.good.collect() == [] and nothing.rejected.collect() == [] and nothing.n_good == 0
+
+
 CORPUS = "doc_id string, title string, text string"
 
 
