@@ -5,12 +5,16 @@ from __future__ import annotations
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
 _local_scratch: dict[str, str] = {}
+# Paths handed out within each open scope, the innermost last.
+_scopes: list[list[str]] = []
 
 
 def local_session(app: str, cores: int | str = "*", partitions: int = 8, memory: str = "12g") -> SparkSession:
@@ -57,15 +61,44 @@ def scratch_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder; nothing is ever overwritten there."""
-    return f"{scratch_dir(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/rankloom/{label}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and go on from the files.
+def remove_scratch(spark: SparkSession, path: str) -> None:
+    """Delete what was written at a path of :func:`scratch_path`; nothing may read it any more."""
+    if not path.startswith(f"{scratch_dir(spark)}/rankloom/"):
+        raise ValueError(f"{path} is no path of scratch_path")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Intermediate tables written inside are deleted at the end.
+
+    Whatever outlives the scope has to be written before that, to a path from outside. After an error the
+    tables stay, for whoever looks into it.
+    """
+    _scopes.append([])
+    done = False
+    try:
+        yield
+        done = True
+    finally:
+        paths = _scopes.pop()
+        for path in paths if done else ():
+            remove_scratch(spark, path)
+
+
+def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
+    """Write ``df`` once to the shared folder, or to ``path``, and go on from the files.
 
     The files outlive any executor, and the lineage ends there.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, label)
+    path = path or scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
