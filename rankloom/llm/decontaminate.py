@@ -7,25 +7,29 @@ block whose shift is 0, and the items of every pattern. Where the shift is 0, th
 compared with each pattern of that block.
 
 Documents stay where they are: each task searches its own. The items come to the driver in slices of
-a measured size, and the search goes over the documents once per slice, keeping what it has found in
-the rows, so neither a worker nor the driver holds more than one slice. Between slices the rows are
-written to the shared folder.
+a measured size, so neither a worker nor the driver holds more than one slice. With several slices, each reads
+the documents' texts and writes down only what it finds, by a hash of the text: ranges and items, never
+the text itself. What was found is then taken back to the documents that hold it; all others do not move.
 
 Defined results: null and empty texts have no words, no hits and are clean. Items without words are
 never found. Repeated items, and items that share a window, are each counted where it occurs; an item
-without id has the empty name. Repeated documents each get their row. Empty tables are fine on either
+without id has the empty name. Overlapping occurrences are hit once, and a very long text is searched whole.
+Repeated documents each get their row. Empty tables are fine on either
 side. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from rankloom.llm.common import free_name, slices, text_bytes, words_of
+from rankloom.llm.facts import row_key, spread
 from rankloom.session import materialise
 
 WINDOW = 10
@@ -111,14 +115,26 @@ _SEARCHED = T.StructType(
 )
 
 
+# Search tables of the slice a worker has last seen.
+_built: dict[str, list[Patterns]] = {}
+
+
+def _tables(name: str, shared: Broadcast, window: int) -> list[Patterns]:
+    """Built once per worker and slice, not once per task."""
+    if name not in _built:
+        _built.clear()
+        _built[name] = build(shared.value, window)
+    return _built[name]
+
+
 def _search_pass(rows: DataFrame, items: Sequence[tuple[str, bytes]], text: str, state: str, window: int) -> DataFrame:
     """One pass: ranges and items of this slice are added to what column ``state`` holds."""
-    shared = rows.sparkSession.sparkContext.broadcast(list(items))
+    shared, name = rows.sparkSession.sparkContext.broadcast(list(items)), uuid.uuid4().hex
     schema = T.StructType([f for f in rows.schema.fields if f.name != state] + [T.StructField(state, _SEARCHED)])
     kind = pa.struct([("n_words", pa.int64()), ("hits", _RANGES), ("items", pa.list_(pa.string()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tables = build(shared.value, window)
+        tables = _tables(name, shared, window)
         for batch in slices(batches):
             texts, before = batch.column(text).cast(pa.binary()).to_pylist(), batch.column(state).to_pylist()
             out = []
@@ -130,13 +146,33 @@ def _search_pass(rows: DataFrame, items: Sequence[tuple[str, bytes]], text: str,
                     found |= set(seen["items"])
                 ranges = [{"start": a, "end": b} for a, b in hits]
                 out.append({"n_words": len(words), "hits": ranges, "items": sorted(found)})
-            others = [name for name in batch.schema.names if name != state]
-            columns = [batch.column(name) for name in others] + [pa.array(out, kind)]
+            others = [c for c in batch.schema.names if c != state]
+            columns = [batch.column(c) for c in others] + [pa.array(out, kind)]
             yield pa.RecordBatch.from_arrays(columns, names=[*others, state])
 
     return rows.mapInArrow(run, schema)
 
 
+def _found_by_text(docs: DataFrame, slices_of_items: Iterator[list[tuple[str, bytes]]], text: str, state: str, window: int) -> DataFrame:
+    """row1, row2 (hashes of the text), copies and ``state`` of texts with hits, from one pass per slice."""
+    texts = docs.select(
+        F.col(f"`{text}`").alias("text"), row_key(1, text).alias("row1"), row_key(2, text).alias("row2"), F.lit(None).cast(_SEARCHED).alias(state)
+    )
+    found = None
+    for items in slices_of_items:
+        hit = _search_pass(texts, items, "text", state, window).where(F.size(F.col(state)["hits"]) > 0).drop("text")
+        # Equal texts have equal hits.
+        hit = hit.groupBy("row1", "row2").agg(F.count(F.lit(1)).alias("copies"), F.first(state).alias(state))
+        hit = materialise(hit, "decontaminate-hits")
+        found = hit if found is None else found.unionByName(hit)
+    parts = found.groupBy("row1", "row2").agg(F.max("copies").alias("copies"), F.collect_list(state).alias("parts"))
+    whole = F.struct(
+        F.col("parts")[0]["n_words"].alias("n_words"),
+        F.flatten(F.col("parts.hits")).alias("hits"),
+        F.array_distinct(F.flatten(F.col("parts.items"))).alias("items"),
+    )
+    return materialise(parts.select("row1", "row2", "copies", whole.cast(_SEARCHED).alias(state)), "decontaminate-found")
+
 
 def scan(
     docs: DataFrame,
@@ -162,12 +198,14 @@ def scan(
     keep = [c for c in docs.columns if c.lower() not in RESULTS]
     rows = docs.select(*[F.col(f"`{c}`") for c in keep])
     state = free_name(rows, "state")
-    rows = rows.withColumn(state, F.lit(None).cast(_SEARCHED))
-    for number in range(count):
-        items = [(r["item"], bytes(r["raw"])) for r in tests.where(part == number).toLocalIterator()]
-        rows = _search_pass(rows, items, text, state, window)
-        if number + 1 < count:
-            rows = materialise(rows, "decontaminate")
+    cut = ([(r["item"], bytes(r["raw"])) for r in tests.where(part == number).toLocalIterator()] for number in range(count))
+    if count == 1:
+        rows = _search_pass(rows.withColumn(state, F.lit(None).cast(_SEARCHED)), next(cut), text, state, window)
+    else:
+        others, met = spread(rows, _found_by_text(rows, cut, text, state, window), (text,), state)
+        rows = others.withColumn(state, F.lit(None).cast(_SEARCHED)).unionByName(met)
+        # Counts the words and merges the ranges of all slices.
+        rows = _search_pass(rows, [], text, state, window)
     covered = F.aggregate(
         F.col(f"{state}.hits"), F.lit(0).cast("long"), lambda total, r: total + r["end"] - r["start"]
     )

@@ -27,11 +27,11 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from rankloom.llm import bloom
 from rankloom.llm.common import free_name, slices, text_bytes, without
-from rankloom.operators.joins import heavy_keys
+from rankloom.llm.facts import row_key, spread
 from rankloom.session import materialise
 
 RESULTS = ("n_lines", "n_dropped", "kept")
@@ -62,18 +62,12 @@ def line_keys(raw: bytes, min_chars: int) -> Iterator[tuple[int, bytes]]:
                 yield place, key
 
 
-def _row_key(key: str, text: str, seed: int) -> Column:
-    """A hash of a row's id and text; nulls are told apart from other values."""
-    fields = [F.col(f"`{c}`") for c in (key, text)]
-    return F.xxhash64(F.lit(seed), *[f.isNull() for f in fields], *fields)
-
-
 def explode_keys(docs: DataFrame, settings: Settings, key: str, text: str) -> DataFrame:
     """doc, row1, row2 (a hash of id and text), place, key1, key2 (the key's hash): a row per long line."""
     rows = docs.select(
         F.col(f"`{key}`").alias("doc"),
-        _row_key(key, text, 1).alias("row1"),
-        _row_key(key, text, 2).alias("row2"),
+        row_key(1, key, text).alias("row1"),
+        row_key(2, key, text).alias("row2"),
         text_bytes(F.col(f"`{text}`")).alias("raw"),
     ).where(F.octet_length("raw") >= settings.min_chars)
     schema = T.StructType(
@@ -151,39 +145,15 @@ def drop_lines(
 ) -> DataFrame:
     """``docs`` with n_lines (before dropping), n_dropped and kept, the text that is left."""
     rows = without(docs, *RESULTS)
-    columns = [F.col(f"`{c}`") for c in rows.columns]
     lines = explode_keys(rows, settings, key, text)
     shared = split_keys(materialise(shared_keys(lines, settings.min_docs), "line-keys"))
     places = free_name(rows, "places")
-    here = rows
     if shared.cold_count:
-        dropped = materialise(dropped_lines(lines, shared.cold, shared.cold_count), "line-drops")
-        one, two, maybe, number = (free_name(rows, n) for n in ("row1", "row2", "possible", "number"))
-        marked = rows.withColumns(
-            {one: _row_key(key, text, 1), two: _row_key(key, text, 2), number: F.monotonically_increasing_id()}
-        )
-        blocks = bloom.block_count(dropped.count())
-        marked = bloom.mark(marked, one, bloom.build(dropped, "row1", blocks), blocks, maybe)
-        here = marked.where(~F.col(maybe)).select(*columns)
-        moved = _meet(marked.where(maybe), dropped, one, two, number, places).select(*columns, places)
+        dropped = dropped_lines(lines, shared.cold, shared.cold_count).withColumnRenamed("places", places)
+        dropped = materialise(dropped, "line-drops")
+        here, moved = spread(rows, dropped, (key, text), places, SLICE_ROWS)
         return _cut(here, settings, shared.hot, key, text).unionByName(_cut(moved, settings, shared.hot, key, text, places))
-    return _cut(here, settings, shared.hot, key, text)
-
-
-def _meet(rows: DataFrame, dropped: DataFrame, one: str, two: str, number: str, places: str) -> DataFrame:
-    """``rows`` with their places, null where no line is dropped. Rows equal in id and text are salted."""
-    heavy = heavy_keys(dropped, ["row1", "row2"], "copies", SLICE_ROWS)
-    heavy = F.broadcast(heavy.toDF("__r1", "__r2", "__salts"))  # at most as many as heavy_keys allows
-    parts = F.coalesce(F.col("__salts"), F.lit(1))
-    same = (F.col(one) == F.col("__r1")) & (F.col(two) == F.col("__r2"))
-    salted = rows.join(heavy, same, "left").withColumn("__salt", F.pmod(F.xxhash64(number), parts)).drop("__r1", "__r2", "__salts")
-    drops = dropped.select(F.col("row1").alias("__d1"), F.col("row2").alias("__d2"), F.col("places").alias(places))
-    drops = (
-        drops.join(heavy, (F.col("__d1") == F.col("__r1")) & (F.col("__d2") == F.col("__r2")), "left")
-        .select("__d1", "__d2", places, F.explode(F.sequence(F.lit(0), parts - 1)).alias("__s"))
-    )
-    met = (F.col(one) == F.col("__d1")) & (F.col(two) == F.col("__d2")) & (F.col("__salt") == F.col("__s"))
-    return salted.join(drops, met, "left").drop("__salt", "__s", "__d1", "__d2")
+    return _cut(rows, settings, shared.hot, key, text)
 
 
 def _cut(

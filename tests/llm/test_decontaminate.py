@@ -69,3 +69,28 @@ def test_repeats_clashing_names_and_empty_tables(spark):
     assert [(r["start"], r["end"]) for r in found[0].hits] == [(0, 3)] and found[0].state == "q"
     assert decontaminate.scan(docs, items.limit(0)).where("contaminated").count() == 0
     assert decontaminate.scan(docs.limit(0), items).collect() == []
+
+
+def test_many_slices_never_write_texts(spark, prose, monkeypatch):
+    items = [(k, prose(15, k)) for k in range(60)]
+    docs = [(k, f"{prose(20, 500 + k)} {items[k % 60][1] if k % 3 == 0 else ''} {prose(20, 900 + k)}") for k in range(150)]
+    docs += [(1000 + k, items[7][1] + " " + items[8][1]) for k in range(40)] + [(5000, None)]
+    size = sum(len(t) + len(str(k)) for k, t in items)
+    written, plain = [], decontaminate.materialise
+
+    def noted(df, label):
+        written.append(set(df.columns))
+        return plain(df, label)
+
+    monkeypatch.setattr(decontaminate, "materialise", noted)
+    found = scan(spark, docs, items, slice_bytes=size // 20)
+    assert found == {k: brute(t, items) for k, t in docs}
+    assert len(written) >= 20 and all(columns <= {"row1", "row2", "copies", "state"} for columns in written)
+
+
+def test_a_very_long_text_and_ties(spark, prose):
+    items = [("same", prose(12, 1)), ("same", prose(12, 1)), ("other", prose(12, 1))]
+    long = prose(60_000, 3) + " " + items[0][1] + " " + prose(60_000, 4)
+    docs = spark.createDataFrame([(1, long)], DOCS)
+    row = decontaminate.scan(docs, spark.createDataFrame(items, "item_id string, text string")).first()
+    assert (row.n_words, row.n_hit, row.n_items, row["items"]) == (120_012, 12, 2, ["other", "same"])
