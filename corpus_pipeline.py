@@ -2,25 +2,43 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages it is written as Parquet
 and read again, so a lost executor never costs more than one stage.
+
+Null and empty texts, very long ones, repeated rows, ties, empty tables and further columns are treated as the
+operators say: nothing is dropped on account of them. The classifier scores a null text as an empty one; null
+texts and texts without words are nobody's near copy and hold no benchmark window; of rows equal in id and text
+the near-duplicate stage keeps one; the mix draws a text without words by chance of its place like any other. All
+stages but the last return the columns they were given; the last adds its own, in place of columns of the same
+names.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from rankloom.llm import decontaminate, mixing, ngram_join, quality, sharding
-from rankloom.llm.common import table
+from rankloom.llm.common import free_name, table
 from rankloom.llm.queries import SHARDS, fold
-from rankloom.session import materialise, scratch_path
+from rankloom.session import materialise, remove_scratch, scratch_path, scratch_scope
+
+
+def _aside(docs: DataFrame, results: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """``docs`` with columns of the names of ``results`` under other names, and the columns as they were."""
+    taken = {name.lower() for name in results}
+    named = docs
+    for name in docs.columns:
+        if name.lower() in taken:
+            named = named.withColumnRenamed(name, free_name(named, f"own_{name}"))
+    return named, [F.col(f"`{now}`").alias(was) for now, was in zip(named.columns, docs.columns, strict=True)]
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject. It learns from labelled documents of the stage."""
     labels = table(spark, sf_dir, "labels")
     model = quality.train(docs, labels.where(fold(5) != 0))
-    return quality.score(docs, model, threshold=0.3).where("predicted = 1").select(*docs.columns)
+    named, columns = _aside(docs, quality.RESULTS)
+    return quality.score(named, model, threshold=0.3).where("predicted = 1").select(*columns)
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +48,16 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    found = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))
-    return found.where("NOT contaminated").select(*docs.columns)
+    named, columns = _aside(docs, decontaminate.RESULTS)
+    found = decontaminate.scan(named, table(spark, sf_dir, "benchmark"))
+    return found.where("NOT contaminated").select(*columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix draws them, 150 % of all words by source weights 3, 1, 2."""
-    drawn = mixing.mix(docs, mixing.cycled_weights(docs, (3, 1, 2)), share=1.5, cap=2.0)
-    return mixing.emit(drawn).select(*docs.columns)
+    named, columns = _aside(docs, (*mixing.RESULTS, "copy"))
+    drawn = mixing.mix(named, mixing.cycled_weights(named, (3, 1, 2)), share=1.5, cap=2.0)
+    return mixing.emit(drawn).select(*columns)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +79,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        label = name.replace(" ", "-")
+        path = scratch_path(spark, label)
+        # What a stage writes on its way is deleted once its own result is written, and so is the one before.
+        with scratch_scope(spark):
+            docs = materialise(stage(spark, docs, sf_dir), label, path)
+        if before:
+            remove_scratch(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
