@@ -48,6 +48,23 @@ def dimension_counts(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def mismatches(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(side, id, dim, expected)``: rows of either side that the usual dimension of the index does not fit.
+
+    The usual dimension is the most frequent one of the index, the smaller of equally frequent ones; a missing
+    vector has dimension -1. Ids are told as text, as both sides may have their own type.
+    """
+    size = F.coalesce(F.size("embedding"), F.lit(-1))
+    counts = vectors.groupBy(size.alias("dim")).agg(F.count(F.lit(1)).alias("n"))
+    # One row per dimension that occurs, then one row.
+    usual = counts.agg(F.max_by("dim", F.struct("n", -F.col("dim"))).alias("expected"))
+    sides = vectors.select(F.lit("index").alias("side"), F.col("doc_id").cast("string").alias("id"), size.alias("dim")).unionByName(
+        queries.select(F.lit("query").alias("side"), F.col("qid").cast("string").alias("id"), size.alias("dim"))
+    )
+    expected = usual.first()[0]
+    return sides.where(F.col("dim") != F.lit(expected)).withColumn("expected", F.lit(expected).cast("int"))
+
+
 def dimensions(vectors: DataFrame) -> DataFrame:
     """One row: number of vectors, smallest and largest dimension."""
     size = F.size("embedding")

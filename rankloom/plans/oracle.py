@@ -331,6 +331,16 @@ FROM postings JOIN doc_len USING (doc_id, field) JOIN idf USING (field, term)"""
     "sample_queries": _with(
         ("queries",), f"SELECT qid, text FROM queries ORDER BY md5('{SEED}:' || qid), qid LIMIT {SAMPLE}"
     ),
+    "sample_by_ordinal": _with(
+        ("queries",),
+        f"""SELECT qid, text
+FROM (SELECT *, row_number() OVER (ORDER BY qid, text) - 1 AS ordinal, count(*) OVER () AS n FROM queries)
+WHERE n <= {SAMPLE} OR ordinal IN (
+  SELECT ordinal FROM (
+    SELECT CAST('0x' || substr(md5('{SEED}:' || j), 1, 8) AS BIGINT) % (SELECT count(*) FROM queries) AS ordinal, min(j) AS j
+    FROM range(100000) AS tries(j) GROUP BY 1)
+  ORDER BY j LIMIT {SAMPLE})""",
+    ),
     "tokenize_terms": _with(
         ("postings",),
         """SELECT doc_id, field, CAST(pos AS INTEGER) AS pos, term FROM (
@@ -382,6 +392,14 @@ FROM query_terms JOIN postings USING (term) GROUP BY qid""",
        len(embedding) = (SELECT min(len(embedding)) FROM embeddings)
        AND len(embedding) = (SELECT max(len(embedding)) FROM embeddings) AS fits
 FROM embeddings GROUP BY len(embedding)""",
+    "vector_mismatches": """
+WITH sides AS (
+  SELECT 'index' AS side, vec_id, CASE WHEN label = 3 THEN len(embedding) - 1 ELSE len(embedding) END AS dim FROM embeddings
+  UNION ALL
+  SELECT 'query', vec_id, CASE WHEN label % 2 = 1 THEN len(embedding) // 2 ELSE len(embedding) END FROM embeddings),
+usual AS (SELECT dim FROM sides WHERE side = 'index' GROUP BY dim ORDER BY count(*) DESC, dim LIMIT 1)
+SELECT side, CAST(vec_id AS VARCHAR) AS id, CAST(s.dim AS INTEGER) AS dim, CAST(usual.dim AS INTEGER) AS expected
+FROM sides s, usual WHERE s.dim <> usual.dim""",
     "rrf_contribution": _with(
         ("fused",), "SELECT qid, doc_id, method, rank, round(contribution, 9) AS contribution FROM fused_parts"
     ),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from rankloom.config import Bm25Config, DatasetConfig, EvalConfig, HybridConfig
 from rankloom.functions.text import compose
 from rankloom.operators import cells, certified, encoding, fusion, lexical, metrics, report, rerank, sampling
-from rankloom.operators.dense import cosine_top_k, dense_top_k, dimension_counts, normalized
+from rankloom.operators.dense import cosine_top_k, dense_top_k, dimension_counts, mismatches, normalized
 from rankloom.operators.encoding import hash_documents
 from rankloom.operators.retrievers import HybridRetriever
 from rankloom.plans import testbed
@@ -149,6 +149,10 @@ def sample_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.sample_queries(testbed.queries(spark, sf_dir), SAMPLE, SEED)
 
 
+def sample_by_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampling.sample_by_ordinal(testbed.queries(spark, sf_dir), SAMPLE, SEED)
+
+
 # Lexical retrieval
 
 
@@ -312,6 +316,19 @@ def vector_dim_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dimension_counts(_embeddings(spark, sf_dir, "doc_id"), _embeddings(spark, sf_dir, "qid"))
 
 
+def vector_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All given vectors as index and as queries, with those of odd labels cut to half on the query side and
+    those of label 3 left without their last number in the index: the rows that do not fit."""
+    vectors = testbed.table(spark, sf_dir, "embeddings")
+    size = F.size("embedding")
+    short = F.when(F.col("label") % 2 == 1, F.slice("embedding", F.lit(1), (size / 2).cast("int"))).otherwise(F.col("embedding"))
+    less = F.when(F.col("label") == 3, F.slice("embedding", F.lit(1), size - 1)).otherwise(F.col("embedding"))
+    return mismatches(
+        vectors.select(F.col("vec_id").alias("doc_id"), less.alias("embedding")),
+        vectors.select(F.col("vec_id").alias("qid"), short.alias("embedding")),
+    )
+
+
 # Fusion
 
 
@@ -515,6 +532,7 @@ QUERIES: dict[str, Query] = {
     "doc_text_compose": doc_text_compose,
     "eligible_queries": eligible_queries,
     "sample_queries": sample_queries,
+    "sample_by_ordinal": sample_by_ordinal,
     "tokenize_terms": tokenize_terms,
     "term_frequency": term_frequency,
     "doc_lengths": doc_lengths,
@@ -539,6 +557,7 @@ QUERIES: dict[str, Query] = {
     "dense_text_topk": dense_text_topk,
     "dense_beyond_corpus": dense_beyond_corpus,
     "vector_dim_check": vector_dim_check,
+    "vector_mismatches": vector_mismatches,
     "rrf_contribution": rrf_contribution,
     "rrf_fuse": rrf_fuse,
     "rrf_weighted": rrf_weighted,

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from rankloom.config import DenseConfig
 from rankloom.functions.vectors import inner_product, l2_normalize
-from rankloom.operators.dense import check_dimensions, cosine_top_k, dense_top_k
+from rankloom.operators.dense import check_dimensions, cosine_top_k, dense_top_k, mismatches
 from rankloom.operators.encoding import encode, hash_documents, hash_queries
 from rankloom.operators.lexical import index_corpus
 from rankloom.operators.retrievers import DenseRetriever
@@ -185,3 +185,10 @@ def test_hashed_vectors(spark):
     salted = hash_documents(index, corpus, DenseConfig(dim=64, broadcast_bytes=0))
     for row in salted.collect():
         assert row.embedding == pytest.approx(docs[row.doc_id], abs=1e-6)
+
+
+def test_rows_that_do_not_fit_are_listed(spark):
+    vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0]), (4, None)], "doc_id long, embedding array<float>")
+    asked = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0]), ("c", [])], "qid string, embedding array<float>")
+    found = sorted(map(tuple, mismatches(vectors, asked).collect()))
+    assert found == [("index", "3", 1, 2), ("index", "4", -1, 2), ("query", "b", 3, 2), ("query", "c", 0, 2)]

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rankloom.config import EvalConfig, HybridConfig
-from rankloom.operators.sampling import eligible_queries, sample_queries
+from rankloom.operators.sampling import draw_ordinals, eligible_queries, sample_by_ordinal, sample_queries, with_ordinal
 from rankloom.plans.evaluation import choose_methods, evaluate
 
 
@@ -107,3 +107,17 @@ def test_one_method(queries, make_qrels, sides):
 def test_depth_must_reach_the_largest_cutoff(queries, make_qrels, sides):
     with pytest.raises(ValueError, match="depth must be >= 10"):
         evaluate(sides, queries, make_qrels({"q1": ["a"]}), depth=5)
+
+
+def test_sample_by_ordinal_for_any_partitions(spark):
+    rows = [(f"q{k:04d}", f"text {k}") for k in range(500)]
+    asked = spark.createDataFrame(rows, "qid string, text string")
+    drawn = draw_ordinals(500, 40, 7)
+    expected = sorted(rows[n] for n in drawn)
+    assert len(set(drawn)) == 40 and draw_ordinals(500, 40, 8) != drawn
+    for parts in (1, 8):
+        assert sorted(map(tuple, sample_by_ordinal(asked.repartition(parts), 40, 7).collect())) == expected
+    assert sample_by_ordinal(asked, 0, 7).count() == sample_by_ordinal(asked, 900, 7).count() == 500
+    numbered = with_ordinal(asked.repartition(8), "qid").collect()
+    assert sorted((r.qid, r.ordinal) for r in numbered) == [(q, n) for n, (q, _) in enumerate(rows)]
+    assert sample_by_ordinal(asked.limit(0), 5, 7).collect() == []

@@ -72,6 +72,40 @@ def test_words(spark):
     assert spark.range(1).select(words(F.lit(None).cast("string")).alias("w")).first().w == []
 
 
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("東京都 Tokyo", ["東", "京", "都", "tokyo"]),
+        ("ひらがなとカタカナ", ["ひ", "ら", "が", "な", "と", "カタカナ"]),
+        ("コーヒー2杯", ["コーヒー", "2", "杯"]),
+        ("ﾊﾝｶｸ ァ", ["ﾊﾝｶｸ", "ァ"]),
+        ("한국어 단어", ["한국어", "단어"]),
+        ("ไทย Привет мир", ["ไทย", "привет", "мир"]),
+        ("abc漢don't字3.14", ["abc", "漢", "don't", "字", "3.14"]),
+        ("か\u3099", ["か\u3099"]),
+        ("\U00020000\U0002A6D6x", ["\U00020000", "\U0002A6D6", "x"]),
+        ("hi 👩‍👩‍👧 ☀️ 👍🏽 🇩🇪🇫🇷 ok", ["hi", "👩‍👩‍👧", "☀️", "👍🏽", "🇩🇪", "🇫🇷", "ok"]),
+        ("مرحبا بالعالم", ["مرحبا", "بالعالم"]),
+        ("x" * 600 + " y", ["x" * 255, "x" * 255, "x" * 90, "y"]),
+        ("é" * 256, ["é" * 255, "é"]),
+        ("z" * 255, ["z" * 255]),
+        ("漢 it's a_b 1,000.5 e\u0301t", ["漢", "it's", "a_b", "1,000.5", "e\u0301t"]),
+    ],
+)
+def test_words_by_script(spark, text, expected):
+    frame = spark.createDataFrame([(text,), ("plain Text",)], "t string")
+    assert [r.w for r in frame.select(words(F.col("t")).alias("w")).collect()] == [expected, ["plain", "text"]]
+
+
+def test_the_longer_pattern_gives_the_same_plain_words(spark, data_dir):
+    """Texts without such scripts have the same words by either pattern."""
+    from rankloom.functions import text as rules
+
+    texts = spark.read.parquet(f"{data_dir}/documents.parquet").select(F.lower("text").alias("t"))
+    either = [F.regexp_extract_all("t", F.lit(p), F.lit(0)) for p in (rules.WORD_PATTERN, rules._SCRIPT_PATTERN)]
+    assert texts.where(~either[0].eqNullSafe(either[1])).count() == 0
+
+
 @pytest.mark.parametrize(
     "title, text",
     [("T", " body  \n"), ("", "  kept as is \n"), ("\xa0T", ""), (None, " x "), (" ", "y "), ("T", None)],
