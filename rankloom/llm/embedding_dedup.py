@@ -19,7 +19,8 @@ Defined results: vectors that are null, empty, zero, or hold null or non-finite
 label or id, link with nothing: no links, their own component, kept. Vectors of unequal length never
 link. If an id is repeated, each of its distinct pairs of label and vector that can link takes part, whatever
 its other rows hold; links with pairs of other ids are added up, and all rows of the id get that result. An
-empty table gives an empty table.
+empty table gives an empty table. Only the named columns are read; others, whatever their names, do not come
+along.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ until its votes are counted. Documents are told apart by id and text, so rows eq
 their result.
 
 Defined results: null and empty texts have no words, no places, empty labels and score 0. A document
-of one word has no pair. Repeated rows are all returned. An empty table gives an empty table. Only the
+of one word has no pair. A very long text is scanned whole, its pairs as rows. Equal votes need no choice: all
+spans count. Repeated rows are all returned. An empty table gives an empty table. Only the
 named columns of the documents are read.
 """
 

@@ -8,12 +8,16 @@ largest document, whatever the offset.
 
 The prefix sum of a source never meets in one task. Documents are counted in cells (source, size
 class, hash of the row); the counts are summed along classes and cells, and rows are only numbered
-within their own cell. A source may hold any part of all rows.
+within their own cell. A source may hold any part of all rows. Equal rows share a cell; where there are very
+many of one kind, they are written with a number each and dealt over parts of the cell, which follow each other
+in the sum, so it does not matter which of them is in which part.
 
 Defined results: a null or blank text has size 0 and is emitted like any other document of its
 source, adding no words. A null source is a source of its own. A source with weight null, 0 or
 below, or of size 0, has target 0 and gives nothing. Rows equal in every respect are interchangeable.
-An empty table gives an empty table. Input columns named like a result column are replaced by it.
+Documents of one size class are summed by hash, which decides ties; a very long text is one document
+and its words are counted where it lies. Maps and variants take no part in the hash. An empty table gives an
+empty table. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
@@ -31,8 +35,14 @@ RESULTS = ("size", "source_size", "target", "copies", "taken")
 # some hundred thousand rows.
 CELLS = 1024
 
+# Equal rows that one task may number; more where there would be more than KINDS parts otherwise.
+PART_ROWS = 1 << 14
+KINDS = 1 << 16
+
 _OFFSET_STEPS = 1 << 20
 _KEY = ["__src", "__none", "__class", "__cell"]
+# Equal rows in large numbers are a part of their cell; all others are in the part with hash 0 and number 0.
+_PART = [*_KEY, "__kind", "__part"]
 
 
 def word_count(text: Column) -> Column:
@@ -75,6 +85,34 @@ def targets(sizes: DataFrame, weights: DataFrame, share: float = 1.5, cap: float
     )
 
 
+def _split_equal(rows: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` and ``cells`` with __kind and __part: equal rows in large numbers are dealt over parts."""
+    nought = {"__kind": F.lit(0).cast("long"), "__part": F.lit(0).cast("long")}
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    limit = max(PART_ROWS, total // KINDS)
+    large = cells.where(F.col("n") > limit).select(*_KEY)
+    if not large.limit(1).count():
+        return rows.withColumns(nought), cells.withColumns(nought)
+    # Fewer than KINDS cells, and fewer than KINDS kinds of rows in them, can be above the limit.
+    kinds = rows.join(F.broadcast(large), _KEY).groupBy(*_KEY, "__hash").agg(F.count(F.lit(1)).alias("__n"))
+    kinds = materialise(kinds.where(F.col("__n") > limit), "mix-kinds")
+    split = F.broadcast(kinds.select(*_KEY, "__hash", F.ceil(F.col("__n") / limit).alias("__parts")))
+    dealt = rows.join(split, [*_KEY, "__hash"]).withColumn("__number", F.monotonically_increasing_id())
+    dealt = dealt.withColumns({"__kind": F.col("__hash"), "__part": F.pmod(F.xxhash64("__number"), F.col("__parts"))})
+    names = [*rows.columns, "__kind", "__part"]
+    dealt = materialise(dealt.select(*[F.col(f"`{c}`") for c in names]), "mix-equal-rows")
+    others = rows.join(split, [*_KEY, "__hash"], "left_anti").select(*[F.col(f"`{c}`") for c in rows.columns]).withColumns(nought)
+    parts = dealt.groupBy(*_PART).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    lost = parts.groupBy(*_KEY).agg(F.sum("n").alias("__n"), F.sum("words").alias("__words"))
+    rest = cells.join(lost, _KEY, "left").select(
+        *_KEY,
+        *[value.alias(name) for name, value in nought.items()],
+        (F.col("n") - F.coalesce("__n", F.lit(0))).alias("n"),
+        (F.col("words") - F.coalesce("__words", F.lit(0))).alias("words"),
+    )
+    return others.unionByName(dealt), materialise(rest.unionByName(parts.select(*rest.columns)), "mix-cells")
+
+
 def mix(
     docs: DataFrame,
     weights: DataFrame,
@@ -103,6 +141,7 @@ def mix(
     cells = materialise(
         rows.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")), "mix-cells"
     )
+    rows, cells = _split_equal(rows, cells)
     wanted = weights.select(
         F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__src"),
         F.col("source").isNull().alias("__none"),
@@ -112,24 +151,26 @@ def mix(
     classes = cells.groupBy("__src", "__none", "__class").agg(F.sum("n").alias("n"))
     earlier = Window.partitionBy("__src", "__none").orderBy(F.desc("__class")).rowsBetween(Window.unboundedPreceding, -1)
     within = (
-        Window.partitionBy("__src", "__none", "__class").orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy("__src", "__none", "__class")
+        .orderBy("__cell", "__kind", "__part")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
     class_starts = classes.select(
         "__src", "__none", "__class", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("__class_start")
     )
     starts = (
-        cells.select(*_KEY, F.coalesce(F.sum("n").over(within), F.lit(0)).alias("__cell_start"))
+        cells.select(*_PART, F.coalesce(F.sum("n").over(within), F.lit(0)).alias("__cell_start"))
         .join(class_starts, ["__src", "__none", "__class"])
         .join(targets(sizes, wanted, share, cap), ["__src", "__none"])
-        .select(*_KEY, (F.col("__class_start") + F.col("__cell_start")).alias("__start"), "source_size", "target")
+        .select(*_PART, (F.col("__class_start") + F.col("__cell_start")).alias("__start"), "source_size", "target")
     )
-    number = F.row_number().over(Window.partitionBy(*_KEY).orderBy("__hash"))
+    number = F.row_number().over(Window.partitionBy(*_PART).orderBy("__hash"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.pmod(F.xxhash64(F.lit(seed), "__src", "__none"), F.lit(_OFFSET_STEPS)) / F.lit(float(_OFFSET_STEPS))
     place = F.col("__start") + F.col("__number")
     crossed = F.floor(rate * place + offset) - F.floor(rate * (place - 1) + offset)
     return (
-        rows.join(starts, _KEY)
+        rows.join(starts, _PART)
         .withColumn("__number", number)
         .withColumn("copies", F.least(crossed, F.ceil(rate)).cast("long"))
         .withColumn("taken", F.col("copies") * F.col("size"))

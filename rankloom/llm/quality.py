@@ -17,7 +17,7 @@ Scoring reads every passage of every document, a block of passages at a time, an
 the attention, so a text of any length needs the memory of one block beside its words.
 
 Defined results: a null or blank text is one empty passage and gets the score the model gives to that.
-Scores lie between 0 and 1. Without labels of both kinds the score of every document is the share of
+A very long text is scored by all its passages. Scores lie between 0 and 1. Without labels of both kinds the score of every document is the share of
 label 1, or 1 if there is no label. Repeated rows each get their row; an empty table gives an empty table.
 Input columns named like a result column are replaced by it.
 """

@@ -7,7 +7,8 @@ filter has a fixed bound; beyond it more pages go through the exact join, with t
 Spark splits at run time.
 
 Defined results: a null url, or one without ``://``, has empty host and path and no canonical form, fits
-no rule and is allowed. Repeated rows each get their verdict. Empty pages give an empty table; an empty
+no rule and is allowed. Of rules that fit equally long the one with the longer host holds, then the later one.
+A very long url is judged like any other. Repeated rows each get their verdict. Empty pages give an empty table; an empty
 list blocks nothing. Only the named columns of the pages are read; others do not come along.
 """
 

@@ -111,3 +111,22 @@ def test_hot_source_and_equal_sizes(spark):
     mixed = mixing.mix(docs, mixing.cycled_weights(docs))
     for row in mixed.groupBy("source").agg({"taken": "sum", "target": "max"}).collect():
         assert abs(row["sum(taken)"] - row["max(target)"]) <= 3
+
+
+def test_a_row_repeated_very_often_is_numbered_in_parts(spark, prose, monkeypatch):
+    """The copies of every kind of row are those of one pass over the whole order, for any partitions."""
+    same = prose(12, 1)
+    rows = [(1, same, "a")] * 3000 + [(2, same, "a")] * 40 + [(10 + k, prose(1 + k % 40, k), "ab"[k % 2]) for k in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = spark.createDataFrame([("a", 1.0), ("b", 3.0)], "source string, weight double")
+
+    def copies(parts, limit):
+        monkeypatch.setattr(mixing, "PART_ROWS", limit)
+        found = mixing.mix(docs.repartition(parts), weights, share=1.3, cap=2.0)
+        return sorted((r.doc_id, r.copies, r.taken, round(r.target, 6)) for r in found.collect())
+
+    whole = copies(3, 1 << 20)
+    assert copies(3, 50) == copies(7, 50) == copies(2, 700) == whole
+    assert sum(r[0] == 1 for r in whole) == 3000
+    taken = sum(r[2] for r in whole)
+    assert abs(taken - 1.3 * sum(len(t.split()) for _, t, _ in rows)) <= 2 * 40
