@@ -1,19 +1,22 @@
 """Near-duplicate texts: a join on the Jaccard similarity of word n-grams, with Bayesian pruning.
 
 Every text becomes the set of its runs of five words. Texts with equal sets are one class, and only
-classes are compared. MinHash values of a class fill bands; classes that agree in a band belong to one
-group, a superset of all links: at similarity 0.8 a pair misses all 32 bands of 4 with probability 5e-8.
-Within a group, pairs are compared by their MinHash values a few at a time. After each step the posterior
+classes are compared. MinHash values of a class fill bands; classes that agree in a band meet in the bucket of
+that band: at similarity 0.8 a pair misses all 32 bands of 4 with probability 5e-8. A pair is compared in the
+bucket of its first common band and in no other. Buckets whose classes all met in one earlier bucket are left
+out, so a class mostly goes to one bucket. Buckets are not joined to larger groups before pairs are verified.
+Within a bucket, pairs are compared by their MinHash values a few at a time. After each step the posterior
 probability that the similarity reaches the threshold, given the agreements so far and a flat prior,
 decides: below ``tolerance`` the pair is dropped. The pairs left are verified on their whole sets.
 
-Only the texts of classes in groups are read again: a Bloom filter of bounded size keeps most others
-from being moved, and an exact join removes what it lets pass. Groups of any size are dealt into blocks, and tasks compare pairs of blocks with arrays; what leaves a
-task is one row per class with its number of linked documents and the smallest class it hangs together
-with. Neither pairs nor groups are ever gathered, and no partner is left out.
+Only the texts of classes in buckets are read again: a Bloom filter of bounded size keeps most others
+from being moved, and an exact join removes what it lets pass. Buckets of any size are dealt into blocks, and
+tasks compare pairs of blocks with arrays; what leaves a task is one row per class with its number of linked
+documents and the smallest class it hangs together with. Neither pairs nor groups are ever gathered, and no
+partner is left out.
 
-Sets are held as 64-bit hashes of their n-grams; classes are told apart by a 64-bit hash of the set and
-its size. Defined results: a text of one to four words is one short n-gram; null texts and texts without
+Sets are held as 64-bit hashes of their n-grams; classes are told apart by two 64-bit hashes of the set and
+its size, and numbered. Defined results: very long texts are read whole; a text of one to four words is one short n-gram; null texts and texts without
 words link with nothing. Rows with equal id and text are told by their number only. Ids may be null; the
 smallest id of a group that is not null names it. An empty table gives an empty table. Only the named
 columns are read.
@@ -122,7 +125,7 @@ def _text_key(text: str = "text") -> Column:
 
 
 def signatures(rows: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, key (of the text), print (of the set), size and bands; print is null without words.
+    """doc_id, key (of the text), print and proof (of the set), size and bands; these are null without words.
 
     ``bands`` has one hash per band, made of the band's number and its MinHash values.
     """
@@ -130,36 +133,53 @@ def signatures(rows: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors, terms = _hash_family(settings)
         for batch in slices(batches, 256):
-            prints, sizes, bands = [], [], []
+            prints, proofs, sizes, bands = [], [], [], []
             for raw in batch.column("text").cast(pa.binary()).to_pylist():
                 grams = shingles(raw, settings.n)
                 sizes.append(len(grams))
                 if len(grams):
                     prints.append(int(_mixed(np.cumsum(_mixed(grams + _STEP))[-1:])[0].astype(np.int64)))
+                    proofs.append(int(_mixed(np.cumsum(_mixed(grams * _MIX[1]))[-1:])[0].astype(np.int64)))
                     bands.append(band_hashes(min_hashes(grams, factors, terms), settings))
                 else:
                     prints.append(None)
+                    proofs.append(None)
                     bands.append(None)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     batch.column("key"),
                     pa.array(prints, pa.int64()),
+                    pa.array(proofs, pa.int64()),
                     pa.array(sizes, pa.int32()),
                     pa.array(bands, pa.list_(pa.int64())),
                 ],
-                names=["doc_id", "key", "print", "size", "bands"],
+                names=["doc_id", "key", "print", "proof", "size", "bands"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, key long, print long, size int, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, key long, print long, proof long, size int, bands array<long>")
 
 
-def candidate_groups(classes: DataFrame) -> DataFrame:
-    """node and component: classes that agree in a band, directly or through others."""
-    filled = classes.select(F.col("print").alias("node"), F.explode("bands").alias("band"))
-    shared = filled.groupBy("band").agg(F.min("node").alias("v"), F.count("*").alias("n")).where("n > 1").drop("n")
-    edges = filled.join(shared, "band").select(F.col("node").alias("u"), "v")
-    return components(edges, "ngram-groups")
+def candidate_buckets(classes: DataFrame, settings: Settings) -> tuple[DataFrame, DataFrame]:
+    """``(members, buckets)``: node, number and band of every class in a bucket, and band with its weight.
+
+    Buckets whose classes all have the same first bucket, another than this one, are left out: all their pairs
+    meet there. Both tables have been written.
+    """
+    filled = classes.select("node", "size", F.posexplode("bands").alias("number", "band"))
+    shared = filled.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    met = materialise(filled.join(shared, "band"), "ngram-met")
+    first = met.groupBy("node").agg(F.min(F.struct("number", "band")).alias("first"))
+    told = met.join(first, "node")
+    buckets = told.groupBy("band").agg(
+        F.min("number").alias("number"),
+        F.sum(F.col("size") + settings.hashes).alias("weight"),
+        F.min("first.band").alias("least"),
+        F.max("first.band").alias("most"),
+    )
+    own = (F.col("least") != F.col("most")) | (F.col("least") == F.col("band"))
+    buckets = materialise(buckets.where(own).select("band", "weight"), "ngram-buckets")
+    return met.select("node", "number", "band").join(buckets.select("band"), "band", "left_semi"), buckets
 
 
 def _with_shingles(rows: DataFrame, settings: Settings) -> DataFrame:
@@ -174,12 +194,12 @@ def _with_shingles(rows: DataFrame, settings: Settings) -> DataFrame:
             columns.append(pa.array([g.view(np.int64) for g in grams], pa.list_(pa.int64())))
             yield pa.RecordBatch.from_arrays(columns, names=[*others, "sig", "grams"])
 
-    schema = "node long, component long, copies long, blocks int, sig array<int>, grams array<long>"
-    return rows.select("node", "component", "copies", "blocks", "text").mapInArrow(run, schema)
+    schema = "node long, copies long, met array<struct<band: long, number: int, blocks: int>>, sig array<int>, grams array<long>"
+    return rows.select("node", "copies", "met", "text").mapInArrow(run, schema)
 
 
 class _Side:
-    """Classes of one group in one unit, as arrays."""
+    """Classes of one bucket in one unit, as arrays."""
 
     def __init__(self, sigs: np.ndarray, grams: list[np.ndarray]):
         self.sigs = sigs
@@ -189,6 +209,11 @@ class _Side:
         self.numbers = np.split(numbers, self.ends[:-1])
         self.mark = np.zeros(int(numbers.max()) + 1, bool)
 
+    def first_met(self, k: int, others: np.ndarray, number: int, rows: int) -> np.ndarray:
+        """Those of ``others`` that agree with ``k`` in no band before the one of this number."""
+        before = self.sigs[others, : number * rows] == self.sigs[k, : number * rows]
+        return others[~before.reshape(len(others), number, rows).all(axis=2).any(axis=1)]
+
     def links(self, k: int, others: np.ndarray, looks: list[tuple[int, int]], threshold: float) -> np.ndarray:
         """Those of ``others`` whose similarity with ``k`` reaches the threshold."""
         agreed, seen, mine = np.zeros(len(others), np.int64), 0, self.sigs[k]
@@ -213,7 +238,7 @@ def compare(rows: DataFrame, settings: Settings) -> DataFrame:
         nodes = unit.column("node").to_numpy()
         copies = unit.column("copies").to_numpy()
         block, left, right = (unit.column(c).to_numpy() for c in ("block", "left", "right"))
-        groups = unit.column("component").to_numpy()
+        groups, numbers = unit.column("band").to_numpy(), unit.column("number").to_numpy()
         sigs = unit.column("sig").combine_chunks().flatten().to_numpy().reshape(len(nodes), -1)
         column = unit.column("grams").combine_chunks()
         grams = np.split(column.flatten().to_numpy(), np.cumsum(column.value_lengths().to_numpy())[:-1])
@@ -227,6 +252,7 @@ def compare(rows: DataFrame, settings: Settings) -> DataFrame:
                 if apart and not first[k]:
                     continue
                 others = np.flatnonzero(~first) if apart else np.arange(k + 1, len(at))
+                others = side.first_met(k, others, int(numbers[at[0]]), settings.rows)
                 near = side.links(k, others, looks, settings.threshold) if len(others) else others
                 if len(near):
                     links[at[k]] += copies[at[near]].sum()
@@ -250,57 +276,62 @@ def join(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
         "key", _text_key()
     )
     signed = materialise(signatures(rows, settings), "ngram-signatures")
-    classes = materialise(
+    classes = (
         signed.where("print IS NOT NULL")
-        .groupBy("print", "size")
+        .groupBy("print", "proof", "size")
         .agg(
             F.count("*").alias("copies"),
             # Equal sets have equal bands; the first row with the smallest id stands for the class.
             F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"),
             F.first("bands").alias("bands"),
         )
-        .select("print", "size", "copies", "first.doc_id", "first.key", "bands"),
-        "ngram-classes",
+        .select("print", "proof", "size", "copies", "first.doc_id", "first.key", "bands")
     )
-    groups = materialise(candidate_groups(classes), "ngram-members")
-    members = classes.join(groups, classes["print"] == groups["node"]).select(
-        "node", "component", "copies", "size", F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")
-    )
-    weights = members.groupBy("component").agg(F.sum(F.col("size") + settings.hashes).alias("weight"))
-    planned = materialise(plan_groups(weights, settings.block_weight), "ngram-blocks")
+    # Numbered once and written, so that a class keeps its number.
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()), "ngram-classes")
+    members, buckets = candidate_buckets(classes, settings)
+    planned = materialise(plan_groups(buckets, settings.block_weight), "ngram-blocks")
     total = planned.where("blocks = 1").agg(F.coalesce(F.sum("weight"), F.lit(0)).alias("w")).first()["w"]
     bins = max(1, -(-total // settings.block_weight))
-    members = members.join(planned.select("component", "blocks"), "component")
-    blocks = bloom.block_count(groups.count())
-    asked = bloom.mark(rows, "key", bloom.build(members, "first_key", blocks), blocks).where("possible")
-    texts = asked.join(
-        members, (asked["key"] == members["first_key"]) & asked["doc_id"].eqNullSafe(members["first_id"])
+    # Each class with its buckets, one for every band at most: its set is moved once, to where it is compared.
+    members = members.join(planned.select("band", "blocks"), "band").groupBy("node").agg(
+        F.collect_list(F.struct("band", "number", "blocks")).alias("met")
+    )
+    asked = classes.join(members, "node").select(
+        "node", "copies", "met", F.col("doc_id").alias("first_id"), F.col("key").alias("first_key")
+    )
+    asked = materialise(asked, "ngram-asked")
+    blocks = bloom.block_count(asked.count())
+    near = bloom.mark(rows, "key", bloom.build(asked, "first_key", blocks), blocks).where("possible")
+    texts = near.join(
+        asked, (near["key"] == asked["first_key"]) & near["doc_id"].eqNullSafe(asked["first_id"])
     ).dropDuplicates(["node"])
-    units = to_units(_with_shingles(texts, settings), "node", F.col("component"), F.col("blocks"), bins)
+    dealt = _with_shingles(texts, settings).select("node", "copies", "sig", "grams", F.inline("met"))
+    units = to_units(dealt, "node", F.col("band"), F.col("blocks"), bins)
     compared = materialise(compare(units, settings), "ngram-links")
 
     links = compared.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(compared.select(F.col("node").alias("u"), F.col("least").alias("v")), "ngram-components")
     heads = (
-        classes.select("print", "size", "copies", F.col("doc_id").alias("class_id"))
-        .join(links, F.col("print") == links["node"], "left")
-        .drop("node")
-        .join(parts, F.col("print") == parts["node"], "left")
-        .withColumn("part", F.coalesce("component", "print"))
-        .drop("node", "component")
+        classes.select("print", "proof", "size", "node", "copies", F.col("doc_id").alias("class_id"))
+        .join(links, "node", "left")
+        .join(parts, "node", "left")
+        .withColumn("part", F.coalesce("component", "node"))
+        .drop("component")
     )
     leading = heads.groupBy("part").agg(
-        F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "print")).alias("head")
+        F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("head")
     )
     heads = heads.join(leading, "part").select(
         "print",
+        "proof",
         "size",
         "class_id",
         (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"),
         F.col("head.class_id").alias("component_id"),
-        (F.col("head.print") == F.col("print")).alias("leads"),
+        (F.col("head.node") == F.col("node")).alias("leads"),
     )
-    return signed.select("doc_id", "key", "print", "size").join(heads, ["print", "size"], "left").select(
+    return signed.select("doc_id", "key", "print", "proof", "size").join(heads, ["print", "proof", "size"], "left").select(
         "doc_id",
         "key",
         F.when(F.col("leads").isNull(), F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
