@@ -48,13 +48,17 @@ UNKNOWN = "und"
 BLOCK_BYTES = 1 << 20
 # Rows a task holds before it hands on what it has added up.
 HELD_ROWS = 1 << 20
+# Different words it holds; each takes some hundred bytes.
+HELD_WORDS = 1 << 18
 # Suffixes of a group; more where there would be more than MAX_GROUPS groups otherwise.
 BUDGET = 1 << 20
 MAX_GROUPS = 1 << 20
 # Bits of a filter: 16 for every key, but never more than this. 2^25 bits are 4 MB.
 FILTER_BITS = 25
-# Shares of a language's phrases that are ranked by themselves first.
+# A language's phrases are ranked in shares first: so many in the last step but one, and in the first as many more
+# as it takes for about SHARE_ROWS phrases in each.
 SLICES = 64
+SHARE_ROWS = 1 << 18
 
 RESULTS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
@@ -266,7 +270,7 @@ def _word_rows(texts: DataFrame, seed: int) -> DataFrame:
                 else:
                     known[2] += times
                     known[3], known[4] = min(known[3], least), max(known[4], most)
-            if len(held) >= HELD_ROWS:
+            if len(held) >= HELD_WORDS:
                 yield packed(held)
                 held = {}
         yield packed(held)
@@ -551,24 +555,28 @@ def mine(docs: DataFrame, settings: Settings = Settings(), text: str = "text", l
     scored = materialise(score_phrases(phrases, settings), "phrase-scores")
     heavy = heavy_keys(scored.groupBy("k1").agg(F.count(F.lit(1)).alias("rows")), ["k1"], "rows")
     told = salted_join(scored, words.select("k1", "lang"), ["k1"], heavy, F.struct(*KEYS))
-    # Each share of a language keeps what may be among its first, ties included; then texts are needed.
-    share = told.withColumn("slice", F.pmod(F.xxhash64(*KEYS), F.lit(SLICES)))
-    best = Window.partitionBy("lang", "slice").orderBy(F.desc("score"), F.desc("a"))
-    leading = materialise(share.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= settings.keep).drop("rank"), "phrase-leading")
+    # Shares of a language keep what may be among its first, ties included, in steps; then texts are needed.
+    shares = SLICES * max(1, -(-scored.count() // (SLICES * SHARE_ROWS)))
+    leading = told.withColumn("share", F.pmod(F.xxhash64(*KEYS), F.lit(shares)))
+    for group in (["lang", "share"], ["lang", F.pmod("share", F.lit(SLICES))], ["lang"]):
+        best = Window.partitionBy(*group).orderBy(F.desc("score"), F.desc("a"))
+        leading = leading.withColumn("rank", F.rank().over(best)).where(F.col("rank") <= settings.keep)
+    leading = materialise(leading.drop("rank"), "phrase-leading")
     named = leading.select(
-        "lang", "slice", "a", "l", "r", "score", F.xxhash64(*KEYS).alias("id"), "k1", "k2", "k3", "k4", "size",
+        "lang", "share", "a", "l", "r", "score", F.xxhash64(*KEYS).alias("id"), "k1", "k2", "k3", "k4", "size",
         F.posexplode(F.slice(F.array(*KEYS), F.lit(1), F.col("size"))).alias("place", "key"),
     )
     texts = words.select(F.col("k1").alias("key"), "word")
     heavy = heavy_keys(named.groupBy("key").agg(F.count(F.lit(1)).alias("rows")), ["key"], "rows")
     spelt = (
         salted_join(named, texts, ["key"], heavy, F.col("id"))
-        .groupBy("lang", "slice", "a", "l", "r", "score", "size", *KEYS)
+        .groupBy("lang", "share", "a", "l", "r", "score", "size", *KEYS)
         .agg(F.sort_array(F.collect_list(F.struct("place", "word"))).alias("words"))
-        .select("lang", "slice", "a", "l", "r", "score", F.array_join(F.transform("words", lambda w: w["word"].cast("string")), " ").alias("phrase"))
+        .select("lang", "share", "a", "l", "r", "score", F.array_join(F.transform("words", lambda w: w["word"].cast("string")), " ").alias("phrase"))
     )
+    # Ties with the last place may be many; they are told apart in shares as well.
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    for group in (("lang", "slice"), ("lang",)):
+    for group in (["lang", "share"], ["lang"]):
         ranked = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
         spelt = spelt.withColumn("rank", ranked.cast("long")).where(F.col("rank") <= settings.keep)
     return spelt.join(totals, "lang").select(*RESULTS)

@@ -80,6 +80,7 @@ def test_few_groups_and_small_filters(spark, monkeypatch):
     monkeypatch.setattr(collocations, "BUDGET", 1)
     monkeypatch.setattr(collocations, "FILTER_BITS", 6)  # lets nearly all pass
     monkeypatch.setattr(collocations, "SLICES", 3)
+    monkeypatch.setattr(collocations, "SHARE_ROWS", 5)
     frame = spark.createDataFrame(docs, SCHEMA).repartition(3)
     assert rows_of(collocations.mine(frame, Settings(3, keep=20))) == brute(docs, Settings(3, keep=20))
 
