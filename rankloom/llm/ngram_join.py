@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from rankloom.llm import bloom
 from rankloom.llm.blocks import Forest, plan_groups, to_units
 from rankloom.llm.common import slices, words_of
-from rankloom.llm.components import components
+from rankloom.llm.components import HUBS, components
 from rankloom.session import materialise
 
 
@@ -319,10 +319,22 @@ def join(docs: DataFrame, settings: Settings = Settings(), key: str = "doc_id",
         .withColumn("part", F.coalesce("component", "node"))
         .drop("component")
     )
+    heads = materialise(heads, "ngram-heads")
     leading = heads.groupBy("part").agg(
-        F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("head")
+        F.min(F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")).alias("head"),
+        F.count(F.lit(1)).alias("n"),
     )
-    heads = heads.join(leading, "part").select(
+    leading = materialise(leading.where("n > 1"), "ngram-leading")
+    # Fewer than HUBS groups hold more than one part in HUBS of the classes.
+    limit = F.lit(heads.count() // HUBS)
+    told = F.broadcast(leading.where(F.col("n") > limit).select("part", "head"))
+    alone = F.struct(F.col("class_id").isNull().alias("none"), "class_id", "node")
+    rest = leading.where(F.col("n") <= limit).select("part", F.col("head").alias("other"))
+    # Classes that are told already meet nothing, each under its own number.
+    key = F.when(F.col("head").isNull(), F.col("part")).otherwise(-1 - F.col("node"))
+    heads = heads.join(told, "part", "left").withColumn("key", key).join(
+        rest.withColumnRenamed("part", "key"), "key", "left"
+    ).withColumn("head", F.coalesce("head", "other", alone)).select(
         "print",
         "proof",
         "size",
