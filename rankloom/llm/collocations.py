@@ -47,7 +47,7 @@ KEYS = tuple(f"k{place}" for place in range(1, DEPTH + 1))
 UNKNOWN = "und"
 BLOCK_BYTES = 1 << 20
 # Rows a task holds before it hands on what it has added up.
-HELD_ROWS = 1 << 20
+HELD_ROWS = 1 << 19
 # Different words it holds; each takes some hundred bytes.
 HELD_WORDS = 1 << 18
 # Suffixes of a group; more where there would be more than MAX_GROUPS groups otherwise.
@@ -293,7 +293,8 @@ def count_words(texts: DataFrame, min_count: int) -> tuple[DataFrame, DataFrame,
     """Frequent words (k1, lang, word, n), all words per language (lang, n), and the seed of their hashes."""
     for seed in count(1, 2):
         rows = materialise(_word_rows(texts, seed), "phrase-words")
-        words = rows.where("k1 IS NOT NULL").groupBy("k1").agg(
+        # Tasks have added up what they can; a second try before the shuffle would only take memory.
+        words = rows.where("k1 IS NOT NULL").repartition("k1").groupBy("k1").agg(
             F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")
         )
         words = materialise(words.where(F.col("n") >= min_count), "phrase-frequent-words")
@@ -358,7 +359,8 @@ def count_prefixes(texts: DataFrame, words: Filter, seed: int, min_count: int) -
                 yield _packed(done, names)
         yield _packed(sums.rest(), names)
 
-    rows = texts.mapInArrow(run, "k1 long, k2 long, n long")
+    # Added up per task already.
+    rows = texts.mapInArrow(run, "k1 long, k2 long, n long").repartition("k1", "k2")
     return rows.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= min_count)
 
 
