@@ -37,8 +37,8 @@ _SCRIPT_PATTERN = "|".join(
         .replace(r"(?=\p{L})", rf"(?={_OWN_LETTER})"),
     )
 )
-# Texts that need the rules by script, or have words that may be too long.
-_SCRIPTED = rf"[{SINGLE}{KATAKANA}{PICTURE}{REGION}]|\S{{{MAX_WORD + 1}}}"
+# Texts that may need the rules by script, or have words that may be too long. One range is tested quickly.
+_SCRIPTED = rf"[\u2600-\x{{10FFFF}}]|(?<!\S)\S{{{MAX_WORD + 1}}}"
 
 # Whitespace as Python's str.strip sees it; Spark's own trim removes spaces only.
 STRIP_CHARS = "".join(chr(code) for code in range(0x3001) if chr(code).isspace())
