@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rankloom.config import DenseConfig
 from rankloom.functions.guards import positive_k
-from rankloom.operators.dense import _Best, _matrix, _slice_count
+from rankloom.operators.dense import _TILE_QUERIES, _Best, _matrix, _slice_count
 from rankloom.operators.ranking import top_k
 from rankloom.schemas import run_schema
 from rankloom.session import materialise
@@ -218,7 +218,9 @@ def _search(
 def _scan(
     index: CellIndex, ids: pa.Array, matrix: np.ndarray, wanted: np.ndarray, floors: np.ndarray, k: int, schema: T.StructType
 ) -> DataFrame:
-    """At most k rows per query, cell and task, of the cells that a query wants. Other cells are not read."""
+    """At most k rows per query, cell and task, of the cells that a query wants. Other cells are not read.
+
+    A task holds one cell at a time, and the scores of one block of vectors with one tile of queries."""
     used = np.flatnonzero(wanted.any(axis=0))
     place = {int(index.cells[c]): c for c in used}
     context = index.vectors.sparkSession.sparkContext
@@ -226,27 +228,40 @@ def _scan(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked, who, where, low = shared.value
-        held: dict[int, tuple[np.ndarray, _Best]] = {}
+        open_cell, tiles = None, []
         for batch in batches:
             cells = batch.column("cell").to_numpy()
-            rows = _matrix(batch.column("embedding"))
-            for cell in np.unique(cells):
-                at = np.flatnonzero(cells == cell)
-                if int(cell) not in held:
-                    chosen = np.flatnonzero(who[:, where[int(cell)]])
-                    best = _Best(len(chosen), k)
-                    best.floor = low[chosen].astype(np.float32)
-                    held[int(cell)] = (chosen, best)
-                chosen, best = held[int(cell)]
-                best.add(batch.column("doc_id").take(pa.array(at)), rows[at] @ asked[chosen].T)
-        for chosen, best in held.values():
-            for found in best.batches(names.take(pa.array(chosen))):
-                yield found
+            # A task's rows come cell by cell; where a cell comes again, it adds its k best a second time.
+            starts = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1)) if len(cells) else []
+            for start, stop in zip(starts, np.append(starts[1:], len(cells)), strict=True):
+                if cells[start] != open_cell:
+                    yield from _kept(tiles, names)
+                    open_cell = cells[start]
+                    chosen = np.flatnonzero(who[:, where[int(open_cell)]])
+                    tiles = [_tile(chosen[t : t + _TILE_QUERIES], low, k) for t in range(0, len(chosen), _TILE_QUERIES)]
+                for first in range(start, stop, _BLOCK):
+                    part = batch.slice(first, min(_BLOCK, stop - first))
+                    rows = _matrix(part.column("embedding"))
+                    for chosen, best in tiles:
+                        best.add(part.column("doc_id"), rows @ asked[chosen].T)
+        yield from _kept(tiles, names)
 
     rows = index.vectors.where(F.col("cell").isin([int(index.cells[c]) for c in used]))
     return rows.select("cell", "doc_id", "embedding").mapInArrow(run, schema)
 
 
+def _tile(chosen: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, _Best]:
+    """Some of the queries that want a cell, and the best they have seen there."""
+    best = _Best(len(chosen), k)
+    best.floor = low[chosen].astype(np.float32)
+    return chosen, best
+
+
+def _kept(tiles: list[tuple[np.ndarray, _Best]], names: pa.Array) -> Iterator[pa.RecordBatch]:
+    for chosen, best in tiles:
+        yield from best.batches(names.take(pa.array(chosen)))
+
+
 def recall(run: DataFrame, exact: DataFrame) -> DataFrame:
     """``(queries, found, recall)``: how much of the exact run another one of the same queries has."""
     same = exact.select("qid", "doc_id").join(run.select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")

@@ -14,13 +14,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.types import StructType
 
 from rankloom.config import DenseConfig
 from rankloom.functions.guards import positive_k
 from rankloom.functions.vectors import l2_normalize
+from rankloom.operators.places import Asked, plain_ids
 from rankloom.operators.ranking import top_k
 from rankloom.schemas import run_schema
 from rankloom.session import materialise
@@ -229,6 +231,80 @@ def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, config: DenseCon
     return top_k(inner_product_scores(queries, vectors, k, config), k)
 
 
+def dense_places(queries: DataFrame, vectors: DataFrame, pairs: DataFrame, config: DenseConfig = DenseConfig()) -> DataFrame:
+    """``(qid, doc_id, rank)``: the places that ``pairs(qid, doc_id)`` have in the whole lists of ``queries``.
+
+    Pairs of a document that no query finds are not there. The vectors are gone over twice per slice of queries:
+    for the scores of the pairs, and to count what ranks before them.
+    """
+    schema = T.StructType([*run_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType).fields[:2], T.StructField("rank", T.IntegerType())])
+    spark = queries.sparkSession
+    one = vectors.select(F.size("embedding").alias("dim")).first()
+    if one is None:
+        return spark.createDataFrame([], schema)
+    most = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if not most:
+        return spark.createDataFrame([], schema)
+    asked = materialise(queries.select("qid", "embedding"), "query-vectors")
+    count = max(1, _slice_count(asked, one.dim, most, config.broadcast_bytes))
+    part, done = F.pmod(F.xxhash64("qid"), F.lit(count)), None
+    for number in range(count):
+        placed = materialise(
+            _places(asked.where(part == number), vectors, pairs.where(part == number), schema) if count > 1 else _places(asked, vectors, pairs, schema),
+            "dense-places",
+        )
+        done = placed if done is None else done.unionByName(placed)
+    return done
+
+
+def _places(asked: DataFrame, vectors: DataFrame, pairs: DataFrame, schema: T.StructType) -> DataFrame:
+    spark, context = asked.sparkSession, asked.sparkSession.sparkContext
+    table = asked.toArrow()
+    names = table["qid"].combine_chunks()
+    matrix = _matrix(table["embedding"])
+    # One slice of pairs, as the queries' k best rows in a search.
+    wanted = pairs.select("qid", "doc_id").join(asked.select("qid"), "qid", "left_semi")
+    shared = context.broadcast((names, matrix))
+    scored = vectors.select("doc_id", "embedding").join(F.broadcast(wanted), "doc_id").select("qid", "doc_id", "embedding")
+    scores = scored.mapInArrow(lambda batches: _pair_scores(batches, shared.value), run_schema(*(schema[c].dataType for c in ("qid", "doc_id")))).toArrow()
+    good = np.isfinite(scores["score"].to_numpy())
+    scores = scores.filter(pa.array(good))
+    if not scores.num_rows:
+        return spark.createDataFrame([], schema)
+    query = pc.index_in(scores["qid"], value_set=names).to_numpy()
+    given = context.broadcast((query, scores["doc_id"].combine_chunks(), scores["score"].to_numpy()))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, query_matrix = shared.value
+        found = Asked(*given.value, len(ids))
+        for batch in batches:
+            rows = _matrix(batch.column(1))
+            for first in range(0, len(rows), _BLOCK_VECTORS):
+                block, block_ids = rows[first : first + _BLOCK_VECTORS], plain_ids(batch.column(0).slice(first, _BLOCK_VECTORS))
+                for start in range(0, len(ids), _TILE_QUERIES):
+                    products = block @ query_matrix[start : start + _TILE_QUERIES].T
+                    for place in range(products.shape[1]):
+                        found.add(start + place, block_ids, products[:, place])
+        before = found.before()
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(before))), pa.array(before)], names=["row", "before"])
+
+    counts = vectors.select("doc_id", "embedding").mapInArrow(count, "row long, before long")
+    total = counts.groupBy("row").agg(F.sum("before").alias("before"))
+    scores = scores.append_column("row", pa.array(np.arange(scores.num_rows)))
+    numbered = spark.createDataFrame(scores.select(["row", "qid", "doc_id"]), T.StructType([T.StructField("row", T.LongType()), *schema.fields[:2]]))
+    return numbered.join(total, "row").select("qid", "doc_id", (F.col("before") + 1).cast("int").alias("rank"))
+
+
+def _pair_scores(batches: Iterator[pa.RecordBatch], asked: tuple[pa.Array, np.ndarray]) -> Iterator[pa.RecordBatch]:
+    names, matrix = asked
+    for batch in batches:
+        if batch.num_rows:
+            rows = _matrix(batch.column(2))
+            query = pc.index_in(batch.column(0), value_set=names).to_numpy(zero_copy_only=False)
+            score = np.einsum("ij,ij->i", rows, matrix[query])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["qid", "doc_id", "score"])
+
+
 def cosine_top_k(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig = DenseConfig()) -> DataFrame:
     """As :func:`dense_top_k` on unit vectors."""
     return dense_top_k(normalized(queries), normalized(vectors), k, config)

@@ -19,7 +19,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import Column, DataFrame, Row, functions as F
+from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
 
 from rankloom.config import Bm25Config
 from rankloom.functions.guards import positive_k
@@ -28,6 +28,7 @@ from rankloom.functions.text import words
 from rankloom.operators import postings_blocks
 from rankloom.operators.postings_blocks import BlockSet
 from rankloom.operators.ranking import top_k
+from rankloom.schemas import run_schema
 from rankloom.session import materialise
 
 
@@ -283,6 +284,25 @@ def search_blocks(index: TextIndex, queries: DataFrame, k: int, config: Bm25Conf
     )
 
 
+def bm25_places(index: TextIndex, queries: DataFrame, pairs: DataFrame, config: Bm25Config = Bm25Config()) -> DataFrame:
+    """``(qid, doc_id, rank)``: the places that ``pairs(qid, doc_id)`` have in the whole lists of ``queries``.
+
+    Works on the blocks of a written index, slice by slice as a search does.
+    """
+    types = (queries.schema["qid"].dataType, index.postings.schema["doc_id"].dataType)
+    schema = T.StructType([*run_schema(*types).fields[:2], T.StructField("rank", T.IntegerType())])
+    most = pairs.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+    if not most:
+        return queries.sparkSession.createDataFrame([], schema)
+    done = None
+    for asked in _slices(queries, query_bytes(queries, len(config.fields)), most, config):
+        weighted = _weights(_boosted_idf(index, config).join(F.broadcast(query_terms(asked)), "term"))
+        own = pairs.join(F.broadcast(asked.select("qid")), "qid", "left_semi")
+        placed = materialise(postings_blocks.places(list(index.blocks), weighted, own, config, schema), "bm25-places")
+        done = placed if done is None else done.unionByName(placed)
+    return done
+
+
 def query_cost(index: TextIndex, queries: DataFrame, k: int, config: Bm25Config = Bm25Config()) -> DataFrame:
     """``(qid, postings, documents)``: postings that a search meets for each query with a known word, and
     documents that it scores in full.

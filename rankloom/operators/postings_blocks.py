@@ -15,7 +15,7 @@ Weights of one slice of queries, measured before, go to all tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,6 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rankloom.config import Bm25Config
+from rankloom.operators.places import Asked, plain_ids
 from rankloom.operators.ranking import top_k
 
 BLOCK = 128
@@ -271,12 +272,7 @@ def scan_shard(shard: Shard, weights: Weights, floors: np.ndarray, k: int) -> pa
     def close() -> None:
         if now is None or not pending:
             return
-        doc, score = (np.concatenate(x) for x in zip(*pending, strict=True))
-        # The best field counts.
-        order = np.lexsort((-score, doc))
-        doc, score = doc[order], score[order]
-        first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
-        doc, score = doc[first], score[first]
+        doc, score = _best_field(*zip(*pending, strict=True))
         scored[now] = len(doc)
         top = _first_k(doc, score, k)
         queries.append(np.full(len(top), now))
@@ -309,14 +305,7 @@ def _scan(
 ) -> DataFrame:
     """One task per shard: qid, doc_id, score, met and scored."""
     k1, b = config.k1, config.b
-    numbered = found.blocks.sparkSession.createDataFrame(names)
-    blocks = found.blocks.where(F.col("shard").isin(shards)) if len(shards) < len(found.shards) else found.blocks
-    if names.num_rows <= PUSHED_TERMS:
-        # Within a bucket, blocks are in order of their term: pages without these need not be read.
-        blocks = blocks.where(F.col("term").isin(sorted(set(names["term"].to_pylist()))))
-    matched = blocks.select("shard", "field", "term", "docs", "tfs", "dls").join(
-        F.broadcast(numbered), ["field", "term"]
-    ).select("shard", "number", "docs", "tfs", "dls")
+    matched = _matched(found, shards, names)
 
     def scan(rows: pa.Table, gone: pa.Table | None = None) -> pa.Table:
         weights = shared.value
@@ -330,6 +319,23 @@ def _scan(
             names=schema.names,
         )
 
+    return _by_shard(found, matched, scan, schema)
+
+
+def _matched(found: BlockSet, shards: list[int], names: pa.Table) -> DataFrame:
+    """The blocks of the numbered terms in some shards."""
+    numbered = found.blocks.sparkSession.createDataFrame(names)
+    blocks = found.blocks.where(F.col("shard").isin(shards)) if len(shards) < len(found.shards) else found.blocks
+    if names.num_rows <= PUSHED_TERMS:
+        # Within a bucket, blocks are in order of their term: pages without these need not be read.
+        blocks = blocks.where(F.col("term").isin(sorted(set(names["term"].to_pylist()))))
+    return blocks.select("shard", "field", "term", "docs", "tfs", "dls").join(
+        F.broadcast(numbered), ["field", "term"]
+    ).select("shard", "number", "docs", "tfs", "dls")
+
+
+def _by_shard(found: BlockSet, matched: DataFrame, scan, schema: T.StructType) -> DataFrame:
+    """``scan`` of every shard's matched blocks and of its documents that are gone, if the set has any."""
     if found.gone is None:
         return matched.groupBy("shard").applyInArrow(lambda rows: scan(rows), schema)
     gone = found.gone.select("shard", "doc_id")
@@ -402,3 +408,96 @@ def _floors(begun: pa.Table, qids: pa.Array, k: int) -> np.ndarray:
         place = np.arange(len(query)) - np.searchsorted(query, query)
         floors[query[place == k - 1]] = score[place == k - 1]
     return floors
+
+
+def _whole_lists(shard: Shard, weights: Weights) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For every query its documents in the shard, by number, with their scores: the best field counts."""
+    now, docs, scores = None, [], []
+    for query, part in weights.parts():
+        if query != now and now is not None:
+            yield now, *_best_field(docs, scores)
+            docs, scores = [], []
+        now = query
+        doc, score, _ = shard.best(weights.term[part], weights.weight[part], -np.inf)
+        docs.append(doc)
+        scores.append(score)
+    if now is not None:
+        yield now, *_best_field(docs, scores)
+
+
+def _best_field(docs: Sequence[np.ndarray], scores: Sequence[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """A query's documents once each: the best field counts."""
+    doc, score = np.concatenate(docs), np.concatenate(scores)
+    order = np.lexsort((-score, doc))
+    doc, score = doc[order], score[order]
+    first = np.concatenate(([True], doc[1:] != doc[:-1])) if len(doc) else np.zeros(0, bool)
+    return doc[first], score[first]
+
+
+def places(sets: list[BlockSet], weighted: DataFrame, pairs: DataFrame, config: Bm25Config, schema: T.StructType) -> DataFrame:
+    """``(qid, doc_id, rank)``: the places of ``pairs(qid, doc_id)`` in the whole lists of one slice of queries.
+
+    Pairs without a common word are not there. The blocks are gone over twice: for the scores of the pairs, and to
+    count what ranks before them.
+    """
+    spark, context = weighted.sparkSession, weighted.sparkSession.sparkContext
+    weights, names = gather_weights(weighted)
+    if not len(weights.qids) or not sets:
+        return spark.createDataFrame([], schema)
+    shared = context.broadcast(weights)
+    table = pairs.select("qid", "doc_id").toArrow()
+    query = pc.index_in(table["qid"], value_set=weights.qids)
+    # Queries without a known word have no list.
+    table, query = table.filter(query.is_valid()), query.drop_null().to_numpy()
+    wanted = context.broadcast((query, table["doc_id"].combine_chunks()))
+    k1, b = config.k1, config.b
+    pair_schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("score", T.DoubleType())])
+
+    def score(rows: pa.Table, gone: pa.Table | None = None) -> pa.Table:
+        shard = Shard(rows, shared.value, k1, b, gone)
+        queries, ids = wanted.value
+        at = pc.index_in(ids, value_set=shard.ids).fill_null(-1).to_numpy(zero_copy_only=False)
+        here = np.flatnonzero(at >= 0)
+        here = here[np.argsort(queries[here], kind="stable")]
+        asked = queries[here]
+        found, scores = [], []
+        for number, doc, value in _whole_lists(shard, shared.value):
+            own = here[np.searchsorted(asked, number, "left") : np.searchsorted(asked, number, "right")]
+            if len(own) and len(doc):
+                place = np.minimum(np.searchsorted(doc, at[own]), len(doc) - 1)
+                hit = doc[place] == at[own]
+                found.append(own[hit])
+                scores.append(value[place[hit]])
+        empty = np.zeros(0, np.int64)
+        return pa.table(
+            [np.concatenate([empty, *found]), np.concatenate([empty.astype(float), *scores])], names=pair_schema.names
+        )
+
+    def union(scan, kind: T.StructType) -> DataFrame:
+        parts = [_by_shard(found, _matched(found, list(found.shards), names), scan, kind) for found in sets]
+        rows = parts[0]
+        for part in parts[1:]:
+            rows = rows.unionByName(part)
+        return rows
+
+    scored = union(score, pair_schema).toArrow()
+    row = scored["row"].to_numpy()
+    if not len(row):
+        return spark.createDataFrame([], schema)
+    found = table.take(pa.array(row))
+    given = context.broadcast((query[row], found["doc_id"].combine_chunks(), scored["score"].to_numpy()))
+    count_schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("before", T.LongType())])
+
+    def count(rows: pa.Table, gone: pa.Table | None = None) -> pa.Table:
+        weights = shared.value
+        shard = Shard(rows, weights, k1, b, gone)
+        asked, ids = Asked(*given.value, len(weights.qids)), plain_ids(shard.ids)
+        for number, doc, value in _whole_lists(shard, weights):
+            asked.add(number, ids[doc], value)
+        before = asked.before()
+        return pa.table([np.arange(len(before)), before], names=count_schema.names)
+
+    total = union(count, count_schema).groupBy("row").agg(F.sum("before").alias("before"))
+    numbered = found.append_column("row", pa.array(np.arange(found.num_rows))).select(["row", "qid", "doc_id"])
+    numbered = spark.createDataFrame(numbered, T.StructType([T.StructField("row", T.LongType()), *schema.fields[:2]]))
+    return numbered.join(total, "row").select("qid", "doc_id", (F.col("before") + 1).cast("int").alias("rank"))

@@ -6,13 +6,13 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from typing import Protocol
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from rankloom.config import Bm25Config, DenseConfig, HybridConfig
 from rankloom.functions.guards import positive_k
-from rankloom.operators.dense import check_dimensions, dense_top_k
+from rankloom.operators.dense import check_dimensions, dense_places, dense_top_k
 from rankloom.operators.fusion import rrf_top_k
-from rankloom.operators.lexical import TextIndex, bm25_top_k
+from rankloom.operators.lexical import TextIndex, bm25_places, bm25_top_k
 
 
 class Retriever(Protocol):
@@ -29,6 +29,10 @@ class Bm25Retriever:
     def retrieve(self, queries: DataFrame, k: int) -> DataFrame:
         return bm25_top_k(self.index, queries, k, self.config)
 
+    def places(self, queries: DataFrame, pairs: DataFrame) -> DataFrame | None:
+        """``(qid, doc_id, rank)`` of ``pairs(qid, doc_id)`` in the whole lists; none where the index has no blocks."""
+        return bm25_places(self.index, queries, pairs, self.config) if self.index.blocks else None
+
 
 @dataclass(frozen=True)
 class DenseRetriever:
@@ -44,6 +48,13 @@ class DenseRetriever:
         encoded = self.encode_queries(queries)
         return dense_top_k(encoded, self.vectors, k, self.config)
 
+    def places(self, queries: DataFrame, pairs: DataFrame) -> DataFrame | None:
+        """``(qid, doc_id, rank)`` of ``pairs(qid, doc_id)`` in the whole lists; none where ids repeat or are missing."""
+        counts = self.vectors.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+        if counts.where((F.col("n") > 1) | F.col("doc_id").isNull()).limit(1).count():
+            return None
+        return dense_places(self.encode_queries(queries), self.vectors, pairs, self.config)
+
     def check(self, queries: DataFrame) -> None:
         """Compare the dimensions of all vectors; a search itself compares one of each side before it
         starts, and every block as it goes."""

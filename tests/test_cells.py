@@ -95,3 +95,30 @@ def test_slices_text_ids_and_odd_vectors(spark, tmp_path):
     assert cells.cell_top_k(asked.limit(0), found, 3).run.collect() == []
     with pytest.raises(ValueError, match="dimension"):
         cells.cell_top_k(spark.createDataFrame([("q", [1.0])], "qid string, embedding array<float>"), found, 1)
+
+
+def test_scores_are_formed_tile_by_tile(spark, tmp_path, monkeypatch):
+    """However many queries want a cell, only a block of vectors by a tile of queries is scored at once."""
+    shapes = []
+
+    class Seen(cells._Best):
+        def add(self, ids, scores):
+            shapes.append(scores.shape)
+            super().add(ids, scores)
+
+    monkeypatch.setattr(cells, "_Best", Seen)
+    rows = clustered(5, 1500)
+    vectors = frame(spark, rows).coalesce(1)
+    index = cells.write_cells(spark, vectors, str(tmp_path / "tiles"), cells=3)
+    made = []
+    monkeypatch.setattr(type(index.vectors), "mapInArrow", lambda self, run, schema: made.append((self, run)) or self)
+    names = cells.pa.array(range(len(rows)))
+    wanted = np.ones((len(rows), len(index.cells)), bool)
+    cells._scan(index, names, rows.astype(float), wanted, np.full(len(rows), -np.inf), 4, None)
+    scanned, run = made[0]
+    found = cells.pa.Table.from_batches(list(run(iter(scanned.toArrow().to_batches()))))
+    assert max(width for _, width in shapes) <= cells._TILE_QUERIES < len(rows)
+    # At most k rows per query and cell, and the best of them are those of all scores.
+    assert found.num_rows <= 4 * len(rows) * len(index.cells)
+    best = found.group_by("qid").aggregate([("score", "max")]).sort_by("qid")["score_max"].to_numpy()
+    assert np.allclose(best, (rows.astype(float) @ rows.astype(float).T).max(axis=1))

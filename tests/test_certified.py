@@ -5,9 +5,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankloom.config import HybridConfig
+from rankloom.config import Bm25Config, DenseConfig, HybridConfig
+from rankloom.operators import encoding
 from rankloom.operators.certified import certified_top_k
 from rankloom.operators.fusion import rrf_top_k
+from rankloom.operators.retrievers import Bm25Retriever, DenseRetriever
+from rankloom.sources import indexes
 
 
 class Listed:
@@ -82,3 +85,30 @@ def test_refusals_and_no_queries(spark, make_run):
         certified_top_k(lists, none, 3, growth=1)
     with pytest.raises(ValueError, match="no fusion weight"):
         certified_top_k({"other": lists["bm25"]}, none, 3)
+
+
+def test_places_are_asked_for_instead_of_deep_lists(spark, tmp_path, monkeypatch):
+    """Documents that lead one list and stand far down the other: the run of whole lists, from shallow ones."""
+    source = random.Random(5)
+    words = [f"w{n}" for n in range(60)]
+    # Every third text is there twice, so that scores tie.
+    texts = [" ".join(source.choices(words, k=source.randint(1, 30))) for _ in range(450)]
+    texts += texts[::3]
+    corpus = spark.createDataFrame([(n, t.split()[0], t) for n, t in enumerate(texts)], "doc_id long, title string, text string")
+    corpus = corpus.withColumn("doc_id", F.col("doc_id").cast("string")).repartition(5)
+    asked = [(n, " ".join(source.choices(words, k=6))) for n in range(12)] + [(12, "unknown"), (13, "")]
+    asked = spark.createDataFrame(asked, "qid long, text string")
+    index = indexes.write_text_index(spark, corpus, str(tmp_path / "index"))
+    indexes.write_vectors(encoding.hash_documents(index, corpus, DenseConfig(dim=16)).repartition(4), f"{tmp_path}/vectors")
+    vectors = indexes.load_vectors(spark, f"{tmp_path}/vectors")
+    sides = {
+        "bm25": Bm25Retriever(index),
+        "dense": DenseRetriever(vectors, lambda rows: encoding.hash_queries(index, rows, DenseConfig(dim=16))),
+    }
+    expected = ranked(rrf_top_k({name: side.retrieve(asked, len(texts)) for name, side in sides.items()}, 5))
+    depths = []
+    for kind in (Bm25Retriever, DenseRetriever):
+        real = kind.retrieve
+        monkeypatch.setattr(kind, "retrieve", lambda self, q, k, real=real: depths.append(k) or real(self, q, k))
+    assert ranked(certified_top_k(sides, asked, 5).run) == expected
+    assert max(depths) <= 160 < len(texts)
