@@ -37,6 +37,8 @@ from rankloom.session import materialise
 _PUSHED_TERMS = 10
 # What a row of query terms takes besides its texts.
 _ROW_BYTES = 160
+# Text whose words one task counts; the tables it counts in take some twenty times as much.
+_PLANNED_BYTES = 8 << 20
 # A query has words for at least so many rows of results.
 _ROWS_PER_WORDS = 64
 
@@ -133,9 +135,13 @@ def term_idf(term_stats: DataFrame, field_stats: DataFrame) -> DataFrame:
 
 
 def index_corpus(corpus: DataFrame, fields: Sequence[str] = ("title", "text"), partitions: int | None = None) -> TextIndex:
-    """Plan an index. Documents are placed by ``doc_id`` first, so postings need no second shuffle."""
+    """Plan an index. Documents are placed by ``doc_id`` first, so postings need no second shuffle.
+
+    Without ``partitions`` there are as many as the measured text asks for, so that the words a task counts
+    stay within bounds however large the corpus is.
+    """
     texts = corpus.select("doc_id", *fields)
-    placed = texts.repartition(partitions, "doc_id") if partitions else texts.repartition("doc_id")
+    placed = texts.repartition(partitions or _planned_partitions(texts, fields), "doc_id")
     postings = term_frequency(placed, fields)
     doc_len = doc_lengths(texts, fields)
     return TextIndex(
@@ -148,6 +154,12 @@ def index_corpus(corpus: DataFrame, fields: Sequence[str] = ("title", "text"), p
     )
 
 
+def _planned_partitions(texts: DataFrame, fields: Sequence[str]) -> int:
+    size = sum((F.coalesce(F.octet_length(name), F.lit(0)).cast("bigint") for name in fields), F.lit(0).cast("bigint"))
+    total = texts.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // _PLANNED_BYTES))
+
+
 def indexed_lengths(postings: DataFrame) -> DataFrame:
     """Field lengths as the postings carry them. No shuffle where postings lie by document."""
     return postings.select("doc_id", "field", "dl").distinct()

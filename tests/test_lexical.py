@@ -196,3 +196,12 @@ def test_empty_corpus(spark, queries):
 def test_k_must_be_positive(corpus, queries, k):
     with pytest.raises(ValueError):
         lexical.bm25_top_k(lexical.index_corpus(corpus), queries, k)
+
+
+def test_a_planned_index_counts_a_bounded_part_of_the_text_per_task(spark, monkeypatch):
+    corpus = spark.createDataFrame([(n, f"t{n}", f"w{n} " * 50) for n in range(200)], "doc_id long, title string, text string")
+    expected = sorted(tuple(r) for r in lexical.index_corpus(corpus).term_stats.collect())
+    monkeypatch.setattr(lexical, "_PLANNED_BYTES", 1000)
+    index = lexical.index_corpus(corpus)
+    assert index.postings.rdd.getNumPartitions() >= 30
+    assert sorted(tuple(r) for r in index.term_stats.collect()) == expected
