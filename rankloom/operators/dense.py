@@ -30,6 +30,8 @@ from rankloom.session import materialise
 # Vectors and queries of one product: 4 million scores, 32 MB in double precision.
 _BLOCK_VECTORS = 8192
 _TILE_QUERIES = 512
+# Queries of one product where every score is passed on.
+_STREAMED_QUERIES = 16
 # Bytes a task keeps per query and place: score, rank key and id.
 _KEPT_BYTES = 64
 
@@ -165,13 +167,15 @@ def inner_product_scores(queries: DataFrame, vectors: DataFrame, k: int, config:
     if one is None:
         return spark.createDataFrame([], schema)
     asked = materialise(queries.select("qid", "embedding"), "query-vectors")
-    count = _slice_count(asked, one.dim, k, config.broadcast_bytes)
+    keeps = k <= _BLOCK_VECTORS or k < _largest_part(vectors)
+    # A task that passes on all that it scores keeps nothing, so k does not ask for more slices.
+    count = _slice_count(asked, one.dim, k if keeps else 0, config.broadcast_bytes)
     if count <= 1:
-        return _scan(asked, vectors, k, schema)[0]
+        return _scan(asked, vectors, k, schema, keeps)[0]
     part = F.pmod(F.xxhash64("qid"), F.lit(count))
     done = None
     for number in range(count):
-        scores, shared = _scan(asked.where(part == number), vectors, k, schema)
+        scores, shared = _scan(asked.where(part == number), vectors, k, schema, keeps)
         # One slice at a time is held, by the driver as by the executors.
         written = materialise(scores, "dense-slice")
         shared.unpersist()
@@ -196,8 +200,19 @@ def _slice_count(asked: DataFrame, dim: int, k: int, limit: int) -> int:
     return max(1, min(found.n, -(-found.bytes // max(1, limit))))
 
 
-def _scan(asked: DataFrame, vectors: DataFrame, k: int, schema: StructType) -> tuple[DataFrame, Broadcast]:
-    """One slice of queries, measured before, goes to every executor and meets all vectors there."""
+def _largest_part(vectors: DataFrame) -> int:
+    """Vectors of the partition that has most."""
+    parts = vectors.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n"))
+    return parts.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def _scan(
+    asked: DataFrame, vectors: DataFrame, k: int, schema: StructType, keeps: bool = True
+) -> tuple[DataFrame, Broadcast]:
+    """One slice of queries, measured before, goes to every executor and meets all vectors there.
+
+    Where it ``keeps`` nothing, for a k that no partition exceeds, a task passes on every score as it is formed.
+    """
     table = asked.toArrow()
     query_ids = table["qid"].combine_chunks()
     shared = asked.sparkSession.sparkContext.broadcast((query_ids, _matrix(table["embedding"])))
@@ -214,6 +229,9 @@ def _scan(asked: DataFrame, vectors: DataFrame, k: int, schema: StructType) -> t
                 )
             for first in range(0, len(matrix), _BLOCK_VECTORS):
                 block, block_ids = matrix[first : first + _BLOCK_VECTORS], batch.column(0).slice(first, _BLOCK_VECTORS)
+                if not keeps:
+                    yield from _all_scores(ids, query_matrix, block_ids, block, schema)
+                    continue
                 for tile, best in tiles:
                     best.add(block_ids, block @ tile.T)
         for start, (_, best) in zip(starts, tiles, strict=True):
@@ -222,6 +240,17 @@ def _scan(asked: DataFrame, vectors: DataFrame, k: int, schema: StructType) -> t
     return vectors.select("doc_id", "embedding").mapInArrow(scan, schema), shared
 
 
+def _all_scores(
+    ids: pa.Array, query_matrix: np.ndarray, block_ids: pa.Array, block: np.ndarray, schema: StructType
+) -> Iterator[pa.RecordBatch]:
+    """The scores of a block with all queries, a few queries at a time; none that is no finite number."""
+    for start in range(0, len(ids), _STREAMED_QUERIES):
+        scores = query_matrix[start : start + _STREAMED_QUERIES] @ block.T
+        query, row = np.nonzero(np.isfinite(scores))
+        columns = [ids.take(pa.array(query + start)), block_ids.take(pa.array(row)), pa.array(scores[query, row])]
+        yield pa.RecordBatch.from_arrays(columns, names=schema.names)
+
+
 def dense_top_k(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig = DenseConfig()) -> DataFrame:
     """Ranked run of the ``k`` vectors with the largest inner product, or fewer if there are fewer.
 

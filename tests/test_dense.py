@@ -192,3 +192,25 @@ def test_rows_that_do_not_fit_are_listed(spark):
     asked = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0]), ("c", [])], "qid string, embedding array<float>")
     found = sorted(map(tuple, mismatches(vectors, asked).collect()))
     assert found == [("index", "3", 1, 2), ("index", "4", -1, 2), ("query", "b", 3, 2), ("query", "c", 0, 2)]
+
+
+def test_places_beyond_every_partition_need_no_more_passes(spark, monkeypatch):
+    """A k that no partition exceeds asks for no slices of its own: every score is passed on, none is kept."""
+    from rankloom.operators import dense
+
+    monkeypatch.setattr(dense, "_BLOCK_VECTORS", 16)
+    passes = []
+    real = dense._scan
+    monkeypatch.setattr(dense, "_scan", lambda *a: passes.append(a) or real(*a))
+    vectors = spark.createDataFrame(
+        [(n, [float(n % 7), float(n % 3)]) for n in range(100)] + [(100, [float("nan"), 1.0])], "doc_id long, embedding array<float>"
+    ).repartition(3)
+    asked = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(20)], "qid long, embedding array<float>")
+    run = dense.dense_top_k(asked, vectors, 101, DenseConfig(dim=2, broadcast_bytes=20 * 64 * 16))
+    found = {}
+    for r in run.collect():
+        found.setdefault(r.qid, []).append((r["rank"], r.doc_id))
+    assert len(passes) == 1
+    for q in range(20):
+        expected = sorted(range(100), key=lambda n: (-(n % 7 + q * (n % 3)), n))
+        assert sorted(found[q]) == list(enumerate(expected, 1))
