@@ -84,24 +84,38 @@ def derive_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     longest = F.array_max(F.transform("phrases", lambda p: F.struct(F.length(p).alias("n"), p.alias("phrase"))))
     anchors = passages.select("passage", longest["phrase"].alias("phrase")).distinct()
 
-    texts = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("words"))
-    # Phrases are only formed in the lengths that lead to a passage: at most three numbers.
-    lengths = [r.n for r in anchors.select(F.size(F.split("phrase", " ")).alias("n")).distinct().collect()]
-    formed = F.concat(*[_phrases(F.col("words"), size) for size in lengths or [_ANCHOR_WORDS]])
-    phrases = texts.select("doc_id", F.explode(formed).alias("phrase"))
-    small = broadcast_within(anchors, _ANCHOR_BYTES, "passage", "phrase")
-    if small is not None:
-        candidates = phrases.join(small, "phrase")
-    else:
-        counts = phrases.groupBy("phrase").agg(F.count(F.lit(1)).alias("n"))
-        heavy = heavy_keys(counts, ["phrase"], "n")
-        candidates = salted_join(phrases, anchors, ["phrase"], heavy, F.col("doc_id"))
-    held = (
-        candidates.select("doc_id", "passage")
-        .distinct()
-        .join(texts.select("doc_id", F.concat_ws(" ", F.lit(""), F.concat_ws(" ", "words"), F.lit("")).alias("padded")), "doc_id")
-        .where(F.contains("padded", F.concat(F.lit(" "), F.col("passage"), F.lit(" "))))
+    found = table(spark, sf_dir, "documents").select("doc_id", words(F.col("text")).alias("words"))
+    # Phrases are only looked for in the lengths that lead to a passage: at most three numbers.
+    sizes = anchors.withColumn("n", F.size(F.split("phrase", " ")))
+    lengths = [r.n for r in sizes.select("n").distinct().collect()] or [_ANCHOR_WORDS]
+    # A word with those after it, as columns: phrases are never put together as text.
+    follow = [F.col("words"), *[F.expr(f"slice(words, {n + 1}, greatest(size(words) - {n}, 0))") for n in range(1, max(lengths))]]
+    places = found.select("doc_id", F.inline(F.arrays_zip(*[c.alias(f"w{n}") for n, c in enumerate(follow)]))).toDF(
+        "doc_id", *[f"w{n}" for n in range(max(lengths))]
     )
+    parts = []
+    for size in lengths:
+        names = [f"w{n}" for n in range(size)]
+        split = F.split("phrase", " ")
+        leads = sizes.where(F.col("n") == size).select("passage", *[split[n].alias(name) for n, name in enumerate(names)])
+        small = broadcast_within(leads, _ANCHOR_BYTES, "passage", *names)
+        if small is not None:
+            parts.append(places.join(small, names))
+        else:
+            counts = places.where(F.col(names[-1]).isNotNull()).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
+            heavy = heavy_keys(counts, names, "n")
+            parts.append(salted_join(places.where(F.col(names[-1]).isNotNull()), leads, names, heavy, F.col("doc_id")))
+    candidates = reduce(DataFrame.unionByName, [part.select("doc_id", "passage") for part in parts]).distinct()
+    candidates = materialise(candidates, "qrels-candidates")
+    # Few documents are compared in full, and then only their words are formed again.
+    near = broadcast_within(candidates, _ANCHOR_BYTES, "passage")
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text")
+    if near is not None:
+        compared = texts.join(near, "doc_id")
+    else:
+        compared = texts.join(candidates, "doc_id")
+    padded = F.concat_ws(" ", F.lit(""), F.concat_ws(" ", words(F.col("text"))), F.lit(""))
+    held = compared.where(F.contains(padded, F.concat(F.lit(" "), F.col("passage"), F.lit(" "))))
     return held.select("doc_id", "passage").join(passages.select("qid", "passage"), "passage").select("qid", "doc_id")
 
 
