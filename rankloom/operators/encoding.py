@@ -6,13 +6,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructType
 
 from rankloom.config import DenseConfig
 from rankloom.functions.scores import inverse_document_frequency
 from rankloom.functions.text import compose, term_bucket
-from rankloom.operators.joins import broadcast_within, heavy_keys, salted_join
+from rankloom.operators.joins import SLICE_ROWS, heavy_keys, salted_join
 from rankloom.operators.lexical import TextIndex, content_frequency, query_bytes, query_terms
 from rankloom.schemas import vectors_schema
 
@@ -21,6 +21,8 @@ BatchEncoder = Callable[[Sequence[str]], np.ndarray]
 # Texts that wait for others of their length, and the characters of them that may wait.
 WAITING_TEXTS = 4096
 WAITING_CHARS = 1 << 24
+# What a row of the vocabulary takes besides its term, in a table that is broadcast.
+_TERM_BYTES = 128
 
 
 def document_text(corpus: DataFrame) -> DataFrame:
@@ -130,6 +132,39 @@ def content_idf(index: TextIndex) -> DataFrame:
     return index.content_stats.select("term", "df", idf.alias("idf"))
 
 
+def _common_terms(idf: DataFrame, limit: int) -> tuple[int | None, int]:
+    """The least document frequency, a power of two, from which on the terms take at most ``limit`` bytes, none
+    if even the most frequent do not fit, and the postings of the terms below it. 1 if all terms fit."""
+    size = F.octet_length("term") + F.lit(_TERM_BYTES)
+    # One row per binary digit of the frequency.
+    classes = idf.groupBy(F.floor(F.log2("df")).cast("int").alias("log")).agg(
+        F.sum(size.cast("bigint")).alias("bytes"), F.sum("df").alias("rows")
+    )
+    found = sorted(classes.collect(), key=lambda row: -row.log)
+    held, least = 0, None
+    for place, row in enumerate(found):
+        held += row.bytes
+        if held > limit:
+            return least, sum(rest.rows for rest in found[place:])
+        least = 1 << row.log
+    return 1, 0
+
+
+def _rare_entries(
+    frequencies: DataFrame, rare: DataFrame, common: DataFrame | None, least: int | None, key: str, weight: Column, rows: int, partitions: int | None
+) -> DataFrame:
+    """What the terms of ``rare`` add, by owner and place, if no term of ``common`` is among them. Only their own
+    ``rows`` are moved: to the vocabulary, and with their place and weight back to their owner."""
+    own = frequencies if common is None else frequencies.join(F.broadcast(common), "term", "left_anti")
+    parts = max(int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLICE_ROWS))
+    if least is not None and least <= SLICE_ROWS:
+        # No term has more rows than a slice.
+        joined = own.repartition(parts, "term").join(rare.repartition(parts, "term").hint("merge"), "term")
+    else:
+        joined = salted_join(own, rare, ["term"], heavy_keys(rare, ["term"], "df"), F.col(key))
+    return joined.select(key, "bucket", weight.alias("value")).repartition(partitions or parts, key)
+
+
 def hashed_vectors(
     frequencies: DataFrame,
     idf: DataFrame,
@@ -138,54 +173,69 @@ def hashed_vectors(
     key: str = "doc_id",
     frequency: str = "tf",
     small_frequencies: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Feature-hashed vectors: every term adds ``(1 + ln tf) * idf`` to one of ``dim`` places.
 
     ``frequencies(key, term, tf)`` is joined with the vocabulary table ``idf(term, df, idf)``. If
     the caller has measured the frequencies as small they are broadcast to the vocabulary; else
-    the vocabulary is broadcast if it measures small; else both are shuffled, with the common
-    terms salted. ``owners(key)`` without a known term get a zero vector.
+    the most frequent terms are broadcast, as many as fit, and only rows of other terms are shuffled, a
+    term that has very many of them salted. ``owners(key)`` without a known term get a zero vector.
+    ``partitions`` are those in which the frequencies lie by ``key``, if they do.
     """
     dim, normalize = config.dim, config.normalize
     placed = idf.select("term", "df", "idf", term_bucket(F.col("term"), dim).alias("bucket"))
+    weight = (F.lit(1.0) + F.log(F.col(frequency).cast("double"))) * F.col("idf")
+    sides = []
     if small_frequencies:
         joined = placed.join(F.broadcast(frequencies), "term")
-    elif (small := broadcast_within(placed, config.broadcast_bytes, "term")) is not None:
-        joined = frequencies.join(small, "term")
+        sides.append(joined.select(key, "bucket", weight.alias("value")))
     else:
-        joined = salted_join(frequencies, placed, ["term"], heavy_keys(placed, ["term"], "df"), F.col(key))
-    weight = (F.lit(1.0) + F.log(F.col(frequency).cast("double"))) * F.col("idf")
-    # At most `dim` entries per owner: sums are formed before they are listed.
-    entries = (
-        joined.groupBy(key, "bucket")
-        .agg(F.sum(weight).alias("value"))
-        .groupBy(key)
-        .agg(F.collect_list("bucket").alias("buckets"), F.collect_list("value").alias("values"))
-    )
+        least, rows = _common_terms(idf, config.broadcast_bytes)
+        common = None
+        if least is not None:
+            common = placed if least == 1 else placed.where(F.col("df") >= least)
+            joined = frequencies.join(F.broadcast(common.select("term", "idf", "bucket")), "term")
+            sides.append(joined.select(key, "bucket", weight.alias("value")))
+        if least != 1:
+            rare = placed if least is None else placed.where(F.col("df") < least)
+            known = None if common is None else common.select("term")
+            sides.append(_rare_entries(frequencies, rare, known, least, key, weight, rows, partitions))
     # The entries of all owners are large, though an estimate may call them small.
-    complete = owners.select(key).join(entries.hint("merge"), key, "left")
+    complete = owners.select(key)
+    for place, side in enumerate(sides):
+        # At most `dim` entries per owner: sums are formed before they are listed.
+        sums = side.groupBy(key, "bucket").agg(F.sum("value").alias("value"))
+        entries = sums.groupBy(key).agg(
+            F.collect_list("bucket").alias(f"buckets{place}"), F.collect_list("value").alias(f"values{place}")
+        )
+        complete = complete.join(entries.hint("merge"), key, "left")
     schema: StructType = vectors_schema(key, owners.schema[key].dataType)
+    n_sides = len(sides)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matrix = np.zeros((batch.num_rows, dim), dtype=np.float64)
-            buckets, values = batch.column(1), batch.column(2)
-            lengths = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(batch.num_rows), lengths)
-            matrix[rows, buckets.flatten().to_numpy(zero_copy_only=False)] = values.flatten().to_numpy(
-                zero_copy_only=False
-            )
+            for side in range(n_sides):
+                buckets, values = batch.column(1 + 2 * side), batch.column(2 + 2 * side)
+                lengths = buckets.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                rows = np.repeat(np.arange(batch.num_rows), lengths)
+                # A place comes once per owner and side.
+                matrix[rows, buckets.flatten().to_numpy(zero_copy_only=False)] += values.flatten().to_numpy(
+                    zero_copy_only=False
+                )
             if normalize:
                 matrix = normalize_rows(matrix)
             keys = batch.column(0)
             yield _vector_batch(key, keys, matrix, pa.schema([(key, keys.type)]))
 
-    return complete.select(key, "buckets", "values").mapInArrow(scatter, schema)
+    listed = [f"{name}{side}" for side in range(n_sides) for name in ("buckets", "values")]
+    return complete.select(key, *listed).mapInArrow(scatter, schema)
 
 
 def hash_documents(index: TextIndex, corpus: DataFrame, config: DenseConfig = DenseConfig()) -> DataFrame:
     """Vectors of all documents, from the postings of the text index."""
-    return hashed_vectors(content_frequency(index.postings), content_idf(index), corpus, config)
+    return hashed_vectors(content_frequency(index.postings), content_idf(index), corpus, config, partitions=index.buckets)
 
 
 def hash_queries(index: TextIndex, queries: DataFrame, config: DenseConfig = DenseConfig()) -> DataFrame:

@@ -187,6 +187,28 @@ def test_hashed_vectors(spark):
         assert row.embedding == pytest.approx(docs[row.doc_id], abs=1e-6)
 
 
+def test_only_rows_of_rare_terms_are_moved(spark, monkeypatch):
+    """Where the vocabulary does not fit, frequent terms are still broadcast; the vectors are the same."""
+    from rankloom.operators import encoding
+
+    corpus = spark.createDataFrame(
+        [(n, f"all even{n % 2}", f"all of them own{n} own{n} {'few' if n < 3 else ''}") for n in range(40)]
+        + [(40, "", ""), (41, "own41", "")],
+        "doc_id long, title string, text string",
+    )
+    index = index_corpus(corpus)
+    expected = {r.doc_id: np.array(r.embedding) for r in hash_documents(index, corpus, DenseConfig(dim=32)).collect()}
+    moved = []
+    real = encoding._rare_entries
+    monkeypatch.setattr(encoding, "_rare_entries", lambda *a: moved.append(real(*a)) or moved[-1])
+    found = hash_documents(index, corpus, DenseConfig(dim=32, broadcast_bytes=1000))
+    for row in found.collect():
+        assert row.embedding == pytest.approx(expected[row.doc_id], abs=1e-6)
+    # The words of their own, one for each of 41 documents.
+    assert moved[0].count() == 41
+    assert found.count() == 42
+
+
 def test_rows_that_do_not_fit_are_listed(spark):
     vectors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0]), (3, [1.0]), (4, None)], "doc_id long, embedding array<float>")
     asked = spark.createDataFrame([("a", [1.0, 2.0]), ("b", [1.0, 2.0, 3.0]), ("c", [])], "qid string, embedding array<float>")
