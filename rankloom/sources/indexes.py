@@ -31,9 +31,9 @@ from rankloom.operators.lexical import (
 _BUCKETED = {"postings": ("term", "doc_id"), "doc_len": ("doc_id",)}
 _PLAIN = ("field_stats", "term_stats", "content_stats")
 
-
-# Bytes of text per bucket: its postings then come to about one file split.
-BUCKET_BYTES = 128 << 20
+# Bytes of text per bucket. A task counts, sorts and encodes the words of one bucket, in tables that take up to
+# some seventy times as much, so that they stay in memory however large the corpus is.
+BUCKET_BYTES = 8 << 20
 
 
 class IndexNotFound(FileNotFoundError):
