@@ -82,7 +82,11 @@ def with_shard(rows: DataFrame, numbers: list[int]) -> DataFrame:
 
 def pack(postings: DataFrame) -> DataFrame:
     """Blocks of ``postings(shard, doc_id, field, term, tf, dl)``, made where the rows lie and in their order:
-    those of a term and field fill blocks as long as they come one after the other, fields aside."""
+    those of a term and field fill blocks as long as they come one after the other, fields aside.
+
+    ``again`` counts the postings of a block whose document has the term in the row before them, that is in
+    another field, where rows are in order of term and document.
+    """
     key = postings.schema["doc_id"].dataType
     ordered = postings.select("shard", "field", "term", "doc_id", "tf", "dl")
     schema = T.StructType(
@@ -95,20 +99,37 @@ def pack(postings: DataFrame) -> DataFrame:
             T.StructField("dls", T.ArrayType(T.IntegerType())),
             T.StructField("max_tf", T.IntegerType()),
             T.StructField("min_dl", T.IntegerType()),
+            T.StructField("again", T.IntegerType()),
         ]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = None
         for batch in batches:
             if batch.num_rows:
-                yield _packed(batch, schema.names)
+                yield _packed(batch, schema.names, last)
+                last = batch.slice(batch.num_rows - 1)
 
     return ordered.mapInArrow(run, schema)
 
 
-def _packed(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
+def _repeated(batch: pa.RecordBatch, last: pa.RecordBatch | None) -> np.ndarray:
+    """Rows of the shard, term and document of the row before, the first of which is ``last``."""
+    found = np.ones(batch.num_rows, bool)
+    found[0] = last is not None
+    for name in ("shard", "term", "doc_id"):
+        column = batch.column(name)
+        found[1:] &= pc.equal(column.slice(1), column.slice(0, batch.num_rows - 1)).to_numpy(zero_copy_only=False)
+        if last is not None:
+            found[0] &= column[0] == last.column(name)[0]
+    return found
+
+
+def _packed(batch: pa.RecordBatch, names: list[str], last: pa.RecordBatch | None = None) -> pa.RecordBatch:
+    again = _repeated(batch, last)
     # Fields are set apart; within each, rows keep their order.
-    batch = batch.take(pa.array(np.argsort(batch.column("field").dictionary_encode().indices.to_numpy(), kind="stable")))
+    order = np.argsort(batch.column("field").dictionary_encode().indices.to_numpy(), kind="stable")
+    batch, again = batch.take(pa.array(order)), again[order]
     fresh = np.zeros(batch.num_rows, bool)
     fresh[0] = True
     for name in ("shard", "field", "term"):
@@ -123,9 +144,18 @@ def _packed(batch: pa.RecordBatch, names: list[str]) -> pa.RecordBatch:
     columns = [batch.column(c).take(first) for c in ("shard", "field", "term")]
     columns += [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in ("doc_id", "tf", "dl")]
     columns += [pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts))]
+    columns.append(pa.array(np.add.reduceat(again, starts, dtype=np.int32)))
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
+def statistics(blocks: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
+    """``(field, term, df)`` and, over all fields of a document together, ``(term, df)``: of the blocks that
+    :func:`pack` made of postings in order of term and document."""
+    counts = blocks.select("field", "term", F.size("tfs").alias("n"), "again").repartition(partitions, "term")
+    whole = counts.groupBy("term").agg((F.sum("n") - F.sum("again")).alias("df"))
+    return counts.groupBy("field", "term").agg(F.sum("n").alias("df")), whole
+
+
 @dataclass(frozen=True)
 class Weights:
     """What the words of a slice of queries are worth: parallel arrays, in the order of query and field.

@@ -20,12 +20,9 @@ from pyspark.sql.types import ArrayType, FloatType
 from rankloom.operators import postings_blocks
 from rankloom.operators.lexical import (
     TextIndex,
-    content_statistics,
+    counted_postings,
     field_statistics,
-    index_corpus,
     indexed_lengths,
-    term_frequency,
-    term_statistics,
 )
 
 _BUCKETED = {"postings": ("term", "doc_id"), "doc_len": ("doc_id",)}
@@ -68,12 +65,26 @@ def write_text_index(spark: SparkSession, corpus: DataFrame, path: str, buckets:
     """
     check_documents(corpus)
     buckets = buckets or _bucket_count(spark, corpus)
-    return _write(spark, index_corpus(corpus, partitions=buckets).postings, path, buckets)
+    return write_checked(spark, corpus, path, buckets)
+
+
+def write_checked(spark: SparkSession, corpus: DataFrame, path: str, buckets: int) -> TextIndex:
+    """As :func:`write_text_index`, of documents that :func:`check_documents` let pass."""
+    placed = corpus.select("doc_id", "title", "text").repartition(buckets, "doc_id")
+    return _write(spark, counted_postings(placed), path, buckets)
 
 
 def _bucket_count(spark: SparkSession, corpus: DataFrame) -> int:
+    return usual_buckets(spark, text_bytes(corpus))
+
+
+def text_bytes(corpus: DataFrame) -> int:
     texts = F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0))
-    size = corpus.agg(F.coalesce(F.sum(texts.cast("bigint")), F.lit(0))).first()[0]
+    return corpus.agg(F.coalesce(F.sum(texts.cast("bigint")), F.lit(0))).first()[0]
+
+
+def usual_buckets(spark: SparkSession, size: int) -> int:
+    """As many as ``size`` bytes of text ask for, and no fewer than the shuffle partitions of the session."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
@@ -95,7 +106,7 @@ def merged_postings(index: TextIndex, corpus: DataFrame, buckets: int) -> DataFr
     """Postings of ``index`` without the documents of ``corpus``, and theirs. Only the new ones move."""
     ids = corpus.select("doc_id").repartition(buckets, "doc_id")
     kept = index.postings.join(ids.hint("merge"), "doc_id", "left_anti")
-    added = term_frequency(corpus.repartition(buckets, "doc_id"))
+    added = counted_postings(corpus.repartition(buckets, "doc_id"))
     if index.buckets != buckets:
         kept = kept.repartition(buckets, "doc_id")
     return kept.unionByName(added)
@@ -111,11 +122,12 @@ def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) ->
     written = spark.table(_table_name(path, "postings", key, buckets))
     shards = write_blocks(spark, written, path, buckets)
     _write_bucketed(indexed_lengths(written), path, "doc_len", buckets)
-    term_statistics(written).write.mode("overwrite").parquet(f"{path}/term_stats")
-    content_statistics(written).write.mode("overwrite").parquet(f"{path}/content_stats")
+    terms, contents = postings_blocks.statistics(spark.table(_table_name(path, "postings_blocks", key, buckets)), buckets)
+    terms.write.mode("overwrite").parquet(f"{path}/term_stats")
+    contents.write.mode("overwrite").parquet(f"{path}/content_stats")
     lengths = spark.table(_table_name(path, "doc_len", key, buckets))
     field_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
-    names = [row.field for row in written.select("field").distinct().collect()]
+    names = [row.field for row in spark.read.parquet(f"{path}/field_stats").select("field").collect()]
     known = sorted({"title", "text", *names})
     layout = spark.range(1).select(
         F.lit(buckets).alias("buckets"), F.lit(known).alias("names"), F.lit(shards).alias("shards"), *_key_sample(postings)
@@ -134,16 +146,24 @@ def _write_bucketed(table: DataFrame, path: str, name: str, buckets: int) -> Non
     )
 
 
+# Bucketed tables are read one bucket per task, also where the plan does not ask for it. Batches of postings are
+# small by their number of rows; Spark then need not measure them after every row, which takes longer than all else.
+_WHOLE_BUCKETS = {
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1),
+}
+
+
 @contextmanager
 def _whole_buckets(spark: SparkSession) -> Iterator[None]:
-    """Bucketed tables are read one bucket per task, also where the plan does not ask for it."""
-    name = "spark.sql.sources.bucketing.autoBucketedScan.enabled"
-    before = spark.conf.get(name)
-    spark.conf.set(name, "false")
+    before = {name: spark.conf.get(name) for name in _WHOLE_BUCKETS}
+    for name, value in _WHOLE_BUCKETS.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 def write_blocks(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -> list[int]:
@@ -188,7 +208,7 @@ def load_text_index(spark: SparkSession, path: str) -> TextIndex:
     tables |= {name: _read(spark, f"{path}/{name}", "text index") for name in _PLAIN}
     blocks = ()
     if shards:
-        kinds = f"shard INT, field STRING, term STRING, docs ARRAY<{key_type}>, tfs ARRAY<INT>, dls ARRAY<INT>, max_tf INT, min_dl INT"
+        kinds = f"shard INT, field STRING, term STRING, docs ARRAY<{key_type}>, tfs ARRAY<INT>, dls ARRAY<INT>, max_tf INT, min_dl INT, again INT"
         table = _declared(spark, path, "postings_blocks", key_type, buckets, kinds, "shard", ("term", "field"))
         blocks = (postings_blocks.BlockSet(table, tuple(shards)),)
     return TextIndex(**tables, names=tuple(names), buckets=buckets, blocks=blocks)

@@ -1,4 +1,5 @@
 import json
+from contextlib import contextmanager
 from pathlib import Path
 
 import pytest
@@ -114,6 +115,45 @@ def test_index_round_trip(spark, tmp_path):
     assert rows(indexes.load_text_index(spark, path)) == rows(planned)
 
 
+@pytest.mark.parametrize("rows_per_batch", ["1", "3", "10000"])
+def test_postings_and_statistics_from_batches(spark, tmp_path, rows_per_batch):
+    """Words are counted by batches and statistics added up from blocks, wherever a batch ends."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    texts = [("a", "x y", "x z z y"), ("b", None, "y \u00e9 \u4e2d\u6587"), ("c", "", ""), ("d", "x", "x"), ("e", "y x", None), ("f", "z", "z x z")]
+    corpus = spark.createDataFrame(texts, CORPUS)
+    planned = rows(lexical.index_corpus(corpus))
+    spark.conf.set(name, rows_per_batch)
+    try:
+        counted = lexical.counted_postings(corpus.coalesce(1))
+        assert sorted(map(str, counted.collect())) == planned["postings"]
+        written = indexes.write_text_index(spark, corpus, str(tmp_path / "index"), buckets=2)
+        assert rows(written) == planned
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_batches_of_postings_are_not_measured_row_by_row(spark, tmp_path, monkeypatch):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, seen = spark.conf.get(name), []
+    real = indexes.postings_blocks.pack
+    monkeypatch.setattr(indexes.postings_blocks, "pack", lambda rows: seen.append(real(rows)) or seen[-1])
+    during = []
+    whole = indexes._whole_buckets
+
+    @contextmanager
+    def watched(session):
+        with whole(session):
+            during.append(session.conf.get(name))
+            yield
+
+    monkeypatch.setattr(indexes, "_whole_buckets", watched)
+    indexes.write_text_index(spark, spark.createDataFrame([("a", "x", "y")], CORPUS), str(tmp_path / "index"))
+    # The largest number is Spark's word for no limit, under which it need not add up sizes.
+    assert during == [f"{2**31 - 1}b"] or during == [str(2**31 - 1)]
+    assert len(seen) == 1 and spark.conf.get(name) == before
+
+
 def test_index_is_replaced_or_extended(spark, tmp_path):
     before = spark.createDataFrame([("a", "x", "old text"), ("b", "y", "kept")], CORPUS)
     change = spark.createDataFrame([("a", "", "new words"), ("c", "z", "added")], CORPUS)
