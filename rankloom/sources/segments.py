@@ -126,11 +126,10 @@ def _write_segment(spark: SparkSession, corpus: DataFrame, path: str, buckets: i
     """The documents as a segment; none if there are none. Small ones get few buckets."""
     check_documents(corpus)
     name = f"segment-{uuid.uuid4().hex}"
-    usual = indexes._bucket_count(spark, corpus)
-    texts = F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(F.octet_length("text"), F.lit(0))
-    size = corpus.agg(F.coalesce(F.sum(texts.cast("bigint")), F.lit(0))).first()[0]
-    buckets = buckets or max(1, min(usual, -(-size // _SMALL_BUCKET)))
-    written = indexes.write_text_index(spark, corpus, f"{path}/segments/{name}", buckets)
+    if not buckets:
+        size = indexes.text_bytes(corpus)
+        buckets = max(1, min(indexes.usual_buckets(spark, size), -(-size // _SMALL_BUCKET)))
+    written = indexes.write_checked(spark, corpus, f"{path}/segments/{name}", buckets)
     return Segment(name, written.n_docs) if written.n_docs else None
 
 
@@ -156,6 +155,8 @@ def _gone(spark: SparkSession, path: str, manifest: Manifest, segment: str) -> D
 
 def _without(spark: SparkSession, path: str, manifest: Manifest, ids: DataFrame) -> Manifest:
     """``manifest`` with a deletion set for the live documents among ``ids``, if there are any."""
+    # The text they may come with is gone through once.
+    ids = materialise(ids, "changed-documents")
     found, postings, counts = [], [], {}
     few = ids.limit(FEW + 1).collect()
     wanted = [r[0] for r in few]

@@ -160,3 +160,17 @@ def test_blocks_of_deleted_documents_are_not_found(spark, tmp_path):
     run = lexical.bm25_top_k(index, spark.createDataFrame([("q", "common")], "qid string, text string"), 100)
     assert {r.doc_id for r in run.collect()} == {f"d{k}" for k in range(150, 200)}
     assert indexes.load_text_index(spark, f"{path}/segments/{segments.read_manifest(spark, path).segments[0].name}").n_docs == 200
+
+
+def test_texts_are_checked_and_measured_once(spark, tmp_path, monkeypatch):
+    """A segment is checked once, and its ids are set aside before segments are asked for them one by one."""
+    checks, kept = [], []
+    real, keep = segments.check_documents, segments.materialise
+    for module in (segments, segments.indexes):
+        monkeypatch.setattr(module, "check_documents", lambda corpus: checks.append(1) or real(corpus))
+    monkeypatch.setattr(segments, "materialise", lambda df, label, *a: kept.append(label) or keep(df, label, *a))
+    path = str(tmp_path / "index")
+    segments.create(spark, frame(spark, made(1, range(20))), path)
+    index = segments.upsert(spark, frame(spark, made(2, range(10, 30))), path)
+    assert len(checks) == 2 and kept.count("changed-documents") == 1
+    assert index.doc_len.select("doc_id").distinct().count() == len({r.doc_id for r in index.postings.collect()})
