@@ -23,6 +23,8 @@ WAITING_TEXTS = 4096
 WAITING_CHARS = 1 << 24
 # What a row of the vocabulary takes besides its term, in a table that is broadcast.
 _TERM_BYTES = 128
+# Of the bytes that may be broadcast, the part for frequent terms where not all fit.
+_COMMON_PART = 4
 
 
 def document_text(corpus: DataFrame) -> DataFrame:
@@ -133,18 +135,21 @@ def content_idf(index: TextIndex) -> DataFrame:
 
 
 def _common_terms(idf: DataFrame, limit: int) -> tuple[int | None, int]:
-    """The least document frequency, a power of two, from which on the terms take at most ``limit`` bytes, none
-    if even the most frequent do not fit, and the postings of the terms below it. 1 if all terms fit."""
+    """The least document frequency, a power of two, from which on the terms are to be broadcast, none if even the
+    most frequent do not fit, and the postings of the terms below it. 1 if all terms fit ``limit`` bytes; else only
+    a part of them is taken, as a driver holds it more than once."""
     size = F.octet_length("term") + F.lit(_TERM_BYTES)
     # One row per binary digit of the frequency.
     classes = idf.groupBy(F.floor(F.log2("df")).cast("int").alias("log")).agg(
         F.sum(size.cast("bigint")).alias("bytes"), F.sum("df").alias("rows")
     )
     found = sorted(classes.collect(), key=lambda row: -row.log)
+    if sum(row.bytes for row in found) <= limit:
+        return 1, 0
     held, least = 0, None
     for place, row in enumerate(found):
         held += row.bytes
-        if held > limit:
+        if held > limit // _COMMON_PART:
             return least, sum(rest.rows for rest in found[place:])
         least = 1 << row.log
     return 1, 0

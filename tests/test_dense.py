@@ -201,7 +201,7 @@ def test_only_rows_of_rare_terms_are_moved(spark, monkeypatch):
     moved = []
     real = encoding._rare_entries
     monkeypatch.setattr(encoding, "_rare_entries", lambda *a: moved.append(real(*a)) or moved[-1])
-    found = hash_documents(index, corpus, DenseConfig(dim=32, broadcast_bytes=1000))
+    found = hash_documents(index, corpus, DenseConfig(dim=32, broadcast_bytes=4000))
     for row in found.collect():
         assert row.embedding == pytest.approx(expected[row.doc_id], abs=1e-6)
     # The words of their own, one for each of 41 documents.
