@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.types import StructType
 
 from rankloom.config import DenseConfig
@@ -14,6 +15,7 @@ from rankloom.functions.scores import inverse_document_frequency
 from rankloom.functions.text import compose, term_bucket
 from rankloom.operators.joins import SLICE_ROWS, heavy_keys, salted_join
 from rankloom.operators.lexical import TextIndex, content_frequency, query_bytes, query_terms
+from rankloom.operators.postings_blocks import BlockSet, flat, with_shard
 from rankloom.schemas import vectors_schema
 
 BatchEncoder = Callable[[Sequence[str]], np.ndarray]
@@ -161,13 +163,21 @@ def _rare_entries(
     """What the terms of ``rare`` add, by owner and place, if no term of ``common`` is among them. Only their own
     ``rows`` are moved: to the vocabulary, and with their place and weight back to their owner."""
     own = frequencies if common is None else frequencies.join(F.broadcast(common), "term", "left_anti")
-    parts = max(int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLICE_ROWS))
+    joined = _joined_rare(own, rare, least, F.col(key), rows)
+    return joined.select(key, "bucket", weight.alias("value")).repartition(partitions or _rare_partitions(rare, rows), key)
+
+
+def _rare_partitions(rare: DataFrame, rows: int) -> int:
+    return max(int(rare.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // SLICE_ROWS))
+
+
+def _joined_rare(own: DataFrame, rare: DataFrame, least: int | None, spread_by: Column, rows: int) -> DataFrame:
+    """``own`` with the vocabulary ``rare``, whose terms have ``rows`` postings in all and fewer than ``least`` each."""
     if least is not None and least <= SLICE_ROWS:
         # No term has more rows than a slice.
-        joined = own.repartition(parts, "term").join(rare.repartition(parts, "term").hint("merge"), "term")
-    else:
-        joined = salted_join(own, rare, ["term"], heavy_keys(rare, ["term"], "df"), F.col(key))
-    return joined.select(key, "bucket", weight.alias("value")).repartition(partitions or parts, key)
+        parts = _rare_partitions(rare, rows)
+        return own.repartition(parts, "term").join(rare.repartition(parts, "term").hint("merge"), "term")
+    return salted_join(own, rare, ["term"], heavy_keys(rare, ["term"], "df"), spread_by)
 
 
 def hashed_vectors(
@@ -188,8 +198,7 @@ def hashed_vectors(
     term that has very many of them salted. ``owners(key)`` without a known term get a zero vector.
     ``partitions`` are those in which the frequencies lie by ``key``, if they do.
     """
-    dim, normalize = config.dim, config.normalize
-    placed = idf.select("term", "df", "idf", term_bucket(F.col("term"), dim).alias("bucket"))
+    placed = idf.select("term", "df", "idf", term_bucket(F.col("term"), config.dim).alias("bucket"))
     weight = (F.lit(1.0) + F.log(F.col(frequency).cast("double"))) * F.col("idf")
     sides = []
     if small_frequencies:
@@ -215,8 +224,13 @@ def hashed_vectors(
             F.collect_list("bucket").alias(f"buckets{place}"), F.collect_list("value").alias(f"values{place}")
         )
         complete = complete.join(entries.hint("merge"), key, "left")
-    schema: StructType = vectors_schema(key, owners.schema[key].dataType)
-    n_sides = len(sides)
+    return _scattered(complete, len(sides), config, key)
+
+
+def _scattered(complete: DataFrame, n_sides: int, config: DenseConfig, key: str) -> DataFrame:
+    """Vectors of the entries that every side lists: ``complete(key, buckets0, values0, ...)``."""
+    dim, normalize = config.dim, config.normalize
+    schema: StructType = vectors_schema(key, complete.schema[key].dataType)
 
     def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -239,10 +253,94 @@ def hashed_vectors(
 
 
 def hash_documents(index: TextIndex, corpus: DataFrame, config: DenseConfig = DenseConfig()) -> DataFrame:
-    """Vectors of all documents, from the postings of the text index."""
+    """Vectors of all documents, from the postings of the text index, or from its blocks where it has them."""
+    key = index.postings.schema["doc_id"].dataType
+    if len(index.blocks) == 1 and index.blocks[0].gone is None and corpus.schema["doc_id"].dataType == key:
+        return _scattered(_block_entries(index.blocks[0], content_idf(index), corpus, config), 1, config, "doc_id")
     return hashed_vectors(content_frequency(index.postings), content_idf(index), corpus, config, partitions=index.buckets)
 
 
+def _block_entries(found: BlockSet, idf: DataFrame, owners: DataFrame, config: DenseConfig) -> DataFrame:
+    """The entries of :func:`hashed_vectors` for ``owners(doc_id)``, summed up shard by shard.
+
+    Blocks of frequent terms, as many as are broadcast, stay where they lie. Those of other terms go to the
+    vocabulary and, with their place and weight, back to their shard, where also the ids of the owners go.
+    """
+    key = owners.schema["doc_id"].dataType
+    dim, shards = config.dim, len(found.shards)
+    placed = idf.select("term", "df", "idf", term_bucket(F.col("term"), dim).alias("bucket"))
+    blocks = found.blocks.select("shard", "term", "docs", "tfs")
+    least, rows = _common_terms(idf, config.broadcast_bytes)
+    columns = ["shard", "term", "docs", "tfs", "idf", "bucket"]
+    common = placed.where(F.lit(False) if least is None else F.col("df") >= least)
+    near = blocks.join(F.broadcast(common.select("term", "idf", "bucket")), "term").select(columns)
+    # An owner is a row without a term.
+    others = with_shard(owners.select("doc_id"), list(found.shards)).select(
+        "shard",
+        F.lit(None).cast("string").alias("term"),
+        F.array("doc_id").alias("docs"),
+        F.lit(None).cast("array<int>").alias("tfs"),
+        F.lit(None).cast("double").alias("idf"),
+        F.lit(None).cast("int").alias("bucket"),
+    )
+    if least != 1:
+        rare = placed if least is None else placed.where(F.col("df") < least)
+        own = blocks if least is None else blocks.join(F.broadcast(common.select("term")), "term", "left_anti")
+        others = _joined_rare(own, rare, least, F.col("shard"), rows).select(columns).unionByName(others)
+    schema = T.StructType(
+        [
+            T.StructField("doc_id", key),
+            T.StructField("buckets0", T.ArrayType(T.IntegerType())),
+            T.StructField("values0", T.ArrayType(T.DoubleType())),
+        ]
+    )
+
+    def add_up(held: pa.Table, moved: pa.Table) -> pa.Table:
+        given = moved["term"].is_null()
+        asked = flat(moved.filter(given)["docs"])
+        listed = pa.concat_tables([part.select(columns) for part in (held, moved.filter(pc.invert(given))) if part.num_rows] or [held.select(columns)])
+        return _listed_entries(listed, asked, dim, schema.names)
+
+    # Columns of its own, as both sides come from the same blocks.
+    moved = others.toDF(*columns).repartition(shards, "shard")
+    return near.groupBy("shard").cogroup(moved.groupBy("shard")).applyInArrow(add_up, schema)
+
+
+def _listed_entries(blocks: pa.Table, asked: pa.Array, dim: int, names: list[str]) -> pa.Table:
+    """What the terms of all ``blocks`` of a shard add to each document of ``asked``, by place."""
+    docs = flat(blocks["docs"])
+    lengths = pc.list_value_length(blocks["docs"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    tfs = flat(blocks["tfs"]).to_numpy(zero_copy_only=False).astype(np.int64)
+    # Terms by their text, so that equal documents get equal sums wherever they lie.
+    terms = blocks["term"].combine_chunks().dictionary_encode()
+    order = pc.sort_indices(terms.dictionary).to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    block_term = number[terms.indices.to_numpy()]
+    idf, bucket = np.zeros(len(order)), np.zeros(len(order), np.int64)
+    idf[block_term], bucket[block_term] = blocks["idf"].to_numpy(), blocks["bucket"].to_numpy()
+    ids = docs.dictionary_encode()
+    n_docs = max(1, len(ids.dictionary))
+    key = np.repeat(block_term, lengths) * n_docs + ids.indices.to_numpy()
+    # A document may have a term in several fields.
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    tf = np.add.reduceat(tfs[order], first) if len(first) else np.zeros(0, np.int64)
+    term, doc = np.divmod(key[first], n_docs)
+    value = (1.0 + np.log(tf.astype(np.float64))) * idf[term]
+    entry, at = np.unique(doc * dim + bucket[term], return_inverse=True)
+    sums = np.bincount(at, value, minlength=len(entry))
+    owner, place = np.divmod(entry, dim)
+    bounds = np.searchsorted(owner, np.arange(len(ids.dictionary) + 1)).astype(np.int32)
+    lists = [
+        pa.ListArray.from_arrays(pa.array(bounds), pa.array(place.astype(np.int32))),
+        pa.ListArray.from_arrays(pa.array(bounds), pa.array(sums)),
+    ]
+    where = pc.index_in(asked, value_set=ids.dictionary)
+    return pa.table([asked, *(column.take(where) for column in lists)], names=names)
+
+
 def hash_queries(index: TextIndex, queries: DataFrame, config: DenseConfig = DenseConfig()) -> DataFrame:
     """Query vectors in the same space: term weights come from the corpus."""
     small = query_bytes(queries) <= config.broadcast_bytes

@@ -205,10 +205,10 @@ class Shard:
 
     def __init__(self, rows: pa.Table, weights: Weights, k1: float, b: float, gone: pa.Table | None = None):
         rows = rows.take(pa.array(np.argsort(rows["number"].to_numpy(), kind="stable")))
-        docs = _flat(rows["docs"])
+        docs = flat(rows["docs"])
         counts = pc.list_value_length(rows["docs"]).to_numpy(zero_copy_only=False).astype(np.int64)
         term = np.repeat(rows["number"].to_numpy(), counts)
-        tf, dl = (_flat(rows[c]).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("tfs", "dls"))
+        tf, dl = (flat(rows[c]).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("tfs", "dls"))
         if gone is not None and gone.num_rows:
             kept = pc.invert(pc.is_in(docs, value_set=gone["doc_id"].combine_chunks()))
             mask = kept.to_numpy(zero_copy_only=False)
@@ -275,7 +275,7 @@ class Shard:
         return alive, sums[alive], met
 
 
-def _flat(column: pa.ChunkedArray) -> pa.Array:
+def flat(column: pa.ChunkedArray) -> pa.Array:
     whole = column.combine_chunks()
     return whole.flatten() if not isinstance(whole, pa.ChunkedArray) else pa.concat_arrays([c.flatten() for c in whole.chunks])
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -236,3 +238,28 @@ def test_places_beyond_every_partition_need_no_more_passes(spark, monkeypatch):
     for q in range(20):
         expected = sorted(range(100), key=lambda n: (-(n % 7 + q * (n % 3)), n))
         assert sorted(found[q]) == list(enumerate(expected, 1))
+
+
+@pytest.mark.parametrize("limit", [64 << 20, 4000, 0])
+@pytest.mark.parametrize("key", ["long", "string"])
+def test_vectors_are_added_up_from_blocks(spark, tmp_path, limit, key):
+    """A written index is read by its blocks: rows of postings are neither read nor grouped. The vectors are the same."""
+    from rankloom.sources.indexes import write_text_index
+
+    corpus = spark.createDataFrame(
+        [(n, f"all even{n % 2}", f"all of them own{n} own{n} {'few' if n < 3 else ''}") for n in range(300)]
+        + [(900, "", ""), (901, "own41", None), (902, None, None)],
+        "doc_id long, title string, text string",
+    ).withColumn("doc_id", F.col("doc_id").cast(key))
+    # Owners may repeat, have no id, or not be in the index, and not all of the index are asked for.
+    owners = corpus.where("doc_id <> 7").select("doc_id").union(spark.createDataFrame([("5",), (None,), ("77777",)], "doc_id string"))
+    owners = owners.select(F.col("doc_id").cast(key).alias("doc_id"))
+    config = DenseConfig(dim=32, broadcast_bytes=limit)
+    expected = hash_documents(index_corpus(corpus), owners, DenseConfig(dim=32))
+    written = write_text_index(spark, corpus, str(tmp_path / "index"), 3)
+    found = hash_documents(written, owners, config)
+    pairs = zip(*(sorted(frame.collect(), key=lambda r: str(r.doc_id)) for frame in (found, expected)), strict=True)
+    for row, wanted in pairs:
+        assert row.doc_id == wanted.doc_id and row.embedding == pytest.approx(wanted.embedding, abs=1e-6)
+    plan = found._sc._jvm.PythonSQLUtils.explainString(found._jdf.queryExecution(), "simple")
+    assert "rankloom_postings_blocks_" in plan and not re.search(r"rankloom_postings_(?!blocks)", plan)
