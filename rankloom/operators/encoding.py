@@ -27,6 +27,8 @@ WAITING_CHARS = 1 << 24
 _TERM_BYTES = 128
 # Of the bytes that may be broadcast, the part for frequent terms where not all fit.
 _COMMON_PART = 4
+# Up to so many places of vectors per posting, sums are formed in a table of all places.
+_CELLS_PER_POSTING = 4
 
 
 def document_text(corpus: DataFrame) -> DataFrame:
@@ -329,8 +331,14 @@ def _listed_entries(blocks: pa.Table, asked: pa.Array, dim: int, names: list[str
     tf = np.add.reduceat(tfs[order], first) if len(first) else np.zeros(0, np.int64)
     term, doc = np.divmod(key[first], n_docs)
     value = (1.0 + np.log(tf.astype(np.float64))) * idf[term]
-    entry, at = np.unique(doc * dim + bucket[term], return_inverse=True)
-    sums = np.bincount(at, value, minlength=len(entry))
+    cell = doc * dim + bucket[term]
+    if n_docs * dim <= _CELLS_PER_POSTING * len(cell):
+        totals = np.bincount(cell, value, minlength=n_docs * dim)
+        entry = np.flatnonzero(totals)
+        sums = totals[entry]
+    else:
+        entry, at = np.unique(cell, return_inverse=True)
+        sums = np.bincount(at, value, minlength=len(entry))
     owner, place = np.divmod(entry, dim)
     bounds = np.searchsorted(owner, np.arange(len(ids.dictionary) + 1)).astype(np.int32)
     lists = [

@@ -76,8 +76,7 @@ def bucket_of(column: str, buckets: int):
 
 def with_shard(rows: DataFrame, numbers: list[int]) -> DataFrame:
     """``rows`` by document with their shard."""
-    names = F.broadcast(rows.sparkSession.createDataFrame(list(enumerate(numbers)), "__bucket int, shard int"))
-    return rows.withColumn("__bucket", bucket_of("doc_id", len(numbers))).join(names, "__bucket").drop("__bucket")
+    return rows.withColumn("shard", F.get(F.lit(numbers), bucket_of("doc_id", len(numbers))).cast("int"))
 
 
 def pack(postings: DataFrame) -> DataFrame:
@@ -148,12 +147,17 @@ def _packed(batch: pa.RecordBatch, names: list[str], last: pa.RecordBatch | None
     return pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def statistics(blocks: DataFrame, partitions: int) -> tuple[DataFrame, DataFrame]:
-    """``(field, term, df)`` and, over all fields of a document together, ``(term, df)``: of the blocks that
-    :func:`pack` made of postings in order of term and document."""
+def statistics(blocks: DataFrame, partitions: int) -> DataFrame:
+    """``(field, term, df, again)``: of the blocks that :func:`pack` made of postings in order of term and document,
+    documents by field and term, and how many of them another field has already."""
     counts = blocks.select("field", "term", F.size("tfs").alias("n"), "again").repartition(partitions, "term")
-    whole = counts.groupBy("term").agg((F.sum("n") - F.sum("again")).alias("df"))
-    return counts.groupBy("field", "term").agg(F.sum("n").alias("df")), whole
+    return counts.groupBy("field", "term").agg(F.sum("n").alias("df"), F.sum("again").alias("again"))
+
+
+def whole_statistics(terms: DataFrame, partitions: int) -> DataFrame:
+    """``(term, df)`` over all fields of a document together, from what :func:`statistics` found."""
+    counts = terms.select("term", "df", "again").repartition(partitions, "term")
+    return counts.groupBy("term").agg((F.sum("df") - F.sum("again")).alias("df"))
 
 
 @dataclass(frozen=True)

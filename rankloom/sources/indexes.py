@@ -122,8 +122,10 @@ def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) ->
     written = spark.table(_table_name(path, "postings", key, buckets))
     shards = write_blocks(spark, written, path, buckets)
     _write_bucketed(indexed_lengths(written), path, "doc_len", buckets)
-    terms, contents = postings_blocks.statistics(spark.table(_table_name(path, "postings_blocks", key, buckets)), buckets)
+    terms = postings_blocks.statistics(spark.table(_table_name(path, "postings_blocks", key, buckets)), buckets)
     terms.write.mode("overwrite").parquet(f"{path}/term_stats")
+    # Blocks are many more than terms, and are gone over once.
+    contents = postings_blocks.whole_statistics(spark.read.parquet(f"{path}/term_stats"), buckets)
     contents.write.mode("overwrite").parquet(f"{path}/content_stats")
     lengths = spark.table(_table_name(path, "doc_len", key, buckets))
     field_statistics(lengths).coalesce(1).write.mode("overwrite").parquet(f"{path}/field_stats")
@@ -151,6 +153,7 @@ def _write_bucketed(table: DataFrame, path: str, name: str, buckets: int) -> Non
 _WHOLE_BUCKETS = {
     "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
     "spark.sql.execution.arrow.maxBytesPerBatch": str((1 << 31) - 1),
+    "spark.sql.execution.arrow.maxRecordsPerBatch": str(1 << 16),
 }
 
 
@@ -205,7 +208,7 @@ def load_text_index(spark: SparkSession, path: str) -> TextIndex:
     tables = {
         name: _declared(spark, path, name, key_type, buckets, columns[name], "doc_id", order) for name, order in _BUCKETED.items()
     }
-    tables |= {name: _read(spark, f"{path}/{name}", "text index") for name in _PLAIN}
+    tables |= {name: _read(spark, f"{path}/{name}", "text index").drop("again") for name in _PLAIN}
     blocks = ()
     if shards:
         kinds = f"shard INT, field STRING, term STRING, docs ARRAY<{key_type}>, tfs ARRAY<INT>, dls ARRAY<INT>, max_tf INT, min_dl INT, again INT"

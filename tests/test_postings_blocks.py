@@ -124,3 +124,16 @@ def test_text_ids_and_an_empty_index(spark, tmp_path, tables):
     assert len(runs[0]) == 4 and sorted(map(repr, runs[0])) == sorted(map(repr, runs[1]))
     empty = indexes.write_text_index(spark, corpus.limit(0), str(tmp_path / "two"), buckets=3)
     assert lexical.bm25_top_k(empty, asked, 3).collect() == []
+
+
+def test_statistics_go_over_the_blocks_once(spark, tmp_path, monkeypatch):
+    """Words of several fields are counted apart and together, and only the first goes over the blocks."""
+    corpus = spark.createDataFrame([(n, "x y", f"x z z own{n}") for n in range(400)] + [(900, "x", None)], "doc_id long, title string, text string")
+    real, seen = postings_blocks.whole_statistics, []
+    monkeypatch.setattr(postings_blocks, "whole_statistics", lambda *a: seen.append(real(*a)) or seen[-1])
+    index = indexes.write_text_index(spark, corpus, str(tmp_path / "index"), buckets=3)
+    planned = lexical.index_corpus(corpus)
+    for name in ("term_stats", "content_stats"):
+        assert sorted(map(tuple, getattr(index, name).collect())) == sorted(map(tuple, getattr(planned, name).collect()))
+    plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(seen[0]._jdf.queryExecution(), "simple")
+    assert len(seen) == 1 and "postings_blocks" not in plan
