@@ -19,7 +19,6 @@ from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, functions as F, types as T
@@ -123,32 +122,13 @@ def counted_postings(corpus: DataFrame, fields: Sequence[str] = ("title", "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counted = _counted(batch.filter(pc.greater(batch.column("dl"), 0)))
+            counted = postings_blocks.counted(batch.filter(pc.greater(batch.column("dl"), 0)))
             for start in range(0, counted.num_rows, _BATCH_ROWS):
                 yield counted.slice(start, _BATCH_ROWS)
 
     return field_words(corpus, fields).select("doc_id", "field", "words", "dl").mapInArrow(run, schema)
 
 
-def _counted(batch: pa.RecordBatch) -> pa.RecordBatch:
-    """Postings of ``(doc_id, field, words, dl)``, all with words."""
-    batch = batch.take(pc.sort_indices(batch.column("doc_id")))
-    lengths = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
-    coded = batch.column("words").flatten().dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    number = np.empty(len(order), np.int64)
-    number[order] = np.arange(len(order))
-    rows = max(1, batch.num_rows)
-    found = number[coded.indices.to_numpy()] * rows + np.repeat(np.arange(batch.num_rows), lengths)
-    found.sort()
-    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1])))
-    tf = np.diff(np.append(first, len(found))).astype(np.int32)
-    term, row = np.divmod(found[first], rows)
-    row = pa.array(row)
-    columns = [batch.column("doc_id").take(row), batch.column("field").take(row), coded.dictionary.take(pa.array(order[term]))]
-    return pa.RecordBatch.from_arrays([*columns, pa.array(tf), batch.column("dl").take(row)], names=["doc_id", "field", "term", "tf", "dl"])
-
-
 def doc_lengths(corpus: DataFrame, fields: Sequence[str] = ("title", "text")) -> DataFrame:
     """Length of every field that has at least one word."""
     return field_words(corpus, fields).select("doc_id", "field", "dl").where(F.col("dl") > 0)

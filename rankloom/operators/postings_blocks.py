@@ -28,6 +28,8 @@ from rankloom.operators.places import Asked, plain_ids
 from rankloom.operators.ranking import top_k
 
 BLOCK = 128
+# Blocks that are handed over at a time.
+_BATCH_BLOCKS = 1 << 14
 # Shards of the first pass: one part in FIRST_PART of all, no more than MAX_FIRST, and no more than let their
 # rows, of about ROW_BYTES each, stay within the bytes that go to the driver.
 FIRST_PART = 8
@@ -79,15 +81,17 @@ def with_shard(rows: DataFrame, numbers: list[int]) -> DataFrame:
     return rows.withColumn("shard", F.get(F.lit(numbers), bucket_of("doc_id", len(numbers))).cast("int"))
 
 
-def pack(postings: DataFrame) -> DataFrame:
-    """Blocks of ``postings(shard, doc_id, field, term, tf, dl)``, made where the rows lie and in their order:
+def pack(rows: DataFrame) -> DataFrame:
+    """Blocks of postings ``rows(shard, doc_id, field, term, tf, dl)``, made where the rows lie and in their order:
     those of a term and field fill blocks as long as they come one after the other, fields aside.
 
+    Where the rows are documents, with a column of words for every field, the words are counted first, a batch
+    of documents at a time.
+
     ``again`` counts the postings of a block whose document has the term in the row before them, that is in
     another field, where rows are in order of term and document.
     """
-    key = postings.schema["doc_id"].dataType
-    ordered = postings.select("shard", "field", "term", "doc_id", "tf", "dl")
+    key = rows.schema["doc_id"].dataType
     schema = T.StructType(
         [
             T.StructField("shard", T.IntegerType()),
@@ -109,7 +113,54 @@ def pack(postings: DataFrame) -> DataFrame:
                 yield _packed(batch, schema.names, last)
                 last = batch.slice(batch.num_rows - 1)
 
-    return ordered.mapInArrow(run, schema)
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            postings = _posted(batch, fields)
+            packed = _packed(postings, schema.names) if postings.num_rows else None
+            for start in range(0, packed.num_rows if packed else 0, _BATCH_BLOCKS):
+                yield packed.slice(start, _BATCH_BLOCKS)
+
+    if "tf" in rows.columns:
+        return rows.select("shard", "field", "term", "doc_id", "tf", "dl").mapInArrow(run, schema)
+    fields = [name for name in rows.columns if name not in ("shard", "doc_id")]
+    return rows.mapInArrow(count, schema)
+
+
+def unpack(blocks: DataFrame) -> DataFrame:
+    """The postings of ``blocks``, where these lie."""
+    # A table is only read bucket by bucket if the column of its buckets is read.
+    each = blocks.where(F.col("shard").isNotNull()).select("field", "term", F.inline(F.arrays_zip("docs", "tfs", "dls")))
+    return each.select(F.col("docs").alias("doc_id"), "field", "term", F.col("tfs").alias("tf"), F.col("dls").alias("dl"))
+
+
+def _posted(batch: pa.RecordBatch, fields: list[str]) -> pa.RecordBatch:
+    """Postings of documents with the words of every field, in order of term and document."""
+    words = pa.concat_arrays([batch.column(name) for name in fields])
+    lengths = pc.list_value_length(words)
+    ids = batch.column("doc_id")
+    rows = [pa.concat_arrays([ids] * len(fields)), pa.array(np.repeat(fields, len(ids))), words, lengths]
+    found = counted(pa.RecordBatch.from_arrays(rows, names=["doc_id", "field", "words", "dl"]).filter(pc.greater(lengths, 0)))
+    shards = batch.column("shard").take(pc.index_in(found.column("doc_id"), value_set=ids))
+    return pa.RecordBatch.from_arrays([shards, *found.columns], names=["shard", *found.schema.names])
+
+
+def counted(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Postings of ``(doc_id, field, words, dl)``, all with words."""
+    batch = batch.take(pc.sort_indices(batch.column("doc_id")))
+    lengths = batch.column("words").value_lengths().to_numpy(zero_copy_only=False)
+    coded = batch.column("words").flatten().dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    rows = max(1, batch.num_rows)
+    found = number[coded.indices.to_numpy()] * rows + np.repeat(np.arange(batch.num_rows), lengths)
+    found.sort()
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(found)), bool), found[1:] != found[:-1])))
+    tf = np.diff(np.append(first, len(found))).astype(np.int32)
+    term, row = np.divmod(found[first], rows)
+    row = pa.array(row)
+    columns = [batch.column("doc_id").take(row), batch.column("field").take(row), coded.dictionary.take(pa.array(order[term]))]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(tf), batch.column("dl").take(row)], names=["doc_id", "field", "term", "tf", "dl"])
 
 
 def _repeated(batch: pa.RecordBatch, last: pa.RecordBatch | None) -> np.ndarray:

@@ -15,8 +15,9 @@ from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import ArrayType, FloatType
+from pyspark.sql.types import ArrayType, DataType, FloatType
 
+from rankloom.functions.text import words
 from rankloom.operators import postings_blocks
 from rankloom.operators.lexical import (
     TextIndex,
@@ -71,7 +72,15 @@ def write_text_index(spark: SparkSession, corpus: DataFrame, path: str, buckets:
 def write_checked(spark: SparkSession, corpus: DataFrame, path: str, buckets: int) -> TextIndex:
     """As :func:`write_text_index`, of documents that :func:`check_documents` let pass."""
     placed = corpus.select("doc_id", "title", "text").repartition(buckets, "doc_id")
-    return _write(spark, counted_postings(placed), path, buckets)
+    shards = postings_blocks.shard_numbers(spark, buckets)
+    documents = postings_blocks.with_shard(placed, shards).select("shard", "doc_id", *[words(F.col(name)).alias(name) for name in ("title", "text")])
+    key = corpus.schema["doc_id"].dataType
+    # Blocks are several times fewer rows than postings, which are then read off them.
+    _save_blocks(postings_blocks.pack(documents), path, key.simpleString(), buckets)
+    with _whole_buckets(spark):
+        blocks = spark.table(_table_name(path, "postings_blocks", key.simpleString(), buckets))
+        _write_bucketed(postings_blocks.unpack(blocks), path, "postings", buckets)
+    return _write_rest(spark, path, key, buckets, shards)
 
 
 def _bucket_count(spark: SparkSession, corpus: DataFrame) -> int:
@@ -113,14 +122,17 @@ def merged_postings(index: TextIndex, corpus: DataFrame, buckets: int) -> DataFr
 
 
 def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) -> TextIndex:
-    """``postings`` come placed by ``doc_id`` as the buckets are, so that every bucket is one file.
-
-    The text is analysed once, for the postings; all other tables are read off the written ones.
-    """
-    key = postings.schema["doc_id"].dataType.simpleString()
+    """``postings`` come placed by ``doc_id`` as the buckets are, so that every bucket is one file."""
+    key = postings.schema["doc_id"].dataType
     _write_bucketed(postings, path, "postings", buckets)
+    shards = write_blocks(spark, spark.table(_table_name(path, "postings", key.simpleString(), buckets)), path, buckets)
+    return _write_rest(spark, path, key, buckets, shards)
+
+
+def _write_rest(spark: SparkSession, path: str, doc_id: DataType, buckets: int, shards: list[int]) -> TextIndex:
+    """The text is analysed once, for postings or blocks; all other tables are read off the written ones."""
+    key = doc_id.simpleString()
     written = spark.table(_table_name(path, "postings", key, buckets))
-    shards = write_blocks(spark, written, path, buckets)
     _write_bucketed(indexed_lengths(written), path, "doc_len", buckets)
     terms = postings_blocks.statistics(spark.table(_table_name(path, "postings_blocks", key, buckets)), buckets)
     terms.write.mode("overwrite").parquet(f"{path}/term_stats")
@@ -132,7 +144,7 @@ def _write(spark: SparkSession, postings: DataFrame, path: str, buckets: int) ->
     names = [row.field for row in spark.read.parquet(f"{path}/field_stats").select("field").collect()]
     known = sorted({"title", "text", *names})
     layout = spark.range(1).select(
-        F.lit(buckets).alias("buckets"), F.lit(known).alias("names"), F.lit(shards).alias("shards"), *_key_sample(postings)
+        F.lit(buckets).alias("buckets"), F.lit(known).alias("names"), F.lit(shards).alias("shards"), *_key_sample(doc_id)
     )
     layout.coalesce(1).write.mode("overwrite").parquet(f"{path}/layout")
     return load_text_index(spark, path)
@@ -173,21 +185,24 @@ def write_blocks(spark: SparkSession, postings: DataFrame, path: str, buckets: i
     """The written postings again as blocks, bucket by bucket without moving them; their shards."""
     shards = postings_blocks.shard_numbers(spark, buckets)
     table = postings_blocks.pack(postings_blocks.with_shard(postings, shards))
-    key = postings.schema["doc_id"].dataType.simpleString()
     with _whole_buckets(spark):
-        (
-            table.write.mode("overwrite")
-            .bucketBy(buckets, "shard")
-            .sortBy("term", "field")
-            .option("path", f"{path}/postings_blocks")
-            .saveAsTable(_table_name(path, "postings_blocks", key, buckets))
-        )
+        _save_blocks(table, path, postings.schema["doc_id"].dataType.simpleString(), buckets)
     return shards
 
 
-def _key_sample(postings: DataFrame) -> list:
+def _save_blocks(table: DataFrame, path: str, key: str, buckets: int) -> None:
+    (
+        table.write.mode("overwrite")
+        .bucketBy(buckets, "shard")
+        .sortBy("term", "field")
+        .option("path", f"{path}/postings_blocks")
+        .saveAsTable(_table_name(path, "postings_blocks", key, buckets))
+    )
+
+
+def _key_sample(doc_id: DataType) -> list:
     """A null column that records the type of the document ids."""
-    return [F.lit(None).cast(postings.schema["doc_id"].dataType).alias("doc_id")]
+    return [F.lit(None).cast(doc_id).alias("doc_id")]
 
 
 def _table_name(path: str, name: str, key_type: str, buckets: int) -> str:

@@ -137,3 +137,20 @@ def test_statistics_go_over_the_blocks_once(spark, tmp_path, monkeypatch):
         assert sorted(map(tuple, getattr(index, name).collect())) == sorted(map(tuple, getattr(planned, name).collect()))
     plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(seen[0]._jdf.queryExecution(), "simple")
     assert len(seen) == 1 and "postings_blocks" not in plan
+
+
+def test_postings_are_read_off_the_blocks(spark, tmp_path, monkeypatch):
+    """Words are counted into blocks; no row of a posting goes to a Python worker or comes from one."""
+    packed, written = [], []
+    real, unpack = postings_blocks.pack, postings_blocks.unpack
+    monkeypatch.setattr(postings_blocks, "pack", lambda rows: packed.append(rows.columns) or real(rows))
+    monkeypatch.setattr(postings_blocks, "unpack", lambda blocks: written.append(unpack(blocks)) or written[-1])
+    corpus = spark.createDataFrame([(n, "x y", f"x z z own{n}") for n in range(400)] + [(900, "x", None), (901, None, "")], "doc_id long, title string, text string")
+    index = indexes.write_text_index(spark, corpus, str(tmp_path / "index"), buckets=3)
+    with indexes._whole_buckets(spark):
+        plan = spark.sparkContext._jvm.PythonSQLUtils.explainString(written[0]._jdf.queryExecution(), "simple")
+    assert "Bucketed: true" in plan
+    assert packed == [["shard", "doc_id", "title", "text"]] and "InArrow" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, index.postings.collect())) == sorted(map(tuple, lexical.index_corpus(corpus).postings.collect()))
+    # 400 documents in 3 shards: a term of all of them fills blocks, and leaves one not full per shard.
+    assert index.blocks[0].blocks.where("term = 'z'").count() <= 400 // postings_blocks.BLOCK + 3
