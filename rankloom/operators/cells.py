@@ -8,16 +8,20 @@ best score found so far is not read.
 A search looks at the cells whose centres score best for a query, takes the k-th best score from there as
 the query's floor, and then at all other cells whose bound reaches it. With ``probes`` only that many cells are
 looked at for each query; the run is then no longer exact, and :func:`recall` says how much of it is there.
+
+Within a cell, products are formed in single precision first. Only pairs that may reach the query's floor, by the
+largest error that those products can have, are scored in double, so the run is that of double products.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from rankloom.config import DenseConfig
@@ -35,6 +39,14 @@ FIRST = 2
 _BLOCK = 8192
 # Bounds and floors are compared with this part of room, for rounding in single precision.
 _SLACK = 1e-5
+# Vectors that are sifted with a tile of queries at a time; more where k is large.
+_PIECE = 1024
+# Where more than one of so many pairs may reach a floor, all are scored in double.
+_SPARSE = 16
+# Pairs that a scan's tasks share; the queries of a scan with more of them are dealt over several rounds of tasks.
+_PAIRS = 1 << 32
+_MOST_SHARES = 16
+_LARGEST = float(np.finfo(np.float32).max)
 
 
 @dataclass(frozen=True)
@@ -177,12 +189,14 @@ def cell_top_k(
             continue
         ids, matrix = table["qid"].combine_chunks(), _matrix(table["embedding"])
         rows, looked = _search(index, ids, matrix, k, probes, schema)
-        runs.append(materialise(rows, "cells-slice") if count > 1 else rows)
+        # All rows of a qid are in one slice.
+        ranked = top_k(rows, k)
+        runs.append(materialise(ranked, "cells-slice") if count > 1 else ranked)
         looked_at, pairs = looked_at + looked, pairs + len(ids) * len(index.cells)
-    found = spark.createDataFrame([], schema) if not runs else runs[0]
+    found = top_k(spark.createDataFrame([], schema), k) if not runs else runs[0]
     for more in runs[1:]:
         found = found.unionByName(more)
-    return CellRun(top_k(found, k), looked_at, pairs)
+    return CellRun(found, looked_at, pairs)
 
 
 def _search(
@@ -202,10 +216,14 @@ def _search(
     begun = _scan(index, ids, matrix, wanted, floors, k, schema)
     if probes is not None or wanted.all():
         return begun, int(wanted.sum())
-    begun = materialise(begun, "cells-first")
-    kth = top_k(begun, k).where(F.col("rank") == k).select("qid", "score").toArrow()
+    begun = materialise(top_k(begun, k), "cells-first")
+    kth = begun.where(F.col("rank") == k).select("qid", "score").toArrow()
+    begun = begun.drop("rank")
     if kth.num_rows:
-        floors[pc.index_in(kth["qid"].combine_chunks(), value_set=ids).to_numpy()] = kth["score"].to_numpy()
+        # Also where a qid comes again.
+        at = pc.index_in(ids, value_set=kth["qid"].combine_chunks())
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        floors[known] = kth["score"].to_numpy()[at.drop_null().to_numpy()]
     lengths = np.linalg.norm(matrix, axis=1)
     room = lengths[:, None] * index.radii[None, :]
     bound = centre_scores + room + _SLACK * (np.abs(centre_scores) + room)
@@ -220,14 +238,31 @@ def _scan(
 ) -> DataFrame:
     """At most k rows per query, cell and task, of the cells that a query wants. Other cells are not read.
 
-    A task holds one cell at a time, and the scores of one block of vectors with one tile of queries."""
+    A task holds one cell at a time, and the scores of a piece of a block of vectors with one tile of queries."""
     used = np.flatnonzero(wanted.any(axis=0))
     place = {int(index.cells[c]): c for c in used}
     context = index.vectors.sparkSession.sparkContext
     shared = context.broadcast((ids, matrix, wanted, place, floors - np.abs(np.where(np.isfinite(floors), floors, 0.0)) * _SLACK))
+    shares = int(min(_MOST_SHARES, max(1, -(-int(wanted.sum(axis=0) @ index.counts) // _PAIRS))))
+    rows = index.vectors.where(F.col("cell").isin([int(index.cells[c]) for c in used])).select("cell", "doc_id", "embedding")
+    found = rows.mapInArrow(_scanner(shared, k, 0, shares), schema)
+    for share in range(1, shares):
+        found = found.unionByName(rows.mapInArrow(_scanner(shared, k, share, shares), schema))
+    return found
+
+
+def _scanner(shared: Broadcast, k: int, share: int, shares: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """What a task does for one of ``shares`` equal parts of the queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, asked, who, where, low = shared.value
+        with np.errstate(over="ignore", invalid="ignore"):
+            queries = _Queries(asked, asked.astype(np.float32), np.linalg.norm(asked, axis=1))
+        # A query with parts that are no finite numbers finds nothing.
+        finite = np.isfinite(asked).all(axis=1)
+        # What a query has found in a cell raises its floor in those to come.
+        low = low.astype(np.float32)
+        space = np.empty(_TILE_QUERIES * _BLOCK, np.float32)
         open_cell, tiles = None, []
         for batch in batches:
             cells = batch.column("cell").to_numpy()
@@ -235,31 +270,73 @@ def _scan(
             starts = np.concatenate(([0], np.flatnonzero(np.diff(cells)) + 1)) if len(cells) else []
             for start, stop in zip(starts, np.append(starts[1:], len(cells)), strict=True):
                 if cells[start] != open_cell:
-                    yield from _kept(tiles, names)
+                    yield from _kept(tiles, names, low)
                     open_cell = cells[start]
-                    chosen = np.flatnonzero(who[:, where[int(open_cell)]])
+                    chosen = np.flatnonzero(who[:, where[int(open_cell)]] & finite)[share::shares]
                     tiles = [_tile(chosen[t : t + _TILE_QUERIES], low, k) for t in range(0, len(chosen), _TILE_QUERIES)]
                 for first in range(start, stop, _BLOCK):
                     part = batch.slice(first, min(_BLOCK, stop - first))
                     rows = _matrix(part.column("embedding"))
+                    single, longest = rows.astype(np.float32), float(np.linalg.norm(rows, axis=1).max())
                     for chosen, best in tiles:
-                        best.add(part.column("doc_id"), rows @ asked[chosen].T)
-        yield from _kept(tiles, names)
+                        _sift(best, part.column("doc_id"), rows, single, longest, queries.of(chosen), space)
+        yield from _kept(tiles, names, low)
+
+    return run
+
+
+@dataclass(frozen=True)
+class _Queries:
+    """Query vectors in double and in single precision, and their lengths."""
 
-    rows = index.vectors.where(F.col("cell").isin([int(index.cells[c]) for c in used]))
-    return rows.select("cell", "doc_id", "embedding").mapInArrow(run, schema)
+    exact: np.ndarray
+    single: np.ndarray
+    lengths: np.ndarray
+
+    def of(self, chosen: np.ndarray) -> _Queries:
+        return _Queries(self.exact[chosen], self.single[chosen], self.lengths[chosen])
+
+
+@np.errstate(over="ignore", invalid="ignore")
+def _sift(
+    best: _Best, ids: pa.Array, rows: np.ndarray, single: np.ndarray, longest: float, tile: _Queries, space: np.ndarray
+) -> None:
+    """Let a tile's best see the scores of ``rows``, none of them longer than ``longest``; ``space`` is written over.
+
+    A product of single numbers is off by ``dim * 2 ** -24`` of the lengths' product at most, and by half a place of the
+    query's and of the floor's; twice that is left as room. What is no number there, or too large, is scored in double.
+    """
+    step = min(_BLOCK, max(_PIECE, 4 * best.k))
+    error = (rows.shape[1] + 4) * 2.0**-23 * tile.lengths * longest + rows.shape[1] * 1e-37
+    for first in range(0, len(rows), step):
+        piece = single[first : first + step]
+        scores = space[: len(tile.single) * len(piece)].reshape(len(tile.single), len(piece))
+        np.matmul(tile.single, piece.T, out=scores)
+        floor = np.minimum(best.floor.astype(np.float64), _LARGEST)
+        low = (floor - error - np.abs(floor) * 2.0**-22).astype(np.float32)[:, None]
+        # Compared so that what is no number counts as near.
+        near = np.flatnonzero(~(scores.max(axis=1, keepdims=True) < low))
+        if not len(near):
+            continue
+        query, row = np.nonzero(~(scores[near] < low[near]))
+        if len(query) > scores.size // _SPARSE:
+            best.add(ids.slice(first, step), rows[first : first + step] @ tile.exact.T)
+        else:
+            query, row = near[query], row + first
+            best.hold(query, ids.take(pa.array(row)), np.einsum("ij,ij->i", rows[row], tile.exact[query]))
 
 
 def _tile(chosen: np.ndarray, low: np.ndarray, k: int) -> tuple[np.ndarray, _Best]:
     """Some of the queries that want a cell, and the best they have seen there."""
     best = _Best(len(chosen), k)
-    best.floor = low[chosen].astype(np.float32)
+    best.floor = low[chosen]
     return chosen, best
 
 
-def _kept(tiles: list[tuple[np.ndarray, _Best]], names: pa.Array) -> Iterator[pa.RecordBatch]:
+def _kept(tiles: list[tuple[np.ndarray, _Best]], names: pa.Array, low: np.ndarray) -> Iterator[pa.RecordBatch]:
     for chosen, best in tiles:
         yield from best.batches(names.take(pa.array(chosen)))
+        low[chosen] = best.floor
 
 
 def recall(run: DataFrame, exact: DataFrame) -> DataFrame:

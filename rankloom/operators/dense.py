@@ -34,6 +34,8 @@ _TILE_QUERIES = 512
 _STREAMED_QUERIES = 16
 # Bytes a task keeps per query and place: score, rank key and id.
 _KEPT_BYTES = 64
+# Single scores that may wait for a tile, where k asks for fewer.
+_WAITING = 4096
 
 
 def normalized(vectors: DataFrame) -> DataFrame:
@@ -118,6 +120,8 @@ class _Best:
         self.k = k
         self.floor = np.full(n_queries, -np.inf, dtype=np.float32)
         self.kept: pa.Table | None = None
+        self.waiting: list[pa.Table] = []
+        self.room = max(k * n_queries, _WAITING)
 
     def add(self, ids: pa.Array, scores: np.ndarray) -> None:
         scores = np.where(np.isfinite(scores), scores, -np.inf)
@@ -126,17 +130,25 @@ class _Best:
             kth = np.partition(ranked, len(ranked) - self.k, axis=0)[len(ranked) - self.k]
             self.floor = np.maximum(self.floor, kth)
         row, query = np.nonzero((ranked >= self.floor) & (ranked > -np.inf))
-        if len(row) == 0:
-            return
-        block = pa.table(
-            {
-                "query": query,
-                "ranked": ranked[row, query],
-                "id": ids.take(pa.array(row)),
-                "score": scores[row, query],
-            }
-        )
-        both = block if self.kept is None else pa.concat_tables([self.kept, block])
+        if len(row):
+            self._merge([_rows(query, ranked[row, query], ids.take(pa.array(row)), scores[row, query])])
+
+    def hold(self, query: np.ndarray, ids: pa.Array, scores: np.ndarray) -> None:
+        """Single scores of a query each. They wait until there are many, and raise no floor till then."""
+        ranked = np.where(np.isfinite(scores), scores, -np.inf).astype(np.float32)
+        good = np.flatnonzero((ranked >= self.floor[query]) & (ranked > -np.inf))
+        if len(good):
+            self.waiting.append(_rows(query[good], ranked[good], ids.take(pa.array(good)), scores[good]))
+            if sum(block.num_rows for block in self.waiting) >= self.room:
+                self._settle()
+
+    def _settle(self) -> None:
+        if self.waiting:
+            blocks, self.waiting = self.waiting, []
+            self._merge(blocks)
+
+    def _merge(self, blocks: list[pa.Table]) -> None:
+        both = pa.concat_tables(blocks if self.kept is None else [self.kept, *blocks])
         both = both.sort_by([("query", "ascending"), ("ranked", "descending"), ("id", "ascending")])
         query = both["query"].to_numpy()
         first = np.searchsorted(query, query, side="left")
@@ -146,6 +158,7 @@ class _Best:
         self.floor[query[last]] = np.maximum(self.floor[query[last]], both["ranked"].to_numpy()[last])
 
     def batches(self, query_ids: pa.Array) -> Iterator[pa.RecordBatch]:
+        self._settle()
         if self.kept is None:
             return
         kept = self.kept
@@ -159,6 +172,10 @@ class _Best:
         yield from table.to_batches()
 
 
+def _rows(query: np.ndarray, ranked: np.ndarray, ids: pa.Array, scores: np.ndarray) -> pa.Table:
+    return pa.table({"query": query, "ranked": ranked, "id": ids, "score": scores})
+
+
 def inner_product_scores(queries: DataFrame, vectors: DataFrame, k: int, config: DenseConfig = DenseConfig()) -> DataFrame:
     """At most k rows per query and partition of vectors; the overall k best are among them."""
     schema = run_schema(queries.schema["qid"].dataType, vectors.schema["doc_id"].dataType)
